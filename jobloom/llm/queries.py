@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash
+from . import bpe, decontam, simhash
 from .common import table
 
 
@@ -18,5 +19,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_decontamination": op9_decontamination}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("intact")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op10_bpe": op10_bpe, "op9_decontamination": op9_decontamination}
 ORACLES: dict[str, str] = {"op9_decontamination": decontam.ORACLE}
