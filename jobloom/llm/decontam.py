@@ -24,22 +24,18 @@ WINDOW = 10
 BLOCK = 100_000
 #: Words by which a proximity match may be wider than its phrase.
 SLOP = 5
-#: Between words: what is no digit, no ASCII letter and no character above U+007F.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Between words of a lower-cased text: what is no digit, no letter of a-z and no character above U+007F.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """A text's words in their own case; a null text has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
-
-
-def lowered(array: Column) -> Column:
-    return F.transform(array, ascii_lower)
+    """A text's words, A-Z lower-cased; a null text has none.  No lambda here: it would keep the search out of codegen."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, phrase, terms): each window of each item; an item of fewer words, but not none, is one window."""
-    own = items.select("item_id", lowered(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     cut = own.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("terms"))
     return cut.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
@@ -55,7 +51,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFr
     """(term, n): how often each of ``terms`` occurs in all documents, 0 left out."""
     out = None
     for part in _blocks(terms, "term", block):
-        found = docs.select(F.explode(words(F.col("text"))).alias("word")).select(ascii_lower(F.col("word")).alias("term")).join(F.broadcast(part), "term").groupBy("term").agg(F.count("*").alias("n"))
+        found = docs.select(F.explode(words(F.col("text"))).alias("term")).join(F.broadcast(part), "term").groupBy("term").agg(F.count("*").alias("n"))
         out = found if out is None else out.unionByName(found)
     return terms.withColumn("n", F.lit(0).cast("bigint")).where("false") if out is None else out
 
@@ -68,12 +64,12 @@ def _matches(docs: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
     own = docs.select("doc_id", words(F.col("text")).alias("w"))
     posted = own.select("doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
     start = F.col("pos") - F.col("at")  # of the phrase, from 1
-    here = lowered(F.slice("w", F.greatest(start, F.lit(1)), F.col("size")))
-    around = lowered(F.slice("w", F.greatest(start - slop, F.lit(1)), F.col("size") + 2 * slop))
+    here = F.slice("w", F.greatest(start, F.lit(1)), F.col("size"))
+    around = F.slice("w", F.greatest(start - slop, F.lit(1)), F.col("size") + 2 * slop)
     exact = (start >= 1) & (here == F.col("terms"))
     near = F.size(F.array_except("terms", around)) == 0
     kept = (F.col("size") == 0) | exact | near
-    found = posted.join(F.broadcast(anchors), (ascii_lower(F.col("word")) == F.col("term")) & kept)
+    found = posted.join(F.broadcast(anchors), (F.col("word") == F.col("term")) & kept)
     return found.select("doc_id", F.size("w").cast("bigint").alias("n_words"), start.alias("start"), "size", "phrase", exact.alias("exact"))
 
 
