@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, rules, simhash
+from . import bpe, decontam, quality, rules, simhash
 from .common import table
 
 
@@ -27,5 +27,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_quality_rules": op5_quality_rules, "op10_bpe": op10_bpe, "op9_decontamination": op9_decontamination}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op5_quality_rules": op5_quality_rules, "op8_quality": op8_quality, "op10_bpe": op10_bpe, "op9_decontamination": op9_decontamination}
 ORACLES: dict[str, str] = {"op9_decontamination": decontam.ORACLE}
