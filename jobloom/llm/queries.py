@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, rules, simhash
+from . import bpe, decontam, langid, quality, rules, simhash
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("intact")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identified(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_letter_words")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,5 +37,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_quality_rules": op5_quality_rules, "op8_quality": op8_quality, "op10_bpe": op10_bpe, "op9_decontamination": op9_decontamination}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op5_quality_rules": op5_quality_rules, "op8_quality": op8_quality, "op10_bpe": op10_bpe, "op9_decontamination": op9_decontamination}
 ORACLES: dict[str, str] = {"op9_decontamination": decontam.ORACLE}
