@@ -215,7 +215,7 @@ def identified(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
     return map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, lang_pred string, score double, n_letter_words bigint" + ", runs array<struct<from: bigint, to: bigint, lang: string>>" * runs)
 
 
-def accepted(docs: DataFrame, least: float = 0.5, **parameters) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.35, **parameters) -> DataFrame:
     """``docs`` without those of no identified language or with a score under ``least``; a row without a doc_id stays."""
     out = identified(docs, train(docs, **parameters)).where((F.col("lang_pred") == "und") | (F.col("score") < least))
     return docs.join(out.select("doc_id"), "doc_id", "left_anti").select(docs.columns)

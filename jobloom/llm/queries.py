@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, rules, simhash
+from . import bpe, decontam, langid, quality, rules, simhash, urls, warc
 from .common import table
 
 
@@ -29,6 +29,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_letter_words")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +45,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op5_quality_rules": op5_quality_rules, "op8_quality": op8_quality, "op10_bpe": op10_bpe, "op9_decontamination": op9_decontamination}
-ORACLES: dict[str, str] = {"op9_decontamination": decontam.ORACLE}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_language": op2_language,
+    "op4_warc": op4_warc,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
+    "op10_bpe": op10_bpe,
+}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_url_filter": urls.ORACLE, "op9_decontamination": decontam.ORACLE}
