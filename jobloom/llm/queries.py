@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, rules, simhash, urls, warc
+from . import bpe, decontam, html, langid, quality, rules, simhash, urls, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_letter_words")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
+    "op3_html": op3_html,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filter": op7_url_filter,
@@ -55,4 +60,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_url_filter": urls.ORACLE, "op9_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op3_html": html.ORACLE, "op4_warc": warc.ORACLE, "op7_url_filter": urls.ORACLE, "op9_decontamination": decontam.ORACLE}
