@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, quality, rules, simhash, urls, warc
+from . import bpe, decontam, html, langid, licenses, quality, rules, simhash, urls, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_licenses": op6_licenses,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
