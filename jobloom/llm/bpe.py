@@ -301,4 +301,4 @@ def round_trip(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
 
         return run
 
-    return map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, intact boolean" + ", ids array<bigint>" * ids)
+    return map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, intact boolean" + ", ids array<int>" * ids)

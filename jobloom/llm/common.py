@@ -70,11 +70,26 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn, arrow = make(), to_arrow_schema(out)
-        for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1)) or 1))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                cols = fn(*(c.to_pylist() for c in part.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+        for part in _slices(batches):
+            cols = fn(*(c.to_pylist() for c in part.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1)) or 1))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list[bool]]]) -> DataFrame:
+    """The rows of ``df``, with all its columns, for which ``make()(*column lists)`` says true; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for part in _slices(batches):
+            yield part.filter(pa.array(fn(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

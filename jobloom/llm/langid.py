@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import keep_rows, map_batches
 
 #: Documents of each language, chosen by the hash of their id, that the model learns from.
 SAMPLE = 300
@@ -216,6 +216,11 @@ def identified(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.35, **parameters) -> DataFrame:
-    """``docs`` without those of no identified language or with a score under ``least``; a row without a doc_id stays."""
-    out = identified(docs, train(docs, **parameters)).where((F.col("lang_pred") == "und") | (F.col("score") < least))
-    return docs.join(out.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without those of no identified language or with a score under ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, **parameters))
+
+    def make():
+        labeller = Labeller(shared.value)
+        return lambda texts: [len(p) > 0 and bool(p.mean(axis=0).max() >= least) for p, _ in labeller.label(texts)]
+
+    return keep_rows(docs, ["text"], make)

@@ -16,10 +16,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import keep_rows, map_batches
 
 TERMS, DIMS, ONES, REACH = 4096, 64, 4, 2
 #: Labelled rows, those with the least hash of their id, that the network learns from (a fifth of them sets the temperature).
@@ -132,20 +132,51 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.heat, -30, 30)))
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, v): the mean word vector of each row; zeros for a text without terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors.astype(np.float32))  # TERMS x DIMS, a fixed size
+class Pooler:
+    """Word vectors at work in a task."""
 
-    def make():
-        known = _Rows()
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.known = vectors, _Rows()
+
+    def pool(self, texts: list[str | None]) -> np.ndarray:
+        """The mean word vector of each text; zeros for a text without terms."""
+        out = np.zeros((len(texts), DIMS))
+        for k, text in enumerate(texts):
+            if len(rows := _rows(self.known, text)):
+                out[k] = np.bincount(rows, minlength=TERMS) @ self.vectors / len(rows)
+        return out
+
+
+class Scorer:
+    """What ``fit`` gives: word vectors and a network, both of a fixed size; without a network every score is 0.5."""
+
+    def __init__(self, vectors: np.ndarray, network: Network | None):
+        self.vectors, self.network = vectors, network
+
+    def ready(self):
+        pooler = Pooler(self.vectors)
+        return lambda texts: self.network.score(pooler.pool(texts)).tolist() if self.network else [0.5] * len(texts)
+
+
+def held_out(folds: int = 3, fold: int = 1) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(True))
 
-        def one(text):
-            rows = _rows(known, text)
-            return (np.bincount(rows, minlength=TERMS) @ shared.value / len(rows) if len(rows) else np.zeros(DIMS)).astype(np.float32)
 
-        return lambda ids, texts: [ids, [one(t) for t in texts]]
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> Scorer:
+    """A scorer from all texts and from the labels of at most ``sample`` rows outside the held-out fold."""
+    vectors = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    known = labels.where("quality in (0, 1)").select("doc_id", "quality").where(~held_out(folds, fold)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
-    return map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, v array<float>")
+    def make():
+        pooler = Pooler(shared.value)
+        return lambda quality, texts: [quality, list(pooler.pool(texts).astype(np.float32))]
+
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows are broadcast
+    rows = sorted((r.quality, r.v) for r in map_batches(labelled, ["quality", "text"], make, "quality int, v array<float>").collect())
+    if len({q for q, _ in rows}) < 2:
+        return Scorer(vectors, None)
+    return Scorer(vectors, Network(np.array([v for _, v in rows], np.float64), np.array([q for q, _ in rows], np.float64)))
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> DataFrame:
@@ -153,20 +184,25 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sa
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod ``folds`` isn't ``fold``; rows without a doc_id
     count as held out.  Null and empty texts have the zero vector and a score like any other; labels with a null
-    doc_id or quality are ignored; without labels of both kinds every score is 0.5.  Repeated rows give a row each;
-    other columns are ignored.
+    doc_id or quality, or of documents that aren't there, are ignored; without labels of both kinds every score is 0.5.
+    Repeated rows give a row each; other columns are ignored.
     """
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(True))
-    rows = stored(pooled(docs, word_vectors(docs)), "pooled")
-    known = labels.where("quality in (0, 1)").select("doc_id", "quality").where(~held)
-    fit = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).collect()
-    if len({r.quality for r in fit}) < 2:
-        return rows.select("doc_id", held.alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
-    net = rows.sparkSession.sparkContext.broadcast(Network(np.array([r.v for r in fit], np.float64), np.array([r.quality for r in fit], np.float64)))
-    out = map_batches(rows, ["doc_id", "v"], lambda: lambda ids, v: [ids, net.value.score(np.array(v, np.float64).reshape(-1, DIMS))], "doc_id bigint, score double")
-    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, fold, sample))
+
+    def make():
+        score = scorer.value.ready()
+        return lambda ids, texts: [ids, score(texts)]
+
+    out = map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, score double")
+    return out.select("doc_id", held_out(folds, fold).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without those predicted to be of low quality; a row without a doc_id stays."""
-    return docs.join(scored(docs, labels, **parameters).where("predicted = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without those predicted to be of low quality."""
+    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))
+
+    def make():
+        score = scorer.value.ready()
+        return lambda texts: [s >= 0.5 for s in score(texts)]
+
+    return keep_rows(docs, ["text"], make)
