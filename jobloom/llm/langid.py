@@ -166,7 +166,7 @@ class Labeller:
             self.emit = np.concatenate([self.emit, self.m.weights[features(part, self.m.lexicon)].sum(axis=1)])
         sizes = np.array([len(line) for doc in chains for line in doc], np.int64)
         ids = np.fromiter((self.known[w] for doc in chains for line in doc for w in line), np.int64, sizes.sum())
-        probable = marginals(self.emit[ids], sizes, self.m.move.astype(np.float32), self.m.start.astype(np.float32)) if len(ids) else self.emit[:0]
+        probable = marginals(self.emit[ids], sizes, self.m.move.astype(np.float32), self.m.start.astype(np.float32)) if len(ids) and self.m.labels else np.zeros((len(ids), len(self.m.labels)))
         cuts = np.cumsum([sum(map(len, doc)) for doc in chains])
         return list(zip(np.split(probable, cuts[:-1]), chains)) if texts else []
 
@@ -221,6 +221,6 @@ def accepted(docs: DataFrame, least: float = 0.35, **parameters) -> DataFrame:
 
     def make():
         labeller = Labeller(shared.value)
-        return lambda texts: [len(p) > 0 and bool(p.mean(axis=0).max() >= least) for p, _ in labeller.label(texts)]
+        return lambda texts: [p.size > 0 and bool(p.mean(axis=0).max() >= least) for p, _ in labeller.label(texts)]
 
     return keep_rows(docs, ["text"], make)
