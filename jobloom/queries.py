@@ -30,6 +30,10 @@ def query(oracle: str | None = None):
     return add
 
 
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.col("day").cast("string"))
+
+
 # -- postings -------------------------------------------------------------------------------------------------------
 
 _KEY_SQL = "source_id || ':text:' || trim(title, ' ') || ':' || left(trim(description, ' '), 300)"
@@ -104,34 +108,34 @@ def resume_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.by_resume(views.applications(spark, sf_dir))
 
 
-@query(f"SELECT CAST(happened AS DATE) AS day, CAST(sum(points) AS BIGINT) AS points, count(*) AS events FROM {EVENT_SQL} GROUP BY 1")
+@query(f"SELECT CAST(CAST(happened AS DATE) AS VARCHAR) AS day, CAST(sum(points) AS BIGINT) AS points, count(*) AS events FROM {EVENT_SQL} GROUP BY 1")
 def points_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-5."""
-    return funnel.by_day(views.score_events(spark, sf_dir))
+    return _dated(funnel.by_day(views.score_events(spark, sf_dir)))
 
 
 _SPINE = "SELECT CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '{}', TIMESTAMP '{}', INTERVAL 1 DAY) t(d)"
 
 
 @query(f"""WITH days AS ({_SPINE.format("2024-01-29", AS_OF)}), p AS (SELECT CAST(happened AS DATE) AS day, sum(points) AS points FROM {EVENT_SQL} GROUP BY 1)
-SELECT days.day, CAST(coalesce(points, 0) AS BIGINT) AS points, CASE dayofweek(days.day) WHEN 0 THEN 0 WHEN 6 THEN 10 ELSE 6 END AS target, CAST(sum(coalesce(points, 0)) OVER (ORDER BY days.day) AS BIGINT) AS so_far FROM days LEFT JOIN p USING (day)""")
+SELECT CAST(days.day AS VARCHAR) AS day, CAST(coalesce(points, 0) AS BIGINT) AS points, CASE dayofweek(days.day) WHEN 0 THEN 0 WHEN 6 THEN 10 ELSE 6 END AS target, CAST(sum(coalesce(points, 0)) OVER (ORDER BY days.day) AS BIGINT) AS so_far FROM days LEFT JOIN p USING (day)""")
 def week_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-6, SCL-19."""
-    return funnel.week_to_date(views.score_events(spark, sf_dir), AS_OF)
+    return _dated(funnel.week_to_date(views.score_events(spark, sf_dir), AS_OF))
 
 
 @query(f"""WITH days AS ({_SPINE.format("2024-01-02", "2024-02-10")}), p AS (SELECT CAST(happened AS DATE) AS day, sum(points) AS points FROM {EVENT_SQL} GROUP BY 1),
 w AS (SELECT days.day, coalesce(points, 0) AS points, dayofweek(days.day) = 0 AS sunday FROM days LEFT JOIN p USING (day))
-SELECT a.day, CAST(a.points AS BIGINT) AS points, coalesce((SELECT sum(points) = 0 FROM (SELECT b.points FROM w b WHERE b.day < a.day AND NOT b.sunday ORDER BY b.day DESC LIMIT 2)), false) AS red_flag FROM w a WHERE a.day >= DATE '2024-01-05'""")
+SELECT CAST(a.day AS VARCHAR) AS day, CAST(a.points AS BIGINT) AS points, coalesce((SELECT sum(points) = 0 FROM (SELECT b.points FROM w b WHERE b.day < a.day AND NOT b.sunday ORDER BY b.day DESC LIMIT 2)), false) AS red_flag FROM w a WHERE a.day >= DATE '2024-01-05'""")
 def red_flag_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-7."""
-    return funnel.red_flags(views.score_events(spark, sf_dir), "2024-01-05", "2024-02-10")
+    return _dated(funnel.red_flags(views.score_events(spark, sf_dir), "2024-01-05", "2024-02-10"))
 
 
-@query(f"SELECT DISTINCT CAST(happened AS DATE) AS day, CASE WHEN CAST(happened AS DATE) <= DATE '2024-01-10' THEN 'first' WHEN CAST(happened AS DATE) <= DATE '2024-01-20' THEN 'second' ELSE 'third' END AS checkpoint FROM {EVENT_SQL}")
+@query(f"SELECT DISTINCT CAST(CAST(happened AS DATE) AS VARCHAR) AS day, CASE WHEN CAST(happened AS DATE) <= DATE '2024-01-10' THEN 'first' WHEN CAST(happened AS DATE) <= DATE '2024-01-20' THEN 'second' ELSE 'third' END AS checkpoint FROM {EVENT_SQL}")
 def checkpoint_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-13: the first checkpoint on or after each day."""
-    return funnel.next_checkpoint(views.score_events(spark, sf_dir).select(F.to_date("at").alias("day")).distinct(), CHECKPOINTS)
+    return _dated(funnel.next_checkpoint(views.score_events(spark, sf_dir).select(F.to_date("at").alias("day")).distinct(), CHECKPOINTS))
 
 
 @query(f"SELECT a.job_id, a.id, a.status, a.kind, a.resume_version, a.sent_at, j.title, j.company FROM {APPLICATION_SQL} a LEFT JOIN {JOB_SQL} j ON a.job_id = j.id WHERE status IN ('pending', 'sent') AND sent_at < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 3 DAYS ORDER BY sent_at, a.id")
