@@ -25,6 +25,9 @@ PROMO = r"\b(спецпредложен|акци[яи]|скидк|промоко
 RESUME_TEXT = r"(#\s*(резюме|cv|resume)|\b(всем\s+привет|привет\s+всем|hello\s+everyone|hi\s+all)\b|\b(меня\s+зовут|my\s+name\s+is)\b|\b(ищу\s+работу|ищу\s+позицию|looking\s+for\s+work|seeking\s+position|open\s+to\s+opportunities)\b)"
 FAKE_PLACE = r"\b(java|oop)\b"
 LOW_SALARY = r"(\d{2,4})\s*(eur|usd|gbp|chf|aud|cad|pln|czk|uah|kzt|byn|rub|rur|₽|\$|€|£)"
+GONE = ("stellenangebot gibt es nicht", "nicht mehr verfügbar", "job existiert nicht mehr")
+#: Source types that the group ``api`` stands for.
+API_SOURCES = "arbeitsagentur arbeitnow remotive remoteok jobicy findwork devitjobs themuse theirstack fantasticjobs jobdata techmap okjob whatjobs usajobs jobs2careers graphqljobs".split()
 CHALLENGE = ("just a moment", "checking your browser", "enable javascript and cookies", "attention required", "cf-challenge", "captcha")
 
 
@@ -78,3 +81,17 @@ def challenge_page(html: Column) -> Column:
     for phrase in CHALLENGE:
         out = out | low.contains(phrase)
     return out
+
+
+def unavailable(*texts: Column) -> Column:
+    """A text that says the posting is gone, case-insensitively."""
+    out = F.lit(False)
+    for t in texts:
+        for phrase in GONE:
+            out = out | F.coalesce(F.contains(F.lower(t), F.lit(phrase)), F.lit(False))
+    return out
+
+
+def of_source(kind: Column, wanted: str | None) -> Column:
+    """Whether a source type is the wanted one; ``api`` is a group of types, none is all."""
+    return F.lit(True) if not wanted else kind.isin(*API_SOURCES) if wanted == "api" else F.coalesce(kind == wanted, F.lit(False))

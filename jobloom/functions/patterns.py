@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def java(pattern: str, fold: bool = True) -> str:
     return ("(?iu)" if fold else "") + "".join(out)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(java(pattern)))
 

@@ -98,3 +98,26 @@ def top_n(df: DataFrame, key: str, order: list[str], n: int, parts: int = 64) ->
     salt = F.pmod(F.xxhash64(*order), F.lit(parts))
     first = df.withColumn("_part", salt).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))).where(F.col("_n") <= n).drop("_part")
     return first.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def purge(jobs: DataFrame, applications: DataFrame, bad: Column, status: str | None = None) -> DataFrame:
+    """``jobs`` without the bad ones, as far as no funnel protects them; duplicates of a reason don't matter, it is one predicate."""
+    applied = applications.select(F.col("job_id").alias("id")).distinct().withColumn("_applied", F.lit(True))
+    kept = F.coalesce("_applied", F.lit(False)) | ~F.coalesce(bad, F.lit(False))
+    if status:
+        kept = kept | F.coalesce(F.col(status).isin(*PROTECTED), F.lit(False))
+    return jobs.join(applied, "id", "left").where(kept).drop("_applied")
+
+
+def apply_new(batch: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From a batch of new applications (id, job_id, kind, sent_at): the jobs, those applied to marked so, and one score event per application."""
+    applied = batch.select(F.col("job_id").alias("id")).distinct().withColumn("_applied", F.lit(True))
+    marked = jobs.join(applied, "id", "left").withColumn("status", F.when(F.col("_applied"), "applied").otherwise(F.col("status"))).drop("_applied")
+    points = F.when(F.col("kind") == "adapted", 2).otherwise(1)
+    return marked, batch.select(F.col("sent_at").alias("at"), F.col("kind").alias("type"), points.alias("points"), F.col("id").alias("application_id"))
+
+
+def single_default(resumes: DataFrame) -> DataFrame:
+    """(id, name, is_default, updated_at): of rows marked default only the last updated one stays so; without any the first by id is."""
+    chosen = resumes.agg(F.coalesce(F.max_by(F.when(F.col("is_default"), F.col("id")), F.when(F.col("is_default"), F.struct("updated_at", "id"))), F.min("id")).alias("_default"))
+    return resumes.join(F.broadcast(chosen)).withColumn("is_default", F.col("id") == F.col("_default")).drop("_default")

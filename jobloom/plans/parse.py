@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import extract, text
+from jobloom.functions.salary import salary
 
 
 def sectioned(df: DataFrame, column: str) -> DataFrame:
@@ -17,17 +18,20 @@ def sectioned(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-FIELDS = ["contacts", "employment", "work_format", "schedule", "experience", "tech", "languages", "benefits", "interview", "company"]
+FIELDS = ["contacts", "salary", "employment", "work_format", "schedule", "experience", "tech", "languages", "benefits", "interview", "company"]
 #: Warning of a field that isn't found.
-NOT_FOUND = {"contacts": "contacts_not_found", "employment": "employment_not_found", "work_format": "work_format_not_found", "schedule": "schedule_not_found", "experience": "experience_not_found", "tech": "tech_not_found", "languages": "languages_not_found", "benefits": "benefits_not_found", "interview": "interview_not_found", "company": "company_not_found"}
+NOT_FOUND = {"contacts": "contacts_not_found", "salary": "salary_not_found", "employment": "employment_not_found", "work_format": "work_format_not_found", "schedule": "schedule_not_found", "experience": "experience_not_found", "tech": "tech_not_found", "languages": "languages_not_found", "benefits": "benefits_not_found", "interview": "interview_not_found", "company": "company_not_found"}
 
 
-def parsed(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with one struct per field, ``total`` (the greatest confidence), ``lang`` and ``warnings``."""
+def parsed(df: DataFrame, column: str, country: Column | None = None, currency: Column | None = None, strict: bool = False) -> DataFrame:
+    """``df`` with one struct per field, ``total`` (the greatest confidence), ``detected_lang`` and ``warnings``.
+
+    ``country`` and ``currency`` hint at what a text doesn't say; ``strict`` takes no amount without a currency or a word for pay.
+    """
     out = sectioned(df, column)
     for name in FIELDS:
         source = F.col("normalized") if name in ("contacts", "company") else F.col("sections")
-        out = out.withColumn(name, getattr(extract, name)(source))
+        out = out.withColumn(name, salary(source, country, currency, strict) if name == "salary" else getattr(extract, name)(source))
     warned = [F.when(F.col("normalized") == "", "empty_text"), *(F.when(F.col(f"{n}.confidence") == 0, w) for n, w in NOT_FOUND.items())]
     conflicts = [F.when(F.col("employment.conflict"), "employment_conflict_full_part"), F.when(F.col("work_format.conflict"), "work_format_conflict_remote_onsite")]
     return out.withColumn("detected_lang", text.detect_lang(F.col("normalized"))).withColumn("total", F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS))).withColumn("warnings", F.array_compact(F.array(*warned, *conflicts)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import extract, gate, text, urls
 from .functions.patterns import sql_has
-from .operators import funnel, ingest, postings
+from .functions.salary import salary
+from .operators import audits, funnel, ingest, postings
 from .plans import parse, views
 from .plans.views import APPLICATION_SQL, EVENT_SQL, JOB_SQL, POSTING_SQL
 
@@ -358,3 +359,49 @@ def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _whole(spark, sf_dir)
     missing = [F.when(extract.work_format(F.col("sections"))["value"] == "unknown", "work_format_not_found"), F.when(F.size(extract.employment(F.col("sections"))["types"]) == 0, "employment_not_found"), F.when(F.size(extract.benefits(F.col("sections"))["values"]) == 0, "benefits_not_found")]
     return d.select(F.explode(F.array_compact(F.array(*missing))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), 'stellenangebot gibt es nicht|nicht mehr verfügbar|job existiert nicht mehr') AS gone FROM documents")
+def unavailable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-9."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", gate.unavailable(F.col("text")).alias("gone"))
+
+
+@query(f"""SELECT id, source_id FROM {JOB_SQL} j WHERE id IN (SELECT job_id FROM {APPLICATION_SQL}) OR title NOT LIKE '%7%'""")
+def anomaly_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-8 with its protection: bad rows (here: a 7 in the name) go unless an application protects them."""
+    return postings.purge(views.jobs(spark, sf_dir), views.applications(spark, sf_dir), F.contains("title", F.lit("7"))).select("id", "source_id")
+
+
+@query(f"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), i AS (SELECT doc_id, unnest(list_filter([CASE WHEN trim(title) = '' THEN 'title_null' END, CASE WHEN length(title) > 90 THEN 'title_too_long' END, CASE WHEN length(title) BETWEEN 1 AND 3 THEN 'title_too_short' END, CASE WHEN regexp_matches(title, '(?i)https?://|www\\.') THEN 'title_has_url' END, CASE WHEN regexp_matches(title, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}') THEN 'title_has_email' END, CASE WHEN regexp_matches(title, '[.!?]\\s+\\S') THEN 'title_is_sentence' END], lambda x: x IS NOT NULL)) AS issue FROM t)
+SELECT issue, CASE issue WHEN 'title_is_sentence' THEN 'low' WHEN 'title_null' THEN 'high' WHEN 'title_has_url' THEN 'high' ELSE 'medium' END AS severity, count(*) AS n FROM i GROUP BY 1, 2""")
+def title_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10, AGG-11: title issues by severity."""
+    p = views.postings(spark, sf_dir)
+    return audits.histogram(audits.issues(p, audits.title_issues(F.col("title")), "id"))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents) SELECT id, 'title_is_sentence' AS issue, 'low' AS severity FROM t WHERE regexp_matches(title, '[.!?]\\s+\\S') ORDER BY id LIMIT 15""")
+def title_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-5: the first 15 examples of an issue."""
+    rules = {k: v for k, v in audits.title_issues(F.col("title")).items() if k == "title_is_sentence"}
+    return audits.examples(audits.issues(views.postings(spark, sf_dir), rules, "id"), "id")
+
+
+@query(f"SELECT word AS name, count(*) AS n FROM (SELECT unnest(string_split({_kinds_sql(extract.BENEFITS)}, ',')) AS word FROM documents) WHERE word <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
+def warnings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-7, SRT-7: the ten most frequent elements of an extracted array."""
+    return audits.top_counts(_whole(spark, sf_dir).select(extract.benefits(F.col("sections"))["values"].alias("found")), "found")
+
+
+@query()
+def salary_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-2."""
+    return _whole(spark, sf_dir).select("doc_id", salary(F.col("sections")).alias("s")).select("doc_id", "s.min", "s.max", "s.currency", "s.period", "s.type", "s.confidence")
+
+
+@query(f"""SELECT s_suppkey AS id, s_nationkey AS name, s_suppkey = (SELECT max_by(s_suppkey, (s_acctbal, s_suppkey)) FROM supplier WHERE s_nationkey % 5 = 0) AS is_default FROM supplier""")
+def single_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-10: of many defaults the last updated stays one."""
+    r = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("name"), (F.col("s_nationkey") % 5 == 0).alias("is_default"), F.col("s_acctbal").alias("updated_at"))
+    return postings.single_default(r).select("id", "name", "is_default")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import extract, gate, text, urls
+from jobloom.functions.salary import salary
 from jobloom.plans import parse
 
 
@@ -134,3 +135,21 @@ def test_counts_and_dates(value):
     assert [value(text.parse_count, x) for x in ("12.5K subscribers", "1 200", "3 млн")] == [12500, 1200, 3_000_000]
     assert [str(value(text.parse_date, x)) for x in ("1700000000", "1700000000000", "2024-01-02 03:04", "x")] == ["2023-11-14 22:13:20", "2023-11-14 22:13:20", "2024-01-02 03:04:00", "None"]
     assert value(text.compact_money, 1200, "x bigint") == "1.2K"
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("Salary: $3000-$5000 per month net", (3000, 5000, "USD", "month", "net")),
+        ("от 120 000 до 200 000 руб", (120000, 200000, "RUB", "month", "unknown")),
+        ("Base 90k - 120k EUR per year", (90000, 120000, "EUR", "year", "unknown")),
+        ("65.000 EUR per annum", (65000, 65000, "EUR", "year", "unknown")),
+        ("200-250 тыс ₽", (200, 250, "RUB", "month", "unknown")),  # the multiplier needs an ASCII boundary
+        ("5 years experience, 2020-2024", (None, None, "UNKNOWN", "unknown", "unknown")),
+        ("Salary in EUR", (None, None, "EUR", "unknown", "unknown")),
+        ("founded in 2013", (None, None, "UNKNOWN", "unknown", "unknown")),
+    ],
+)
+def test_salary(value, raw, want):
+    got = value(lambda x: salary(text.sections(text.lines(x)), strict=True), raw)
+    assert tuple(got)[:5] == want
