@@ -36,14 +36,15 @@ def vacancy_reason(title: Column, description: Column, tags: Column | None = Non
     empty = F.lit("")
     title, description = F.trim(F.coalesce(title, empty)), F.trim(F.coalesce(description, empty))
     text = F.lower(F.concat_ws("\n", title, description, F.trim(F.coalesce(tags, empty)) if tags is not None else empty, F.trim(F.coalesce(link, empty)) if link is not None else empty))
-    vacancy, apply, sections = has(text, VACANCY), has(text, APPLY), has(text, SECTIONS)
-    role, promo = has(text, ROLE), has(text, PROMO)
-    resume = has(title, RESUME_TITLE) | (~vacancy & (has(text, RESUME_WORD) | has(text, RESUME_TAG) | has(text, SEEKING) | (has(text, STRUCTURE) & ~apply & ~sections) | ((has(text, INTRO) | has(text, FIRST_PERSON)) & ~apply)))
-    score = 2 * vacancy.cast("int") + apply.cast("int") + sections.cast("int") + has(text, SALARY).cast("int") + role.cast("int") - 3 * promo.cast("int")
+    low = lambda p: has(text, p, fold=False)
+    vacancy, apply, sections = low(VACANCY), has(text, APPLY), low(SECTIONS)
+    role, promo = low(ROLE), low(PROMO)
+    resume = has(title, RESUME_TITLE) | (~vacancy & (low(RESUME_WORD) | low(RESUME_TAG) | low(SEEKING) | (low(STRUCTURE) & ~apply & ~sections) | ((low(INTRO) | low(FIRST_PERSON)) & ~apply)))
+    score = 2 * vacancy.cast("int") + apply.cast("int") + sections.cast("int") + low(SALARY).cast("int") + role.cast("int") - 3 * promo.cast("int")
     return (
         F.when(description == "", "empty_description")
         .when((F.length(description) < 40) & (F.lower(title) == "вакансия"), "too_short_generic")
-        .when(has(text, UNAVAILABLE), "job_unavailable_page")
+        .when(low(UNAVAILABLE), "job_unavailable_page")
         .when(resume, "resume_post")
         .when(promo & (score <= 0), "promo_or_news")
         .when(~vacancy & ~role & (score <= 0), "no_vacancy_signals")
@@ -66,7 +67,7 @@ def anomaly_reasons(text: Column, location: Column, content: Column) -> Column:
     size = F.length(F.trim(content))
     low = first(F.lower(text), LOW_SALARY, 1).cast("int") < 500
     hit = lambda c, name: F.when(F.coalesce(c, F.lit(False)), name)
-    return F.array_compact(F.array(hit(has(F.lower(text), RESUME_TEXT), "resume"), hit(has(F.lower(location), FAKE_PLACE), "fake_location"), hit(low, "low_salary"), hit((size > 0) & (size < 150), "too_short")))
+    return F.array_compact(F.array(hit(has(F.lower(text), RESUME_TEXT, fold=False), "resume"), hit(has(F.lower(location), FAKE_PLACE, fold=False), "fake_location"), hit(low, "low_salary"), hit((size > 0) & (size < 150), "too_short")))
 
 
 def needs_full_text(text: Column, least: int = 400) -> Column:

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,8 +15,8 @@ _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-
 SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
-def java(pattern: str, fold: bool = True) -> str:
-    """The pattern for Spark's functions."""
+def java(pattern: str, fold: bool | None = True) -> str:
+    """The pattern for Spark's functions; ``fold`` None: a part of one."""
     out, k, inside = [], 0, False
     while k < len(pattern):
         two = pattern[k : k + 2]
@@ -33,13 +34,54 @@ def java(pattern: str, fold: bool = True) -> str:
     return ("(?iu)" if fold else "") + "".join(out)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, those in groups and classes left whole."""
+    out, depth, inside, k = [""], 0, False, 0
+    while k < len(pattern):
+        c = pattern[k : k + 2] if pattern[k] == "\\" else pattern[k]
+        if not inside and c in "()":
+            depth += 1 if c == "(" else -1
+        inside = (inside or c == "[") and c != "]"
+        if c == "|" and not depth and not inside:
+            out.append("")
+        else:
+            out[-1] += c
+        if depth < 0:
+            return []  # not one group
+        k += len(c)
+    return out
+
+
+def _quick(pattern: str) -> str:
+    """The pattern for a test alone: of ``\\b(x|y)\\b`` each boundary becomes what its neighbour makes of it, behind a look at the first character."""
+    word, bounded = "[A-Za-z0-9_]", re.fullmatch(r"\\b\((.*)\)\\b", pattern, re.S)
+    grouped = re.fullmatch(r"\((?!\?)(.*)\)", pattern, re.S)
+    if grouped and not bounded and len(parts := _alternatives(grouped[1])) > 1:
+        return "(?:" + "|".join(map(_quick, parts)) + ")"
+    if not bounded or not (parts := _alternatives(bounded[1])):
+        return java(pattern, None)
+    kinds: dict[str, list[str]] = {}
+    for alt in parts:
+        first, last = alt[:1], alt[-1:] if alt[-2:-1] != "\\" else ""
+        kind = "any" if not first or alt[1:2] in "?*{" or not (first.isalnum() or first == "_") else "ascii" if first.isascii() else "other"
+        end = f"(?!{word})" if last.isascii() and last.isalnum() else f"(?={word})" if last.isalpha() else _BOUNDARY
+        kinds.setdefault(kind, []).append((first, java(alt, None) + end))
+    out = []
+    for kind, alts in kinds.items():
+        start = {"ascii": f"(?<!{word})", "other": f"(?<={word})", "any": _BOUNDARY}[kind]
+        look = "" if kind == "any" else f"(?=[{''.join(sorted({f for f, _ in alts}))}])"
+        out.append(f"{look}{start}(?:{'|'.join(a for _, a in alts)})")
+    return f"(?:{'|'.join(out)})"
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with the value computed once however often it is used."""
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
 
 
-def has(text: Column, pattern: str) -> Column:
-    return F.rlike(text, F.lit(java(pattern)))
+def has(text: Column, pattern: str, fold: bool = True) -> Column:
+    """Whether the pattern matches anywhere; a lower-cased text needs no ``fold`` for a pattern in lower case."""
+    return F.rlike(text, F.lit(("(?iu)" if fold else "") + _quick(pattern)))
 
 
 def first(text: Column, pattern: str, group: int = 0) -> Column:
@@ -49,9 +91,9 @@ def first(text: Column, pattern: str, group: int = 0) -> Column:
 
 def around(text: Column, pattern: str, before: int, after: int) -> Column:
     """The first match with up to so many characters on its sides, or null; by its place, as a pattern for it would try each start."""
-    at, size = F.regexp_instr(text, F.lit(java(pattern))), F.length(F.regexp_extract(text, java(pattern), 0))
-    low = F.greatest(at - before, F.lit(1))
-    return F.when(at > 0, F.substring(text, low, at + size + after - low))
+    place = F.struct(F.regexp_instr(text, F.lit(java(pattern))).alias("at"), F.length(F.regexp_extract(text, java(pattern), 0)).alias("size"))
+    low = lambda p: F.greatest(p["at"] - before, F.lit(1))
+    return let(place, lambda p: F.when(p["at"] > 0, F.substring(text, low(p), p["at"] + p["size"] + after - low(p))))
 
 
 def every(text: Column, pattern: str, group: int = 0) -> Column:

@@ -28,10 +28,11 @@ def parsed(df: DataFrame, column: str, country: Column | None = None, currency:
 
     ``country`` and ``currency`` hint at what a text doesn't say; ``strict`` takes no amount without a currency or a word for pay.
     """
-    out = sectioned(df, column)
-    for name in FIELDS:
+    def field(name: str) -> Column:
         source = F.col("normalized") if name in ("contacts", "company") else F.col("sections")
-        out = out.withColumn(name, salary(source, country, currency, strict) if name == "salary" else getattr(extract, name)(source))
+        return salary(source, country, currency, strict) if name == "salary" else getattr(extract, name)(source)
+
+    out = sectioned(df, column).select("*", *(field(n).alias(n) for n in FIELDS))  # one projection: each is analysed once
     warned = [F.when(F.col("normalized") == "", "empty_text"), *(F.when(F.col(f"{n}.confidence") == 0, w) for n, w in NOT_FOUND.items())]
     conflicts = [F.when(F.col("employment.conflict"), "employment_conflict_full_part"), F.when(F.col("work_format.conflict"), "work_format_conflict_remote_onsite")]
-    return out.withColumn("detected_lang", text.detect_lang(F.col("normalized"))).withColumn("total", F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS))).withColumn("warnings", F.array_compact(F.array(*warned, *conflicts)))
+    return out.select("*", text.detect_lang(F.col("normalized")).alias("detected_lang"), F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS)).alias("total"), F.array_compact(F.array(*warned, *conflicts)).alias("warnings"))
