@@ -191,11 +191,11 @@ def insert_if_absent_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.insert_absent(c.where("id % 3 <> 0"), c.withColumn("name", F.concat("name", F.lit(" (old)"))), ["id"])
 
 
-@query("SELECT c_custkey AS id, c_name AS title, CASE WHEN n_regionkey = 1 THEN NULL ELSE c_nationkey END AS source_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey AS id, c_name AS title, CASE WHEN n_regionkey = 1 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS source_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def source_detach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-6: postings of removed sources lose them."""
     gone = views.table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey")
-    return postings.detach(views.jobs(spark, sf_dir).select("id", "title", "source_id"), "source_id", gone)
+    return postings.detach(views.jobs(spark, sf_dir).select("id", "title", "source_id"), "source_id", gone).withColumn("source_id", F.col("source_id").cast("string"))
 
 
 _URL_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN {0} THEN split_part({1}, '?', 1) ELSE {1} END, '^https?://', ''), '^www\\.', ''), '^t\\.me/s/', 't.me/'), '/+$', '') || CASE WHEN {0} THEN substr({1}, strpos({1}, '?')) ELSE '' END".format("((contains(lower(url), '/feed') OR contains(lower(url), '/rss') OR lower(url) LIKE '%.xml' OR lower(url) LIKE '%.rss') AND contains(url, '?'))", "lower(trim(url))")
@@ -219,10 +219,11 @@ def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.hints(F.col("url"))["currency"].alias("currency"))
 
 
-@query("SELECT user_id, list(event_id ORDER BY ts, event_id) AS values FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20) GROUP BY 1")
+@query("SELECT user_id, string_agg(event_id, ',' ORDER BY ts, event_id) AS \"values\" FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20) GROUP BY 1")
 def hash_ring_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-6: the last 20 events of each user, oldest first."""
-    return postings.ring(views.table(spark, sf_dir, "events").withColumn("id", F.col("event_id")), "user_id", ["ts", "event_id"], "id", 20)
+    last = postings.ring(views.table(spark, sf_dir, "events").withColumn("id", F.col("event_id")), "user_id", ["ts", "event_id"], "id", 20)
+    return last.withColumn("values", F.array_join(F.transform("values", lambda x: x.cast("string")), ","))
 
 
 @query("SELECT user_id, max(ts) AS used FROM events GROUP BY 1 ORDER BY used NULLS FIRST, user_id LIMIT 10")
