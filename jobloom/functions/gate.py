@@ -40,14 +40,15 @@ def vacancy_reason(title: Column, description: Column, tags: Column | None = Non
     vacancy, apply, sections = low(VACANCY), has(text, APPLY), low(SECTIONS)
     role, promo = low(ROLE), low(PROMO)
     resume = has(title, RESUME_TITLE) | (~vacancy & (low(RESUME_WORD) | low(RESUME_TAG) | low(SEEKING) | (low(STRUCTURE) & ~apply & ~sections) | ((low(INTRO) | low(FIRST_PERSON)) & ~apply)))
-    score = 2 * vacancy.cast("int") + apply.cast("int") + sections.cast("int") + low(SALARY).cast("int") + role.cast("int") - 3 * promo.cast("int")
+    salary = low(SALARY)
+    score = 2 * vacancy.cast("int") + apply.cast("int") + sections.cast("int") + salary.cast("int") + role.cast("int") - 3 * promo.cast("int")
     return (
         F.when(description == "", "empty_description")
         .when((F.length(description) < 40) & (F.lower(title) == "вакансия"), "too_short_generic")
         .when(low(UNAVAILABLE), "job_unavailable_page")
         .when(resume, "resume_post")
         .when(promo & (score <= 0), "promo_or_news")
-        .when(~vacancy & ~role & (score <= 0), "no_vacancy_signals")
+        .when(~vacancy & ~role & ~sections & ~salary & ~apply, "no_vacancy_signals")  # without these two the other cues outweigh no promotion, so this is score <= 0
         .otherwise("ok")
     )
 
