@@ -50,3 +50,44 @@ def cursor(df: DataFrame, source: str, message: str, floor: DataFrame | None = N
         return got
     stored = floor.select(source, F.col("last_message_id").alias("_floor"))
     return got.join(stored, source, "full").select(source, F.greatest("last_message_id", "_floor").alias("last_message_id"))
+
+
+def backfill(jobs: DataFrame, dates: DataFrame, key: str, column: str = "published_at") -> DataFrame:
+    """``jobs`` with ``column`` from ``dates`` (key, column) where they lack it; of repeated keys the earliest date."""
+    known = dates.groupBy(key).agg(F.min(column).alias("_date"))
+    return jobs.join(known, key, "left").withColumn(column, F.coalesce(column, "_date")).drop("_date").select(jobs.columns)
+
+
+def enrich(listing: DataFrame, detail: DataFrame, key: str) -> DataFrame:
+    """Listing rows with what their detail row says, where it says anything; of repeated details one counts."""
+    own = [c for c in listing.columns if c != key]
+    more = detail.select(key, *(F.col(c).alias(f"_{c}") for c in own if c in detail.columns)).dropDuplicates([key])
+    return listing.join(more, key, "left").select(key, *(F.coalesce(f"_{c}", c).alias(c) if c in detail.columns else F.col(c) for c in own))
+
+
+def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
+    """The distinct values in the order in which they first occur."""
+    return df.groupBy(value).agg(F.min(order).alias("first")).orderBy("first", value)
+
+
+def any_contains(array: Column, words: list[str]) -> Column:
+    """Whether an element holds one of the words, case-insensitively; no words are no condition."""
+    if not words:
+        return F.lit(True)
+    pattern = "|".join(f"\\Q{w.lower()}\\E" for w in words)
+    return F.coalesce(F.exists(array, lambda x: F.rlike(F.lower(x), F.lit(pattern))), F.lit(False))
+
+
+def filtered(jobs: DataFrame, tags: list[str] = (), location: str = "", company: str = "", search: str = "", remote_only: bool = False, limit: int | None = None) -> DataFrame:
+    """A feed's own filters on mapped rows: substrings of tags, location, company and of title or description; a limit of the feed's."""
+    hold = lambda c, w: F.coalesce(F.contains(F.lower(F.col(c)), F.lit(w.lower())), F.lit(False))
+    out = jobs.where(any_contains(F.split(F.coalesce("tags", F.lit("")), ", "), list(tags)))
+    if location:
+        out = out.where(hold("location", location))
+    if company:
+        out = out.where(hold("company", company))
+    if search:
+        out = out.where(hold("title", search) | hold("description", search))
+    if remote_only:
+        out = out.where(hold("tags", "remote") | hold("location", "remote"))
+    return out if limit is None else out.orderBy(F.desc_nulls_last("published_at"), "external_id").limit(limit)

@@ -124,3 +124,17 @@ def test_state_of_sources():
     for _ in range(5):
         state = streams.next_state(state, 0, True)
     assert state == (0, 5, "disabled")
+
+
+def test_lookups_and_feed_filters(spark):
+    jobs = spark.createDataFrame([(1, None), (2, DAY), (3, None)], "id int, published_at timestamp")
+    dates = spark.createDataFrame([(1, DAY), (1, DAY - dt.timedelta(1)), (2, DAY - dt.timedelta(5))], "id int, published_at timestamp")
+    assert {r.id: r.published_at for r in ingest.backfill(jobs, dates, "id").collect()} == {1: DAY - dt.timedelta(1), 2: DAY, 3: None}
+    listing, detail = spark.createDataFrame([("a", "short", 1), ("b", "short", 2)], "k string, text string, n int"), spark.createDataFrame([("a", "long"), ("c", "x")], "k string, text string")
+    assert sorted(tuple(r) for r in ingest.enrich(listing, detail, "k").collect()) == [("a", "long", 1), ("b", "short", 2)]
+    assert [r.k for r in ingest.first_seen(spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "k string, n int"), "k", "n").collect()] == ["b", "a"]
+    rows = [("1", "Dev", "C", "Berlin", "Python, remote", "x", DAY), ("2", "Ops", "D", "Remote", None, "kube", DAY + dt.timedelta(1)), ("3", "Dev", None, None, "go", None, None)]
+    df = spark.createDataFrame(rows, "external_id string, title string, company string, location string, tags string, description string, published_at timestamp")
+    ids = lambda **k: sorted(r.external_id for r in ingest.filtered(df, **k).collect())
+    assert ids() == ["1", "2", "3"] and ids(tags=["PYTH", "go"]) == ["1", "3"] and ids(location="berl") == ["1"]
+    assert ids(company="c") == ["1"] and ids(search="KUBE") == ["2"] and ids(remote_only=True) == ["1", "2"] and ids(limit=1) == ["2"]
