@@ -8,8 +8,9 @@ pair are tallied, pairs that reach the minimum have their differing bits counted
 the list's links leaves the task.
 
 Lists longer than ``LIST`` are not paired: their members go to the next level, which indexes the 32 bits that
-are still free by nibbles (of 8 nibbles at least 4 are equal), then by bit pairs.  At the third level 8 bits
-are free and a list holds at most 256 fingerprints, so every list is short and no link is lost.
+are still free by nibbles (of 8 nibbles at least 4 are equal), then by bit pairs.  One list is reached through many
+lists above it, so postings are made distinct.  At the third level 8 bits are free and a list holds at most 256
+fingerprints, so every list is short and no link is lost.
 """
 
 from __future__ import annotations
@@ -177,13 +178,16 @@ def links(distinct: DataFrame, bits: int = BITS, limit: int = LIST) -> DataFrame
     todo = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)).cast("bigint") for m in _masks(0)))).alias("mask")).select("mask", F.col("mask").bitwiseAND(fp).alias("key"), "fp")
     for level in range(3):
         cap = limit if level < 2 else 256  # two levels deeper 8 bits are free
-        lists = todo.repartition("mask", "key").sortWithinPartitions("mask", "key")
+        lists = todo.repartition("mask", "key")
+        lists = (lists.distinct() if level else lists).sortWithinPartitions("mask", "key")
         here = stored(lists.mapInArrow(lambda batches, cap=cap: _lists(batches, cap, bits), "mask bigint, a bigint, b bigint"), "links")
         mine = here.where("mask = 0").select("a", "b")
         found = mine if found is None else found.unionByName(mine)
         long = here.where("mask <> 0").select("mask", F.col("a").alias("fp"))
         if long.isEmpty():
             break
+        if level == 2:
+            raise RuntimeError("a list of the last level is too long: its links would be lost")
         todo = long.mapInArrow(_refine, "mask bigint, key bigint, fp bigint")
     return found.distinct()
 

@@ -69,6 +69,13 @@ def test_long_lists_are_refined_without_losing_links(spark):
     assert all(roots.get(p, p) == g for p, g in group.items())
 
 
+def test_a_link_reached_through_many_lists_is_kept(spark):
+    a, low = 0x123456789ABCDEF0, 0x55  # the pair's only list of the last level lies below 525 chains of lists
+    prints = [a, a ^ low, *(a ^ 1 << b for b in range(8, 64))]
+    got = simhash.links(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp bigint"), limit=3).collect()
+    assert {a, a ^ low} in [{r.a % (1 << 64), r.b % (1 << 64)} for r in got]
+
+
 def test_keep_one_keeps_columns_and_rows_without_id(spark):
     df = spark.createDataFrame([(1, "a b c d e", "p", 1), (2, "a b c d e", "q", 2), (None, "z", "r", 3), (3, "other words here now", "s", 4)], SCHEMA)
     kept = simhash.keep_one(df)
