@@ -32,8 +32,14 @@ def scratch(spark: SparkSession) -> str:
     return shared
 
 
+#: Folders that operators wrote and nobody has deleted yet.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch(spark)}/jobloom-{what}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder; ``release`` deletes it."""
+    _WRITTEN.append(f"{scratch(spark)}/jobloom-{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -45,13 +51,26 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
-    path = getattr(df, "jobloom_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "jobloom_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            if path in _WRITTEN:
+                _WRITTEN.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table and archive that this session's operators still keep; results that read them must be saved before."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
 
 
 def ascii_lower(text: Column) -> Column:
@@ -84,12 +103,25 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their places, so that no name (a dot in it, or one that stands twice) can be misread."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list[bool]]]) -> DataFrame:
-    """The rows of ``df``, with all its columns, for which ``make()(*column lists)`` says true; no shuffle."""
+    """The rows of ``df``, with all its columns whatever their names, for which ``make()(*column lists)`` says true; no shuffle."""
+    places = [df.columns.index(c) for c in columns]
+    plain = _numbered(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for part in _slices(batches):
-            yield part.filter(pa.array(fn(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)), pa.bool_()))
+            yield part.filter(pa.array(fn(*(part.column(k).to_pylist() for k in places)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
 
-    return df.mapInArrow(run, df.schema)
+def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df``, with all its columns whatever their names, whose ``column`` isn't in the one column of ``keys``."""
+    plain, keys = _numbered(df), keys.toDF("key")
+    return plain.join(keys, plain[f"c{df.columns.index(column)}"] == keys.key, "left_anti").toDF(*df.columns)

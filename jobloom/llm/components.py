@@ -9,21 +9,23 @@ from .common import drop_stored, stored
 
 
 def _star(edges: DataFrame, symmetric: bool) -> DataFrame:
-    """Link each node's neighbours to the least node of its neighbourhood.
+    """Link each node's neighbours to the least node of its neighbourhood, as a table in the shared folder.
 
-    Large star (``symmetric``): neighbours above the node move.  Small star: neighbours below it move.  The
-    minimum is pre-aggregated before its shuffle, and the join that hands it back can be split by AQE, so a
-    node with very many neighbours doesn't meet in one task.
+    Large star (``symmetric``): neighbours above the node move.  Small star: neighbours below it move.  The minimum is
+    pre-aggregated before its shuffle and written, so the join that hands it back reads two plain shuffles, which AQE
+    splits where a node has very many neighbours.
     """
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if symmetric else edges
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = stored(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     met = pairs.join(least, "a")
     moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if symmetric else met.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-    return moved.where(F.col("a") > F.col("b")).distinct()
+    out = stored(moved.where(F.col("a") > F.col("b")).distinct(), "edges")
+    drop_stored(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b: bigint) -> (node, root): every node that has an edge, with the least node it can reach.
+    """``edges`` (a, b: one orderable type, structs too) -> (node, root): every node that has an edge, with the least node it can reach.
 
     Self-loops, repeated and reversed edges are harmless; no edges give no rows.  Rounds end when the edges
     form stars and no longer change; each round is a table in the shared folder.
@@ -35,5 +37,19 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark, last = seen, now
-        now = stored(_star(_star(now, True), False), "edges")
-        drop_stored(last)
+        large = _star(now, True)
+        now = _star(large, False)
+        drop_stored(last, large)
+
+
+def grouped(members: DataFrame, node: str, links: DataFrame, doc_id: str = "first_id") -> DataFrame:
+    """``members`` (``node``, ``doc_id``: its smallest document) -> (``node``, component_id: the smallest document of the node's component), stored.
+
+    Nodes are ordered by their document, so that a component's root already is the answer and no row has to meet at
+    it.  A node without a document is ordered last; a component of only such nodes has a null component_id.
+    """
+    label = F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(node).alias("key"))
+    named = members.select(F.col(node).alias("key"), label.alias("label"))
+    edges = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(edges).select(F.col("node.key").alias(node), F.when(~F.col("root.none"), F.col("root.id")).alias("least"), F.lit(True).alias("linked"))
+    return stored(members.join(roots, node, "left").select(node, F.when(F.col("linked"), F.col("least")).otherwise(F.col(doc_id)).alias("component_id")), "grouped")

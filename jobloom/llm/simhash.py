@@ -2,15 +2,15 @@
 
 A fingerprint has 8 positional bytes.  Two fingerprints that differ in at most 4 bits differ in at most 4
 bytes, so they share at least 4 positional bytes: that is the guaranteed minimum of matches.  The index posts
-every distinct fingerprint under each choice of 4 positions, so two fingerprints that share s positional bytes
-meet in C(s, 4) lists, and a pair whose tally stays under 4 never meets.  In a list the shared bytes of each
-pair are tallied, pairs that reach the minimum have their differing bits counted, and only a spanning forest of
-the list's links leaves the task.
+every distinct fingerprint under each choice of 4 positions.  In a list the positional bytes that a pair shares are
+tallied from the first position on; only where the tally reaches the minimum just at the list's last position is the
+pair retained and its differing bits counted, so a pair is verified in one list of all those in which it meets.  Only a
+spanning forest of the list's links leaves the task.
 
 Lists longer than ``LIST`` are not paired: their members go to the next level, which indexes the 32 bits that
-are still free by nibbles (of 8 nibbles at least 4 are equal), then by bit pairs.  One list is reached through many
-lists above it, so postings are made distinct.  At the third level 8 bits are free and a list holds at most 256
-fingerprints, so every list is short and no link is lost.
+are still free by nibbles (of 8 nibbles at least 4 are equal), then by bit pairs, with the same tally.  One list is
+reached through many lists above it, so postings are made distinct.  At the third level 8 bits are free and a list
+holds at most 256 fingerprints, so every list is short and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
-from .components import components
+from .common import drop_stored, map_batches, stored, without
+from .components import grouped
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Longest list whose pairs are compared in one task.
@@ -74,9 +74,8 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _masks(fixed: int) -> list[int]:
     """The next level's lists below one that fixes the bits ``fixed``: 4 of the 8 equal pieces of the free bits each."""
-    free = [b for b in range(63, -1, -1) if not fixed >> b & 1]
-    width = len(free) // 8
-    return [fixed | sum(1 << b for p in choice for b in free[p * width : (p + 1) * width]) for choice in CHOICES]
+    pieces = _pieces(fixed).tolist()
+    return [fixed | sum(pieces[p] for p in choice) for choice in CHOICES]
 
 
 def _signed(x: int) -> int:
@@ -105,22 +104,47 @@ def _starts(mask: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])))
 
 
-def _paired(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
+def _pieces(fixed: int) -> np.ndarray:
+    """The 8 equal pieces, as masks, of the bits that ``fixed`` leaves free."""
+    free = [b for b in range(63, -1, -1) if not fixed >> b & 1]
+    width = len(free) // 8
+    return np.array([sum(1 << b for b in free[p * width : (p + 1) * width]) for p in range(8)], np.uint64)
+
+
+def _retained(differ: np.ndarray, mask: np.ndarray, level: int) -> np.ndarray:
+    """Count filtering: which pairs have their first four shared pieces, at each level, just where the list's ``mask`` has its own."""
+    fixed, out = np.zeros(len(differ), np.uint64), np.ones(len(differ), bool)
+    for _ in range(level + 1):
+        above = fixed.copy()
+        for known in np.unique(above):
+            on = np.flatnonzero(above == known)
+            pieces = _pieces(int(known))
+            shared = differ[on, None] & pieces == 0
+            tally = np.cumsum(shared, axis=1)
+            out[on] &= tally[:, -1] >= 4
+            fixed[on] |= np.bitwise_or.reduce(np.where(shared & (tally <= 4), pieces, np.uint64(0)), axis=1)
+    return out & (fixed == mask)
+
+
+def _paired(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int, level: int) -> np.ndarray:
     """A spanning forest of the links in each list, as pairs of row numbers; rows are sorted by list."""
     n, starts = len(fp), _starts(mask, key)
     sizes = np.diff(np.append(starts, n))
-    ends, i, u, found = np.repeat(starts + sizes, sizes), np.arange(n), fp.view(np.uint64), []
+    ends, i, u, m = np.repeat(starts + sizes, sizes), np.arange(n), fp.view(np.uint64), mask.view(np.uint64)
+    found: list[tuple[int, int]] = []
     lag = 1
     while len(i := i[i + lag < ends[i]]):
         differ = u[i] ^ u[i + lag]
-        shared = 8 - np.count_nonzero(differ.view(np.uint8).reshape(-1, 8), axis=1)
-        kept = i[(shared >= 8 - bits) & (np.bitwise_count(differ) <= bits)]
+        near = np.bitwise_count(differ) <= bits  # cheaper than the tally, and both have to hold
+        kept = i[near][_retained(differ[near], m[i[near]], level)] if near.any() else i[:0]
         found += zip(kept.tolist(), (kept + lag).tolist())
+        if len(found) > 2 * n + 100_000:
+            found = list(map(tuple, _forest(found).tolist()))
         lag += 1
     return _forest(found)
 
 
-def _lists(batches: Iterator[pa.RecordBatch], limit: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch], limit: int, bits: int, level: int = 0) -> Iterator[pa.RecordBatch]:
     """Postings (mask, key, fp) sorted by list -> links (0, a, b) of short lists and members (mask, fp, fp) of long ones.
 
     A list may span batches; at most ``limit`` rows of one are held back.
@@ -130,7 +154,7 @@ def _lists(batches: Iterator[pa.RecordBatch], limit: int, bits: int) -> Iterator
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (mask, a, b)], names=["mask", "a", "b"])
 
     def short(mask, key, fp):
-        at = _paired(mask, key, fp, bits)
+        at = _paired(mask, key, fp, bits, level)
         return out(np.zeros(len(at), np.int64), fp[at[:, 0]], fp[at[:, 1]])
 
     held = [np.empty(0, np.int64)] * 3
@@ -159,15 +183,14 @@ def _lists(batches: Iterator[pa.RecordBatch], limit: int, bits: int) -> Iterator
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members (mask, fp) of long lists -> their postings one level deeper."""
-    below: dict[int, np.ndarray] = {}
     for batch in batches:
-        for mask, fp in zip(*(c.to_pylist() for c in batch.columns)):
-            if mask not in below:
-                if len(below) > 5000:
-                    below.clear()
-                below[mask] = np.array([_signed(m) for m in _masks(mask % (1 << 64))], np.int64)
-            m = below[mask]
-            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(m & fp), pa.array(np.full(len(m), fp))], names=["mask", "key", "fp"])
+        mask, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for above in np.unique(mask):
+            below, own = np.array([_signed(m) for m in _masks(int(above) % (1 << 64))], np.int64), fp[mask == above]
+            for at in range(0, len(own), 4096):
+                part = np.repeat(own[at : at + 4096], len(below))
+                m = np.tile(below, len(part) // len(below))
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(m & part), pa.array(part)], names=["mask", "key", "fp"])
 
 
 def links(distinct: DataFrame, bits: int = BITS, limit: int = LIST) -> DataFrame:
@@ -180,7 +203,7 @@ def links(distinct: DataFrame, bits: int = BITS, limit: int = LIST) -> DataFrame
         cap = limit if level < 2 else 256  # two levels deeper 8 bits are free
         lists = todo.repartition("mask", "key")
         lists = (lists.distinct() if level else lists).sortWithinPartitions("mask", "key")
-        here = stored(lists.mapInArrow(lambda batches, cap=cap: _lists(batches, cap, bits), "mask bigint, a bigint, b bigint"), "links")
+        here = stored(lists.mapInArrow(lambda batches, cap=cap, level=level: _lists(batches, cap, bits, level), "mask bigint, a bigint, b bigint"), "links")
         mine = here.where("mask = 0").select("a", "b")
         found = mine if found is None else found.unionByName(mine)
         long = here.where("mask <> 0").select("mask", F.col("a").alias("fp"))
@@ -197,23 +220,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, limit
 
     ``component_id`` is the smallest doc_id that links of at most ``bits`` differing bits reach.  Equal texts
     share a fingerprint and count once in the index, so a text with very many copies adds one posting set.
-    Null, empty and wordless texts have fp 0 and are linked like any other; an empty table gives no rows;
-    further columns of ``docs`` are ignored; a repeated doc_id gives a row each time.
+    Null, empty and wordless texts have fp 0 and are linked like any other; a very long text is hashed ``CHUNK``
+    shingles at a time; an empty table gives no rows; further columns of ``docs`` are ignored; a repeated doc_id gives a
+    row each time; a row without a doc_id has the component of its text, null if nothing in it has a doc_id.
     """
     prints = stored(fingerprints(docs, words), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct, bits, limit))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(grouped.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    members = grouped(distinct, "fp", links(distinct, bits, limit))
+    drop_stored(distinct)
+    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents that another of their group stands for: one of each group stays.
 
-    A row without a doc_id stays; rows that repeat a doc_id stay or go together.
+    A row without a doc_id stays; rows that repeat a doc_id stay or go together; columns may have any names.
     """
-    return docs.join(near_duplicates(docs, **parameters).where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, "doc_id", near_duplicates(docs, **parameters).where("doc_id <> component_id").select("doc_id"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import xxhash
 
 from jobloom.llm import simhash
@@ -83,6 +84,30 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
 
 
+def test_a_pair_is_retained_in_one_of_the_lists_where_it_meets():
+    rng = random.Random(5)
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << x for x in rng.sample(range(64), rng.randint(1, 4)))
+        differ = np.array([a ^ b], np.uint64)
+        meets = [m for m in simhash._masks(0) if a & m == b & m]
+        kept = [m for m in meets if simhash._retained(differ, np.array([m], np.uint64), 0)[0]]
+        assert len(kept) == 1 and len(meets) >= 1
+        below = [m for m in simhash._masks(kept[0]) if a & m == b & m]
+        assert sum(bool(simhash._retained(differ, np.array([m], np.uint64), 1)[0]) for m in below) == 1
+    far = np.array([0x0101010101000000], np.uint64)  # five bytes differ: no list has a tally of four
+    assert not any(simhash._retained(far, np.array([m], np.uint64), 0)[0] for m in simhash._masks(0))
+
+
+def test_odd_column_names_and_null_ids(spark):
+    rows = [(1, "a b c d e", "p", 1), (2, "a b c d e", "q", 2), (None, "a b c d e", "r", 3), (None, "lone text of null", "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string, component_id int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted((r["a.b"] for r in kept.collect())) == ["p", "r", "s"]
+    got = simhash.near_duplicates(spark.createDataFrame([(None, "one two"), (None, "ONE two"), (None, None)], "doc_id bigint, text string")).collect()
+    assert [r.component_id for r in got] == [None] * 3
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
