@@ -1,14 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions only.
 
-Every window of a benchmark item is a phrase.  The index posts (term, document, position) of the corpus; a phrase is
-looked up from its rarest term, by the counts of all documents, and each posting of that term is intersected with
-the postings of the phrase's other terms after adjusting for their offsets.  The posting of the rarest term carries
-the document's word array, so the intersection needs no further shuffle: words are generated, probed and verified in
-one codegen stage over the scan.
-
-The phrases are broadcast in blocks of at most ``BLOCK``, however many there are; a block is one pass over the
-documents.  A phrase with a term that no document holds is dropped before the search.  What is shuffled: counts of
-benchmark terms, one row per document and one per match.
+The index is a table in the shared folder: a posting (key, doc_id, n_words, term, pos) for every place of every
+benchmark term in every document, and one with the empty term for the document itself.  ``key`` is a number of the row,
+so rows that share a doc_id stay apart.  Postings are written where the documents are read, without a shuffle.
+
+A phrase is a window of a benchmark item.  Its terms are ranked by their postings, rarest first.  Each posting of the
+rarest term is a candidate: the phrase would start at its place less its offset.  The list of the next term is
+intersected with the candidates after adjusting for its offset, and what is left is intersected with the lists of all
+other terms at once.  A list is joined by (key, term, stretch of positions), so that no document or term is one group.
+One intersection gives both results: exact matches have every term at its very place, proximity matches have every
+term within ``slop`` words of the phrase's place.
+
+What is shuffled: postings of the rarest two terms and of the documents that those two leave, and the matches.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, drop_stored, stored, without
 
 WINDOW = 10
-#: Phrases or terms of a broadcast block; at about 300 bytes each a block stays under 32 MB.
+#: Rows of phrases or terms up to which a join broadcasts them, at some 100 bytes each; more are shuffled.
 BLOCK = 100_000
 #: Words by which a proximity match may be wider than its phrase.
 SLOP = 5
@@ -41,87 +44,119 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
 
 
-def _blocks(df: DataFrame, key: str, block: int) -> list[DataFrame]:
-    """``df``, rows unique by ``key``, in parts of about ``block`` rows."""
-    n = -(-df.count() // block)
-    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+def _small(df: DataFrame, block: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``block`` rows; of a larger one Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= block else df
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(term, n): how often each of ``terms`` occurs in all documents, 0 left out."""
-    out = None
-    for part in _blocks(terms, "term", block):
-        found = docs.select(F.explode(words(F.col("text"))).alias("term")).join(F.broadcast(part), "term").groupBy("term").agg(F.count("*").alias("n"))
-        out = found if out is None else out.unionByName(found)
-    return terms.withColumn("n", F.lit(0).cast("bigint")).where("false") if out is None else out
+def postings(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, doc_id, n_words, term, pos): the places, from 1, of each of ``terms`` in each document, stored.
 
-
-def _matches(docs: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
-    """One row per document (size 0) and one per phrase or proximity match: (doc_id, n_words, start, size, phrase, exact).
-
-    A document's empty first "word" probes the empty term, which stands for no phrase.
+    Each document also has the empty term at place 0.
     """
-    own = docs.select("doc_id", words(F.col("text")).alias("w"))
-    posted = own.select("doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
-    start = F.col("pos") - F.col("at")  # of the phrase, from 1
-    here = F.slice("w", F.greatest(start, F.lit(1)), F.col("size"))
-    around = F.slice("w", F.greatest(start - slop, F.lit(1)), F.col("size") + 2 * slop)
-    exact = (start >= 1) & (here == F.col("terms"))
-    near = F.size(F.array_except("terms", around)) == 0
-    kept = (F.col("size") == 0) | exact | near
-    found = posted.join(F.broadcast(anchors), (F.col("word") == F.col("term")) & kept)
-    return found.select("doc_id", F.size("w").cast("bigint").alias("n_words"), start.alias("start"), "size", "phrase", exact.alias("exact"))
+    mark = terms.sparkSession.range(1).select(F.lit("").alias("term"))
+    own = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    every = own.select("key", "doc_id", "n_words", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "term"))
+    return stored(every.join(_small(terms.unionByName(mark), block), "term").select("key", "doc_id", "n_words", "term", "pos"), "postings")
+
+
+def _ranked(unique: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, size, terms: array of (n, at, term), rarest first) of the phrases whose terms all occur in some document."""
+    each = unique.select("id", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
+    counts = index.where("pos > 0").groupBy("term").agg(F.count("*").alias("n"))
+    ranked = each.join(counts, "term", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("terms"))
+    return ranked.where(F.col("terms")[0].n > 0)
+
+
+def _met(candidates: DataFrame, index: DataFrame, slop: int, window: int) -> DataFrame:
+    """Candidates (id, size, key, start, at, term) with each posting of their term within ``slop`` of the phrase's place, as (.., exact)."""
+    wide = window + 2 * slop
+    low, high = F.col("start") - slop, F.col("start") + F.col("size") - 1 + slop
+    stretch = lambda pos: F.floor(pos / F.lit(wide)).cast("int")
+    wanted = candidates.withColumn("part", F.explode(F.array_distinct(F.array(stretch(low), stretch(high)))))
+    have = index.select("key", "term", "pos", stretch(F.col("pos")).alias("part"))
+    return wanted.join(have, ["key", "term", "part"]).where(F.col("pos").between(low, high)).withColumn("exact", F.col("pos") == F.col("start") + F.col("at"))
+
+
+def matches(index: DataFrame, unique: DataFrame, window: int = WINDOW, slop: int = SLOP, block: int = BLOCK) -> DataFrame:
+    """(key, id, size, start, exact): every exact and proximity match of the phrases ``unique`` (id, terms), stored."""
+    ranked = stored(_ranked(unique, index), "ranked")
+    first = ranked.select("id", "size", F.col("terms")[0].at.alias("at"), F.col("terms")[0].term.alias("term"))
+    begun = index.where("pos > 0").join(_small(first, block), "term").select("id", "size", "key", (F.col("pos") - F.col("at")).alias("start"))
+    # the list of the second rarest term
+    second = F.get(F.col("terms"), F.lit(1))
+    next_ = ranked.select("id", second.at.alias("at"), second.term.alias("term"))
+    begun = begun.join(_small(next_, block), "id")
+    rare = index.join(_small(next_.where("term is not null").select("term").distinct(), block), "term", "left_semi")
+    place = ["id", "size", "key", "start"]
+    two = _met(begun.where("term is not null"), rare, slop, window).select(place).distinct()
+    left = stored(two.unionByName(begun.where("term is null").select(place)), "candidates")
+    # the lists of all terms, in the documents that are left
+    probes = left.join(_small(ranked.select("id", F.explode("terms").alias("t")), block), "id").select(*place, "t.at", "t.term")
+    there = index.join(left.select("key").distinct(), "key", "left_semi")
+    each = _met(probes, there, slop, window).groupBy(*place, "at").agg(F.max("exact").alias("exact"))
+    found = each.groupBy(*place).agg(F.count("*").alias("n"), F.sum(F.col("exact").cast("int")).alias("n_exact")).where("n = size")
+    out = stored(found.select(*place, (F.col("n_exact") == F.col("size")).alias("exact")), "matches")
+    drop_stored(ranked, left)
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near): one row per doc_id of ``docs``.
-
-    A word inside any occurrence of a benchmark window is hit; ``n_near`` counts the windows whose words all stand
-    within ``slop`` words of a place where the window would lie, exact ones included.  Null and wordless texts have no
-    words and no hits; an empty benchmark hits nothing; null or wordless items have no windows; rows that share a
-    doc_id (also null) are one document with united hits and the larger n_words.  Other columns are ignored.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near): one row per row of ``docs``.
+
+    A word inside any occurrence of a benchmark window is hit; ``n_near`` counts the places of windows around which all
+    of a window's words stand: a place is one of its rarest term (by all documents' counts, of equal ones the first in
+    the window), and around it is up to ``slop`` words before and behind where the window would lie; exact ones count
+    too.  Null and wordless texts have no words and no hits; a very long text is many postings; an empty benchmark hits
+    nothing; no documents give no rows; null or wordless items have no windows; rows that share a doc_id, also null
+    ones, are judged each by its own text.  Other columns are ignored.
     """
     cut = stored(phrases(items, window), "phrases")
-    unique = cut.select("phrase", "terms").distinct()
-    each = unique.select("phrase", "terms", F.posexplode("terms").alias("at", "term"))
-    counts = stored(term_counts(docs, each.select("term").distinct(), block), "terms")
-    rarest = each.join(counts, "term", "left").groupBy("phrase", "terms").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term")).alias("r")).where("r.n > 0")
-    anchors = stored(rarest.select("phrase", "terms", F.size("terms").alias("size"), "r.at", "r.term"), "anchors")
-    mark = docs.sparkSession.range(1).select(F.lit("").alias("phrase"), F.array().cast("array<string>").alias("terms"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit("").alias("term"))
-    found = None
-    for part in [mark] if anchors.isEmpty() else _blocks(anchors, "phrase", block):
-        part = part if found is not None or part is mark else part.unionByName(mark)
-        here = _matches(docs, part, slop)
-        found = here if found is None else found.unionByName(here)
-    found = stored(found, "matches")
-
-    at = found.where("size = 0 or exact").groupBy("doc_id", F.when(F.col("size") > 0, F.col("start")).alias("start")).agg(F.max("size").alias("size"), F.max("n_words").alias("n_words"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    unique = stored(cut.select("phrase", "terms").distinct().withColumn("id", F.monotonically_increasing_id()), "unique")
+    terms = unique.select(F.explode("terms").alias("term")).distinct()
+    index = postings(docs, terms, block)
+    found = matches(index, unique.select("id", "terms"), window, slop, block)
+    exact = found.where("exact")
+    at = exact.groupBy("key", "start").agg(F.max("size").alias("size"))
+    before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
-    fresh = at.select("doc_id", "n_words", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0)))).alias("hit"))
-    covered = fresh.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.coalesce(F.sum("hit"), F.lit(0)).cast("bigint").alias("n_hit"))
-    which = found.where("exact and size > 0").select("doc_id", "phrase").distinct().join(cut.select("phrase", "item_id"), "phrase").select("doc_id", F.col("item_id").cast("string").alias("item_id")).distinct()
-    named = which.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
-    near = found.where("size > 0").groupBy("doc_id").agg(F.count("*").alias("n_near"))
-    out = covered.alias("c").join(named.alias("i"), F.col("c.doc_id").eqNullSafe(F.col("i.doc_id")), "left").join(near.alias("n"), F.col("c.doc_id").eqNullSafe(F.col("n.doc_id")), "left")
-    ids = F.coalesce("i.ids", F.array().cast("array<string>"))
-    return out.select("c.doc_id", "c.n_words", "c.n_hit", F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"), F.coalesce("n.n_near", F.lit(0)).cast("bigint").alias("n_near"))
+    fresh = at.select("key", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0)))).alias("hit"))
+    covered = fresh.groupBy("key").agg(F.sum("hit").alias("n_hit"))
+    which = exact.select("key", "id").join(unique.select("id", "phrase"), "id").join(cut.select("phrase", "item_id"), "phrase").select("key", F.col("item_id").cast("string").alias("item_id")).distinct()
+    named = which.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    near = found.groupBy("key").agg(F.count("*").alias("n_near"))
+    result = stored(near.join(covered, "key", "left").join(named, "key", "left"), "hits")
+    drop_stored(cut, unique, found)
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    out = index.where("term = ''").select("key", "doc_id", F.col("n_words").cast("bigint").alias("n_words")).join(result, "key", "left")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"))
 
 
 def clean(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the contaminated ones; a row without a doc_id stays."""
-    return docs.join(contamination(docs, items, **parameters).where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the contaminated ones, with all columns whatever their names.
+
+    A row without a doc_id stays; rows that share a doc_id go if one of them is contaminated; an empty benchmark or
+    table removes nothing.
+    """
+    return without(docs, "doc_id", contamination(docs, items, **parameters).where("contaminated").select("doc_id"))
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-p AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS phrase FROM b, LATERAL unnest(range(1, greatest(len(w) - 8, 2))) AS t(i) WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, w[i:i + 9] AS terms, array_to_string(w[i:i + 9], ' ') AS phrase FROM b, LATERAL unnest(range(1, greatest(len(w) - 8, 2))) AS t(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM p),
-s AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM d, sizes, LATERAL unnest(range(1, len(w) - size + 2)) AS t(i) WHERE len(w) >= size),
-m AS (SELECT s.doc_id, s.i, s.size, p.item_id FROM s JOIN p ON s.phrase = p.phrase AND s.size = p.size),
-h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, i, size FROM m), LATERAL unnest(range(i, i + size)) AS t(k) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+s AS (SELECT key, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM d, sizes, LATERAL unnest(range(1, len(w) - size + 2)) AS t(i) WHERE len(w) >= size),
+m AS (SELECT s.key, s.i, s.size, p.item_id FROM s JOIN p ON s.phrase = p.phrase AND s.size = p.size),
+h AS (SELECT key, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT key, i, size FROM m), LATERAL unnest(range(i, i + size)) AS t(k) GROUP BY key),
+n AS (SELECT key, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT key, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY key),
+o AS (SELECT key, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d),
+c AS (SELECT term, count(*) AS n FROM o GROUP BY term),
+u AS (SELECT DISTINCT phrase, size, terms FROM p),
+e AS (SELECT phrase, size, terms, unnest(terms) AS term, unnest(range(0, size)) AS at FROM u),
+r AS (SELECT phrase, any_value(size) AS size, any_value(terms) AS terms, min(struct_pack(n := coalesce(c.n, 0), at := e.at, term := e.term)) AS r FROM e LEFT JOIN c USING (term) GROUP BY phrase),
+q AS (SELECT o.key, count(*) AS n_near FROM r JOIN o ON o.term = r.r.term JOIN d USING (key) WHERE list_has_all(d.w[greatest(o.pos - r.r.at - 5, 1):o.pos - r.r.at + size + 4], r.terms) GROUP BY o.key)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(q.n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (key) LEFT JOIN n USING (key) LEFT JOIN q USING (key)
 """
