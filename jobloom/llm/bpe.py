@@ -1,10 +1,14 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its decoding as a byte-to-text state machine.
 
 ``sufficient_lookahead`` computes from the merge list how many bytes to the right of a boundary can still change it.
-Within a pretoken the encoder merges a window of bytes and emits the tokens that end at least that far before the
-window's end; a boundary splits the rest of the run off, so the window starts again there and memory is constant,
-however long the run is.  The split into pretokens is a state machine over slices of the text that holds back its last
-two pretokens, as later text may change them.
+The ``Transducer`` takes the bytes of a pretoken piece by piece, merges a window of them and emits the tokens that end
+at least that far before the window's end; a boundary splits the rest of the run off, so the window starts again there
+and memory is constant, however long the run is.  The split into pretokens is a state machine over slices of the text:
+it holds back its last two pretokens, as later text may change them, and once a pretoken is longer than ``LONG`` it only
+looks for the end of the run of that kind of character and hands on what it has read.
+
+A pretoken of up to ``SHORT`` characters is no longer than one window, so all of it is merged at once, together with
+others, and remembered; only longer ones need the transducer.  Both give the same ids.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -30,6 +35,10 @@ LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?
 SLICE = 1 << 16
 #: Pretokens remembered by a task, some 200 bytes each, and the longest that is remembered.
 CACHE, SHORT = 300_000, 64
+#: Characters after which a pretoken is handed on in parts.
+LONG = 4096
+#: What goes on with a run, by the kind of its last character.
+KINDS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+")]
 #: Characters of a batch whose new pretokens are learned together; a longer text streams alone.
 BULK = 8_000_000
 
@@ -149,7 +158,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary, lookahead: int, cache: int = CACHE):
         self.v, self.lookahead, self.cache = vocabulary, lookahead, cache
-        self.window = 2 * lookahead + max(map(len, vocabulary.bytes_of.values()))
+        self.window = 8 * lookahead + max(map(len, vocabulary.bytes_of.values()))
         self.any_split, self.latin_split = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         specials = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
@@ -158,7 +167,7 @@ class Encoder(dict):
         return self.latin_split(text) if LATIN.fullmatch(text) else self.any_split(text)
 
     def __missing__(self, pretoken: str) -> bytes:
-        out = np.fromiter(self.run(pretoken.encode()), "<u4").tobytes()
+        out = Transducer(self).feed(pretoken.encode(), True)
         if len(pretoken) <= SHORT and len(self) < self.cache:
             self[pretoken] = out
         return out
@@ -177,60 +186,67 @@ class Encoder(dict):
             for w, row in zip(part, self.v.merged_rows(ids)):
                 self[w] = row
 
-    def run(self, data: bytes) -> Iterator[int]:
-        """The ids of one pretoken, each emitted as soon as no later byte can change it."""
-        at, sizes = 0, self.v.bytes_of
-        while at < len(data):
-            end = min(len(data), at + self.window)
-            ids = self.merged([self.v.first[b] for b in data[at:end]])
-            if end == len(data):
-                yield from ids
-                return
-            start = at
-            for i in ids:
-                if at + len(sizes[i]) > end - self.lookahead:
-                    break
-                yield i
-                at += len(sizes[i])
-            if at == start:
-                raise AssertionError("the window holds a longest token and its lookahead")
-
     def merged(self, ids: list[int]) -> list[int]:
         """Merge pairs in order of rank, from left to right within a rank."""
-        find, none = self.v.merges.get, (NEVER, 0)
-        best = [find(p, none) for p in zip(ids, ids[1:])]
-        while best:
-            low = min(best)
-            if low is none:
-                break
-            k = best.index(low)
-            ids[k : k + 2] = [low[1]]
-            del best[k]
-            if k:
-                best[k - 1] = find((ids[k - 1], ids[k]), none)
-            if k < len(best):
-                best[k] = find((ids[k], ids[k + 1]), none)
-        return ids
-
-    def plain(self, text: str) -> Iterator[list[str]]:
-        """Pretokens of a text without special tokens, a slice at a time."""
-        held = ""
-        for at in range(0, len(text), SLICE):
-            held += text[at : at + SLICE]
-            if at + SLICE >= len(text):
-                break
+        find, n = self.v.merges.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        todo = [(m[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := find((ids[k], ids[k + 1])))]
+        heapify(todo)
+        while todo:
+            _, k, left, right = heappop(todo)
+            if ids[k] != left or (m := after[k]) >= n or ids[m] != right:
+                continue  # one of the two has merged meanwhile
+            ids[k], ids[m] = find((left, right))[1], -1
+            after[k] = far = after[m]
+            if far < n:
+                before[far] = k
+                if more := find((ids[k], ids[far])):
+                    heappush(todo, (more[0], k, ids[k], ids[far]))
+            if (back := before[k]) >= 0 and (more := find((ids[back], ids[k]))):
+                heappush(todo, (more[0], back, ids[back], ids[k]))
+        return [i for i in ids if i >= 0]
+
+    def plain(self, text: str, start: int, end: int) -> Iterator[list[str] | bytes]:
+        """Pretokens of the part of a text from ``start`` to ``end``, which has no special tokens, a slice at a time; of a long run its ids."""
+        held, at = "", start
+        while at < end or held:
+            held, at = held + text[at : min(end, at + SLICE)], min(end, at + SLICE)
             tokens = self.split(held)
-            held = "".join(tokens[-2:])
-            yield tokens[:-2]
-        yield self.split(held)
+            if at == end:
+                yield tokens
+                return
+            if len(tokens[-1]) > LONG:
+                yield tokens[:-1]
+                held, at = yield from self._long(text, tokens[-1], at, end)
+            else:
+                held = "".join(tokens[-2:])
+                yield tokens[:-2]
+
+    def _long(self, text: str, begun: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of the pretoken that begins with ``begun`` and goes on at ``at``; returns what is held of later pretokens, and the place after it."""
+        kind = next(k for k in KINDS if k.match(begun[-1]))
+        of, space, held = Transducer(self), kind is KINDS[2], begun
+        while True:
+            # the last character of white space before a word isn't of its run
+            yield of.feed((held[:-1] if space else held).encode())
+            held = held[-1] if space else ""
+            piece = text[at : min(end, at + SLICE)]
+            m = kind.match(piece)
+            n = m.end() if m else 0
+            held, at = held + piece[:n], at + n
+            if n < len(piece) or at == end:
+                whole = not space or at == end
+                yield of.feed((held if whole else held[:-1]).encode(), True)
+                return ("" if whole else held[-1]), at
 
     def units(self, text: str) -> Iterator[list[str] | bytes]:
-        """Lists of pretokens, and the ids of special tokens whose strings stand in the text (as the tokenizers library does by default)."""
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                yield self.v.special[part].to_bytes(4, "little")
-            elif part:
-                yield from self.plain(part)
+        """Lists of pretokens, and ids: of long runs, and of special tokens whose strings stand in the text (as the tokenizers library does by default)."""
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield from self.plain(text, at, m.start())
+            yield self.v.special[m[0]].to_bytes(4, "little")
+            at = m.end()
+        yield from self.plain(text, at, len(text))
 
     def ids(self, unit: list[str] | bytes) -> bytes:
         return unit if isinstance(unit, bytes) else b"".join(map(self.__getitem__, unit))
@@ -240,6 +256,35 @@ class Encoder(dict):
         return map(self.ids, self.units(text))
 
 
+class Transducer:
+    """The bytes of one pretoken, in pieces -> its ids, each emitted as soon as no later byte can change it."""
+
+    def __init__(self, encoder: Encoder):
+        self.e, self.held = encoder, b""
+
+    def feed(self, data: bytes, final: bool = False) -> bytes:
+        """The ids, as little-endian 32-bit integers, that ``data`` makes certain; ``final``: nothing follows."""
+        e, sizes, at = self.e, self.e.v.bytes_of, 0
+        data, out = self.held + data, []
+        while len(data) - at > e.window or final and at < len(data):
+            end = min(len(data), at + e.window)
+            ids = e.merged([e.v.first[b] for b in data[at:end]])
+            if final and end == len(data):
+                out += ids
+                at = end
+                break
+            start = at
+            for i in ids:
+                if at + len(sizes[i]) > end - e.lookahead:
+                    break
+                out.append(i)
+                at += len(sizes[i])
+            if at == start:
+                raise AssertionError("the window holds a longest token and its lookahead")
+        self.held = data[at:]
+        return np.array(out, "<u4").tobytes()
+
+
 class Decoder:
     """ids -> text: bytes of an unfinished character wait for the next ids; invalid bytes become U+FFFD."""
 
@@ -266,7 +311,9 @@ def round_trip(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, intact[, ids]): each text encoded with the tokenizer file, then decoded.
 
     The driver reads the file and broadcasts it (a few MB, a fixed size).  Null texts are empty: no tokens.  ``intact``
-    says that the decoded text is the text.  Repeated rows give a row each; other columns are ignored.
+    says that the decoded text is the text.  A very long text is encoded slice by slice in time in proportion to its
+    length; only with ``ids`` are all its ids held.  Repeated rows give a row each; an empty table gives no rows; other
+    columns are ignored.
     """
     with open(path, encoding="utf-8") as f:
         source = f.read()

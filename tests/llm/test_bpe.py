@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +51,7 @@ def test_decoder_waits_for_unfinished_characters(parts):
 def test_slices_of_a_text_change_nothing(parts, monkeypatch):
     v, lookahead, reference = parts
     monkeypatch.setattr(bpe, "SLICE", 7)
+    monkeypatch.setattr(bpe, "LONG", 5)
     encoder = bpe.Encoder(v, lookahead)
     for s in samples()[:800]:
         assert np.frombuffer(b"".join(encoder.encode(s)), "<u4").tolist() == reference.encode(s, add_special_tokens=False).ids
@@ -65,3 +67,26 @@ def test_table(spark, parts):
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), True))
     assert got == sorted(want, key=str)
     assert bpe.round_trip(df.limit(0), PATH, ids=True).collect() == []
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "7", "!?", " ", "\n ", "é", "漢", " 🙂"])
+def test_long_runs_are_streamed(parts, monkeypatch, unit):
+    v, lookahead, reference = parts
+    monkeypatch.setattr(bpe, "SLICE", 500)
+    monkeypatch.setattr(bpe, "LONG", 300)
+    for tail in ("", "x", " x", "'s", "\n\nx", "1"):
+        text = "it's " + unit * 3000 + tail + " " + unit * 1200
+        units = list(bpe.Encoder(v, lookahead).units(text))
+        assert np.frombuffer(b"".join(bpe.Encoder(v, lookahead).encode(text)), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+        assert len(unit) > 1 and unit[0] == " " or any(isinstance(u, bytes) for u in units)
+
+
+def test_time_of_an_unbroken_run_is_linear(parts):
+    v, lookahead, _ = parts
+    took = []
+    for n in (1, 4):
+        began = time.perf_counter()
+        held = [len(u) for u in bpe.Encoder(v, lookahead).units("abcdefgh" * (n << 17)) if isinstance(u, bytes)]
+        took.append(time.perf_counter() - began)
+        assert max(held) <= 4 * 2 * bpe.SLICE
+    assert took[1] < 8 * took[0]
