@@ -25,6 +25,8 @@ from .common import ascii_lower, drop_stored, stored, without
 WINDOW = 10
 #: Rows of phrases or terms up to which a join broadcasts them, at some 100 bytes each; more are shuffled.
 BLOCK = 100_000
+#: Keys up to which the documents that a search left are picked from the index by a broadcast (some 20 bytes each).
+KEYS = 4_000_000
 #: Words by which a proximity match may be wider than its phrase.
 SLOP = 5
 #: Between words of a lower-cased text: what is no digit, no letter of a-z and no character above U+007F.
@@ -60,11 +62,11 @@ def postings(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame
     return stored(every.join(_small(terms.unionByName(mark), block), "term").select("key", "doc_id", "n_words", "term", "pos"), "postings")
 
 
-def _ranked(unique: DataFrame, index: DataFrame) -> DataFrame:
+def _ranked(unique: DataFrame, index: DataFrame, block: int) -> DataFrame:
     """(id, size, terms: array of (n, at, term), rarest first) of the phrases whose terms all occur in some document."""
     each = unique.select("id", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
-    counts = index.where("pos > 0").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = each.join(counts, "term", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("terms"))
+    counts = stored(index.where("pos > 0").groupBy("term").agg(F.count("*").alias("n")), "counts")
+    ranked = each.join(_small(counts, block), "term", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("terms"))
     return ranked.where(F.col("terms")[0].n > 0)
 
 
@@ -80,7 +82,7 @@ def _met(candidates: DataFrame, index: DataFrame, slop: int, window: int) -> Dat
 
 def matches(index: DataFrame, unique: DataFrame, window: int = WINDOW, slop: int = SLOP, block: int = BLOCK) -> DataFrame:
     """(key, id, size, start, exact): every exact and proximity match of the phrases ``unique`` (id, terms), stored."""
-    ranked = stored(_ranked(unique, index), "ranked")
+    ranked = stored(_ranked(unique, index, block), "ranked")
     first = ranked.select("id", "size", F.col("terms")[0].at.alias("at"), F.col("terms")[0].term.alias("term"))
     begun = index.where("pos > 0").join(_small(first, block), "term").select("id", "size", "key", (F.col("pos") - F.col("at")).alias("start"))
     # the list of the second rarest term
@@ -93,11 +95,12 @@ def matches(index: DataFrame, unique: DataFrame, window: int = WINDOW, slop: int
     left = stored(two.unionByName(begun.where("term is null").select(place)), "candidates")
     # the lists of all terms, in the documents that are left
     probes = left.join(_small(ranked.select("id", F.explode("terms").alias("t")), block), "id").select(*place, "t.at", "t.term")
-    there = index.join(left.select("key").distinct(), "key", "left_semi")
+    keys = stored(left.select("key").distinct(), "keys")
+    there = index.join(_small(keys, KEYS), "key", "left_semi")
     each = _met(probes, there, slop, window).groupBy(*place, "at").agg(F.max("exact").alias("exact"))
     found = each.groupBy(*place).agg(F.count("*").alias("n"), F.sum(F.col("exact").cast("int")).alias("n_exact")).where("n = size")
     out = stored(found.select(*place, (F.col("n_exact") == F.col("size")).alias("exact")), "matches")
-    drop_stored(ranked, left)
+    drop_stored(ranked, left, keys)
     return out
 
 
