@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import cache
 from html import unescape
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,8 +23,10 @@ HASHED, PAGES, STEPS, RATE, SEED = 4096, 600, 150, 0.08, 11
 
 # Fixed values of the HTML standard: void elements, elements whose content isn't rendered text, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video head title textarea select".split())
-OPAQUE = frozenset("script style title textarea iframe".split())
+OPAQUE = frozenset("script style title textarea iframe xmp noembed noframes".split())
+HIDDEN = frozenset("noscript template svg math object canvas audio video select".split())
+# Elements that end an svg or math element which is still open where they start.
+BREAKS_OUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li menu ol p pre table ul article section main aside nav header footer form".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rb rp rt wbr img br input".split())
 # An open element that the start of another ends, up to the nearest element that holds both.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -41,18 +45,30 @@ class Node:
 
 
 def tree(html: str | None) -> list[Node]:
-    """A page's nodes, parents before children, texts in page order; always at least the root."""
+    """A page's nodes, parents before children, texts in page order; always at least the root.
+
+    A head tag is passed over, as authors may leave its end out; what a head holds isn't rendered anyway.  What stands in
+    a hidden element is left out up to its own end tag or its parent's, nested ones counted; a hidden or opaque element
+    that is nowhere ended hides nothing, but script and style do, as in browsers.
+    """
     html = html or ""
-    nodes, open_ = [Node("#root", -1, 0)], [("#root", 0)]  # open elements: tag and number (-1: inline)
+    nodes, open_ = [Node("#root", -1, 0)], [("#root", 0)]  # open elements: tag and number (-1: inline, -2: hidden, -3: within a hidden one)
     run: Node | None = None
-    links, at, skip = 0, 0, ""
+    links, hidden, at, skip = 0, 0, 0, ""
+    last_end: dict[str, int] = {}
+
+    def ended(tag: str) -> bool:
+        """Whether an end tag of this name follows."""
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", html, re.I)), default=-1)
+        return last_end[tag] >= at
 
     def block() -> int:
         return next(k for _, k in reversed(open_) if k >= 0)
 
     def text(raw: str) -> None:
         nonlocal run
-        if not raw:
+        if not raw or hidden:
             return
         if run is None:
             if not raw.strip():
@@ -64,14 +80,20 @@ def tree(html: str | None) -> list[Node]:
         if links:
             run.linked += len(raw)
 
+    def cut(k: int) -> None:
+        """End the open elements from the k-th on."""
+        nonlocal run, links, hidden
+        if any(x >= 0 for _, x in open_[k:]):
+            run = None
+        del open_[k:]
+        links, hidden = sum(t == "a" and x == -1 for t, x in open_), sum(x == -2 for _, x in open_)
+
     def close(tags: set[str], stop: set[str]) -> None:
-        nonlocal run
         for k in range(len(open_) - 1, 0, -1):
             if open_[k][0] in stop:
                 return
             if open_[k][0] in tags:
-                run = None
-                del open_[k:]
+                cut(k)
                 return
 
     while at < len(html):
@@ -88,26 +110,38 @@ def tree(html: str | None) -> list[Node]:
         if m[0].startswith("<![CDATA["):
             text(m[0][9:].removesuffix("]]>"))
         tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if not tag or tag == "head":
             continue
         ending, attrs = m[1] or m[4], m[3] or m[6] or ""
         if tag == "br":
             text(" ")
-        elif ending:
+            continue
+        if ending:
             if any(t == tag for t, _ in open_[1:]):
                 k = max(k for k, (t, _) in enumerate(open_) if t == tag)
-                if any(x >= 0 for _, x in open_[k:]):
-                    if tag in INLINE:
-                        continue  # an inline end tag doesn't end blocks
-                    run = None
-                del open_[k:]
-                links = sum(t == "a" for t, _ in open_)
-        elif tag in RAW:
-            if not attrs.endswith("/") or tag in OPAQUE:
+                if tag not in INLINE or not any(x >= 0 for _, x in open_[k:]):  # an inline end tag doesn't end blocks
+                    cut(k)
+            continue
+        if tag in OPAQUE:
+            if tag in ("script", "style") or ended(tag):
                 skip = tag
+            continue
+        if hidden and tag in BREAKS_OUT:
+            k = max(k for k, (_, x) in enumerate(open_) if x == -2)
+            if open_[k][0] in ("svg", "math") and not any(t == "foreignobject" for t, _ in open_[k:]):
+                while open_[k - 1][1] < -1:
+                    k -= 1
+                cut(k)
+        if tag in HIDDEN:
+            if not attrs.endswith("/") and ended(tag):
+                open_.append((tag, -2))
+                hidden += 1
         elif tag in VOID:
-            if tag not in INLINE:
+            if tag not in INLINE and not hidden:
                 run = None
+        elif hidden:
+            if not attrs.endswith("/"):
+                open_.append((tag, -3))
         elif tag in INLINE:
             open_.append((tag, -1))
             links += tag == "a"
@@ -119,7 +153,7 @@ def tree(html: str | None) -> list[Node]:
             found = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if attrs else {}
             names = tuple(_NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label")).lower()))
             parent = block()
-            run, links = None, sum(t == "a" for t, _ in open_)
+            run = None
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, names, nodes[parent].kept or "data-content" in found))
             open_.append((tag, len(nodes) - 1))
     for k, n in enumerate(nodes):
@@ -148,7 +182,7 @@ def features(nodes: list[Node]) -> list[list[int]]:
         rows = [_row("bias", n.tag == "#text"), _row("tag", n.tag), _row("in", up.tag, n.tag), _row("links", share, n.tag == "#text"), _row("size", size, n.tag == "#text"), _row("share", int(4 * below[k] / max(1, below[0])), n.tag == "#text")]
         if n.tag == "#text":
             rows += [_row("stop", n.text[-1:] in ".!?…"), _row("commas", min(3, n.text.count(",")))]
-        rows += [_row("name", x) for x in n.names[:12]]
+        rows += [_row("name", x) for x in n.names]
         out.append(rows)
     return out
 
@@ -158,10 +192,8 @@ class Forest:
 
     def __init__(self, pages: list[list[Node]]):
         rows = [r for nodes in pages for r in features(nodes)]
-        width = max(map(len, rows), default=1)
-        self.rows = np.zeros((len(rows), width), np.int64)
-        for k, r in enumerate(rows):
-            self.rows[k, : len(r)] = r
+        self.sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.rows = np.fromiter(chain.from_iterable(rows), np.int64, self.sizes.sum())  # those of all nodes, one after the other
         starts = np.cumsum([0] + [len(p) for p in pages])
         self.parent = np.array([n.parent + s if n.parent >= 0 else -1 for nodes, s in zip(pages, starts) for n in nodes])
         self.kind = np.array([int(n.tag == "#text") for nodes in pages for n in nodes])
@@ -190,17 +222,20 @@ class Model:
         np.add.at(counted, (f.kind[child], gold[f.parent[child]], gold[child]), 1)
         for step in range(1, STEPS + 1):
             likely, pairs = self.marginals(f, pairs=True)
-            g = np.bincount(f.rows.ravel(), np.repeat(gold - likely, f.rows.shape[1]), HASHED) / len(pages) - 0.002 * self.weights
-            g[0] = 0
+            g = np.bincount(f.rows, np.repeat(gold - likely, f.sizes), HASHED) / len(pages) - 0.002 * self.weights
             for x, (m, v), slope in zip((self.weights, self.pair), state, (g, (counted - pairs) / len(pages) - 0.002 * self.pair)):
                 m += 0.1 * (slope - m)
                 v += 0.01 * (slope**2 - v)
                 x += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
+    def unary(self, f: Forest) -> np.ndarray:
+        """Each node's own potential for content."""
+        return np.add.reduceat(self.weights[f.rows], np.cumsum(f.sizes) - f.sizes)
+
     def marginals(self, f: Forest, pairs: bool = False):
         """Each node's probability of being content; ``pairs``: also the expected counts of parent-child states."""
         up = np.zeros((len(f.parent), 2))
-        up[:, 1] = self.weights[f.rows].sum(axis=1)
+        up[:, 1] = self.unary(f)
         sent, down = np.zeros_like(up), np.zeros_like(up)
         for level in reversed(f.levels):
             sent[level] = np.logaddexp.reduce(self.pair[f.kind[level]] + up[level][:, None, :], axis=2)
@@ -300,12 +335,19 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
     return pages
 
 
+@cache
+def default_model() -> Model:
+    """The model of the generated pages, trained once in a process."""
+    return Model()
+
+
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each row, blocks joined by line breaks; empty if there is none.
 
-    A null or empty html has an empty text.  Repeated rows give a row each; other columns are ignored.
+    A null or empty html has an empty text; a very long one is one tree.  Repeated rows give a row each; an empty table
+    gives no rows; other columns are ignored.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or Model())  # of a fixed size
+    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())  # of a fixed size
 
     def make():
         def run(ids, links, htmls):

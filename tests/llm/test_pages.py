@@ -26,7 +26,7 @@ def test_marginals_are_those_of_all_states():
     model = html.Model(html.labelled_pages(30))
     nodes = html.tree("<div class=menu><a href=/>x</a></div><article><p>One, two.<p>Three.</article>")
     forest = html.Forest([nodes])
-    unary = model.weights[forest.rows].sum(axis=1)
+    unary = model.unary(forest)
     total, want = 0.0, np.zeros(len(nodes))
     for y in itertools.product((0, 1), repeat=len(nodes)):
         p = np.exp(sum(u * v for u, v in zip(unary, y)) + sum(model.pair[forest.kind[k], y[forest.parent[k]], y[k]] for k in range(1, len(nodes))))
@@ -44,6 +44,26 @@ def test_text_of_pages(spark):
     assert html.main_text(spark.createDataFrame([], PAGE)).collect() == []
 
 
+def test_no_text_is_lost_to_elements_left_open():
+    article = "<article><h1>Title of it</h1><p>A sentence that stays.</p><p>Another, longer sentence that stays too.</p></article>"
+    want = "Title of it\nA sentence that stays.\nAnother, longer sentence that stays too."
+    for page in (
+        f"<html><head><title>x</title><meta charset=utf-8>{article}",
+        f"<head><title>x</title><body><nav><a href=/>menu</a></nav>{article}",
+        f"<body><noscript>{article}",
+        f"<body><div><noscript><img src=x></div>{article}<noscript>y</noscript>",
+        f"<body><svg><g><svg><text>inner</text></svg><text>leak</text></g></svg>{article}",
+        f"<body><svg><path>{article}<svg></svg>",
+        f"<body><title>{article}",
+        f"<body><svg><foreignObject><div>leak</div></foreignObject></svg>{article}",
+        f"<body><select><option>one<option>two</select>{article}<template><p>leak</p></template>",
+    ):
+        got = html.default_model().extract([page])[0]
+        assert want in got and "leak" not in got and "inner" not in got, page
+    many = " ".join(f"c{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300))
+    assert len(html.features(html.tree(f'<div class="{many}">x</div>'))[1]) > 300
+
+
 def test_archives(spark):
     tricky = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1"
     rows = [(1, "http://a/", "same", ""), (2, "http://b/\r\nX: y", "same", ""), (3, "http://c/", tricky, ""), (4, None, None, ""), (5, "http://e/", "", ""), (6, "é", "ü" * 200_000, ""), (7, "http://g/", tricky, ""), (7, "http://g/", tricky, "")]
