@@ -4,8 +4,11 @@ A word that occurs once in the notice and once in the part of the text looked at
 subsequence of the anchors is kept, and the gaps between them are aligned in the same way, so words that are common
 elsewhere count where the gap makes them unique.  The share of the notice's words that are aligned is its coverage.
 
-A text may hold a notice more than once, so it is looked at around each occurrence of the notice's key words: its
-longest words, of which a changed notice still has some.
+A match lacks at most ``n - coverage * n`` of a notice's n words, so of any one more of its words it has at least one.
+These are the notice's key words, the longest ones; every occurrence of each in the text is looked at, with room before
+and behind for as many added words as the notice has, and without room, for places where copies of the notice crowd.
+
+Words that tell a version or variant must be aligned, and words that make another license must not stand in the match.
 """
 
 from __future__ import annotations
@@ -13,27 +16,39 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
 from .common import map_batches
 
+
+
+class Notice(NamedTuple):
+    """A license's identifier and wording, the words that a match must have and those that it must not hold."""
+
+    name: str
+    text: str
+    must: tuple[str, ...] = ()
+    never: tuple[str, ...] = ()
+
+
 #: Notices by identifier (fixed values: the licenses' own standard wording and common short forms).
 NOTICES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("proprietary", "All rights reserved."),
+    Notice("MIT", "Released under the MIT License.", ("mit",)),
+    Notice("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    Notice("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2")),
+    Notice("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("apache",)),
+    Notice("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "3"), ("lesser", "affero")),
+    Notice("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("3",), ("lesser", "affero")),
+    Notice("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("2",), ("lesser", "affero")),
+    Notice("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Notice("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "nc", "4"), ("nd", "sa")),
+    Notice("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("attribution", "4"), ("sharealike", "noncommercial", "noderivatives", "noderivs")),
+    Notice("proprietary", "All rights reserved."),
 ]
 #: Least coverage of a match.
 COVERAGE = 0.8
-KEYS = 3
 _WORD = re.compile(r"\w+")
 
 
@@ -78,43 +93,48 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-class Notice:
-    def __init__(self, name: str, text: str):
-        self.name, self.words = name, _WORD.findall(text.lower())
-        once = [w for w, n in Counter(self.words).items() if n == 1]
-        self.keys = {w: self.words.index(w) for w in sorted(once, key=lambda w: (-len(w), w))[:KEYS]}
+class Template:
+    """A notice made ready for the search."""
+
+    def __init__(self, notice: tuple, coverage: float):
+        self.notice, self.coverage = Notice(*notice), coverage
+        self.words = words = _WORD.findall(self.notice.text.lower())
+        n = len(words)
+        #: (word, place): one more than a match may lack.
+        self.keys = sorted(((w, k) for k, w in enumerate(words)), key=lambda x: (-len(x[0]), x))[: int(n * (1 - coverage) + 1e-9) + 1]
 
     def best(self, words: list[str], where: dict[str, list[int]]) -> tuple[float, int, int]:
-        """Coverage, first and end word of the best aligned place in a text."""
-        n, found, seen = len(self.words), (0.0, 0, 0), set()
-        for key, at in self.keys.items():
-            for p in where.get(key, ()):
-                start = p - at
-                if start in seen:
+        """Coverage, first and end word of the best aligned place in a text; coverage 0 if there is none."""
+        n, found = len(self.words), (0.0, 0, 0)
+        must, never = self.notice.must, frozenset(self.notice.never)
+        for start in sorted({p - at for key, at in self.keys for p in where.get(key, ())}):
+            for room in (n, 0):
+                low = max(0, start - room)
+                pairs = align(self.words, words[low : max(0, start + n + room)])
+                if not pairs or (len(pairs) / n, -(low + pairs[0][1]), 0) <= found:
                     continue
-                seen.add(start)
-                for slack in (n // 2 + 1, 0):  # room for added words; without it where copies of the notice crowd
-                    low = max(0, start - slack)
-                    pairs = align(self.words, words[low : max(0, start + n + slack)])
-                    if pairs:
-                        found = max(found, (len(pairs) / n, -(low + pairs[0][1]), low + pairs[-1][1] + 1))
-                    if found[0] == 1:
-                        return found[0], -found[1], found[2]
+                have, a, b = {self.words[i] for i, _ in pairs}, low + pairs[0][1], low + pairs[-1][1] + 1
+                if have.issuperset(must) and never.isdisjoint(words[a:b]):
+                    found = len(pairs) / n, -a, b
+            if found[0] == 1:
+                break
         return found[0], -found[1], found[2]
 
 
-def scanned(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
+def scanned(docs: DataFrame, notices: list[tuple] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, from_char, to_char, n_licenses, licenses): license notices in whole texts.
 
     ``licenses`` are the identifiers of all notices covered to ``coverage`` or more, sorted and joined by commas;
     ``license`` is that of the highest coverage (of equal ones the longest notice, then the first identifier), with the
-    place of its best match in the text.  Null, empty and notice-free texts have no license: nulls, 0 and ''.
-    Repeated rows give a row each; other columns are ignored.
+    place of its best match in the text, the first of equal ones.  A match has at most as many added words before or
+    after an aligned one as the notice has words.  Null, empty and notice-free texts have no license: nulls, 0 and ''.
+    Whole texts of any length are looked at; repeated rows give a row each; an empty table gives no rows; other columns
+    are ignored.
     """
 
     def make():
-        each = [Notice(*x) for x in notices]
-        keys = {k for n in each for k in n.keys}
+        each = [Template(x, coverage) for x in notices]
+        keys = {k for n in each for k, _ in n.keys}
 
         def one(text):
             text = text or ""
@@ -133,10 +153,10 @@ def scanned(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, coverage:
                 if w in here:
                     where.setdefault(w, []).append(i)
             for n in each:
-                if not where.keys().isdisjoint(n.keys):
+                if any(k in where for k, _ in n.keys):
                     share, a, b = n.best(words, where)
                     if share >= coverage:
-                        matches.append((-share, -len(n.words), n.name, spans[a][0], spans[b - 1][1]))
+                        matches.append((-share, -len(n.words), n.notice.name, spans[a][0], spans[b - 1][1]))
             if not matches:
                 return None, None, None, None, 0, ""
             top, names = min(matches), sorted({m[2] for m in matches})

@@ -140,6 +140,42 @@ def test_licenses(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def test_no_match_is_lost_to_changed_or_added_words(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k, notice in enumerate(licenses.NOTICES):
+        words = re.findall(r"\w+", notice.text.lower())
+        free = sorted((i for i, w in enumerate(words) if w not in notice.must), key=lambda i: -len(words[i]))
+        less = int(len(words) * (1 - licenses.COVERAGE) + 1e-9)
+        for turn in range(6):
+            gone = free[:less] if turn == 0 else rng.sample(free, min(less, len(free)))
+            own = [f"zq{i}" if i in gone else w for i, w in enumerate(words)]
+            for _ in range(rng.choice([0, len(words) // 2])):  # added words
+                own.insert(rng.randrange(1, len(own)), f"add{rng.randrange(10**6)}")
+            rows.append((10 * k + turn, " ".join([f"before{i}" for i in range(turn)] + own + ["behind"] * 3), "clash"))
+            want[10 * k + turn] = notice.name
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string, license string")).collect()}
+    assert all(want[i] in got[i].licenses.split(",") for i in want)
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    gpl = licenses.NOTICES[5].text
+    rows = [(1, gpl), (2, gpl.replace("version 3", "version 2")), (3, gpl.replace("General", "Lesser General")), (4, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), (5, "Released under the Apache License."), (6, "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    got = {r.doc_id: r.licenses for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "GPL-3.0", 2: "GPL-2.0", 3: "", 4: "", 5: "", 6: "CC-BY-4.0"}
+
+
+def test_alignment_of_once_only_words_is_the_longest():
+    rng = random.Random(13)
+    for _ in range(300):
+        a, b = (rng.sample(range(20), rng.randrange(1, 16)) for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for k, y in enumerate(b):
+                best[i + 1][k + 1] = best[i][k] + 1 if x == y else max(best[i][k + 1], best[i + 1][k])
+        assert len(licenses.align(list(map(str, a)), list(map(str, b)))) == best[-1][-1]
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(11)
     for _ in range(300):
