@@ -1,10 +1,13 @@
 """Language identification, quality, rules and licenses: held-out accuracy, brute force and defined edge cases."""
 
+import itertools
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from jobloom.llm import langid, licenses, quality, rules
 
@@ -56,10 +59,6 @@ def test_words_of_a_switched_text(spark, docs):
 
 
 def test_marginals_are_those_of_all_paths():
-    import itertools
-
-    import numpy as np
-
     rng = np.random.default_rng(1)
     emit, move, start = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
     got, pairs = langid.marginals(emit, np.array([4, 1]), move, start, pairs=True)
@@ -73,6 +72,34 @@ def test_marginals_are_those_of_all_paths():
     assert np.isclose(pairs.sum(), 3)
 
 
+def test_messages_cross_the_blocks_of_a_long_chain():
+    rng = np.random.default_rng(2)
+    emit, move, start = 3 * rng.normal(size=(700, 4)), 2 * rng.normal(size=(4, 4)), rng.normal(size=4)
+    sizes = np.array([300, 1, 7, 392])
+    whole, pairs = langid.marginals(emit, sizes, move, start, pairs=True, block=1000)
+    for block in (1, 7, 64, 300):
+        got, turns = langid.marginals(emit, sizes, move, start, pairs=True, block=block)
+        assert np.allclose(got, whole) and np.allclose(turns, pairs)
+
+
+def test_every_letter_of_a_word_counts():
+    for n in (1, 3, 30, 300):
+        words = ["a" * n + c + "z" * n for c in "bcd"]
+        rows, counts = langid.features([*words, "x"], {"x": 5})
+        parts = np.split(rows, np.cumsum(counts)[:-1])
+        assert len({tuple(p) for p in parts[:3]}) == 3 and parts[3][-1] == langid.HASHED + 5
+        for word, part in zip(words, parts):
+            assert np.array_equal(langid.features([word], {})[0], part) and len(part) == 2 * len(word) + 6
+
+
+def test_a_text_in_no_learned_language_is_rejected(spark, docs):
+    rng = random.Random(14)
+    other = [(2000 + i, " ".join("".join(rng.choices("абвгдежзийклмн", k=6)) for _ in range(40)), None) for i in range(5)]
+    df = frame(spark, [*((i, t, g) for i, t, g, _ in docs), *other]).withColumn("a.b", F.lit(1))
+    kept = langid.accepted(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in docs}
+
+
 def test_no_languages_known(spark):
     df = frame(spark, [(1, "abc", None)])
     assert langid.identified(df, langid.train(df)).first().lang_pred == "und"
