@@ -1,9 +1,10 @@
 """Quality rules: base counts per document and an isolation forest over rule statistics.
 
-A statistic is what a rule measures beyond the rule's allowance, so that rows within all rules meet in one place and
-any excess sets a row apart.  The forest is fitted on a bounded sample of labelled rows: each tree splits ``TREE_ROWS``
-of them at random, and a short mean path means an anomaly.  The threshold is calibrated on the scores of all labelled
-rows, counted by score bin in Spark.
+The statistics are plain ratios.  What labelled good rows show of each, from the least to the most of them and a little
+more, is its allowance; the forest looks at how far a row goes beyond, so rows within all allowances meet in one place and any excess sets a row
+apart.  Allowances and forest are fitted on a bounded sample of labelled rows: each tree splits ``TREE_ROWS`` of them at
+random, and a short mean path means an anomaly.  The threshold is calibrated on the scores of all labelled rows, counted
+by score bin in Spark.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stored
 
-TREES, TREE_ROWS, SEED = 128, 128, 7
+TREES, TREE_ROWS, SEED = 128, 256, 7
 #: Labelled rows, those with the least hash of their id, that the forest is fitted on.
 SAMPLE = 8192
+#: By how much of the good rows' range an allowance is wider on either side.
+MARGIN = 0.1
 #: How many missed bad rows a rejected good row counts for, in the calibration.
 GOOD_WEIGHT = 10
 BINS = 4096
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-STATS = ["symbols", "upper", "dup_lines", "again", "bars", "marks"]
+#: Per word: characters of n_symbols, bars, exclamation and question marks, words in repeated windows, words like the one
+#: before, characters of words; the share of upper-case characters and of repeated lines.
+STATS = ["symbols", "bars", "marks", "repeated", "again", "word_chars", "upper", "dup_lines"]
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
@@ -63,27 +68,30 @@ def measure(text: str | None, window: int = 8) -> tuple[list[int], list[float]]:
     lines = [x for x in text.split("\n") if x.strip(_SPACE)]
     dup = len(lines) - len(set(lines))
     repeat, again = _runs(words, window)
-    over = lambda x, allowed, most: min(max(x - allowed, 0.0), most)
-    w = max(n, 1)
-    stats = [
-        over(symbols / w, 0, 1),
-        over(len(_UPPER.findall(text)) / max(chars, 1), 0.2, 0.5),
-        over(dup / max(len(lines), 1), 0.4, 0.6),
-        over(again / (w + 20), 0.1, 0.5),
-        over(text.count("|") / w, 0, 0.5),
-        over((text.count("!") + text.count("?")) / w, 0, 0.5),
-    ]
+    counts = [symbols, text.count("|"), text.count("!") + text.count("?"), repeat, again, chars]
+    stats = [x / max(n, 1) for x in counts] + [len(_UPPER.findall(text)) / max(chars, 1), dup / max(len(lines), 1)]
     return [n, chars, symbols, dup, repeat], stats
 
 
 class Forest:
-    """Isolation trees as flat arrays: feature (-1: leaf), threshold, left child, path length at a leaf."""
+    """Isolation trees as flat arrays: feature (-1: leaf), threshold, children, path length at a leaf.
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED):
+    ``good``: which rows set the allowances; all of them if none is good.
+    """
+
+    def __init__(self, rows: np.ndarray, good: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        known = rows[good] if good.any() else rows
+        more = MARGIN * (known.max(axis=0) - known.min(axis=0))
+        self.low, self.high = known.min(axis=0) - more, known.max(axis=0) + more
+        rows = self.beyond(rows)
         self.norm = self._mean_path(min(tree_rows, len(rows)))
         self.trees = [self._grow(rows[rng.permutation(len(rows))[:tree_rows]], rng) for _ in range(trees)]
 
+    def beyond(self, x: np.ndarray) -> np.ndarray:
+        """How far each statistic is above or, negative, below its allowance."""
+        return np.maximum(x - self.high, 0) - np.maximum(self.low - x, 0)
+
     @staticmethod
     def _mean_path(n: int) -> float:
         """Mean path length of an unsuccessful search among n rows."""
@@ -110,8 +118,8 @@ class Forest:
         return np.array(feature), np.array(cut), left, right, np.array(path)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly scores, 0 to 1: near 1 for the shortest paths."""
-        total = np.zeros(len(x))
+        """Anomaly scores of rows of statistics, 0 to 1: near 1 for the shortest paths."""
+        x, total = self.beyond(x), np.zeros(len(x))
         for feature, cut, left, right, path in self.trees:
             at = np.zeros(len(x), np.int64)
             while (open_ := feature[at] >= 0).any():
@@ -150,16 +158,16 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     """(doc_id, base counts, base_failed, anomaly, kept): ``anomaly`` is the forest's score, ``kept`` false for what fails a base rule or scores above the threshold.
 
     Null and empty texts have no words and fail the base rule of 20 words.  Labels with a null doc_id or quality, or for
-    documents that aren't there, are ignored; with no labelled rows only the base rules decide.  Repeated rows give a
-    row each; other columns are ignored.
+    documents that aren't there, are ignored; with no labelled rows only the base rules decide.  Whole texts of any
+    length are counted; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
     """
     rows = stored(measured(docs), "measured")
     known = rows.join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "stats")
-    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).select("stats").collect()
+    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).select("stats", "quality").collect()
     schema = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in BASE), "anomaly double"])
     if not fit:
         return _verdict(rows.withColumn("anomaly", F.lit(0.0)), 1.0)
-    forest = rows.sparkSession.sparkContext.broadcast(Forest(np.array([r.stats for r in fit])))  # of a fixed size
+    forest = rows.sparkSession.sparkContext.broadcast(Forest(np.array([r.stats for r in fit]), np.array([r.quality == 1 for r in fit])))  # of a fixed size
 
     def scores(stats):
         return forest.value.score(np.array(stats).reshape(-1, len(STATS))).tolist()
