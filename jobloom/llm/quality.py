@@ -1,10 +1,11 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network.
 
-Terms are short words, punctuation runs and shape-and-ending classes of longer words, hashed to ``TERMS`` rows.  Each
-row has a fixed sparse ternary index vector; a term's word vector is the sum of the index vectors of the terms around
-all its occurrences in all documents (its own included).  A document is the mean of its terms' vectors.  The network
-learns on a bounded sample of labelled rows outside the held-out fold and its probabilities are calibrated by a
-temperature fitted on rows that it didn't learn from.
+A term is a word or a run of punctuation, as it is written.  Each has a fixed sparse ternary index vector, and its word
+vector is the sum of the index vectors of the terms around all its occurrences in all documents (its own included).  The
+vectors stand in ``TERMS`` rows by a hash of the whole term: memory is the same for any number of words, and rare terms
+whose hashes meet share a row.  A document is the mean of its terms' vectors.  The network learns on a bounded sample of
+labelled rows outside the held-out fold and its probabilities are calibrated by a temperature fitted on rows that it
+didn't learn from.
 """
 
 from __future__ import annotations
@@ -12,16 +13,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_batches
+from .common import keep_rows, map_batches, stored
 
-TERMS, DIMS, ONES, REACH = 4096, 64, 4, 2
+TERMS, DIMS, ONES, REACH = 1 << 15, 32, 4, 2
 #: Labelled rows, those with the least hash of their id, that the network learns from (a fifth of them sets the temperature).
 SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 60, 128, 0.01, 5
@@ -32,65 +32,82 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+").findall
 
 
 class _Rows(dict):
-    """token -> its row."""
-
-    def __missing__(self, token: str) -> int:
-        if token[0].isalnum() and len(token) > 4:
-            shape = "X" if token.isupper() else "x" if token.islower() else "9" if token.isdigit() else "Xx" if token[0].isupper() else "xX"
-            term = f"{shape} {token[-2:].lower()}"
-        else:
-            term = token[:8]
-        if len(self) > 200_000:
-            self.clear()
-        self[token] = row = 1 + zlib.crc32(term.encode()) % (TERMS - 1)
+    """term -> its row; terms of up to 64 characters are remembered, up to a bound."""
+
+    def __missing__(self, term: str) -> int:
+        row = 1 + zlib.crc32(term.encode("utf-8", "surrogatepass")) % (TERMS - 1)
+        if len(term) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[term] = row
         return row
 
 
 def _rows(known: _Rows, text: str | None) -> np.ndarray:
-    tokens = _TOKEN(text or "")
-    rows = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    """The rows of a text's terms; ``AGAIN`` for one that is equal to one of the two before."""
+    terms = _TOKEN(text or "")
+    rows = np.fromiter(map(known.__getitem__, terms), np.int32, len(terms))
+    again = np.zeros(len(terms), bool)
     for back in (1, 2):
-        rows[back:][np.fromiter(map(eq, tokens[back:], tokens), bool, max(0, len(tokens) - back))] = AGAIN
+        again[back:] |= rows[back:] == rows[: max(0, len(rows) - back)]
+    rows[again] = AGAIN
     return rows
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, rows): the terms of each text as rows of the word vectors, stored."""
+
+    def make():
+        known = _Rows()
+        return lambda ids, texts: [ids, [_rows(known, t) for t in texts]]
+
+    return stored(map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, rows array<int>"), "terms")
+
+
 def _index() -> np.ndarray:
     """For each term ``ONES`` places of 2 * DIMS: below DIMS a +1 in that dimension, above a -1."""
     return np.random.default_rng(SEED).integers(0, 2 * DIMS, (TERMS, ONES))
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """(TERMS, DIMS): counted over all documents; each task adds up what it reads, Spark adds up the tasks, 1 MB reaches the driver."""
+def _counts(docs_rows: Iterator[np.ndarray]) -> np.ndarray:
+    """(TERMS, DIMS): the sums of the index vectors around each row's occurrences."""
+    index, total = _index(), np.zeros(TERMS * 2 * DIMS, np.int32)
+    for rows in docs_rows:
+        for at in range(0, len(rows), CHUNK):
+            own = rows[at : at + CHUNK].astype(np.int64) * (2 * DIMS)
+            for step in range(-REACH, REACH + 1):
+                skip = max(0, -(at + step))
+                near = rows[at + skip + step : max(0, at + len(own) + step)]
+                np.add.at(total, (own[skip : skip + len(near), None] + index[near]).ravel(), 1)
+    both = total.reshape(TERMS, 2, DIMS)
+    return both[:, 0] - both[:, 1]
+
+
+def word_vectors(terms: DataFrame) -> np.ndarray:
+    """(TERMS, DIMS), each of length 1: counted over all rows of ``terms`` (text, or rows of ``counted``).
+
+    Each task adds up what it reads, Spark adds up the tasks, and TERMS rows reach the driver.
+    """
+    is_text = "rows" not in terms.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, index = _Rows(), _index()
-        total = np.zeros(TERMS * 2 * DIMS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                rows = _rows(known, text.as_py())
-                for at in range(0, len(rows), CHUNK):
-                    own = rows[at : at + CHUNK]
-                    for step in range(-REACH, REACH + 1):
-                        near = rows[max(0, at + step) : at + len(own) + step] if at + len(own) + step > 0 else rows[:0]
-                        skip = max(0, -(at + step))
-                        mine = own[skip : skip + len(near)]
-                        flat = (mine[:, None] * (2 * DIMS) + index[near]).ravel()
-                        if len(flat) > 20_000:
-                            total += np.bincount(flat, minlength=len(total))
-                        else:
-                            np.add.at(total, flat, 1)
-        both = total.reshape(TERMS, 2, DIMS)
-        net = both[:, 0] - both[:, 1]
+        known = _Rows()
+
+        def each():
+            for batch in batches:
+                for x in batch.column(0):
+                    yield _rows(known, x.as_py()) if is_text else np.empty(0, np.int32) if x.values is None else x.values.to_numpy(zero_copy_only=False)
+
+        net = _counts(each())
         some = np.flatnonzero(net.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(net[some, d]) for d in range(DIMS))], names=["term", *(f"d{d}" for d in range(DIMS))])
 
-    parts = docs.select("text").mapInArrow(count, "term bigint, " + ", ".join(f"d{d} bigint" for d in range(DIMS)))
-    summed = parts.groupBy("term").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)))
+    parts = terms.select("text" if is_text else "rows").mapInArrow(count, "term bigint, " + ", ".join(f"d{d} int" for d in range(DIMS)))
+    summed = parts.groupBy("term").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS))).toPandas().to_numpy()
     out = np.zeros((TERMS, DIMS))
-    for r in summed.collect():
-        out[r.term] = r[1:]
+    out[summed[:, 0].astype(int)] = summed[:, 1:]
     size = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(size > 0, size, 1)
+    return (out / np.where(size > 0, size, 1)).astype(np.float32)
 
 
 class Network:
@@ -132,19 +149,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.heat, -30, 30)))
 
 
-class Pooler:
-    """Word vectors at work in a task."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors, self.known = vectors, _Rows()
-
-    def pool(self, texts: list[str | None]) -> np.ndarray:
-        """The mean word vector of each text; zeros for a text without terms."""
-        out = np.zeros((len(texts), DIMS))
-        for k, text in enumerate(texts):
-            if len(rows := _rows(self.known, text)):
-                out[k] = np.bincount(rows, minlength=TERMS) @ self.vectors / len(rows)
-        return out
+def pooled(vectors: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """The mean word vector of each text, given as rows; zeros for a text without terms."""
+    out = np.zeros((len(texts), DIMS))
+    for k, rows in enumerate(texts):
+        for at in range(0, len(rows), CHUNK):
+            out[k] += vectors[rows[at : at + CHUNK]].sum(axis=0, dtype=np.float64)
+        out[k] /= max(1, len(rows))
+    return out
 
 
 class Scorer:
@@ -153,9 +165,9 @@ class Scorer:
     def __init__(self, vectors: np.ndarray, network: Network | None):
         self.vectors, self.network = vectors, network
 
-    def ready(self):
-        pooler = Pooler(self.vectors)
-        return lambda texts: self.network.score(pooler.pool(texts)).tolist() if self.network else [0.5] * len(texts)
+    def score(self, texts: list[np.ndarray]) -> list[float]:
+        """The probability of each text, given as rows."""
+        return self.network.score(pooled(self.vectors, texts)).tolist() if self.network else [0.5] * len(texts)
 
 
 def held_out(folds: int = 3, fold: int = 1) -> Column:
@@ -163,17 +175,18 @@ def held_out(folds: int = 3, fold: int = 1) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> Scorer:
-    """A scorer from all texts and from the labels of at most ``sample`` rows outside the held-out fold."""
-    vectors = word_vectors(docs)
+    """A scorer from all of ``docs`` (doc_id and text, or rows of ``counted``) and the labels of at most ``sample`` rows outside the held-out fold."""
+    own = "rows" if "rows" in docs.columns else "text"
+    vectors = word_vectors(docs.select(own))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labels.where("quality in (0, 1)").select("doc_id", "quality").where(~held_out(folds, fold)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
     def make():
-        pooler = Pooler(shared.value)
-        return lambda quality, texts: [quality, list(pooler.pool(texts).astype(np.float32))]
+        known = _Rows()
+        return lambda quality, texts: [quality, list(pooled(shared.value, [_rows(known, t) for t in texts] if own == "text" else [np.array(t, np.int32) for t in texts]).astype(np.float32))]
 
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows are broadcast
-    rows = sorted((r.quality, r.v) for r in map_batches(labelled, ["quality", "text"], make, "quality int, v array<float>").collect())
+    labelled = docs.select("doc_id", own).join(F.broadcast(known), "doc_id")  # at most ``sample`` rows are broadcast
+    rows = sorted((r.quality, r.v) for r in map_batches(labelled, ["quality", own], make, "quality int, v array<float>").collect())
     if len({q for q, _ in rows}) < 2:
         return Scorer(vectors, None)
     return Scorer(vectors, Network(np.array([v for _, v in rows], np.float64), np.array([q for q, _ in rows], np.float64)))
@@ -185,24 +198,29 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sa
     Labels are learnt only from rows whose crc32(doc_id as text) mod ``folds`` isn't ``fold``; rows without a doc_id
     count as held out.  Null and empty texts have the zero vector and a score like any other; labels with a null
     doc_id or quality, or of documents that aren't there, are ignored; without labels of both kinds every score is 0.5.
-    Repeated rows give a row each; other columns are ignored.
+    Terms are counted over whole texts of any length, once; repeated rows give a row each; an empty table gives no rows;
+    other columns are ignored.
     """
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, fold, sample))
+    terms = counted(docs)
+    scorer = docs.sparkSession.sparkContext.broadcast(fit(terms, labels, folds, fold, sample))
 
     def make():
-        score = scorer.value.ready()
-        return lambda ids, texts: [ids, score(texts)]
+        return lambda ids, rows: [ids, scorer.value.score([np.array(r, np.int32) for r in rows])]
 
-    out = map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, score double")
+    out = map_batches(terms, ["doc_id", "rows"], make, "doc_id bigint, score double")
     return out.select("doc_id", held_out(folds, fold).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without those predicted to be of low quality."""
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))
+    """``docs``, with all columns whatever their names, without those predicted to be of low quality.
+
+    Without labels of both kinds every row stays; null and empty texts have a score like any other; repeated rows stay
+    or go together; an empty table gives no rows.
+    """
+    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels, **parameters))
 
     def make():
-        score = scorer.value.ready()
-        return lambda texts: [s >= 0.5 for s in score(texts)]
+        known = _Rows()
+        return lambda texts: [s >= 0.5 for s in scorer.value.score([_rows(known, t) for t in texts])]
 
     return keep_rows(docs, ["text"], make)

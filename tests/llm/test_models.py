@@ -118,6 +118,35 @@ def test_quality(spark, docs):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def test_word_vectors_match_brute_force(spark, docs):
+    texts = [t for _, t, *_ in docs[:40]] + [None, "", "a", "a a a b", "x " * 200]
+    terms = quality.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    index = np.zeros((quality.TERMS, quality.DIMS))
+    for row, places in enumerate(quality._index()):
+        for k in places:
+            index[row, k % quality.DIMS] += 1 if k < quality.DIMS else -1
+    want, rows = np.zeros_like(index), {r.doc_id: r.rows for r in terms.collect()}
+    for own in rows.values():
+        for i, row in enumerate(own):
+            for j in range(max(0, i - quality.REACH), min(len(own), i + quality.REACH + 1)):
+                want[row] += index[own[j]]
+    size = np.linalg.norm(want, axis=1, keepdims=True)
+    want /= np.where(size > 0, size, 1)
+    got = quality.word_vectors(terms)
+    assert np.allclose(got, want, atol=1e-6)
+    assert np.allclose(quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string")), got, atol=1e-6)
+    pooled = quality.pooled(got, [np.array(rows[k], np.int32) for k in range(len(texts))])
+    assert np.allclose(pooled, [np.mean([want[r] for r in rows[k]], axis=0) if rows[k] else np.zeros(quality.DIMS) for k in range(len(texts))], atol=1e-6)
+    a, b = quality._rows(quality._Rows(), "wonderful plain words"), quality._rows(quality._Rows(), "wonderous plain words")
+    assert a[0] != b[0] and a[1:].tolist() == b[1:].tolist()
+
+
+def test_names_with_dots(spark, docs):
+    df = frame(spark, [(i, t, g) for i, t, g, _ in docs]).withColumn("a.b", F.lit(1))
+    labels = spark.createDataFrame([(i, int(q)) for i, _, _, q in docs], "doc_id bigint, quality int")
+    assert quality.accepted(df, labels).columns == df.columns and quality.accepted(df.limit(0), labels).collect() == []
+
+
 def test_quality_without_labels(spark):
     df = frame(spark, [(1, "abc", None), (2, None, None)])
     none = spark.createDataFrame([], "doc_id bigint, quality int")
@@ -143,6 +172,24 @@ def test_rule_counts_match_brute_force():
     assert rules.measure(None)[0] == [0] * 5
 
 
+def test_path_lengths_match_brute_force():
+    rng = np.random.default_rng(3)
+    rows = rng.exponential(size=(500, len(rules.STATS)))
+    forest = rules.Forest(rows, np.arange(500) < 400, trees=9, tree_rows=64)
+    low, high = rows[:400].min(axis=0), rows[:400].max(axis=0)
+    low, high = low - rules.MARGIN * (high - low), high + rules.MARGIN * (high - low)
+    for row, score in zip(rows[::7], forest.score(rows[::7])):
+        x = [v - h if v > h else v - w if v < w else 0.0 for v, w, h in zip(row, low, high)]
+        total = 0.0
+        for feature, cut, left, right, path in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] <= cut[at] else right[at]
+            total += path[at]
+        assert np.isclose(score, 2 ** (-total / 9 / forest.norm))
+    assert rules.Forest(rows, np.zeros(500, bool), trees=2).score(rows).max() <= 1
+
+
 def test_rules_judge(spark, docs):
     long = [(i, (t + " ") * 3 if i % 2 else " ".join([t] * 2), g) for i, t, g, _ in docs]
     rng = random.Random(10)
