@@ -34,7 +34,8 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages"))
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("request.target_uri").alias("request_uri"), F.col("metadata.payload_bytes").alias("metadata_bytes"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Writing is a Spark text write: a record's bytes end with the two line breaks that the format puts between records, which
 is the writer's line separator, so Spark's commit protocol and any shared file system apply.  Archives are read as whole
-files of bounded size and parsed by Content-Length, so payloads may hold anything, record headers included.
+files of bounded size and parsed by Content-Length, so payloads may hold anything, record headers included.  Pages are
+written in two classes of size, so an archive's bytes are bounded: many captures of small payloads, or one of a large one.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import drop_stored, new_path, stored
 
 DATE = "2024-01-01T00:00:00Z"
-#: Captures of an archive; each has three records.
-CAPTURES_A_FILE = 2000
+#: Payloads of more bytes are large ones, each in an archive of its own; of others so many captures share an archive,
+#: 128 MB at most.
+LARGE, CAPTURES_A_FILE = 1 << 18, 500
 #: Payloads of at least so many bytes are written once; later equal ones are revisits.
 LEAST_BYTES = 0
 PIECE = 1 << 20
@@ -44,21 +46,32 @@ def _record(kind: Column | str, record_id: Column, fields: list[Column], content
     return F.concat(F.lit("WARC/1.1\r\n"), _field("WARC-Type", kind), _field("WARC-Record-ID", record_id), _field("WARC-Date", DATE), *fields, _field("Content-Type", content_type), _field("Content-Length", size), F.lit("\r\n"), block)
 
 
-def with_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``pages`` as (page_id, url, html, mark, first_id, first_mark): of equal payloads that with the smallest page_id is ``first``.
-
-    Equality is by SHA-256.  The smallest id is pre-aggregated before its shuffle; the join can be split by AQE where
-    very many pages are equal.  ``mark`` tells apart rows that share a page_id.
-    """
+def _own(pages: DataFrame) -> DataFrame:
+    """``pages`` as (page_id, url, html, mark, key): ``mark`` tells apart rows that share a page_id, ``key`` stands for the payload (SHA-256)."""
     html = F.coalesce("html", F.lit(""))
     mark = F.substring(F.sha1(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), html)), 1, 16)
-    own = pages.select("page_id", "url", html.alias("html"), mark.alias("mark")).withColumn("key", F.sha2("html", 256))
-    first = own.where(F.octet_length("html") >= least_bytes).groupBy("key").agg(F.min(F.struct("page_id", "mark")).alias("first"))
-    return own.join(first, "key", "left").select("page_id", "url", "html", "mark", F.coalesce("first.page_id", "page_id").alias("first_id"), F.coalesce("first.mark", "mark").alias("first_mark"))
+    return pages.select("page_id", "url", html.alias("html"), mark.alias("mark")).withColumn("key", F.sha2("html", 256))
+
+
+def firsts(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """(key, size, first): of each payload of at least ``least_bytes`` the row with the smallest page_id, stored.  Pre-aggregated before its shuffle."""
+    own = _own(pages).withColumn("size", F.octet_length("html")).where(F.col("size") >= least_bytes)
+    return stored(own.groupBy("key").agg(F.min("size").alias("size"), F.min(F.struct("page_id", "mark")).alias("first")), "firsts")
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Write three records for each page to gzip archives in the folder ``path``: request, response or revisit, metadata."""
+    """Write three records for each page to gzip archives in folders of ``path``: request, response or revisit, metadata."""
+    first = firsts(pages, least_bytes)
+    large = F.octet_length(F.coalesce("html", F.lit(""))) > LARGE
+    _write(pages.where(~large), first, f"{path}/small", CAPTURES_A_FILE)
+    if least_bytes > LARGE or not first.where(F.col("size") > LARGE).isEmpty():
+        _write(pages.where(large), first, f"{path}/large", 1)
+    drop_stored(first)
+
+
+def _write(pages: DataFrame, first: DataFrame, path: str, captures_a_file: int) -> None:
+    # both sides of this join are plain shuffles, which AQE splits where very many payloads are equal
+    roles = _own(pages).join(first, "key", "left").select("page_id", "url", "html", "mark", F.coalesce("first.page_id", "page_id").alias("first_id"), F.coalesce("first.mark", "mark").alias("first_mark"))
 
     def name(page, mark, kind):
         return F.concat(F.lit("<urn:jobloom:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), mark, F.lit(f":{kind}>"))
@@ -74,8 +87,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     response = _record(F.when(revisit, "revisit").otherwise("response"), answer, about + whole + again, "application/http; msgtype=response", F.concat(http, F.when(revisit, "").otherwise(c("html"))))
     request = _record("request", name(c("page_id"), c("mark"), "request"), [_field("WARC-Concurrent-To", answer), *about], "application/http; msgtype=request", F.concat(F.lit("GET "), F.coalesce(F.regexp_replace("url", "[\r\n]", ""), F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = _record("metadata", name(c("page_id"), c("mark"), "metadata"), [_field("WARC-Concurrent-To", answer), *about], "application/warc-fields", F.concat(F.lit("payload-characters: "), F.length("html").cast("string"), F.lit("\r\n")))
-    records = with_roles(pages, least_bytes).select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * CAPTURES_A_FILE).text(path)
+    records = roles.select(F.explode(F.array(request, response, metadata)).alias("value"))
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_a_file).text(path)
 
 
 def _plain(data: bytes) -> Iterator[bytes]:
@@ -156,42 +169,45 @@ def read(spark: SparkSession, path: str, blocks: bool = False) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: (record_id, request, response, metadata).
 
     The records of a transaction are joined by the identifier that their concurrent-to field names, a response's own
-    identifier.  A response without request or metadata has null there; of repeated ones one stays; a request or
-    metadata record of no response makes no row.
+    identifier.  A response without request or metadata has null there; of repeated ones the least stays; a request or
+    metadata record of no response makes no row; no records give no rows.
     """
-    every = F.struct(*(c for c in records.columns))
+    every = F.struct(*(F.col(c) for c in records.columns))
     response = records.where("record_type in ('response', 'revisit')").select("record_id", every.alias("response"))
 
     def part(kind):
-        return records.where(F.col("record_type") == kind).where("concurrent_to is not null").select(F.col("concurrent_to").alias("record_id"), every.alias(kind)).dropDuplicates(["record_id"])
+        return records.where(F.col("record_type") == kind).where("concurrent_to is not null").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(every).alias(kind))
 
     return response.join(part("request"), "record_id", "left").join(part("metadata"), "record_id", "left").select("record_id", "request", "response", "metadata")
 
 
 def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): every page written to archives in the shared folder and read back.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, request, response, metadata): every page written to archives in the shared folder and read back, a nested row per capture.
 
-    A null html is an empty payload.  Rows that share a page_id give a row each; other columns are ignored.
+    A null html is an empty payload; a very long one is an archive of its own.  Rows that share a page_id give a row each;
+    an empty table gives no rows; other columns are ignored.  The records are kept as a table, so archives are parsed once.
     """
     path = new_path(pages.sparkSession, "warc")
     write(pages, path, least_bytes)
+    records = stored(read(pages.sparkSession, path), "records")
     r = F.col("response")
     origin = F.regexp_extract(r["refers_to"], "^<urn:jobloom:(-?[0-9]+):", 1)
-    return captures(read(pages.sparkSession, path)).select(r["page_id"].alias("page_id"), r["payload_bytes"].alias("payload_bytes"), r["payload_digest"].alias("payload_digest"), r["record_type"].alias("record_type"), F.when(origin != "", origin).cast("bigint").alias("refers_to"))
+    return captures(records).select(r["page_id"].alias("page_id"), r["payload_bytes"].alias("payload_bytes"), r["payload_digest"].alias("payload_digest"), r["record_type"].alias("record_type"), F.when(origin != "", origin).cast("bigint").alias("refers_to"), "request", "response", "metadata")
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, length(html) AS chars, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS request_uri, 22 + length(CAST(chars AS VARCHAR)) AS metadata_bytes
 FROM d
 """

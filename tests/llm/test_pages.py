@@ -5,6 +5,7 @@ import gzip
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from jobloom.llm import html, urls, warc
 
@@ -75,6 +76,28 @@ def test_archives(spark):
         want.append((page, "response" if origin == page else "revisit", None if origin == page else origin, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode()))
     assert got == sorted(want, key=str)
     assert warc.archived(spark.createDataFrame([(1, "u", "x", "")], PAGE), least_bytes=2).first().record_type == "response"
+    assert warc.archived(spark.createDataFrame([], PAGE)).collect() == []
+
+
+def test_large_payloads_have_archives_of_their_own(spark, tmp_path):
+    rows = [(i, "u", "x" * (warc.LARGE + i // 2), "clash") for i in range(6)] + [(10 + i, "u", f"small {i}", "") for i in range(30)]
+    warc.write(spark.createDataFrame(rows, PAGE).coalesce(1), str(tmp_path / "w"))
+    each = warc.read(spark, str(tmp_path / "w")).select("record_type", "page_id", "payload_bytes", F.input_file_name().alias("file"))
+    assert len(list((tmp_path / "w" / "large").glob("*.gz"))) == 4
+    got = warc.captures(warc.read(spark, str(tmp_path / "w"))).collect()
+    assert sorted((r.response.page_id, r.response.payload_bytes) for r in got) == sorted((i, len(t)) for i, _, t, _ in rows)
+    assert all(r.response.intact and r.request.page_id == r.metadata.page_id == r.response.page_id for r in got)
+    assert each.count() == 3 * len(rows)
+
+
+def test_the_query_joins_request_and_metadata_by_concurrent_to(spark, tmp_path):
+    from jobloom.llm.queries import op4_warc
+
+    spark.createDataFrame([(1, "http://a/", "<p>x</p>", ""), (2, None, None, "")], PAGE).write.parquet(str(tmp_path / "pages.parquet"))
+    found = op4_warc(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and plan.count("concurrent_to") >= 2
+    assert {r.page_id: (r.request_uri, r.metadata_bytes) for r in found.collect()} == {1: ("http://a/", 23), 2: (None, 23)}
 
 
 def test_captures_join_by_identifier(spark, tmp_path):
@@ -107,13 +130,14 @@ def slow_verdict(url):
 
 
 def test_urls(spark):
-    cases = ["http://WWW.Example.COM/en/1?x#y", "https://m.example.com/en/2", "http://example.com/de/", "http://x.net/es/1", "http://x.net/esx", "http://spam-farm.example.org", "http://a.spam-farm.example.org/x", "http://notexample.com/en/", "http://com/", "http://com", "ftp://net/fr/", "no scheme", "", None, "http://", "://x.net/fr/", "http://x.org?u=http://y.net/es/", "http://É.net/fr/é", "http://x.net/fr/" + "a" * 100_000]
+    cases = ["http://WWW.Example.COM/en/1?x#y", "https://m.example.com/en/2", "http://example.com/de/", "http://x.net/es/1", "http://x.net/esx", "http://doubleclick.net", "http://ad.doubleclick.net/x", "http://x.doubleclick.net.org/", "http://notexample.com/en/", "http://com/", "http://com", "ftp://net/fr/", "no scheme", "", None, "http://", "://x.net/fr/", "http://x.org?u=http://y.net/es/", "http://É.net/fr/é", "http://x.net/fr/" + "a" * 100_000]
     df = spark.createDataFrame([(i, u, "h", "t") for i, u in enumerate(cases)], PAGE)
     got = {r.page_id: r for r in urls.judged(df).collect()}
     for i, u in enumerate(cases):
         assert (got[i].rule, got[i].verdict) == slow_verdict(u), u
-    assert (got[0].host, got[0].path) == ("www.example.com", "/en/1") and (got[11].host, got[13].path) == ("", "")
+    assert (got[0].host, got[0].path) == ("www.example.com", "/en/1") and (got[12].host, got[14].path) == ("", "")
     assert urls.judged(df.limit(0)).collect() == []
+    assert urls.judged(df.union(df)).count() == 2 * len(cases)
 
 
 def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
@@ -121,6 +145,6 @@ def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     (tmp_path / "list").write_bytes(urls.packed([("block", "a.com/"), ("allow", "b.com/x/")]))
     array = urls.DigestArray(str(tmp_path / "list"))
     assert [array._string(k) for k in array.find([b"b.com/x/", b"a.com/"])] == [b"b.com/x/", b"a.com/"]
-    assert array.find([b"c.com/"]) == [-1]
+    assert array.find([b"c.com/"]) == [-1] and array.lengths == [1, 3]
     (tmp_path / "none").write_bytes(urls.packed([]))
     assert urls.DigestArray(str(tmp_path / "none")).find([b"x"]) == [-1]
