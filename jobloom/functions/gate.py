@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import first, has, sql_has
+from .patterns import first, has, let, likely, sql_has
 
 # The words that the gate looks for.  ``\b`` is the ASCII boundary, so Cyrillic alternatives inside ``\b(...)`` match only next to ASCII word characters.
 VACANCY = r"\b(ваканси|позици|ищем|требуетс|нанимаем|hiring|vacancy|job\s+opening|open\s+position|we\s+are\s+looking\s+for|looking\s+for)\b"
@@ -26,31 +26,54 @@ RESUME_TEXT = r"(#\s*(резюме|cv|resume)|\b(всем\s+привет|при
 FAKE_PLACE = r"\b(java|oop)\b"
 LOW_SALARY = r"(\d{2,4})\s*(eur|usd|gbp|chf|aud|cad|pln|czk|uah|kzt|byn|rub|rur|₽|\$|€|£)"
 GONE = ("stellenangebot gibt es nicht", "nicht mehr verfügbar", "job existiert nicht mehr")
+#: Plain text that a match of a pattern needs, where its alternatives don't begin with it.
+SIGNS = {"apply": ["отклик", "apply", "send", "tg:", "telegram", "@"], "salary": list("0123456789"), "person": ["developer", "engineer", "designer", "generalist", "artist", "cg", "vfx", "motion", "3d"]}
 #: Source types that the group ``api`` stands for.
-API_SOURCES = "arbeitsagentur arbeitnow remotive remoteok jobicy findwork devitjobs themuse theirstack fantasticjobs jobdata techmap okjob whatjobs usajobs jobs2careers graphqljobs".split()
+API_SOURCES = [
+    "arbeitsagentur",
+    "arbeitnow",
+    "remotive",
+    "remoteok",
+    "jobicy",
+    "findwork",
+    "devitjobs",
+    "themuse",
+    "theirstack",
+    "fantasticjobs",
+    "jobdata",
+    "techmap",
+    "okjob",
+    "whatjobs",
+    "usajobs",
+    "jobs2careers",
+    "graphqljobs",
+]
 CHALLENGE = ("just a moment", "checking your browser", "enable javascript and cookies", "attention required", "cf-challenge", "captcha")
 
 
 def vacancy_reason(title: Column, description: Column, tags: Column | None = None, link: Column | None = None) -> Column:
-    """Why a posting is no vacancy, or ``ok``: hard negatives first, then a score of cues."""
+    """Why a posting is no vacancy, or ``ok``: hard negatives first, then a score of cues.
+
+    Each cue is looked for once, behind a search for the plain words that it needs.
+    """
     empty = F.lit("")
     title, description = F.trim(F.coalesce(title, empty)), F.trim(F.coalesce(description, empty))
     text = F.lower(F.concat_ws("\n", title, description, F.trim(F.coalesce(tags, empty)) if tags is not None else empty, F.trim(F.coalesce(link, empty)) if link is not None else empty))
-    low = lambda p: has(text, p, fold=False)
-    vacancy, apply, sections = low(VACANCY), has(text, APPLY), low(SECTIONS)
-    role, promo = low(ROLE), low(PROMO)
-    resume = has(title, RESUME_TITLE) | (~vacancy & (low(RESUME_WORD) | low(RESUME_TAG) | low(SEEKING) | (low(STRUCTURE) & ~apply & ~sections) | ((low(INTRO) | low(FIRST_PERSON)) & ~apply)))
-    salary = low(SALARY)
-    score = 2 * vacancy.cast("int") + apply.cast("int") + sections.cast("int") + salary.cast("int") + role.cast("int") - 3 * promo.cast("int")
-    return (
-        F.when(description == "", "empty_description")
-        .when((F.length(description) < 40) & (F.lower(title) == "вакансия"), "too_short_generic")
-        .when(low(UNAVAILABLE), "job_unavailable_page")
-        .when(resume, "resume_post")
-        .when(promo & (score <= 0), "promo_or_news")
-        .when(~vacancy & ~role & ~sections & ~salary & ~apply, "no_vacancy_signals")  # without these two the other cues outweigh no promotion, so this is score <= 0
-        .otherwise("ok")
-    )
+    patterns = {"vacancy": VACANCY, "apply": APPLY, "sections": SECTIONS, "role": ROLE, "promo": PROMO, "salary": SALARY, "word": RESUME_WORD, "tag": RESUME_TAG, "seeking": SEEKING, "structure": STRUCTURE, "intro": INTRO, "person": FIRST_PERSON, "gone": UNAVAILABLE}
+    flags = lambda t: F.struct(*(likely(t, p, SIGNS.get(name)).alias(name) for name, p in patterns.items()))
+
+    def reason(f: Column) -> Column:
+        resume = has(title, RESUME_TITLE) | (~f["vacancy"] & (f["word"] | f["tag"] | f["seeking"] | (f["structure"] & ~f["apply"] & ~f["sections"]) | ((f["intro"] | f["person"]) & ~f["apply"])))
+        score = 2 * f["vacancy"].cast("int") + sum((f[k].cast("int") for k in ("apply", "sections", "salary", "role")), F.lit(0)) - 3 * f["promo"].cast("int")
+        return (
+            F.when(f["gone"], "job_unavailable_page")
+            .when(resume, "resume_post")
+            .when(f["promo"] & (score <= 0), "promo_or_news")
+            .when(~f["vacancy"] & ~f["role"] & ~f["sections"] & ~f["salary"] & ~f["apply"], "no_vacancy_signals")  # without these two the other cues outweigh no promotion, so this is score <= 0
+            .otherwise("ok")
+        )
+
+    return F.when(description == "", "empty_description").when((F.length(description) < 40) & (F.lower(title) == "вакансия"), "too_short_generic").otherwise(let(text, lambda t: let(flags(t), reason)))
 
 
 def sql_vacancy_reason(title: str, description: str) -> str:

@@ -84,6 +84,36 @@ def has(text: Column, pattern: str, fold: bool = True) -> Column:
     return F.rlike(text, F.lit(("(?iu)" if fold else "") + _quick(pattern)))
 
 
+def signs(pattern: str) -> list[str] | None:
+    """Lower-case strings of which a text that matches holds at least one: plain text of each alternative; None if one has none at the start of a part."""
+    bounded = re.fullmatch(r"\\b\((.*)\)\\b", pattern, re.S) or re.fullmatch(r"\((?!\?)(.*)\)", pattern, re.S)
+    out = set()
+    for alt in (_alternatives(bounded[1]) if bounded else []) or [pattern]:
+        if alt != pattern and alt[:1] in ("\\", "(") and (inner := signs(alt)):
+            out.update(inner)
+            continue
+        plain = [""]
+        for part in re.split(r"\\s[+*]", alt):  # every part is needed: the longest tells most
+            m = re.match(r"(?:\\b)?([\w#@:-]*)", part)
+            plain.append(m[1][:-1] if part[m.end() :][:1] in tuple("?*{") else m[1])
+        if not max(plain, key=len):
+            return None
+        out.add(max(plain, key=len).lower())
+    return sorted(out)
+
+
+def likely(text: Column, pattern: str, of: list[str] | None = None) -> Column:
+    """``has`` for a lower-cased text, looked for only where one of the pattern's signs stands: most texts are spared the expression."""
+    of, match = of or signs(pattern), has(text, pattern, fold=bool(re.search("[A-Z]", pattern)))
+    if of is None:
+        return match
+    shortest = [x for x in of if not any(y != x and y in x for y in of)]
+    seen = F.lit(False)
+    for x in shortest:
+        seen = seen | F.contains(text, F.lit(x))
+    return F.when(seen, match).otherwise(F.when(text.isNotNull(), False))
+
+
 def first(text: Column, pattern: str, group: int = 0) -> Column:
     """The group of the first match, or null."""
     return F.nullif(F.regexp_extract(text, java(pattern), group), F.lit(""))
