@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions import extract, text
+from jobloom.functions import extract, places, text, titles
 from jobloom.functions.salary import salary
 
 
@@ -18,9 +18,9 @@ def sectioned(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-FIELDS = ["contacts", "salary", "employment", "work_format", "schedule", "experience", "tech", "languages", "benefits", "interview", "company"]
-#: Warning of a field that isn't found.
-NOT_FOUND = {"contacts": "contacts_not_found", "salary": "salary_not_found", "employment": "employment_not_found", "work_format": "work_format_not_found", "schedule": "schedule_not_found", "experience": "experience_not_found", "tech": "tech_not_found", "languages": "languages_not_found", "benefits": "benefits_not_found", "interview": "interview_not_found", "company": "company_not_found"}
+FIELDS = ["contacts", "salary", "employment", "work_format", "schedule", "location", "title", "experience", "tech", "languages", "benefits", "interview", "company"]
+#: Fields that are worked out together, so that no projection grows too large to plan or compile.
+GROUPS = [["contacts", "company"], ["salary"], ["employment", "work_format", "schedule"], ["location"], ["title"], ["experience", "tech"], ["languages", "benefits", "interview"]]
 
 
 def parsed(df: DataFrame, column: str, country: Column | None = None, currency: Column | None = None, strict: bool = False) -> DataFrame:
@@ -28,11 +28,24 @@ def parsed(df: DataFrame, column: str, country: Column | None = None, currency:
 
     ``country`` and ``currency`` hint at what a text doesn't say; ``strict`` takes no amount without a currency or a word for pay.
     """
-    def field(name: str) -> Column:
-        source = F.col("normalized") if name in ("contacts", "company") else F.col("sections")
-        return salary(source, country, currency, strict) if name == "salary" else getattr(extract, name)(source)
+    lang = F.col("detected_lang")
+    home = F.coalesce(country if country is not None else F.lit(None).cast("string"), F.when(lang.isin("ru", "mixed"), "RU"))
 
-    out = sectioned(df, column).select("*", *(field(n).alias(n) for n in FIELDS))  # one projection: each is analysed once
-    warned = [F.when(F.col("normalized") == "", "empty_text"), *(F.when(F.col(f"{n}.confidence") == 0, w) for n, w in NOT_FOUND.items())]
+    def field(name: str) -> Column:
+        if name == "salary":
+            return salary(F.col("sections"), country, currency, strict)
+        if name == "title":
+            return titles.title(F.col("lines"), strict)
+        if name == "location":
+            return places.location(F.col("sections"), country)
+        if name == "contacts":
+            return extract.contacts(F.col("normalized"), home)
+        return getattr(extract, name)(F.col("normalized" if name == "company" else "sections"))
+
+    out = sectioned(df, column).withColumn("detected_lang", text.detect_lang(F.col("normalized")))
+    for group in GROUPS:
+        out = out.select("*", *(field(n).alias(n) for n in group))
+    warned = [F.when(F.col("normalized") == "", "empty_text"), F.when(lang == "unknown", "lang_unknown"), *(F.when(F.col(f"{n}.confidence") == 0, f"{n}_not_found") for n in FIELDS if n != "title")]
     conflicts = [F.when(F.col("employment.conflict"), "employment_conflict_full_part"), F.when(F.col("work_format.conflict"), "work_format_conflict_remote_onsite")]
-    return out.select("*", text.detect_lang(F.col("normalized")).alias("detected_lang"), F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS)).alias("total"), F.array_compact(F.array(*warned, *conflicts)).alias("warnings"))
+    regions = F.transform("location.regions", lambda r: F.concat(F.lit("location_region_only:"), r))
+    return out.select("*", F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS)).alias("total"), F.concat(F.array_compact(F.array(*warned, *conflicts)), F.col("title.warnings"), regions).alias("warnings"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import extract, gate, text, urls
+from .functions import extract, gate, places, text, titles, urls
 from .functions.patterns import sql_has
 from .functions.salary import salary
 from .operators import audits, funnel, ingest, postings
@@ -177,11 +177,13 @@ def retention_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.survivors(jobs, applied, "published", "published", F.lit("1997-01-01").cast("timestamp")).select("id", "published")
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id % 2 = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+@query("SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id < p.page_id)")
 def existing_link_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-5: of a batch (odd ids) the rows whose link isn't stored (even ids) yet."""
+    """JN-5: pages whose link isn't stored yet when they arrive, in order of their ids."""
     p = views.table(spark, sf_dir, "pages").select("page_id", "url")
-    return ingest.unseen(p.where("page_id % 2 = 1"), p.where("page_id % 2 = 0"), ["url"]).select("page_id", "url")
+    stored = p.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    later = p.join(stored.withColumnRenamed("page_id", "first_id"), "url").where("page_id > first_id").select("page_id", "url")
+    return ingest.unseen(p, later, ["page_id", "url"]).select("page_id", "url")
 
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name || ' (old)' FROM customer WHERE c_custkey % 3 = 0")
@@ -341,11 +343,32 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.counts_by_reason(vacancy_gate(spark, sf_dir))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {sql_has('lower(text)', gate.RESUME_TEXT)} THEN 'resume' END, CASE WHEN TRY_CAST(nullif(regexp_extract(lower(text), '(?i){gate.LOW_SALARY}', 1), '') AS INT) < 500 THEN 'low_salary' END, CASE WHEN length(trim(text)) BETWEEN 1 AND 149 THEN 'too_short' END], lambda x: x IS NOT NULL), ',') AS anomalies FROM documents""")
+def _anomalies_sql(text_: str, place: str) -> str:
+    return f"""list_filter([CASE WHEN {sql_has(f'lower({text_})', gate.RESUME_TEXT)} THEN 'resume' END, CASE WHEN {sql_has(f'lower({place})', gate.FAKE_PLACE)} THEN 'fake_location' END, CASE WHEN TRY_CAST(nullif(regexp_extract(lower({text_}), '(?i){gate.LOW_SALARY}', 1), '') AS INT) < 500 THEN 'low_salary' END, CASE WHEN length(trim({text_})) BETWEEN 1 AND 149 THEN 'too_short' END], lambda x: x IS NOT NULL)"""
+
+
+#: A posting's place, for the queries: its first line's last words.
+_PLACE_SQL = "right(split_part(text, chr(10), 1), 40)"
+
+
+def _place(column: str = "text"):
+    line = F.substring_index(column, "\n", 1)
+    return F.when(F.length(line) > 40, F.substring(line, -40, 40)).otherwise(line)
+
+
+@query(f"SELECT doc_id, array_to_string({_anomalies_sql('text', _PLACE_SQL)}, ',') AS anomalies FROM documents")
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRD-5 to PRD-8."""
     d = views.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(gate.anomaly_reasons(F.col("text"), F.lit(None).cast("string"), F.col("text")), ",").alias("anomalies"))
+    return d.select("doc_id", F.array_join(gate.anomaly_reasons(F.col("text"), _place(), F.col("text")), ",").alias("anomalies"))
+
+
+@query("SELECT turn, CASE WHEN regexp_matches(text, '(?i)\\b(java|oop)\\b') THEN 'fake_location' END AS anomaly, count(*) AS n FROM conversations GROUP BY 1, 2")
+def fake_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-6: places that name a technology, by the turn of the conversation that gives them."""
+    c = views.table(spark, sf_dir, "conversations")
+    reasons = gate.anomaly_reasons(F.lit(None).cast("string"), F.col("text"), F.lit(None).cast("string"))
+    return c.groupBy("turn", F.when(F.array_contains(reasons, "fake_location"), "fake_location").alias("anomaly")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, length(trim(text)) < 400 OR (length(trim(text)) < 800 AND regexp_matches(text, '(?i)https?://')) AS needs_text FROM documents")
@@ -368,10 +391,12 @@ def unavailable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", gate.unavailable(F.col("text")).alias("gone"))
 
 
-@query(f"""SELECT id, source_id FROM {JOB_SQL} j WHERE id IN (SELECT job_id FROM {APPLICATION_SQL}) OR title NOT LIKE '%7%'""")
+@query(f"""SELECT doc_id AS id, source AS source_id FROM documents d WHERE doc_id IN (SELECT job_id FROM {APPLICATION_SQL}) OR len({_anomalies_sql('text', _PLACE_SQL)}) = 0 OR text IS NULL""")
 def anomaly_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRD-8 with its protection: bad rows (here: a 7 in the name) go unless an application protects them."""
-    return postings.purge(views.jobs(spark, sf_dir), views.applications(spark, sf_dir), F.contains("title", F.lit("7"))).select("id", "source_id")
+    """PRD-8 with its protection: anomalous rows go unless an application protects them."""
+    p = views.postings(spark, sf_dir)
+    bad = F.size(gate.anomaly_reasons(F.col("description"), _place("description"), F.col("description"))) > 0
+    return postings.purge(p, views.applications(spark, sf_dir), bad).select("id", "source_id")
 
 
 @query(f"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), i AS (SELECT doc_id, unnest(list_filter([CASE WHEN trim(title) = '' THEN 'title_null' END, CASE WHEN length(title) > 90 THEN 'title_too_long' END, CASE WHEN length(title) BETWEEN 1 AND 3 THEN 'title_too_short' END, CASE WHEN regexp_matches(title, '(?i)https?://|www\\.') THEN 'title_has_url' END, CASE WHEN regexp_matches(title, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}') THEN 'title_has_email' END, CASE WHEN regexp_matches(title, '[.!?]\\s+\\S') THEN 'title_is_sentence' END], lambda x: x IS NOT NULL)) AS issue FROM t)
@@ -389,10 +414,170 @@ def title_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.examples(audits.issues(views.postings(spark, sf_dir), rules, "id"), "id")
 
 
-@query(f"SELECT word AS name, count(*) AS n FROM (SELECT unnest(string_split({_kinds_sql(extract.BENEFITS)}, ',')) AS word FROM documents) WHERE word <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
+_CONTACT_SQL = "regexp_matches(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}') OR regexp_matches(text, '(?i)(^|\\s)@([a-zA-Z0-9_]{3,32})\\b') OR regexp_matches(text, '(?i)t\\.me/(?:joinchat/|\\+)?([a-zA-Z0-9_]{3,64})\\b') OR regexp_matches(text, '(?i)(?:https?://|www\\.)[^\\s)]+')"
+
+
+def _year_sql(p: str, group: int) -> str:
+    return f"CASE WHEN TRY_CAST(nullif(regexp_extract(text, '(?i){p}', {group}), '') AS INT) <= 30 THEN TRY_CAST(nullif(regexp_extract(text, '(?i){p}', {group}), '') AS INT) END"
+
+
+def _years_sql(p: str, ranged: bool) -> str:
+    """The years that a pattern's first match names, null where they look like pay, shares or dates."""
+    at, size = f"strpos(text, regexp_extract(text, '(?i){p}'))", f"length(regexp_extract(text, '(?i){p}'))"
+    near = f"substr(text, greatest(1, {at} - 50), {size} + 50 + least(50, {at} - 1))"
+    high = _year_sql(p, 2) if ranged else "CAST(NULL AS INT)"
+    return f"CASE WHEN ({_year_sql(p, 1)} IS NOT NULL OR {high} IS NOT NULL) AND NOT regexp_matches({near}, '(?i){extract.NOT_YEARS}') THEN {{'min': {_year_sql(p, 1)}, 'max': {high}}} END"
+
+
+_YEARS_SQL = "list_filter([" + ", ".join(_years_sql(*p) for p in extract.YEARS) + "], lambda x: x IS NOT NULL)[1]"
+_FORMAT_SQL = f"({sql_has('text', extract.REMOTE)} OR {sql_has('text', extract.HYBRID)} OR {sql_has('text', extract.ONSITE)})"
+#: Whether a field is missing, by its warning, over one body section.
+_MISSING_SQL = {
+    "contacts_not_found": f"NOT ({_CONTACT_SQL})",
+    "employment_not_found": f"{_kinds_sql(extract.EMPLOYMENT)} = ''",
+    "work_format_not_found": f"NOT {_FORMAT_SQL}",
+    "benefits_not_found": f"{_kinds_sql(extract.BENEFITS)} = ''",
+    "tech_not_found": "NOT (" + " OR ".join(sql_has("text", extract.tech_pattern(x).replace("'", "''")) for _, x in extract.technologies()) + ")",
+    "experience_not_found": f"{_YEARS_SQL} IS NULL",
+}
+_WARNED_SQL = "list_filter([" + ", ".join(f"CASE WHEN coalesce({c}, true) THEN '{w}' END" for w, c in _MISSING_SQL.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with the fields of ``_MISSING_SQL``, from one body section."""
+    body = F.array(F.struct(F.lit("body").alias("name"), F.array(F.coalesce("text", F.lit(""))).alias("lines")))
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), body.alias("sections"))
+    return d.select("doc_id", extract.contacts(F.col("text")).alias("contacts"), *(getattr(extract, n)(F.col("sections")).alias(n) for n in ("employment", "work_format", "benefits", "tech", "experience")))
+
+
+def _warned(df: DataFrame) -> DataFrame:
+    return df.withColumn("warnings", F.array_compact(F.array(*(F.when(F.col(f"{w.removesuffix('_not_found')}.confidence") == 0, w) for w in _MISSING_SQL))))
+
+
+@query(f"SELECT name, count(*) AS n FROM (SELECT unnest({_WARNED_SQL}) AS name FROM documents) GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
 def warnings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-7, SRT-7: the ten most frequent elements of an extracted array."""
-    return audits.top_counts(_whole(spark, sf_dir).select(extract.benefits(F.col("sections"))["values"].alias("found")), "found")
+    """AGG-7, SRT-7: the ten most frequent warnings."""
+    return audits.top_counts(_warned(_fields(spark, sf_dir)), "warnings")
+
+
+@query(f"SELECT field, n, floor(n * 1000 / total + 0.5) / 10 AS share FROM (SELECT field, count(*) AS n FROM (SELECT unnest({_WARNED_SQL}) AS field FROM documents) GROUP BY 1), (SELECT count(*) AS total FROM documents)")
+def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-9: how many texts lack each field, and their share in per cent."""
+    d = _warned(_fields(spark, sf_dir))
+    total = views.table(spark, sf_dir, "documents").agg(F.count("*").alias("total"))
+    found = d.select(F.explode("warnings").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    return found.join(total).select("field", "n", (F.floor(F.col("n") * 1000 / F.col("total") + 0.5) / 10).alias("share"))
+
+
+def _hits_sql(rules: list[tuple[str, str]]) -> str:
+    return " + ".join(f"CAST({sql_has('t', p)} AS INT)" for _, p in rules)
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_hits_sql(extract.EMPLOYMENT)} AS e, {_hits_sql(extract.BENEFITS)} AS b, {_hits_sql([("", extract.REMOTE), ("", extract.HYBRID), ("", extract.ONSITE)])} AS f FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, round(greatest(CASE WHEN e > 0 THEN least(1, 0.35 + 0.1 * least(8, e)) ELSE 0 END, CASE WHEN b > 0 THEN least(1, 0.25 + 0.07 * least(10, b)) ELSE 0 END, CASE WHEN f > 0 THEN least(1, 0.35 + 0.1 * least(8, f)) ELSE 0 END)::DOUBLE, 4) AS total FROM n""")
+def confidence_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-17, AGG-19: the greatest of the confidences of employment, benefits and work format."""
+    d = _whole(spark, sf_dir)
+    each = [getattr(extract, n)(F.col("sections"))["confidence"] for n in ("employment", "benefits", "work_format")]
+    return d.select("doc_id", F.round(F.greatest(*each), 4).alias("total"))
+
+
+@query(f"SELECT doc_id, {sql_has('text', extract.NIGHT)} AS night_shifts, {sql_has('text', extract.WEEKENDS)} AS weekends, {sql_has('text', extract.FLEXIBLE)} AS flexible FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def schedule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-5."""
+    s = extract.schedule(F.col("sections"))
+    return _whole(spark, sf_dir).select("doc_id", s["night_shifts"].alias("night_shifts"), s["weekends"].alias("weekends"), s["flexible"].alias("flexible"))
+
+
+@query(f"SELECT doc_id, y.min AS min_years, y.max AS max_years FROM (SELECT doc_id, {_YEARS_SQL} AS y FROM documents)")
+def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-8: of one body section the first pattern that matches away from pay, shares and dates."""
+    e = extract.experience(F.col("sections"))
+    return _whole(spark, sf_dir).select("doc_id", e["min_years"].alias("min_years"), e["max_years"].alias("max_years"))
+
+
+_SECTION_OF = {w: n for n, ws in reversed(text.HEADERS) for w in ws.split("|")}
+_HEADER_SQL = "map_extract(MAP {{" + ", ".join("'{}': '{}'".format(w.replace("'", "''"), n) for w, n in _SECTION_OF.items()) + "}}, lower(regexp_extract({0}, '(?i)^(" + "|".join(dict.fromkeys(w for _, ws in text.HEADERS for w in ws.split("|"))).replace("'", "''") + ")\\b', 1)))[1]"
+_SECTIONS_SQL = f"""l AS (SELECT doc_id, unnest({_LINES_SQL}) AS line, unnest(range(1, len({_LINES_SQL}) + 1)) AS i FROM documents),
+h AS (SELECT doc_id, i, line, CASE WHEN strpos(line, ':') > 1 THEN {_HEADER_SQL.format("trim(left(line, strpos(line, ':') - 1))")} END AS before, {_HEADER_SQL.format("regexp_replace(line, '[:-]+[[:space:]]*$', '')")} AS whole FROM l),
+g AS (SELECT *, coalesce(before, whole) AS opens, CASE WHEN before IS NOT NULL THEN trim(substr(line, strpos(line, ':') + 1)) ELSE '' END AS rest FROM h),
+n AS (SELECT *, count(opens) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM g),
+b AS (SELECT doc_id, part, coalesce(max(opens), 'body') AS name, string_agg(CASE WHEN opens IS NULL THEN line WHEN rest <> '' THEN rest END, chr(10) ORDER BY i) AS body FROM n GROUP BY 1, 2 HAVING body IS NOT NULL),
+s AS (SELECT doc_id, part, name, body FROM b UNION ALL SELECT doc_id, -1, 'head', string_agg(line, chr(10) ORDER BY i) FROM l WHERE i <= 10 GROUP BY 1)"""
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's sections, by its lines as they are."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", text.lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    return d.select("doc_id", text.sections(F.col("lines")).alias("sections"))
+
+
+@query(f"WITH {_SECTIONS_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INT) AS place, name, CAST(1 + length(body) - length(replace(body, chr(10), '')) AS BIGINT) AS n_lines, sha256(body) AS body FROM s")
+def segment_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-8: the sections of each text, the head first."""
+    d = _sectioned(spark, sf_dir).select("doc_id", F.posexplode("sections").alias("place", "s"))
+    return d.select("doc_id", "place", "s.name", F.size("s.lines").cast("bigint").alias("n_lines"), F.sha2(F.array_join("s.lines", "\n"), 256).alias("body"))
+
+
+def _spelled_sql(sections: str) -> str:
+    names = ", ".join("CASE WHEN regexp_matches(body, '(?i){}') THEN '{}' END".format(extract.tech_pattern(x).replace("'", "''"), n.replace("'", "''")) for n, x in extract.technologies())
+    return f"list_sort(list_distinct(flatten(list(list_filter([{names}], lambda x: x IS NOT NULL)) FILTER (WHERE {sections}))))"
+
+
+@query(f"""WITH {_SECTIONS_SQL}, t AS (SELECT doc_id, coalesce({_spelled_sql("name = 'requirements'")}, []) AS must, coalesce({_spelled_sql("name = 'nice_to_have'")}, []) AS plus, coalesce({_spelled_sql("name NOT IN ('requirements', 'nice_to_have')")}, []) AS rest FROM s GROUP BY 1)
+SELECT doc_id, array_to_string(coalesce(must, []), ',') AS must, array_to_string(list_filter(coalesce(plus, []), lambda x: NOT list_contains(coalesce(must, []), x)), ',') AS plus, array_to_string(list_filter(coalesce(rest, []), lambda x: NOT list_contains(coalesce(must, []), x) AND NOT list_contains(coalesce(plus, []), x)), ',') AS rest FROM documents LEFT JOIN t USING (doc_id)""")
+def tech_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-9, SET-2: technologies of each text by section: required, nice to have, others."""
+    t = extract.tech(F.col("sections"))
+    return _sectioned(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", *(F.array_join(f"t.{k}", ",").alias(name) for k, name in (("must", "must"), ("plus", "plus"), ("all", "rest"))))
+
+
+def _spoken_sql(p: str, name: str) -> str:
+    at, size = f"strpos(text, regexp_extract(text, '(?i){p}'))", f"length(regexp_extract(text, '(?i){p}'))"
+    near = f"substr(text, greatest(1, {at} - 60), {size} + 60 + least(60, {at} - 1))"
+    return f"CASE WHEN {sql_has('text', p)} AND {sql_has(near, extract.LANGUAGE_CUE)} THEN '{name}' END"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(_spoken_sql(p, n) for n, p in extract.LANGUAGES)}], lambda x: x IS NOT NULL), ',') AS required FROM documents")
+def languages_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-10: languages that one body section names near a word for a language or a level."""
+    found = extract.languages(F.col("sections"))["required"]
+    return _whole(spark, sf_dir).select("doc_id", F.array_join(F.transform(found, lambda x: x["language"]), ",").alias("required"))
+
+
+@query()
+def company_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-13; literal rows are checked in the tests."""
+    d = views.table(spark, sf_dir, "documents")
+    return d.select("doc_id", extract.company(F.coalesce("text", F.lit(""))).alias("c")).select("doc_id", "c.name", "c.confidence")
+
+
+@query()
+def title_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-7, SET-5, SCL-23; literal rows are checked in the tests."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", text.lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    return d.select("doc_id", titles.title(F.col("lines")).alias("t")).select("doc_id", "t.value", "t.role", "t.level", F.array_join("t.specialization", ",").alias("specialization"), F.round("t.confidence", 4).alias("confidence"))
+
+
+@query()
+def location_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-6, JN-11; literal rows are checked in the tests."""
+    found = places.location(F.col("sections"))
+    return _whole(spark, sf_dir).select("doc_id", found.alias("l")).select("doc_id", "l.city", "l.country", "l.relocation", "l.visa_support", F.round("l.confidence", 4).alias("confidence"))
+
+
+#: Countries by name alone, cities left out: the part of EXT-6 that SQL states.
+_COUNTRIES_SQL = "list_filter([" + ", ".join("CASE WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])({})([^\\p{{L}}\\p{{N}}]|$)') THEN '{}' END".format("|".join(x for x in names if x.isalpha() and (len(x) > 2 or x in ("рф", "us", "uk"))), c) for c, names in places.COUNTRIES) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({_COUNTRIES_SQL}), ',') AS countries FROM documents")
+def countries_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-11: the countries that a text names in one word."""
+    words = {x: c for c, names in places.COUNTRIES for x in names if x.isalpha() and (len(x) > 2 or x in ("рф", "us", "uk"))}
+    of = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
+    own = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, words)))
+    d = views.table(spark, sf_dir, "documents").select("doc_id", "text", own.alias("own"))
+    return d.select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(F.array_sort(F.array_distinct(F.transform("own", lambda x: F.try_element_at(of, x)))), ",")).alias("countries"))
 
 
 @query()

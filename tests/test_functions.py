@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.functions import extract, gate, text, urls
+from jobloom.functions import extract, gate, places, text, titles, urls
 from jobloom.functions.salary import salary
 from jobloom.plans import parse
 
@@ -117,7 +117,7 @@ def test_record(record):
     assert record.benefits.values == ["gym", "insurance", "remote"]
     assert record.schedule.hours_per_week == 40 and record.schedule.patterns == ["5/2"]
     assert record.interview.steps == ["Final", "HR", "Tech"] and record.company.name == "Example 2 Inc"
-    assert record.total == max(getattr(record, n).confidence for n in parse.FIELDS) and record.warnings == ["salary_not_found"]
+    assert record.total == max(getattr(record, n).confidence for n in parse.FIELDS) and record.warnings == ["salary_not_found", "location_not_found"] and record.title.value == "Senior Backend Developer"
 
 
 def test_empty_record(spark):
@@ -153,3 +153,86 @@ def test_counts_and_dates(value):
 def test_salary(value, raw, want):
     got = value(lambda x: salary(text.sections(text.lines(x)), strict=True), raw)
     assert tuple(got)[:5] == want
+
+
+def _sections(body):
+    return F.array(F.struct(F.lit("head").alias("name"), F.split(body, "\n").alias("lines")))
+
+
+@pytest.mark.parametrize(
+    "raw, city, country",
+    [
+        ("Локация: Москва, РФ", "Moscow", "Russia"),
+        ("Location: Berlin, Germany", "Berlin", "Germany"),
+        ("Office in Тбилиси, гибридный формат", "Tbilisi", "Georgia"),
+        ("Dublin (IE)", "Dublin", "Ireland"),
+        ("Springfield, IL", "Springfield", "USA"),
+        ("We are in New York and Tel Aviv", "Tel Aviv", "Israel"),
+        ("US only", None, "USA"),
+        ("Stack: Django, FastAPI", None, None),
+        ("Apply: https://forms.example.ru/cloud/123", None, None),
+        ("Мы делаем удобные интерфейсы для iPhone/iPad", None, None),
+        ("", None, None),
+    ],
+)
+def test_location(value, raw, city, country):
+    got = value(lambda x: places.location(_sections(x)), raw)
+    assert (got.city, got.country) == (city, country) and (got.confidence > 0) == bool(city or country)
+
+
+def test_location_flags_and_regions(value):
+    got = value(lambda x: places.location(_sections(x)), "Relocation package available. Visa support provided.")
+    assert got.relocation and got.visa_support and got.confidence == 0.4
+    got = value(lambda x: places.location(_sections(x)), "EMEA and APAC teams, EU only")
+    assert got.regions == ["EU", "EMEA", "APAC"] and got.country is None
+
+
+@pytest.mark.parametrize(
+    "raw, title, role, level",
+    [
+        ("Senior Backend Developer (Node.js, NestJS)\nRequirements: SQL", "Senior Backend Developer (Node.js, NestJS)", "backend_developer", "senior"),
+        ("Hello\nPosition: Data Engineer", "Data Engineer", "data_engineer", "unknown"),
+        ("Вакансия: Тестировщик", "Тестировщик", "qa_engineer", "unknown"),
+        ("Удаленка, парт-тайм", None, "unknown", "unknown"),
+        ("Source: HH\nhttps://x.example/1", None, "unknown", "unknown"),
+        ("PRODUCT MANAGER\nlead of nothing", "PRODUCT MANAGER", "product_manager", "unknown"),
+        ("", None, "unknown", "unknown"),
+    ],
+)
+def test_title(value, raw, title, role, level):
+    got = value(lambda x: titles.title(text.lines(x)), raw)
+    assert (got.value, got.role, got.level) == (title, role, level)
+    assert ("title_not_found" in got.warnings) == (raw == "")
+
+
+def test_title_confidence_is_logistic(value):
+    import math
+
+    got = value(lambda x: titles.title(text.lines(x)), "Senior Backend Developer (Node.js)")
+    assert math.isclose(got.confidence, 1 / (1 + math.exp(-0.25 * (2 + 1 + 2 + 1 + 1 - 2)))) and "Node.js" in got.specialization
+
+
+@pytest.mark.parametrize(
+    "raw, country, want",
+    [("Телефон: +7 (999) 123-45-67", None, ["+79991234567"]), ("8 999 123-45-67", "RU", ["+79991234567"]), ("650-253-0000", "US", ["+16502530000"]), ("650-253-0000", None, []), ("+1 650 253", None, []), ("order 12345678901234", None, [])],
+)
+def test_phones(value, raw, country, want):
+    got = value(lambda x: extract.contacts(x, F.lit(country)), raw)
+    assert got.phones == want and (got.confidence > 0) == bool(want)
+
+
+@pytest.mark.parametrize(
+    "raw, name",
+    [
+        ("Вакансия: IT Support Manager Компания: Kwaaka Локация: Удалённо", "Kwaaka"),
+        ("Product Manager (Web) в AIBY: Можно работать удалённо", "AIBY"),
+        ("We are a fast growing team. Join us!", None),
+        ("Stack: TypeScript, NestJS", None),
+        ("Finance / Data AnalystSTARTRIBE LTD\nМосква", "STARTRIBE"),
+        ("Senior Backend Developer TypeScript", None),
+        ("Специалист по сверке данныхITea", "ITea"),
+        ("Die medatixx GmbH & Co. KG ist gemeinsam mit ihrem Tochterunternehmen I-Motion GmbH ein Anbieter von Software.", "medatixx GmbH & Co. KG"),
+    ],
+)
+def test_company_forms(value, raw, name):
+    assert value(extract.company, raw).name == name
