@@ -121,7 +121,16 @@ def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
+#: Keys (16 bytes each) up to which ``without`` broadcasts them.
+KEYS = 4_000_000
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows; of a larger one Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df``, with all its columns whatever their names, whose ``column`` isn't in the one column of ``keys``."""
-    plain, keys = _numbered(df), keys.toDF("key")
-    return plain.join(keys, plain[f"c{df.columns.index(column)}"] == keys.key, "left_anti").toDF(*df.columns)
+    plain, keys = _numbered(df), stored(keys.toDF("key").distinct(), "keys")
+    return plain.join(small(keys, KEYS), plain[f"c{df.columns.index(column)}"] == keys.key, "left_anti").toDF(*df.columns)

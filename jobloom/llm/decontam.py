@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, drop_stored, stored, without
+from .common import ascii_lower, drop_stored, small, stored, without
 
 WINDOW = 10
 #: Rows of phrases or terms up to which a join broadcasts them, at some 100 bytes each; more are shuffled.
@@ -46,11 +46,6 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
 
 
-def _small(df: DataFrame, block: int) -> DataFrame:
-    """``df`` marked for a broadcast if it has at most ``block`` rows; of a larger one Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= block else df
-
-
 def postings(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key, doc_id, n_words, term, pos): the places, from 1, of each of ``terms`` in each document, stored.
 
@@ -59,14 +54,14 @@ def postings(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame
     mark = terms.sparkSession.range(1).select(F.lit("").alias("term"))
     own = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
     every = own.select("key", "doc_id", "n_words", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "term"))
-    return stored(every.join(_small(terms.unionByName(mark), block), "term").select("key", "doc_id", "n_words", "term", "pos"), "postings")
+    return stored(every.join(small(terms.unionByName(mark), block), "term").select("key", "doc_id", "n_words", "term", "pos"), "postings")
 
 
 def _ranked(unique: DataFrame, index: DataFrame, block: int) -> DataFrame:
     """(id, size, terms: array of (n, at, term), rarest first) of the phrases whose terms all occur in some document."""
     each = unique.select("id", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
     counts = stored(index.where("pos > 0").groupBy("term").agg(F.count("*").alias("n")), "counts")
-    ranked = each.join(_small(counts, block), "term", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("terms"))
+    ranked = each.join(small(counts, block), "term", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("terms"))
     return ranked.where(F.col("terms")[0].n > 0)
 
 
@@ -84,19 +79,19 @@ def matches(index: DataFrame, unique: DataFrame, window: int = WINDOW, slop: int
     """(key, id, size, start, exact): every exact and proximity match of the phrases ``unique`` (id, terms), stored."""
     ranked = stored(_ranked(unique, index, block), "ranked")
     first = ranked.select("id", "size", F.col("terms")[0].at.alias("at"), F.col("terms")[0].term.alias("term"))
-    begun = index.where("pos > 0").join(_small(first, block), "term").select("id", "size", "key", (F.col("pos") - F.col("at")).alias("start"))
+    begun = index.where("pos > 0").join(small(first, block), "term").select("id", "size", "key", (F.col("pos") - F.col("at")).alias("start"))
     # the list of the second rarest term
     second = F.get(F.col("terms"), F.lit(1))
     next_ = ranked.select("id", second.at.alias("at"), second.term.alias("term"))
-    begun = begun.join(_small(next_, block), "id")
-    rare = index.join(_small(next_.where("term is not null").select("term").distinct(), block), "term", "left_semi")
+    begun = begun.join(small(next_, block), "id")
+    rare = index.join(small(next_.where("term is not null").select("term").distinct(), block), "term", "left_semi")
     place = ["id", "size", "key", "start"]
     two = _met(begun.where("term is not null"), rare, slop, window).select(place).distinct()
     left = stored(two.unionByName(begun.where("term is null").select(place)), "candidates")
     # the lists of all terms, in the documents that are left
-    probes = left.join(_small(ranked.select("id", F.explode("terms").alias("t")), block), "id").select(*place, "t.at", "t.term")
+    probes = left.join(small(ranked.select("id", F.explode("terms").alias("t")), block), "id").select(*place, "t.at", "t.term")
     keys = stored(left.select("key").distinct(), "keys")
-    there = index.join(_small(keys, KEYS), "key", "left_semi")
+    there = index.join(small(keys, KEYS), "key", "left_semi")
     each = _met(probes, there, slop, window).groupBy(*place, "at").agg(F.max("exact").alias("exact"))
     found = each.groupBy(*place).agg(F.count("*").alias("n"), F.sum(F.col("exact").cast("int")).alias("n_exact")).where("n = size")
     out = stored(found.select(*place, (F.col("n_exact") == F.col("size")).alias("exact")), "matches")
