@@ -67,10 +67,16 @@ def drop_stored(*tables: DataFrame) -> None:
                 _WRITTEN.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table and archive that this session's operators still keep; results that read them must be saved before."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+def written() -> frozenset[str]:
+    """The folders that this session's operators have written and not yet deleted."""
+    return frozenset(_WRITTEN)
+
+
+def release(spark: SparkSession, but: frozenset[str] = frozenset()) -> None:
+    """Delete every table and archive that this session's operators still keep, except ``but``; save results that read them before."""
+    for path in [p for p in _WRITTEN if p not in but]:
+        _delete(spark, path)
+        _WRITTEN.remove(path)
 
 
 def ascii_lower(text: Column) -> Column:
