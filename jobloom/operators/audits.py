@@ -16,9 +16,9 @@ def share(condition: Column) -> Column:
 
 
 def metrics(parsed: DataFrame) -> DataFrame:
-    """One row: how many records, and the shares with a salary and without contacts."""
-    contacts = F.size("contacts.emails") + F.size("contacts.telegram") + F.size("contacts.urls")
-    return parsed.agg(F.count("*").alias("total"), share(F.col("salary.min").isNotNull() | F.col("salary.max").isNotNull()).alias("salary_found"), share(contacts == 0).alias("no_contacts"))
+    """One row: how many records, and the shares with a doubtful title, with a salary and without contacts."""
+    contacts = F.size("contacts.emails") + F.size("contacts.phones") + F.size("contacts.telegram") + F.size("contacts.urls")
+    return parsed.agg(F.count("*").alias("total"), share(F.col("title.confidence") < 0.6).alias("title_low"), share(F.col("salary.min").isNotNull() | F.col("salary.max").isNotNull()).alias("salary_found"), share(contacts == 0).alias("no_contacts"))
 
 
 def top_counts(df: DataFrame, array: str, k: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from .functions.salary import salary
 from .operators import audits, funnel, ingest, postings
 from .plans import parse, views
 from .plans.views import APPLICATION_SQL, EVENT_SQL, JOB_SQL, POSTING_SQL
+from .streaming import ingest as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -591,3 +594,43 @@ def single_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-10: of many defaults the last updated stays one."""
     r = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("name"), (F.col("s_nationkey") % 5 == 0).alias("is_default"), F.col("s_acctbal").alias("updated_at"))
     return postings.single_default(r).select("id", "name", "is_default")
+
+
+# -- streams --------------------------------------------------------------------------------------------------------
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = views.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one; a local one only where that is unset (tests, local mode)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='jobloom-')}/jobloom-{what}-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-3: the events as a stream, the first of each user and type."""
+    first = streams.distinct_within(_events_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "400 days")
+    return streams.finished(first, _folder(spark, "dedup")).select("user_id", "event_type")
+
+
+@query(f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY")
+def stream_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-4: the events of the last 14 days, as a stream."""
+    new = streams.fresh(_events_stream(spark, sf_dir), "ts", F.lit(AS_OF).cast("timestamp"))
+    return streams.finished(new.select("event_id", "user_id"), _folder(spark, "cutoff"))
+
+
+@query("""WITH r AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id) AS found_at FROM events),
+s AS (SELECT user_id, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'signup') AND (found_at IS NULL OR ts > found_at)) AS empty_runs, count(*) FILTER (WHERE event_type = 'signup' AND (found_at IS NULL OR ts > found_at)) AS block_strikes, max_by(event_type, ts) AS last FROM r GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS source, CASE last WHEN 'purchase' THEN 'active' WHEN 'signup' THEN CASE WHEN block_strikes >= 5 THEN 'disabled' ELSE 'paused' END ELSE CASE WHEN empty_runs >= 40 THEN 'disabled' WHEN empty_runs >= 5 THEN 'paused' WHEN empty_runs >= 3 THEN 'warned' ELSE 'active' END END AS status, CAST(empty_runs AS INT) AS empty_runs, CAST(block_strikes AS INT) AS block_strikes FROM s""")
+def source_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-6: users as sources: a purchase is a run with items, a signup a blocked one, others are empty runs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    runs = _events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").cast("int").alias("found"), (F.col("event_type") == "signup").alias("blocked"))
+    return streams.finished(streams.source_states(runs), _folder(spark, "states"), "update").select("source", "status", "empty_runs", "block_strikes")

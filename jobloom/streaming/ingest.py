@@ -95,6 +95,17 @@ def source_states(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").transformWithStateInPandas(statefulProcessor=SourceState(), outputStructType=StructType.fromDDL(STATE), outputMode="Update", timeMode="None")
 
 
+def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives from all that is there now, as a table in ``folder``; one that runs again goes on where it ended."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{folder}/rows")
+    else:
+        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def append_new(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends the rows whose key the Parquet table at ``path`` lacks, so a batch that runs again adds nothing."""
 
