@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import has
 from .postings import top_n
 
 SEVERITY = {"low": 1, "medium": 2, "high": 3}
@@ -59,3 +60,35 @@ def title_issues(title: Column) -> dict[str, tuple[str, Column]]:
         "title_has_email": ("medium", F.rlike(title, F.lit("(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}"))),
         "title_is_sentence": ("low", F.rlike(title, F.lit("[.!?]\\s+\\S"))),
     }
+
+
+# Words that a parsed place can't be.
+TECH_PLACES = ["django", "fastapi", "nestjs", "node", "react", "angular", "vue", "kafka", "docker", "gitlab", "github"]
+WORD_PLACES = ["years", "year", "working", "hours", "experience", "benefits", "requirements", "responsibilities", "salary", "compensation", "offer", "retirement", "pto", "bonus", "k", "ote"]
+PAY_WORDS = r"(salary|compensation|оклад|зарплат|зп\b|\bpay\b|gehalt|доход)"
+MONEY = r"([₽$€£]|\b(usd|eur|rub|gbp)\b|руб)"
+
+
+def parse_issues(original: Column) -> dict[str, tuple[str, Column]]:
+    """AGG-8: what a parsed record says against its text; for rows of ``parse.parsed`` (salary, title, location, contacts, warnings)."""
+    low, high, currency = F.col("salary.min"), F.col("salary.max"), F.col("salary.currency")
+    amounts = low.isNotNull() | high.isNotNull()
+    year = lambda x: F.coalesce(x.between(1900, 2100), F.lit(False))
+    city, country = F.lower(F.coalesce("location.city", F.lit(""))), F.lower(F.coalesce("location.country", F.lit("")))
+    tech = F.lit(False)
+    for t in TECH_PLACES:
+        tech = tech | city.contains(t) | country.contains(t)
+    raw = F.coalesce("title.raw", F.lit(""))
+    handles = has(original, r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}") | has(original, r"(^|\s)@([a-zA-Z0-9_]{3,32})\b")
+    return {
+        "salary_false_positive_year": ("medium", amounts & year(F.coalesce(low, high)) & year(F.coalesce(high, low)) & ~has(original, PAY_WORDS)),
+        "salary_currency_unknown_but_mentioned": ("medium", amounts & F.coalesce(currency.isin("UNKNOWN"), F.lit(True)) & has(original, MONEY)),
+        "warning_salary_not_found_but_has_values": ("low", F.array_contains("warnings", "salary_not_found") & amounts),
+        "title_glued_or_too_long_raw": ("medium", F.col("title.value").isNull() & (F.length(raw) >= 140)),
+        "title_starts_with_hashtags": ("low", F.rlike(raw, F.lit(r"^\s*(?:#\S+\s*){2,}"))),
+        "location_false_positive_tech_tokens": ("high", tech),
+        "location_false_positive_common_words": ("high", city.isin(*WORD_PLACES) | country.isin(*WORD_PLACES)),
+        "contacts_urls_trailing_punct": ("low", F.exists("contacts.urls", lambda u: F.rlike(u, F.lit(r"[),.;:]$")))),
+        "contacts_missed_obvious": ("high", (F.size("contacts.emails") == 0) & (F.size("contacts.telegram") == 0) & handles),
+        "original_text_looks_like_multi_vacancy_dump": ("low", (F.length(original) > 900) & has(original, r"(понравились\s+вакансии|разместить\s+вакансию)") & ~F.array_contains("warnings", "input_truncated")),
+    }

@@ -436,7 +436,7 @@ _YEARS_SQL = "list_filter([" + ", ".join(_years_sql(*p) for p in extract.YEARS)
 _FORMAT_SQL = f"({sql_has('text', extract.REMOTE)} OR {sql_has('text', extract.HYBRID)} OR {sql_has('text', extract.ONSITE)})"
 #: Whether a field is missing, by its warning, over one body section.
 _MISSING_SQL = {
-    "contacts_not_found": f"NOT ({_CONTACT_SQL})",
+    "online_contacts_not_found": f"NOT ({_CONTACT_SQL})",
     "employment_not_found": f"{_kinds_sql(extract.EMPLOYMENT)} = ''",
     "work_format_not_found": f"NOT {_FORMAT_SQL}",
     "benefits_not_found": f"{_kinds_sql(extract.BENEFITS)} = ''",
@@ -454,7 +454,9 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _warned(df: DataFrame) -> DataFrame:
-    return df.withColumn("warnings", F.array_compact(F.array(*(F.when(F.col(f"{w.removesuffix('_not_found')}.confidence") == 0, w) for w in _MISSING_SQL))))
+    online = F.size("contacts.emails") + F.size("contacts.telegram") + F.size("contacts.urls")  # a numbering plan of phones is no SQL
+    missing = {w: online == 0 if w.startswith("online") else F.col(f"{w.removesuffix('_not_found')}.confidence") == 0 for w in _MISSING_SQL}
+    return df.withColumn("warnings", F.array_compact(F.array(*(F.when(c, w) for w, c in missing.items()))))
 
 
 @query(f"SELECT name, count(*) AS n FROM (SELECT unnest({_WARNED_SQL}) AS name FROM documents) GROUP BY 1 ORDER BY n DESC, name LIMIT 10")

@@ -13,3 +13,6 @@ THEMUSE = "id bigint, name string, contents string, publication_date string, loc
 REMOTEOK = "id string, epoch bigint, date string, company string, position string, tags array<string>, description string, location string, url string, salary_min bigint, salary_max bigint"
 JOBICY = "id bigint, url string, jobTitle string, companyName string, jobIndustry array<string>, jobType array<string>, jobGeo string, jobLevel string, jobExcerpt string, jobDescription string, pubDate string, annualSalaryMin string, annualSalaryMax string, salaryCurrency string"
 FINDWORK = "id bigint, role string, company_name string, employment_type string, location string, remote boolean, url string, text string, date_posted string, keywords array<string>"
+DEVIT = "_id string, name string, company string, companyType string, companySize string, jobUrl string, redirectJobUrl string, activeFrom string, actualCity string, cityCategory string, techCategory string, workplace string, remoteType string, jobType string, expLevel string, technologies array<string>, description string, responsibilitiesTextArea string, requirementsMustTextArea string"
+ARBEIT_LIST = "refnr string, titel string, beruf string, arbeitgeber string, arbeitsort struct<ort:string,region:string,land:string>, aktuelleVeroeffentlichungsdatum string"
+ARBEIT_DETAIL = "stellenangebotsTitel string, hauptberuf string, stellenangebotsBeschreibung string, firma string, stellenlokationen array<struct<adresse:struct<ort:string>>>, veroeffentlichungszeitraum struct<von:string>, datumErsteVeroeffentlichung string, arbeitgeberKundennummerHash string"

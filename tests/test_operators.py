@@ -1,5 +1,6 @@
 """Operators on small frames: deduplication, retention, funnel, ingest, feeds and streams."""
 
+import base64
 import datetime as dt
 import json
 
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import funnel, ingest, postings
+from jobloom.operators import audits, funnel, ingest, postings
 from jobloom.sources import feeds
 from jobloom.streaming import ingest as streams
 
@@ -94,6 +95,43 @@ def test_rss_and_telegram(spark):
     assert [(r.slug, r.message_id, r.description, r.title) for r in row] == [("chan", 5, "Hello\nworld", "Hello")]
 
 
+def test_devit_and_arbeitsagentur(spark):
+    jobs = [{"_id": "1", "name": " Dev ", "company": "C", "jobUrl": "dev-c", "activeFrom": "2024-01-02T03:04:05Z", "cityCategory": "London", "companySize": "10", "technologies": ["Go"]}, {"_id": "2", "name": "Ops", "company": "D", "redirectJobUrl": "https://d/2", "jobUrl": "ops-d"}, {"name": "no company"}]
+    page = "<script>window.__detailedJob = " + json.dumps({**jobs[0], "description": "Long text", "actualCity": "Leeds"}) + "</script>"
+    other = '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"pageProps": {"job": {**jobs[1], "description": "From data"}}}}) + "</script>"
+    got = {r.title: r for r in feeds.devit(spark.createDataFrame([(json.dumps(jobs),), (None,)], "value string"), spark.createDataFrame([("dev-c", page), ("ops-d", other), ("x", "<p>")], "slug string, html string")).collect()}
+    assert set(got) == {"Dev", "Ops"} and (got["Dev"].location, got["Dev"].link, got["Dev"].external_id) == ("Leeds", "https://devitjobs.uk/jobs/dev-c", "devitjobs:1")
+    assert got["Dev"].description == "Long text\n\nSize: 10" and got["Ops"].description == "From data" and got["Ops"].link == "https://d/2"
+    pages = [{"stellenangebote": [{"refnr": "10-ä", "titel": "T", "arbeitgeber": "A", "arbeitsort": {"region": "R"}, "aktuelleVeroeffentlichungsdatum": "2024-01-02"}, {"refnr": "11", "beruf": "B"}, {"titel": "no number"}]}]
+    details = [(base64.b64encode("10-ä".encode()).decode(), json.dumps({"stellenangebotsTitel": " Full ", "firma": "F", "stellenlokationen": [{"adresse": {"ort": "X"}}, {"adresse": {"ort": "Y"}}]}))]
+    got = {r.external_id: r for r in feeds.arbeitsagentur(spark.createDataFrame([(json.dumps(p),) for p in pages], "value string"), spark.createDataFrame(details, "key string, value string")).collect()}
+    assert (got["10-ä"].title, got["10-ä"].company, got["10-ä"].location, got["10-ä"].description) == ("Full", "F", "X, Y", "T")
+    assert (got["11"].title, got["11"].company, got["11"].description, got["11"].hash) == ("B", None, "B", "11")
+
+
+def test_facebook_and_compare_dumps(spark):
+    one, two = "First post that is long enough to be kept here.", 'Second "post" that is long enough to be kept, too.'
+    post = lambda i, t: f'"post_id":"{i}"' + '{"x":1,"message":' + json.dumps({"text": t}, separators=(",", ":")) + ',"creation_time":1700000000}'
+    html = "<html>" + post(1000001, one) + post(1000002, two) + post(1000003, one) + post(1000004, "short")
+    bare = '"message":' + json.dumps({"text": one}, separators=(",", ":"))
+    got = feeds.facebook(spark.createDataFrame([("https://f/g/", html), ("https://f/h", bare), ("https://f/i", None)], "url string, html string")).orderBy("link").collect()
+    assert [(r.link, r.description) for r in got[:2]] == [("https://f/g/posts/1000001", one), ("https://f/g/posts/1000002", two)]
+    assert len(got) == 3 and got[2].link.startswith("https://f/h?jf_post=") and got[0].published_at is not None
+    dump = 'junk\n===== JOB a1 =====\nMETA: {"k": 1}\n--- ORIGINAL TEXT ---\nline 1\nline 2\n--- PARSED JSON ---\n{\n  "title": {"value": "x"}\n}\n\n===== JOB b2 =====\nMETA: nothing\n--- ORIGINAL TEXT ---\nt\n--- PARSED JSON ---\n{"broken": \n'
+    got = {r.id: r for r in feeds.compare_dump(spark.createDataFrame([(dump,)], "value string")).collect()}
+    assert got["a1"].original == "line 1\nline 2" and json.loads(got["a1"].parsed) == {"title": {"value": "x"}} and got["a1"].meta == '{"k": 1}'
+    assert (got["b2"].original, got["b2"].parsed, got["b2"].meta) == ("t", None, None)
+
+
+def test_parse_issues(spark):
+    kind = "salary struct<min:int,max:int,currency:string>, title struct<value:string,raw:string>, location struct<city:string,country:string>, contacts struct<urls:array<string>,emails:array<string>,telegram:array<string>>, warnings array<string>, text string, id int"
+    rows = [((2013, 2014, None), (None, "#a #b " + "x" * 150), ("Django", "years"), (["http://x,"], [], []), ["salary_not_found"], "write to a@b.io, EUR", 1), ((None, None, None), ("T", "T"), (None, None), ([], [], []), [], "plain", 2)]
+    df = spark.createDataFrame(rows, kind)
+    found = audits.issues(df, audits.parse_issues(F.col("text")), "id")
+    assert {r.issue for r in found.collect()} == set(audits.parse_issues(F.col("text"))) - {"original_text_looks_like_multi_vacancy_dump"}
+    assert {r.id for r in found.collect()} == {1} and audits.totals(found, df, "id").first().rows_with_issues == 1
+
+
 def run(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"/tmp/jobloom-test-{name}-{pd.Timestamp.now().value}").trigger(availableNow=True).start()
     q.awaitTermination()
