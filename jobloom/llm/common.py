@@ -89,7 +89,7 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
     """Apply ``make()(*column lists)``, which gives one list per output column, to slices of each Arrow batch.
 
     ``make`` runs once per task, so caches and models live as long as the task.  Slices hold at most about
-    4 MB of text, so a batch of very long texts needs no more memory than a batch of short ones.
+    2 MB of text, so a batch of very long texts needs no more memory than a batch of short ones.
     """
     out = T._parse_datatype_string(schema)
 
@@ -104,9 +104,10 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1)) or 1))
+        step = max(1, min(batch.num_rows, int(batch.num_rows * 2e6 / max(batch.nbytes, 1)) or 1))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def _numbered(df: DataFrame) -> DataFrame:

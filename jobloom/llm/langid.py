@@ -213,7 +213,7 @@ class Model:
 class Labeller:
     """A model at work in a task: emissions of known words are remembered, up to a bound."""
 
-    def __init__(self, model: Model, cache: int = 200_000):
+    def __init__(self, model: Model, cache: int = 60_000):
         self.m, self.cache, self.known, self.emit = model, cache, {}, np.zeros((0, len(model.labels)), np.float32)
         self.learned = np.zeros((0, 2), np.int64)  # of each known word: features with a learned weight, and all
         self.has = (model.weights != 0).any(axis=1)

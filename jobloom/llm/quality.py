@@ -37,7 +37,7 @@ class _Rows(dict):
     def __missing__(self, term: str) -> int:
         row = 1 + zlib.crc32(term.encode("utf-8", "surrogatepass")) % (TERMS - 1)
         if len(term) <= 64:
-            if len(self) > 200_000:
+            if len(self) > 100_000:
                 self.clear()
             self[term] = row
         return row
@@ -70,17 +70,36 @@ def _index() -> np.ndarray:
 
 
 def _counts(docs_rows: Iterator[np.ndarray]) -> np.ndarray:
-    """(TERMS, DIMS): the sums of the index vectors around each row's occurrences."""
-    index, total = _index(), np.zeros(TERMS * 2 * DIMS, np.int32)
+    """(TERMS, DIMS): the sums of the index vectors around each row's occurrences, its own included."""
+    index, total = np.zeros((TERMS + 1, DIMS), np.int8), np.zeros((TERMS + 1, DIMS), np.int32)  # the last row stands between texts
+    for places in _index().T:
+        np.add.at(index, (np.arange(TERMS), places % DIMS), np.where(places < DIMS, 1, -1))
+    gap, held, size = np.full(REACH, TERMS, np.int32), [], 0
+
+    def add(own: np.ndarray, left: np.ndarray = gap, right: np.ndarray = gap) -> None:
+        """``own`` with what is around it, at most REACH terms on either side."""
+        around = np.concatenate([gap, [TERMS], left, own, right, gap])
+        skip = REACH + 1 + len(left)
+        up_to = np.cumsum(index[around[skip - REACH - 1 : skip + len(own) + REACH]], axis=0, dtype=np.int32)
+        near = up_to[2 * REACH + 1 :] - up_to[: -2 * REACH - 1]
+        order = np.argsort(own)
+        mine = own[order]
+        starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        total[mine[starts]] += np.add.reduceat(near[order], starts, axis=0)
+
     for rows in docs_rows:
-        for at in range(0, len(rows), CHUNK):
-            own = rows[at : at + CHUNK].astype(np.int64) * (2 * DIMS)
-            for step in range(-REACH, REACH + 1):
-                skip = max(0, -(at + step))
-                near = rows[at + skip + step : max(0, at + len(own) + step)]
-                np.add.at(total, (own[skip : skip + len(near), None] + index[near]).ravel(), 1)
-    both = total.reshape(TERMS, 2, DIMS)
-    return both[:, 0] - both[:, 1]
+        if len(rows) > CHUNK:
+            for at in range(0, len(rows), CHUNK):
+                add(rows[at : at + CHUNK], rows[max(0, at - REACH) : at], rows[at + CHUNK : at + CHUNK + REACH])
+        elif len(rows):
+            held += [rows, gap]
+            size += len(rows) + REACH
+            if size > CHUNK:
+                add(np.concatenate(held))
+                held, size = [], 0
+    if held:
+        add(np.concatenate(held))
+    return total[:TERMS]
 
 
 def word_vectors(terms: DataFrame) -> np.ndarray:

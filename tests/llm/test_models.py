@@ -141,6 +141,15 @@ def test_word_vectors_match_brute_force(spark, docs):
     assert a[0] != b[0] and a[1:].tolist() == b[1:].tolist()
 
 
+def test_counts_of_long_texts_cross_their_chunks(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 3, 70, 5, 33, 200)]
+    want = quality._counts(iter(texts))
+    for chunk in (1, 2, 7, 32):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        assert np.array_equal(quality._counts(iter(texts)), want)
+
+
 def test_names_with_dots(spark, docs):
     df = frame(spark, [(i, t, g) for i, t, g, _ in docs]).withColumn("a.b", F.lit(1))
     labels = spark.createDataFrame([(i, int(q)) for i, _, _, q in docs], "doc_id bigint, quality int")
