@@ -100,6 +100,18 @@ def needs_full_text(text: Column, least: int = 400) -> Column:
     return (size < least) | ((size < 2 * least) & F.coalesce(has(text, r"https?://"), F.lit(False)))
 
 
+def snippet_needs_text(snippet: Column, least: int = 400) -> Column:
+    """A feed's snippet that is short, links on or asks for a click."""
+    plain = F.coalesce(snippet, F.lit(""))
+    return (F.length(plain) < least) | has(plain, r"https?://") | has(plain, r"\b(click\s+here|apply\s+now|read\s+more)\b")
+
+
+def record_needs_text(raw: Column, description: Column, least: int = 400) -> Column:
+    """A stored record without raw text or with less than half of ``least``, or with a description under ``least``."""
+    raw, description = F.coalesce(raw, F.lit("")), F.coalesce(description, F.lit(""))
+    return (F.trim(raw) == "") | (F.length(raw) < least / 2) | (F.trim(description) == "") | (F.length(description) < least)
+
+
 def challenge_page(html: Column) -> Column:
     low = F.lower(F.coalesce(html, F.lit("")))
     out = F.lit(False)

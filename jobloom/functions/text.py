@@ -206,3 +206,36 @@ def compact_money(x: Column) -> Column:
     return F.when(x >= 1_000_000, short(x / 1_000_000, "M")).when(x >= 1_000, short(x / 1_000, "K")).otherwise(F.format_string("%.0f", x.cast("double")))
 
 
+# How periods are shown, and what tells a text's language, in order.
+PERIODS = {"hour": " /час", "day": " /день", "week": " /нед", "month": " /мес", "year": " /год", "project": " /проект"}
+LETTERS = [("ru", "[А-Яа-яЁё]"), ("de", "[ÄÖÜäöüß]"), ("fr", "[éèêàçùâîôûëïüÿœæÉÈÊÀÇÙÂÎÔÛËÏÜŸŒÆ]"), ("es", "[ñáéíóúüÑÁÉÍÓÚÜ¡¿]"), ("pl", "[ąćęłńóśźżĄĆĘŁŃÓŚŹŻ]"), ("it", "[ìíîïòóôõùúûüÌÍÎÏÒÓÔÕÙÚÛÜ]"), ("ro", "[ăâîșțĂÂÎȘȚ]")]
+
+
+def shown_salary(low: Column, high: Column, currency: Column, period: Column) -> Column:
+    """1200, 3000, EUR, month -> 1.2K–3K EUR; a month isn't named for amounts in thousands, a dash stands for none."""
+    least, most = F.coalesce(low, high), F.coalesce(high, low)
+    amount = F.when(least != most, F.concat(compact_money(least), F.lit("–"), compact_money(most))).otherwise(compact_money(least))
+    unit = F.concat(F.lit(" "), F.when(~currency.isin("", "UNKNOWN"), currency))
+    names = F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))
+    skip = ((least >= 1000) | (most >= 1000)) & (period == "month")
+    return F.when(least.isNull(), "—").otherwise(F.concat(amount, F.coalesce(unit, F.lit("")), F.when(F.coalesce(skip, F.lit(False)), "").otherwise(F.coalesce(F.try_element_at(names, period), F.lit("")))))
+
+
+def short_title(title: Column, words: int = 3) -> Column:
+    """The first words of a title."""
+    return F.array_join(F.slice(F.split(trim(F.coalesce(title, F.lit(""))), r"\s+"), 1, words), " ")
+
+
+def short_text(text: Column, least: int = 20) -> Column:
+    """A tenth of a text, at least ``least`` characters, with dots if something is left out."""
+    whole = trim(F.coalesce(text, F.lit("")))
+    size = F.greatest(F.lit(least), F.floor(F.length(whole) / 10)).cast("int")
+    return F.when(F.length(whole) <= size, whole).otherwise(F.concat(F.substring(whole, F.lit(1), size), F.lit("...")))
+
+
+def source_language(text: Column, size: int = 500) -> Column:
+    """The language that a text's first characters hint at by script and accents; en without a hint."""
+    sample, out = F.substring(text, 1, size), F.lit("en")
+    for name, letters in reversed(LETTERS):
+        out = F.when(F.rlike(sample, F.lit(letters)), name).otherwise(out)
+    return out

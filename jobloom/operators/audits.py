@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import has
+from ..functions.patterns import has, replace
+from ..functions.titles import FORMAT_WORDS
 from .postings import top_n
 
 SEVERITY = {"low": 1, "medium": 2, "high": 3}
@@ -62,6 +63,24 @@ def title_issues(title: Column) -> dict[str, tuple[str, Column]]:
     }
 
 
+# Pay and section words of the title audit.
+TITLE_PAY = r"(\d{2,}\s*(?:₽|\$|€|usd|eur|rub|gbp|chf|pln|sek|nok|dkk|ron|bgn)|\b(руб|usd|eur|salary|compensation|заработ|оклад|оплат)\b)"
+TITLE_SECTION = r"\b(требовани|обязанност|услови|о проекте|мы предлагаем|что мы предлагаем|responsibilities|requirements|benefits|about the project)\b"
+
+
+def title_quality(title: Column) -> dict[str, tuple[str, Column]]:
+    """AGG-10: a missing title, or else format words alone, too long, with pay, section words or a link."""
+    there = F.trim(F.coalesce(title, F.lit(""))) != ""
+    return {
+        "title_null": ("high", ~there),
+        "title_workformat_only": ("high", there & ~has(replace(title, FORMAT_WORDS, " "), "[a-zа-яё]")),
+        "title_too_long": ("medium", F.length(F.trim(title)) > 80),
+        "title_contains_salary": ("medium", there & has(title, TITLE_PAY)),
+        "title_contains_section_words": ("medium", there & has(title, TITLE_SECTION)),
+        "title_contains_url": ("high", there & has(title, r"https?://")),
+    }
+
+
 # Words that a parsed place can't be.
 TECH_PLACES = ["django", "fastapi", "nestjs", "node", "react", "angular", "vue", "kafka", "docker", "gitlab", "github"]
 WORD_PLACES = ["years", "year", "working", "hours", "experience", "benefits", "requirements", "responsibilities", "salary", "compensation", "offer", "retirement", "pto", "bonus", "k", "ote"]

@@ -598,6 +598,35 @@ def single_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.single_default(r).select("id", "name", "is_default")
 
 
+_FIRST_SQL = "split_part(text, chr(10), 1)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce({_FIRST_SQL}, '') AS title FROM documents), i AS (SELECT unnest(CASE WHEN trim(title) = '' THEN ['title_null'] ELSE list_filter([CASE WHEN NOT regexp_matches(regexp_replace(title, '(?i){titles.FORMAT_WORDS}', ' ', 'g'), '(?i)[a-zа-яё]') THEN 'title_workformat_only' END, CASE WHEN length(trim(title)) > 80 THEN 'title_too_long' END, CASE WHEN {sql_has('title', audits.TITLE_PAY)} THEN 'title_contains_salary' END, CASE WHEN {sql_has('title', audits.TITLE_SECTION)} THEN 'title_contains_section_words' END, CASE WHEN regexp_matches(title, '(?i)https?://') THEN 'title_contains_url' END], lambda x: x IS NOT NULL) END) AS issue FROM t)
+SELECT issue, CASE WHEN issue IN ('title_null', 'title_workformat_only', 'title_contains_url') THEN 'high' ELSE 'medium' END AS severity, count(*) AS n FROM i GROUP BY 1, 2""")
+def title_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: issues of first lines as titles."""
+    p = views.postings(spark, sf_dir).withColumn("title", F.coalesce("title", F.lit("")))
+    return audits.histogram(audits.issues(p, audits.title_quality(F.col("title")), "id"))
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(left(text, 500), '{x}') THEN '{n}'" for n, x in text.LETTERS) + " ELSE 'en' END AS language FROM documents")
+def source_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-20."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.source_language(F.col("text")).alias("language"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(t) <= greatest(20, length(t) // 10) THEN t ELSE left(t, CAST(greatest(20, length(t) // 10) AS INT)) || '...' END AS short, array_to_string(regexp_split_to_array(t, '\s+')[:3], ' ') AS title FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents)".replace("\\\\", "\\"))
+def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-18."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.short_text(F.col("text")).alias("short"), text.short_title(F.col("text")).alias("title"))
+
+
+@query("SELECT doc_id, length(t) < 400 OR regexp_matches(t, '(?i)https?://') OR regexp_matches(t, '(?i)\\b(click\\s+here|apply\\s+now|read\\s+more)\\b') AS snippet, trim(t) = '' OR length(t) < 400 AS record FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def full_text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-17: the two other variants."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", gate.snippet_needs_text(F.col("text")).alias("snippet"), gate.record_needs_text(F.col("text"), F.col("text")).alias("record"))
+
+
 # -- streams --------------------------------------------------------------------------------------------------------
 
 

@@ -166,8 +166,8 @@ def _sections(body):
         ("Location: Berlin, Germany", "Berlin", "Germany"),
         ("Office in Тбилиси, гибридный формат", "Tbilisi", "Georgia"),
         ("Dublin (IE)", "Dublin", "Ireland"),
-        ("Springfield, IL", "Springfield", "USA"),
-        ("We are in New York and Tel Aviv", "Tel Aviv", "Israel"),
+        ("Springfield, OH", "Springfield", "USA"),
+        ("We are in New York and Tel Aviv", "Tel Aviv", "Israel"),  # of equal scores the first in the tables
         ("US only", None, "USA"),
         ("Stack: Django, FastAPI", None, None),
         ("Apply: https://forms.example.ru/cloud/123", None, None),
@@ -236,3 +236,16 @@ def test_phones(value, raw, country, want):
 )
 def test_company_forms(value, raw, name):
     assert value(extract.company, raw).name == name
+
+
+def test_shown_values(spark):
+    rows = [(1200.0, 3000.0, "EUR", "month"), (20.0, None, "USD", "hour"), (None, None, "USD", "hour"), (50000.0, 50000.0, "UNKNOWN", "year")]
+    df = spark.createDataFrame(rows, "low double, high double, currency string, period string")
+    assert [r.x for r in df.select(text.shown_salary(*map(F.col, df.columns)).alias("x")).collect()] == ["1.2K–3K EUR", "20 USD /час", "—", "50K /год"]
+    words = spark.createDataFrame([([" ts ", "Nodejs", "Rust", "node"],)], "x array<string>")
+    assert words.select(extract.canonical(F.col("x")).alias("y")).first().y == ["Node.js", "Rust", "TypeScript"]
+
+
+@pytest.mark.parametrize("raw, want", [("Привет", "ru"), ("Straße", "de"), ("garçon", "fr"), ("niño", "es"), ("łódź", "pl"), ("plain", "en"), (None, "en")])
+def test_source_language(value, raw, want):
+    assert value(text.source_language, raw) == want
