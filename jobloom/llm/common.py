@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,12 +97,20 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn, arrow = make(), to_arrow_schema(out)
         for part in _slices(batches):
-            cols = fn(*(c.to_pylist() for c in part.columns))
+            cols = fn(*map(_values, part.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values; lists of numbers as numpy arrays."""
+    if not pa.types.is_list(column.type) or not pa.types.is_primitive(column.type.value_type) or column.null_count:
+        return column.to_pylist()
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return [values[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)] if len(ends) else []
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         step = max(1, min(batch.num_rows, int(batch.num_rows * 2e6 / max(batch.nbytes, 1)) or 1))
