@@ -49,8 +49,8 @@ def _record(kind: Column | str, record_id: Column, fields: list[Column], content
 def _own(pages: DataFrame) -> DataFrame:
     """``pages`` as (page_id, url, html, mark, key): ``mark`` tells apart rows that share a page_id, ``key`` stands for the payload (SHA-256)."""
     html = F.coalesce("html", F.lit(""))
-    mark = F.substring(F.sha1(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), html)), 1, 16)
-    return pages.select("page_id", "url", html.alias("html"), mark.alias("mark")).withColumn("key", F.sha2("html", 256))
+    own = pages.select("page_id", "url", html.alias("html")).withColumn("key", F.sha2("html", 256))
+    return own.withColumn("mark", F.substring(F.sha1(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), "key")), 1, 16))
 
 
 def firsts(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -199,7 +199,7 @@ def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     records = stored(read(pages.sparkSession, path), "records")
     r = F.col("response")
     origin = F.regexp_extract(r["refers_to"], "^<urn:jobloom:(-?[0-9]+):", 1)
-    return captures(records).select(r["page_id"].alias("page_id"), r["payload_bytes"].alias("payload_bytes"), r["payload_digest"].alias("payload_digest"), r["record_type"].alias("record_type"), F.when(origin != "", origin).cast("bigint").alias("refers_to"), "request", "response", "metadata")
+    return captures(records.drop("block")).select(r["page_id"].alias("page_id"), r["payload_bytes"].alias("payload_bytes"), r["payload_digest"].alias("payload_digest"), r["record_type"].alias("record_type"), F.when(origin != "", origin).cast("bigint").alias("refers_to"), "request", "response", "metadata")
 
 
 ORACLE = """
