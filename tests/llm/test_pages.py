@@ -65,6 +65,13 @@ def test_no_text_is_lost_to_elements_left_open():
     assert len(html.features(html.tree(f'<div class="{many}">x</div>'))[1]) > 300
 
 
+def test_a_very_long_page_is_taken_whole(spark):
+    body = "".join(f"<p>Sentence number {i} of the long article, with some words.</p>" for i in range(20_000))
+    page = f"<nav><a href=/>menu</a></nav><article><h1>Long one</h1>{body}</article>"
+    got = html.main_text(spark.createDataFrame([(1, "u", page, "clash")] * 2, PAGE)).collect()
+    assert len(got) == 2 and got[0].text.count("\n") == 20_000 and got[0].text.endswith("number 19999 of the long article, with some words.")
+
+
 def test_archives(spark):
     tricky = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1"
     rows = [(1, "http://a/", "same", ""), (2, "http://b/\r\nX: y", "same", ""), (3, "http://c/", tricky, ""), (4, None, None, ""), (5, "http://e/", "", ""), (6, "é", "ü" * 200_000, ""), (7, "http://g/", tricky, ""), (7, "http://g/", tricky, "")]

@@ -108,6 +108,11 @@ def test_odd_column_names_and_null_ids(spark):
     assert [r.component_id for r in got] == [None] * 3
 
 
+def test_repeated_ids_give_a_row_each(spark):
+    df = spark.createDataFrame([(5, "one two three"), (5, "one two three"), (5, "quite another text here"), (7, "ONE two three")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(5, 5), (5, 5), (5, 5), (7, 5)]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
