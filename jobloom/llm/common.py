@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -103,6 +104,39 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
     return df.select(*columns).mapInArrow(run, out)
 
 
+def fold_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
+    """Fold whole partitions: ``make()`` gives a task's fold, called with column lists slice by slice and at last with None.
+
+    Each call gives the rows that the fold lets go of, as a list of column lists (one of each output column), possibly
+    none; so a fold holds what it gathers and spills it when that gets large.
+    """
+    out = T._parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, arrow = make(), to_arrow_schema(out)
+        for part in itertools.chain(_slices(batches), (None,)):
+            for cols in fold(part if part is None else [_values(c) for c in part.columns]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, out)
+
+
+def pieces(blob: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``blob`` in pieces of about ``size`` bytes, cut at spaces, so that a very long text is never one list of words."""
+    at = 0
+    while at < len(blob):
+        end = blob.find(b" ", at + size)
+        end = len(blob) if end < 0 else end
+        yield blob[at:end]
+        at = end
+
+
+def rows_in_slices(rows: list[tuple], size: int = 20_000) -> Iterator[list[list]]:
+    """Column lists of ``rows``, at most ``size`` rows at a time."""
+    for at in range(0, len(rows), size):
+        yield list(map(list, zip(*rows[at : at + size])))
+
+
 def _values(column: pa.Array) -> list:
     """A column as Python values; lists of numbers as numpy arrays."""
     if not pa.types.is_list(column.type) or not pa.types.is_primitive(column.type.value_type) or column.null_count:

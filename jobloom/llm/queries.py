@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, licenses, quality, rules, simhash, urls, warc
+from . import bpe, decontam, divergence, html, langid, licenses, quality, rules, shards, simhash, urls, variants, warc
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -65,5 +77,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_sharding": op12_sharding,
+    "op13_divergence": op13_divergence,
 }
-ORACLES: dict[str, str] = {"op3_html": html.ORACLE, "op4_warc": warc.ORACLE, "op7_url_filter": urls.ORACLE, "op9_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op3_html": html.ORACLE, "op4_warc": warc.ORACLE, "op7_url_filter": urls.ORACLE, "op9_decontamination": decontam.ORACLE, "op13_divergence": divergence.ORACLE}
