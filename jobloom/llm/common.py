@@ -107,8 +107,8 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
 def fold_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
     """Fold whole partitions: ``make()`` gives a task's fold, called with column lists slice by slice and at last with None.
 
-    Each call gives the rows that the fold lets go of, as a list of column lists (one of each output column), possibly
-    none; so a fold holds what it gathers and spills it when that gets large.
+    Each call gives the rows that the fold lets go of, as tuples of columns (lists or Arrow arrays), possibly none; so a
+    fold holds what it gathers and spills it when that gets large.
     """
     out = T._parse_datatype_string(schema)
 
@@ -116,7 +116,7 @@ def fold_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable]
         fold, arrow = make(), to_arrow_schema(out)
         for part in itertools.chain(_slices(batches), (None,)):
             for cols in fold(part if part is None else [_values(c) for c in part.columns]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)
 

@@ -22,18 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import drop_stored, fold_batches, pieces, rows_in_slices, stored
+from .common import drop_stored, fold_batches, pieces, stored
 
 #: Documents of a language that must have a term, and ranks of part ``term``.
 DOCUMENTS, TOP = 10, 10
-#: Counts (one of a term and a source) that a task gathers before it lets go of its stripes: some 100 MB.
-HELD = 400_000
+#: Counts (one of a term and a source) and terms that a task gathers before it lets go of its stripes: some 250 MB.
+HELD = 1_500_000
 #: Parts that the stripes of a language are dealt over, cells of a matrix of stripes, and sources up to which a task keeps its sums of all pairs.
 PARTS, CELLS, DENSE = 64, 1_000_000, 512
 #: UTF-8 bytes of terms as they count: A-Z lower-cased, a-z and all beyond ASCII as they are, spaces for all else.
@@ -57,9 +58,15 @@ def folded(docs: DataFrame, held: int = HELD) -> DataFrame:
         cells = 0
 
         def let_go():
-            rows = [(lang, term.decode(), n, list(by), list(by.values())) for lang, own in stripes.items() for term, (n, by) in own.items()]
+            for lang, own in stripes.items():
+                every = list(own.items())
+                own.clear()
+                for at in range(0, len(every), 20_000):
+                    some = every[at : at + 20_000]
+                    ends = np.cumsum([0, *(len(by) for _, (_, by) in some)], dtype=np.int32)
+                    sources, counts = [x for _, (_, by) in some for x in by], [x for _, (_, by) in some for x in by.values()]
+                    yield [lang] * len(some), [t.decode() for t, _ in some], [n for _, (n, _) in some], _lists(ends, pa.array(sources, pa.string())), _lists(ends, pa.array(counts, pa.int64()))
             stripes.clear()
-            return rows_in_slices(rows, 10_000)
 
         def fold(cols):
             nonlocal cells
@@ -93,36 +100,50 @@ def folded(docs: DataFrame, held: int = HELD) -> DataFrame:
     return fold_batches(docs, ["lang", "source", "text"], make, STRIPE)
 
 
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _one_a_key(rows: pa.Table) -> pa.Table:
+    """Stripes in the order of their keys -> one stripe of each key."""
+    same = np.ones(len(rows), bool)
+    same[0] = False
+    for name in ("lang", "term"):
+        column = rows[name].combine_chunks()
+        same[1:] &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(~same)
+    if len(first) == len(rows):
+        return rows
+    lists = rows["sources"].combine_chunks()
+    names = lists.flatten().dictionary_encode()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    cell = np.repeat(np.cumsum(~same) - 1, sizes) * len(names.dictionary) + names.indices.to_numpy(zero_copy_only=False)
+    cells, at = np.unique(cell, return_inverse=True)
+    counts = np.zeros(len(cells), np.int64)
+    np.add.at(counts, at, rows["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
+    ends = np.searchsorted(cells, np.arange(len(first) + 1) * len(names.dictionary)).astype(np.int32)
+    sources = names.dictionary.take(pa.array(cells % len(names.dictionary)))
+    n_docs = np.add.reduceat(rows["n_docs"].combine_chunks().to_numpy(zero_copy_only=False), first)
+    keys = rows.select(["lang", "term"]).take(pa.array(first))
+    return pa.table([*keys.columns, pa.array(n_docs), _lists(ends, sources), _lists(ends, pa.array(counts))], schema=rows.schema)
+
+
 def merged(stripes: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """One stripe of each language and term that ``documents`` of its documents have, and the empty term's, stored."""
     out = T._parse_datatype_string(STRIPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, done = to_arrow_schema(out), []
-        key, n_docs, counts = None, 0, Counter()
-
-        def close():
-            if key is not None and (n_docs >= documents or not key[1]):
-                done.append((*key, n_docs, list(counts), list(counts.values())))
-
-        def batch():
-            cols = list(zip(*done))
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types)], schema=arrow)
-
+        arrow, open_ = to_arrow_schema(out), None
+        kept = lambda rows: rows.filter(pc.or_(pc.greater_equal(rows["n_docs"], documents), pc.equal(rows["term"], ""))).to_batches()
         for part in batches:
-            for lang, term, n, sources, ns in zip(*(c.to_pylist() for c in part.columns)):
-                if (lang, term) != key:
-                    close()
-                    key, n_docs, counts = (lang, term), 0, Counter()
-                    if len(done) >= 5_000:
-                        yield batch()
-                n_docs += n
-                for source, m in zip(sources, ns):
-                    counts[source] += m
-        close()
-        if done:
-            yield batch()
+            if not part.num_rows:
+                continue
+            rows = pa.Table.from_batches([part]).cast(arrow)
+            rows = _one_a_key(rows if open_ is None else pa.concat_tables([open_, rows]))
+            open_ = rows.slice(len(rows) - 1)  # its key may go on
+            yield from kept(rows.slice(0, len(rows) - 1))
+        if open_ is not None:
+            yield from kept(open_)
 
     return stored(stripes.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, out), "stripes")
 
