@@ -1,138 +1,475 @@
 """Location of a posting: city, country, relocation and visa support, from its sections.
 
-A place is looked up among a text's words: names of one word in a literal map, longer ones by one pattern behind a test
-for their first words.  "City, Country" and the like are read by one pattern; of all places of a posting the one with
-the greatest score counts, of equal ones that of the first section, then the first in the order of the tables.
+Places come from two tables of names, which code reads and never spells out: further rows need no code.  A name stands
+between ASCII word boundaries; ``~`` marks one that counts anywhere, ``=`` one between characters that are no Cyrillic
+letters, ``*`` the start of a word.  The first row of a table that a text names wins.  In a record's plan, names of one
+ASCII word are looked up among a text's words and the others by one pattern, where a text can hold one at all; over
+whole tables ``mentions`` joins texts with names by their first word and verifies them.
+
+Of all places of a posting the one with the greatest score counts, of equal ones the first: by section, then "City,
+Country" and the like, then cities, then countries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .extract import confidence, text_of, weight
-from .patterns import every, first, has, let, replace
-
-# Countries with their other names and codes.
-COUNTRIES = [
-    ("Russia", ["russia", "россия", "рф", "rf", "ru"]), ("USA", ["usa", "us", "united states", "сша"]), ("UK", ["uk", "united kingdom", "great britain", "gb", "англия", "великобритания"]),
-    ("Ireland", ["ireland", "ie", "ирландия"]), ("Portugal", ["portugal", "pt", "португалия"]), ("Belgium", ["belgium", "бельгия"]), ("Austria", ["austria", "österreich", "австрия"]),
-    ("Czechia", ["czechia", "czech republic", "cz", "чехия"]), ("Hungary", ["hungary", "hu", "венгрия"]), ("Romania", ["romania", "ro", "румыния"]), ("Bulgaria", ["bulgaria", "bg", "болгария"]),
-    ("Finland", ["finland", "fi", "финляндия"]), ("Estonia", ["estonia", "ee", "эстония"]), ("Latvia", ["latvia", "lv", "латвия"]), ("Lithuania", ["lithuania", "lt", "литва"]),
-    ("Croatia", ["croatia", "hr", "хорватия"]), ("Slovenia", ["slovenia", "si", "словения"]), ("Slovakia", ["slovakia", "sk", "словакия"]), ("Luxembourg", ["luxembourg", "lu", "люксембург"]),
-    ("Iceland", ["iceland", "исландия"]), ("Greece", ["greece", "hellas", "ελλάδα", "греция"]), ("Cyprus", ["cyprus", "κύπρος", "кипр"]), ("Malta", ["malta", "mt", "мальта"]),
-    ("Germany", ["germany", "deutschland", "de", "германия"]), ("France", ["france", "fr", "франция"]), ("Spain", ["spain", "españa", "es", "испания"]), ("Italy", ["italy", "italia", "италия"]),
-    ("Netherlands", ["netherlands", "nl", "holland", "нидерланды"]), ("Poland", ["poland", "pl", "польша"]), ("Switzerland", ["switzerland", "schweiz", "ch", "швейцария"]),
-    ("Sweden", ["sweden", "se", "швеция"]), ("Norway", ["norway", "норвегия"]), ("Denmark", ["denmark", "dk", "дания"]), ("Ukraine", ["ukraine", "ua", "украина"]), ("Belarus", ["belarus", "by", "беларусь"]),
-    ("Kazakhstan", ["kazakhstan", "kz", "казахстан"]), ("Georgia", ["georgia", "ge", "грузия"]), ("Armenia", ["armenia", "am", "армения"]), ("Serbia", ["serbia", "rs", "сербия"]),
-    ("Turkey", ["turkey", "türkiye", "tr", "турция"]), ("Israel", ["israel", "il", "израиль"]), ("UAE", ["uae", "united arab emirates", "оаэ"]), ("India", ["india", "индия"]),
-    ("Singapore", ["singapore", "sg", "сингапур"]), ("Canada", ["canada", "ca", "канада"]), ("Australia", ["australia", "au", "австралия"]), ("Uzbekistan", ["uzbekistan", "uz", "узбекистан"]),
-    ("Brazil", ["brazil", "brasil", "br", "бразилия"]), ("Mexico", ["mexico", "mx", "мексика"]), ("Japan", ["japan", "jp", "япония"]), ("Montenegro", ["montenegro", "черногория"]), ("Thailand", ["thailand", "th", "таиланд"]),
-]
-# Cities by country, with their other names.
-CITIES = [
-    ("Russia", [("Moscow", ["москва", "москве"]), ("Saint Petersburg", ["st petersburg", "spb", "санкт-петербург", "питер"]), ("Novosibirsk", ["новосибирск"]), ("Kazan", ["казань"]), ("Yekaterinburg", ["екатеринбург"])]),
-    ("Belarus", [("Minsk", ["минск"])]), ("Georgia", [("Tbilisi", ["тбилиси"]), ("Batumi", ["батуми"])]), ("Armenia", [("Yerevan", ["ереван"])]),
-    ("Poland", [("Warsaw", ["варшава"]), ("Krakow", ["kraków", "краков"]), ("Wroclaw", ["wrocław", "вроцлав"]), ("Gdansk", ["gdańsk"])]),
-    ("Germany", [("Berlin", ["берлин"]), ("Munich", ["münchen", "мюнхен"]), ("Hamburg", ["гамбург"]), ("Frankfurt", ["франкфурт"]), ("Cologne", ["köln"]), ("Stuttgart", []), ("Dusseldorf", ["düsseldorf"])]),
-    ("UK", [("London", ["лондон"]), ("Manchester", []), ("Edinburgh", []), ("Birmingham", [])]), ("Netherlands", [("Amsterdam", ["амстердам"]), ("Rotterdam", []), ("Utrecht", [])]),
-    ("France", [("Paris", ["париж"]), ("Lyon", []), ("Marseille", []), ("Toulouse", [])]), ("Spain", [("Madrid", ["мадрид"]), ("Barcelona", ["барселона"]), ("Valencia", ["валенсия"]), ("Malaga", ["málaga"])]),
-    ("Portugal", [("Lisbon", ["lisboa", "лиссабон"]), ("Porto", [])]), ("Italy", [("Rome", ["roma", "рим"]), ("Milan", ["milano", "милан"]), ("Turin", ["torino"])]), ("Ireland", [("Dublin", ["дублин"]), ("Cork", [])]),
-    ("Switzerland", [("Zurich", ["zürich", "цюрих"]), ("Geneva", ["genève"]), ("Basel", [])]), ("Austria", [("Vienna", ["wien", "вена"])]), ("Belgium", [("Brussels", ["брюссель"])]), ("Czechia", [("Prague", ["praha", "прага"]), ("Brno", [])]),
-    ("Hungary", [("Budapest", ["будапешт"])]), ("Romania", [("Bucharest", ["бухарест"])]), ("Bulgaria", [("Sofia", ["софия"])]), ("Finland", [("Helsinki", ["хельсинки"])]), ("Estonia", [("Tallinn", ["таллин"])]),
-    ("Latvia", [("Riga", ["рига"])]), ("Lithuania", [("Vilnius", ["вильнюс"]), ("Kaunas", [])]), ("Sweden", [("Stockholm", ["стокгольм"]), ("Gothenburg", ["göteborg"])]), ("Norway", [("Oslo", ["осло"])]),
-    ("Denmark", [("Copenhagen", ["københavn", "копенгаген"])]), ("Greece", [("Athens", ["афины"]), ("Thessaloniki", [])]), ("Cyprus", [("Limassol", ["лимассол"]), ("Nicosia", ["никосия"]), ("Larnaca", []), ("Paphos", ["пафос"])]),
-    ("Serbia", [("Belgrade", ["beograd", "белград"]), ("Novi Sad", [])]), ("Croatia", [("Zagreb", [])]), ("Slovenia", [("Ljubljana", [])]), ("Slovakia", [("Bratislava", [])]), ("Luxembourg", [("Luxembourg City", [])]), ("Malta", [("Valletta", [])]),
-    ("Turkey", [("Istanbul", ["стамбул"]), ("Ankara", []), ("Antalya", [])]), ("Israel", [("Tel Aviv", ["тель-авив"])]), ("UAE", [("Dubai", ["дубай"]), ("Abu Dhabi", [])]), ("Ukraine", [("Kyiv", ["kiev", "киев"]), ("Lviv", [])]),
-    ("Kazakhstan", [("Almaty", ["алматы"]), ("Astana", ["астана"])]), ("Uzbekistan", [("Tashkent", ["ташкент"])]), ("India", [("Bangalore", ["bengaluru"]), ("Mumbai", []), ("Hyderabad", []), ("Pune", [])]),
-    ("USA", [("New York", ["nyc"]), ("San Francisco", []), ("Los Angeles", []), ("Seattle", []), ("Austin", []), ("Boston", []), ("Chicago", []), ("Denver", []), ("Miami", []), ("Atlanta", [])]),
-    ("Canada", [("Toronto", []), ("Vancouver", []), ("Montreal", ["montréal"])]), ("Australia", [("Sydney", []), ("Melbourne", [])]), ("Japan", [("Tokyo", [])]), ("Brazil", [("Sao Paulo", ["são paulo"])]), ("Thailand", [("Bangkok", [])]),
-]
-# States of the USA by their codes, and words that are no places.
-STATES = ["AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC"]
-NO_PLACE = r"(office|format|hybrid|remote|onsite|формат|гибрид|удал|локация|location)"
-RELOCATION = r"(relocation|релокац|переезд)"
-VISA = r"(visa\s+support|visa\s+sponsorship|work\s+permit|визовая\s+поддержка|виза)"
-REGIONS = [("US", r"\b(us|usa|united\s+states)\s+only\b"), ("EU", r"\b((eu|european\s+union|eea|europe)\s+only|eu-wide)\b"), ("EMEA", r"\bemea\b"), ("APAC", r"\bapac\b")]
-_NAME = r"[A-Za-zÀ-ÿА-Яа-яЁё][A-Za-zÀ-ÿА-Яа-яЁё' -]{1,40}?"
-EXPLICIT = rf"({_NAME})\s*(?:,|\(|-|–|—)\s*([A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё ]{{1,20}})"
-
-
-#: A separator before a known country or a state's code: only such lines can hold an explicit place.
-SECOND = r"[,(–—-]\s*(?:(?i:" + "|".join(sorted({x for _, names in COUNTRIES for x in names}, key=len, reverse=True)) + ")|" + "|".join(STATES) + r")(?!\p{L})"
-
-
-def _spelled() -> dict[str, tuple[int, str | None, str]]:
-    """Each spelling's place in the order of the tables, its city (if it is one) and country."""
-    out: dict[str, tuple[int, str | None, str]] = {}
-    for country, cities in CITIES:
-        for city, others in cities:
-            for x in (city.lower(), *others):
-                out.setdefault(x, (len(out), city, country))
-    for country, names in COUNTRIES:
-        for x in names:
-            if len(x) > 2 or x in ("рф", "us", "uk"):  # other codes count in explicit forms alone
-                out.setdefault(x, (len(out), None, country))
-    return out
-
-
-_PLACE = "struct<score:int,at:int,city:string,country:string>"
-
-
-def _known(low: Column, base: Column) -> Column:
-    """Places that a lower-cased text names."""
-    spelled = _spelled()
-    words = [x for x in spelled if x.isalpha()]
-    longer = sorted((x for x in spelled if not x.isalpha()), key=len, reverse=True)
-    starts = sorted({x.replace("-", " ").split(" ")[0] for x in longer})
-    of = F.create_map(*(x for k, (at, city, country) in spelled.items() for x in (F.lit(k), F.struct(F.lit(2 if city else 1).alias("score"), F.lit(at).alias("at"), F.lit(city).cast("string").alias("city"), F.lit(country).alias("country")))))
-    pattern = r"(?<![\p{L}\p{N}])(" + "|".join(longer) + r")(?![\p{L}\p{N}])"
+from .patterns import has, java, let, replace
+
+# Cities, their countries and names, in the order in which they are looked for.
+CITIES = """
+Moscow; Russia; moscow, ~москва
+Saint Petersburg; Russia; saint petersburg, saintpetersburg, spb, ~санкт-петербург, ~санктпетербург, ~питер
+Novosibirsk; Russia; novosibirsk, ~новосибирск
+Minsk; ; minsk, ~минск
+Tbilisi; Georgia; tbilisi, ~тбилиси
+Yerevan; Armenia; yerevan, ~ереван
+Batumi; Georgia; batumi, ~батуми
+Warsaw; Poland; warsaw, ~варшава
+Berlin; Germany; berlin, ~берлин
+London; UK; london, ~лондон
+Amsterdam; Netherlands; amsterdam
+Paris; France; paris
+Madrid; Spain; madrid
+Barcelona; Spain; barcelona
+Rome; Italy; rome, roma
+Milan; Italy; milan, milano
+Dublin; Ireland; dublin
+Lisbon; Portugal; lisbon, lisboa
+Porto; Portugal; porto
+Vienna; Austria; vienna, wien
+Prague; Czechia; prague, praha
+Brno; Czechia; brno
+Budapest; Hungary; budapest
+Bucharest; Romania; bucharest, bucurești
+Sofia; Bulgaria; sofia
+Helsinki; Finland; helsinki
+Tallinn; Estonia; tallinn
+Riga; Latvia; riga
+Vilnius; Lithuania; vilnius
+Zagreb; Croatia; zagreb
+Ljubljana; Slovenia; ljubljana
+Bratislava; Slovakia; bratislava
+Luxembourg; Luxembourg; luxembourg
+Reykjavik; Iceland; reykjavik, reykjavík
+Belgrade; Serbia; belgrade, ~белград
+Novi Sad; Serbia; novi sad
+Almaty; Kazakhstan; almaty, ~алматы
+Athens; Greece; athens, ~αθήνα
+Thessaloniki; Greece; thessaloniki, ~θεσσαλονίκη
+Nicosia; Cyprus; nicosia, ~lefkosia, ~λευκωσία
+Limassol; Cyprus; limassol, ~λεμεσός
+Larnaca; Cyprus; larnaca, ~λάρνακα, ~λάrνακα
+Manchester; UK; manchester
+Birmingham; UK; birmingham
+Liverpool; UK; liverpool
+Edinburgh; UK; edinburgh
+Glasgow; UK; glasgow
+Leeds; UK; leeds
+Bristol; UK; bristol
+Munich; Germany; munich, münchen
+Hamburg; Germany; hamburg
+Frankfurt; Germany; frankfurt
+Cologne; Germany; cologne, köln
+Stuttgart; Germany; stuttgart
+Düsseldorf; Germany; düsseldorf
+Dortmund; Germany; dortmund
+Essen; Germany; essen
+Lyon; France; lyon
+Marseille; France; marseille
+Toulouse; France; toulouse
+Nice; France; nice
+Nantes; France; nantes
+Strasbourg; France; strasbourg
+Montpellier; France; montpellier
+Naples; Italy; naples, napoli
+Turin; Italy; turin, torino
+Palermo; Italy; palermo
+Genoa; Italy; genoa, genova
+Bologna; Italy; bologna
+Florence; Italy; florence, firenze
+Bari; Italy; bari
+Valencia; Spain; valencia
+Seville; Spain; seville, sevilla
+Zaragoza; Spain; zaragoza
+Málaga; Spain; málaga, malaga
+Murcia; Spain; murcia
+Bilbao; Spain; bilbao
+Rotterdam; Netherlands; rotterdam
+The Hague; Netherlands; the hague, den haag
+Utrecht; Netherlands; utrecht
+Eindhoven; Netherlands; eindhoven
+Antwerp; Belgium; antwerp, antwerpen
+Ghent; Belgium; gent, ghent
+Bruges; Belgium; bruges, brugge
+Zurich; Switzerland; zurich, zürich
+Geneva; Switzerland; geneva, genève
+Basel; Switzerland; basel
+Bern; Switzerland; bern, berne
+Lausanne; Switzerland; lausanne
+Graz; Austria; graz
+Linz; Austria; linz
+Salzburg; Austria; salzburg
+Krakow; Poland; krakow, kraków
+Wroclaw; Poland; wroclaw, wrocław
+Poznan; Poland; poznan, poznań
+Gdansk; Poland; gdansk, gdańsk
+Ostrava; Czechia; ostrava
+Debrecen; Hungary; debrecen
+Szeged; Hungary; szeged
+Cluj-Napoca; Romania; cluj
+Timișoara; Romania; timișoara, timisoara
+Iași; Romania; iași, iasi
+Plovdiv; Bulgaria; plovdiv
+Varna; Bulgaria; varna
+Split; Croatia; split
+Bergen; Norway; bergen
+Trondheim; Norway; trondheim
+Gothenburg; Sweden; gothenburg, göteborg
+Malmö; Sweden; malmö, malmo
+Aarhus; Denmark; aarhus
+Tampere; Finland; tampere
+Turku; Finland; turku
+Cork; Ireland; cork
+Tel Aviv; Israel; tel aviv, tel avivyafo
+Jerusalem; Israel; jerusalem
+Haifa; Israel; haifa
+Rishon LeZion; Israel; rishon lezion, rishon le zion, rishon le-zion
+Petah Tikva; Israel; petah tikva
+Ashdod; Israel; ashdod
+Netanya; Israel; netanya
+Beer Sheva; Israel; beer sheva, beersheba
+Dubai; UAE; dubai
+Abu Dhabi; UAE; abu dhabi
+Sharjah; UAE; sharjah
+Ajman; UAE; ajman
+Ras Al Khaimah; UAE; ra's al khaimah, ra's al-khaimah, ra's alkhaimah
+Fujairah; UAE; fujairah
+Umm Al Quwain; UAE; umm al quwain, umm al-quwain, umm alquwain
+Beijing; China; beijing, peking
+Shanghai; China; shanghai
+Guangzhou; China; guangzhou
+Shenzhen; China; shenzhen
+Chengdu; China; chengdu
+Hangzhou; China; hangzhou
+Wuhan; China; wuhan
+Xi'an; China; xi'an, xian
+Nanjing; China; nanjing
+Tianjin; China; tianjin
+Tokyo; Japan; tokyo
+Yokohama; Japan; yokohama
+Osaka; Japan; osaka
+Nagoya; Japan; nagoya
+Sapporo; Japan; sapporo
+Fukuoka; Japan; fukuoka
+Kyoto; Japan; kyoto
+Kobe; Japan; kobe
+Seoul; South Korea; seoul
+Busan; South Korea; busan
+Incheon; South Korea; incheon
+Daegu; South Korea; daegu
+Daejeon; South Korea; daejeon
+Gwangju; South Korea; gwangju
+Mumbai; India; mumbai, bombay
+Delhi; India; delhi
+Bangalore; India; bangalore, bengaluru
+Hyderabad; India; hyderabad
+Chennai; India; chennai, madras
+Kolkata; India; kolkata, calcutta
+Pune; India; pune
+Jaipur; India; jaipur
+Surat; India; surat
+Lucknow; India; lucknow
+Singapore; Singapore; singapore
+Bangkok; Thailand; bangkok
+Chiang Mai; Thailand; chiang mai
+Phuket; Thailand; phuket
+Ho Chi Minh City; Vietnam; ho chi minh city, saigon
+Hanoi; Vietnam; hanoi
+Da Nang; Vietnam; da nang
+Manila; Philippines; manila
+Cebu; Philippines; cebu
+Davao; Philippines; davao
+Jakarta; Indonesia; jakarta
+Surabaya; Indonesia; surabaya
+Bandung; Indonesia; bandung
+Medan; Indonesia; medan
+Kuala Lumpur; Malaysia; kuala lumpur
+Penang; Malaysia; penang, george town
+Johor Bahru; Malaysia; johor bahru
+Taipei; Taiwan; taipei
+Kaohsiung; Taiwan; kaohsiung
+Taichung; Taiwan; taichung
+Hong Kong; Hong Kong; hong kong
+Riyadh; Saudi Arabia; riyadh, riyad
+Jeddah; Saudi Arabia; jeddah
+Dammam; Saudi Arabia; dammam
+Mecca; Saudi Arabia; mecca, makkah
+Medina; Saudi Arabia; medina, madinah
+Doha; Qatar; doha
+Kuwait City; Kuwait; kuwait city
+Manama; Bahrain; manama
+Muscat; Oman; muscat
+Istanbul; Turkey; istanbul
+Ankara; Turkey; ankara
+Izmir; Turkey; izmir
+Antalya; Turkey; antalya
+Bursa; Turkey; bursa
+New York; USA; nyc, new york
+San Francisco; USA; sf, san francisco
+"""
+# Countries and their names, in the order in which they are looked for.
+COUNTRIES = """
+Russia; russia, rf, ru, =россия, =рф
+USA; usa, us, united states
+UK; uk, united kingdom, great britain, gb
+Ireland; ireland, ie
+Portugal; portugal, pt
+Belgium; belgium, be
+Austria; austria, at
+Czechia; czechia, czech republic, cz
+Hungary; hungary, hu
+Romania; romania, ro
+Bulgaria; bulgaria, bg
+Finland; finland, fi
+Estonia; estonia, ee
+Latvia; latvia, lv
+Lithuania; lithuania, lt
+Croatia; croatia, hr
+Slovenia; slovenia, si
+Slovakia; slovakia, sk
+Luxembourg; luxembourg, lu
+Iceland; iceland, is
+Greece; greece, hellas, ellada, ελλάδα, hellenic
+Cyprus; cyprus, κύπρος, ~кипр
+Switzerland; switzerland, schweiz, suisse
+Sweden; sweden, sverige
+Norway; norway, norge
+Denmark; denmark, danmark
+France; france
+Netherlands; netherlands, holland
+Spain; spain, españa
+Italy; italy, italia
+Germany; germany, deutschland
+Poland; pol*
+Georgia; georgia
+Armenia; armenia
+Serbia; serbia
+UAE; uae, united arab emirates
+Kazakhstan; kazakhstan, казахстан
+Ukraine; ukraine, украина
+Israel; israel, il
+China; china, prc, people's republic of china
+Japan; japan, jp
+South Korea; south korea, korea, republic of korea, rok
+India; india, in
+Singapore; singapore, sg
+Thailand; thailand, th
+Vietnam; vietnam, vn
+Philippines; philippines, ph
+Indonesia; indonesia, id
+Malaysia; malaysia, my
+Taiwan; taiwan, tw
+Hong Kong; hong kong, hk
+Saudi Arabia; saudi arabia, sa
+Qatar; qatar
+Kuwait; kuwait, kw
+Bahrain; bahrain, bh
+Oman; oman, om
+Turkey; turkey, tr, türkiye
+"""
+# Countries by the code that a posting's source may give.
+CODES = """
+DE Germany, AT Austria, CH Switzerland, FR France, ES Spain, IT Italy, PT Portugal, NL Netherlands, BE Belgium, LU Luxembourg, IE Ireland, GB UK, UK UK, SE Sweden, NO Norway, DK Denmark, FI Finland, IS Iceland,
+PL Poland, CZ Czechia, SK Slovakia, SI Slovenia, HR Croatia, RO Romania, BG Bulgaria, HU Hungary, LT Lithuania, LV Latvia, EE Estonia, CY Cyprus, GR Greece, UA Ukraine, BY Belarus, KZ Kazakhstan, GE Georgia, AM Armenia,
+AZ Azerbaijan, TR Turkey, RU Russia, US USA, CA Canada, AU Australia, NZ New Zealand, SG Singapore, TH Thailand, VN Vietnam, PH Philippines, ID Indonesia, MY Malaysia, CN China, JP Japan, KR South Korea, IN India, IL Israel, AE UAE
+"""
+# States of the USA by their codes.
+STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
+# What can't be a city or a country.
+NO_PLACES = ["django", "fastapi", "node.js", "nodejs", "nestjs", "react", "angular", "vue", "postgresql", "mysql", "kafka", "docker", "kubernetes", "gitlab", "github", "prometheus", "grafana", "sentry", "java", "oop", "http", "https", "www", "t", "me", "com", "net", "org", "io", "ai", "app", "dev"]
+NO_PLACE_WORDS = ["year", "years", "working", "hours", "working hours", "experience", "benefits", "requirements", "responsibilities", "compensation", "salary", "offer", "retirement", "pto", "bonus", "ote", "k"]
+NO_CITY, NO_COUNTRY = r"\b(office|format|hybrid|remote|onsite)\b", r"(формат|гибрид|удал|office|remote|onsite|hybrid)"
+RELOCATION = r"(\brelocation\b|релокац|переезд|\brelocate\b)"
+VISA = r"(\bvisa\b|виза|work\s+permit|разрешени[ея]\s+на\s+работу)"
+REGIONS = [("US", r"\b(us|usa|united\s+states)\s+only\b"), ("EU", r"(\b(eu|european\s+union|eea|europe)\s+only\b|\beu-wide\b)"), ("EMEA", r"\bemea\b"), ("APAC", r"\bapac\b")]
+# Fixed values: "City, Country", "City (Country)", "City - Country", "City, ST" and a city behind its Russian mark.
+_NAME = r"([A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё\- ]{1,40})"
+WITH_COMMA, WITH_DASH = rf"(?:г\.?\s*)?{_NAME}\s*,\s*{_NAME}", rf"{_NAME}\s*[-–—]\s*{_NAME}"
+IN_BRACKETS = rf"{_NAME}\s*\(\s*([A-Za-zА-Яа-яЁё]{{2,40}})\s*\)"
+WITH_STATE, MARKED_CITY = r"([A-Za-z][A-Za-z .'-]{1,40})\s*,\s*([A-Z]{2})\b", r"г\.?\s*([А-Яа-яЁё][А-Яа-яЁё\- ]{1,40})"
+# A name that is stuck to a place.
+_CYRILLIC = r"А-Яа-яЁё0-9\s,/-"
+STUCK_SENTENCE = rf"(?<![{_CYRILLIC}])([{_CYRILLIC}]+[а-яё])([А-ЯЁ][А-Яа-яЁё0-9]{{2,40}})(?=\s|$|,|:)"
+STUCK_LATIN = rf"(?<![{_CYRILLIC}])([{_CYRILLIC}]+)([A-Z][A-Za-z0-9\s&'.-]{{2,40}})(?=\s|$|,|:)"
+STUCK_CASE = r"(?m)^(.{3,}[a-zа-яё0-9])([A-ZА-ЯЁ][A-Za-zА-Яа-яЁё0-9]{1,30})(?=\s|$|,|:)"
+STUCK_PAIR = r"\A([^,]+,\s*[^,]+)([A-ZА-ЯЁ][A-Za-zА-Яа-яЁё0-9]{2,30})(?=\s|$|,|:)"
+
+
+def rows(table: str) -> list[tuple[str, ...]]:
+    """The lines of a table above, the names of each as its last field."""
+    return [tuple(x.strip() for x in line.split(";")) for line in table.strip().split("\n")]
+
+
+def names(table: str) -> list[tuple[int, str]]:
+    """(row, name with its mark) of every name of a table."""
+    return [(k, n.strip()) for k, row in enumerate(rows(table)) for n in row[-1].split(",")]
+
+
+def name_pattern(name: str) -> str:
+    """What a name matches, in the dialect of ``patterns``."""
+    plain = re.sub(r"([.'-])", r"\\\1", name.strip("~=*")).replace(r"\'", "'").replace(" ", r"\s+")
+    if name[0] == "~":
+        return plain
+    if name[0] == "=":
+        return rf"(?:^|[^А-Яа-яЁё]){plain}(?:$|[^А-Яа-яЁё])"
+    return rf"\b{plain}" + (r"\w*\b" if name[-1] == "*" else r"\b")
+
+
+#: A name that doesn't count before other words: "nice to have".
+UNLESS = {"nice": r"(?!\s+to\s+have)"}
+
+
+def first_named(low: Column, table: str) -> Column:
+    """The first row of a table, from 0, that a lower-cased text names, or null."""
+    of: dict[str, int] = {}
+    for k, name in names(table):
+        of.setdefault(name, k)
+    words = [x for x in of if re.fullmatch("[a-z0-9_]+", x) and x not in UNLESS]
+    longer = sorted((x for x in of if x not in words and x[0] not in "~=" and x[-1] != "*" and x not in UNLESS), key=len, reverse=True)
+    marked = [x for x in of if x[0] in "~=" or x[-1] == "*" or x in UNLESS]
+    starts = sorted({re.findall("[a-z0-9]+", x)[0] for x in longer if x.isascii()})
+    row_of = F.create_map(*(F.lit(x) for k in [*words, *longer] for x in (k, of[k])))
+    spelled = java(r"\b(?:" + "|".join(name_pattern(x)[2:-2] for x in longer) + r")\b", fold=False)
 
     def found(own: Column) -> Column:
-        long = F.when(F.arrays_overlap(own, F.array(*map(F.lit, starts))), every(low, pattern, 1)).otherwise(F.array().cast("array<string>"))
-        names = F.concat(F.array_intersect(own, F.array(*map(F.lit, words))), long)
-        return F.transform(names, lambda x: let(F.try_element_at(of, x), lambda p: F.struct((p["score"] + base).alias("score"), p["at"].alias("at"), p["city"].alias("city"), p["country"].alias("country"))))
+        may = F.arrays_overlap(own, F.array(*map(F.lit, starts))) | F.rlike(low, F.lit("[^\\x00-\\x7F]"))
+        several = F.when(may, F.transform(F.regexp_extract_all(low, F.lit(spelled), F.lit(0)), lambda x: F.regexp_replace(x, java(r"\s+", fold=False), " "))).otherwise(F.array().cast("array<string>"))
+        known = F.transform(F.concat(F.array_intersect(own, F.array(*map(F.lit, words))), several), lambda x: F.try_element_at(row_of, x))
+        sign = lambda x: F.contains(low, F.lit(x.strip("~=*")))
+        hit = lambda x: sign(x) if x[0] == "~" else sign(x) & F.rlike(low, F.lit(java(name_pattern(x) + UNLESS.get(x, ""), fold=False)))
+        return F.array_min(F.concat(known, F.array(*(F.when(hit(x), of[x]) for x in marked))))
 
-    return let(F.array_distinct(F.split(low, r"[^\p{L}\p{N}]+")), found)
+    return let(F.array_distinct(F.split(low, "[^a-z0-9_]+")), found)
 
 
-def _explicit(text: Column, base: Column) -> Column:
-    """The place of the first "City, Country", "City (Country)" or "City - Country" of each line whose second part is a known country or state."""
-    codes = {x: country for country, names in COUNTRIES for x in names}
-    cities = {k: v[1] for k, v in _spelled().items() if v[1]}
-    country_of = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))
-    city_of = F.create_map(*(F.lit(x) for kv in cities.items() for x in kv))
+def _field(table: str, row: Column, k: int) -> Column:
+    return F.get(F.array(*(F.lit(r[k] or None).cast("string") for r in rows(table))), row)
 
-    def of(line: Column) -> Column:
-        pair = F.struct(F.trim(F.regexp_replace(F.coalesce(first(line, EXPLICIT, 1), F.lit("")), r"^(?iu:г\.?\s+|city\s+of\s+)", "")).alias("city"), F.trim(F.coalesce(first(line, EXPLICIT, 2), F.lit(""))).alias("country"))
 
-        def place(p: Column) -> Column:
-            country = F.coalesce(F.try_element_at(country_of, F.lower(p["country"])), F.when(p["country"].isin(*STATES), "USA"))
-            size = F.size(F.split(p["city"], r"\s+"))
-            fits = country.isNotNull() & (F.length(p["city"]) > 2) & (size <= 3) & F.rlike(p["city"], F.lit(r"^\p{Lu}")) & ~has(p["city"], NO_PLACE)
-            return F.when(fits, F.struct((base + 3).cast("int").alias("score"), F.lit(-1).alias("at"), F.coalesce(F.try_element_at(city_of, F.lower(p["city"])), p["city"]).alias("city"), country.alias("country")))
+def alias_table(spark: SparkSession) -> DataFrame:
+    """(kind, row, name, first_word, pattern): all names of both tables.  ``first_word`` is null for names that count anywhere."""
+    every_name = [(kind, k, n) for kind, t in (("city", CITIES), ("country", COUNTRIES)) for k, n in names(t)]
+    whole = lambda n: n[0] not in "~=" and n[-1] != "*" and n.isascii()
+    data = [(kind, k, n, re.findall("[a-z0-9_]+", n)[0] if whole(n) else None, java(name_pattern(n) + UNLESS.get(n, ""))) for kind, k, n in every_name]
+    return spark.createDataFrame(data, "kind string, row int, name string, first_word string, pattern string")
 
-        return F.when(F.rlike(line, F.lit(SECOND)), let(pair, place))
 
-    labelled = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^(?iu:[^\p{L}]*(локация|город|location|city|based in|office in)\s*[:\-]?\s*)", ""))
-    return F.slice(F.array_compact(F.transform(labelled, of)).cast(f"array<{_PLACE}>"), 1, 1)
+def mentions(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, most: int = 100_000) -> DataFrame:
+    """(id, kind, row): the first row of each kind of ``aliases`` that each text names.
+
+    Names of whole words meet a text in a join by their first word and are verified in it; of a text only its distinct
+    words are shuffled if the names are too many to broadcast (``most``).  Marked names are few; each is looked for in
+    each text.
+    """
+    named = aliases.where("first_word is not null")
+    named = F.broadcast(named) if named.count() <= most else named
+    own = texts.select(F.col(text_id).alias("id"), F.col(text).alias("text")).where("text is not null")
+    words = own.select("*", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("first_word"))
+    by_word = words.join(named, "first_word").where(F.rlike("text", F.col("pattern")))
+    anywhere = own.join(F.broadcast(aliases.where("first_word is null")), F.rlike("text", F.col("pattern")))
+    return by_word.select("id", "kind", "row").unionByName(anywhere.select("id", "kind", "row")).groupBy("id", "kind").agg(F.min("row").alias("row"))
+
+
+def cut(text: Column) -> Column:
+    """A place without the name that is stuck to it: what stands before the first name that looks so; else the text."""
+    pair = lambda p: F.struct(F.regexp_extract(text, java(p, False), 1).alias("a"), F.regexp_extract(text, java(p, False), 2).alias("b"))
+    trim = lambda x: replace(x, r"^\s+|\s+$", "")
+    own = lambda b: ~F.lower(b).isin("b2b", "3d", "c4d", "ios", "ipad", "iphone", "macos", "tvos", "watchos", "api", "url", "http", "https", "css", "html", "xml", "json", "pdf", "jpg", "png", "gif", "svg", "mp4", "avi", "mov")
+
+    def judged(f: Column) -> Column:
+        x = {k: (trim(f[k]["a"]), trim(f[k]["b"])) for k in ("sentence", "latin", "case", "pair")}
+        size = F.length
+        (a0, b0), (a1, b1), (a2, b2), (a3, b3) = x.values()
+        code = lambda b: F.rlike(b, F.lit("^[A-Z]{1,3}$"))
+        return F.coalesce(
+            F.when((size(a0) > 3) & (size(b0) >= 2), a0),
+            F.when((size(a1) > 2) & F.rlike(a1, F.lit("[А-Яа-яЁё]")) & F.rlike(b1, F.lit("^[A-Z]")) & (~code(b1) | (size(a1) > 10)) & own(b1), a1),
+            F.when((size(a2) > 3) & (size(b2) >= 2) & ((size(b2) >= 3) | (size(a2) > 10)) & own(b2), a2),
+            F.when((size(a3) > 5) & F.rlike(a3, F.lit("[А-Яа-яЁё]")) & F.rlike(b3, F.lit("^[A-Z]")) & own(b3), a3),
+            text,
+        )
+
+    return let(F.struct(pair(STUCK_SENTENCE).alias("sentence"), pair(STUCK_LATIN).alias("latin"), pair(STUCK_CASE).alias("case"), pair(STUCK_PAIR).alias("pair")), judged)
+
+
+def explicit(text: Column) -> Column:
+    """struct<city, country> that a text spells out, or null.  The first thing that looks like a pair decides, also if it is none."""
+    trim = lambda x: F.trim(x)
+    groups = lambda t, p, fold=True: F.struct(F.regexp_extract(t, java(p, fold), 0).alias("all"), trim(F.regexp_extract(t, java(p, fold), 1)).alias("city"), trim(F.regexp_extract(t, java(p, fold), 2)).alias("country"))
+    pair = lambda city, country: F.struct(city.alias("city"), country.alias("country"))
+
+    def fits(p: Column, comma: bool) -> Column:
+        city, country = F.lower(p["city"]), F.lower(p["country"])
+        known = F.rlike(p["country"], F.lit("^[A-Z]{2,3}$")) | first_named(country, COUNTRIES).isNotNull()
+        plain = lambda x: F.rlike(x, F.lit(r"^[a-z][a-z\s-]+$"))
+        bad = has(city, NO_CITY) | has(country, NO_COUNTRY) | city.isin(*NO_PLACES, *NO_PLACE_WORDS) | country.isin(*NO_PLACES, *NO_PLACE_WORDS) | (F.length(city) <= 2) | (plain(p["city"]) & plain(p["country"]))
+        if comma:
+            many = lambda x: F.size(F.filter(F.split(x, " +"), lambda w: w != "")) > 3
+            camel = lambda x: F.rlike(x, F.lit("[a-z][A-Z]"))
+            bad = bad | many(p["city"]) | many(p["country"]) | camel(p["city"]) | camel(p["country"])
+        return ~bad & known
+
+    def found(f: Column) -> Column:
+        comma, bracket, dash, state = f["comma"], f["bracket"], f["dash"], f["state"]
+        us = state["country"].isin(*STATES) & ~has(F.lower(state["city"]), NO_CITY)
+        rest = F.when(us, pair(state["city"], F.lit("USA"))).when(f["marked"] != "", pair(F.trim(f["marked"]), F.lit(None).cast("string")))
+        taken = lambda p, comma=False: F.when(fits(p, comma), pair(p["city"], p["country"]))
+        return F.when(comma["all"] != "", taken(comma, True)).when(bracket["all"] != "", taken(bracket)).when(dash["all"] != "", taken(dash)).otherwise(rest)
+
+    marked = F.regexp_extract(text, java(MARKED_CITY), 1)
+    return let(F.struct(let(cut(text), lambda t: groups(t, WITH_COMMA)).alias("comma"), groups(text, IN_BRACKETS).alias("bracket"), groups(text, WITH_DASH).alias("dash"), groups(text, WITH_STATE, False).alias("state"), marked.alias("marked")), found)
+
+
+_PLACE = "struct<score:int,order:int,city:string,country:string>"
 
 
 def location(sections: Column, country: Column | None = None) -> Column:
-    """struct<city, country, relocation, visa_support, regions, confidence>; ``country`` is taken where a text names none."""
+    """struct<city, country, relocation, visa_support, regions, confidence>; ``country`` is a code, taken where a text names none."""
 
-    def of(s: Column) -> Column:
+    def of(s: Column, i: Column) -> Column:
         plain = replace(replace(text_of(s), r"https?://\S+", " "), r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", " ")
-        return let(plain, lambda t: F.concat(_explicit(t, weight(s)), _known(F.lower(t), weight(s)).cast(f"array<{_PLACE}>")))
+        hit = lambda more, k, city, where: F.struct((weight(s) + more).cast("int").alias("score"), (-(i * 3 + k)).cast("int").alias("order"), city.alias("city"), where.alias("country"))
+
+        def spelled(p: Column) -> Column:
+            def known(c: Column) -> Column:
+                row, land = first_named(F.lower(c), CITIES), first_named(F.lower(p["country"]), COUNTRIES)
+                return let(F.struct(row.alias("row"), land.alias("land")), lambda r: hit(3, 0, F.coalesce(_field(CITIES, r["row"], 0), c), F.coalesce(_field(COUNTRIES, r["land"], 0), p["country"], _field(CITIES, r["row"], 1))))
+
+            return F.when(p.isNotNull(), let(cut(p["city"]), known))
+
+        def places(f: Column) -> Column:
+            city = F.when(f["row"].isNotNull(), hit(2, 1, _field(CITIES, f["row"], 0), _field(CITIES, f["row"], 1)))
+            land = F.when(f["land"].isNotNull(), hit(1, 2, F.lit(None).cast("string"), _field(COUNTRIES, f["land"], 0)))
+            return F.array_compact(F.array(let(f["pair"], spelled).cast(_PLACE), city.cast(_PLACE), land.cast(_PLACE)))
+
+        looked = lambda t: let(cut(t), lambda c: F.struct(explicit(c).alias("pair"), first_named(F.lower(c), CITIES).alias("row"), first_named(F.lower(t), COUNTRIES).alias("land")))
+        return let(let(plain, looked), places)
 
     texts = F.transform(sections, text_of)
     seen = lambda p: F.exists(texts, lambda t: F.coalesce(has(t, p), F.lit(False)))
-    ranked = F.transform(F.flatten(F.transform(sections, of)), lambda h, i: F.struct(h["score"].alias("score"), (-h["at"]).alias("at"), h["city"].alias("city"), h["country"].alias("country")))
-    facts = F.struct(F.array_max(ranked).alias("best"), seen(RELOCATION).alias("relocation"), seen(VISA).alias("visa"), F.array_compact(F.array(*(F.when(seen(p), name) for name, p in REGIONS))).alias("regions"))
+    facts = F.struct(F.array_max(F.flatten(F.transform(sections, of))).alias("best"), seen(RELOCATION).alias("relocation"), seen(VISA).alias("visa"), seen("кипр").alias("cyprus"), F.array_compact(F.array(*(F.when(seen(p), name) for name, p in REGIONS))).alias("regions"))
+    codes = F.create_map(*(F.lit(x) for pair in CODES.replace("\n", " ").split(",") for x in pair.strip().split(" ", 1)))
+    home = F.try_element_at(codes, F.upper(F.trim(country))) if country is not None else F.lit(None).cast("string")
 
     def result(f: Column) -> Column:
-        where = F.coalesce(f["best"]["country"], country if country is not None else F.lit(None).cast("string"))
+        where = F.coalesce(f["best"]["country"], F.when(f["cyprus"], "Cyprus"), home)
         found = f["best"]["city"].isNotNull() | where.isNotNull() | f["relocation"] | f["visa"]
-        return F.struct(f["best"]["city"].alias("city"), where.alias("country"), f["relocation"].alias("relocation"), f["visa"].alias("visa_support"), F.when(f["best"]["city"].isNull() & where.isNull(), f["regions"]).otherwise(F.array().cast("array<string>")).alias("regions"), confidence(found, 0.3 + 0.1 * F.least(F.lit(8), F.coalesce(f["best"]["score"], F.lit(1)))).alias("confidence"))
+        regions = F.when(f["best"]["city"].isNull() & where.isNull(), f["regions"]).otherwise(F.array().cast("array<string>"))
+        return F.struct(f["best"]["city"].alias("city"), where.alias("country"), f["relocation"].alias("relocation"), f["visa"].alias("visa_support"), regions.alias("regions"), confidence(found, 0.3 + 0.1 * F.least(F.lit(8), F.coalesce(f["best"]["score"], F.lit(1)))).alias("confidence"))
 
     return let(facts, result)

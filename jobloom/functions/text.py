@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import SPACE, has, java, replace
+from .patterns import SPACE, has, java, let, replace
 
 HEAD_LINES = 10
 
@@ -17,41 +19,115 @@ def strip_html(text: Column) -> Column:
     return text
 
 
-#: Headers that get a line of their own when they follow other text (fixed values).
-GLUED_HEADERS = "Что нам важно|Что предстоит делать|Мы предлагаем|Задача|Задачи|Требования|Обязанности|Условия|Контакты|Как откликнуться|Откликнуться|Кто мы|Кого мы ищем|Кого мы ищем и почему|Чем вы будете заниматься|Ключевые навыки|Хотите к нам|О нас|О позиции|Responsibilities|Requirements|Benefits|How to apply|Apply"
-#: Latin letters that look like Cyrillic ones, where one starts a Cyrillic word.
+# Headers that get a line of their own when they follow other text.
+GLUED_HEADERS = [
+    "Что нам важно", "Что предстоит делать", "Мы предлагаем", "Задача", "Задачи", "Требования", "Обязанности", "Условия", "Контакты", "Как откликнуться", "Откликнуться", "Кто мы", "Кого мы ищем",
+    "Кого мы ищем и почему", "Чем вы будете заниматься", "Ключевые навыки", "Хотите к нам", "О нас", "О позиции", "Responsibilities", "Requirements", "Benefits", "How to apply", "Apply",
+]
+# Latin letters that look like Cyrillic ones, where one starts a Cyrillic word.
 LOOKALIKES = ("ABCEHKMOPTXYabcehkmoptxy", "АВСЕНКМОРТХУавсенкмортху")
+# Words that are no company's name, alone or with the word that they are stuck to.
+GLUE_WORDS = [
+    "TypeScript", "Type Script", "JavaScript", "Java Script", "DevOps", "Dev Ops", "NestJS", "Nest JS", "NodeJS", "Node JS", "React", "Angular", "Vue", "Svelte", "NextJS", "NuxtJS", "Golang", "Go Lang", "Python", "Java",
+    "Kotlin", "Swift", "Objective C", "iOS", "Android", "Flutter", "React Native", "Docker", "Kubernetes", "K8S", "AWS", "Azure", "GCP", "SQL", "NoSQL", "Data Science", "Machine Learning", "AI", "ML", "Linux",
+    "Engineer", "Developer", "Manager", "Lead", "Architect", "Administrator", "Analyst", "Designer", "Product Manager", "Project Manager", "Scrum Master", "Recruiter", "HR", "Backend", "Front End", "Frontend",
+    "Fullstack", "Full Stack", "Ops", "OTE", "JS", "TS", "QA", "PM", "PO", "UX", "UI", "BI", "SaaS", "DevSecOps", "Cloud",
+]
+# Tokens that aren't split.
+WHOLE_TOKENS = ["B2B", "3D", "C4D", "iOS", "iPad", "iPhone", "macOS", "tvOS", "watchOS", "API", "URL", "HTTP", "HTTPS", "CSS", "HTML", "XML", "JSON", "PDF", "JPG", "PNG", "GIF", "SVG", "MP4", "AVI", "MOV"]
+# A name that is stuck to what stands before it, what may stand before it, and what follows it.
+STUCK_NAME, STUCK_END = r"([A-Z][A-Za-z0-9]{2,30})", r"(?=\s|$|,|:|LTD|LLC|INC|Corp|GmbH)"
+BEFORE_ANY, BEFORE_WORD = "A-Za-zА-Яа-яЁё0-9/&-", "[A-Z][a-z]+"
+# Amounts that are stuck to a word.
+AMOUNT_MARKED = r"([A-Za-zА-Яа-яЁё])(\d{2,3}(?:[ \t.,'’]\d{3})+\s*(?:₽|RUB|USD|EUR|GBP|CHF|\$|€|£))"
+AMOUNT_GROUPED = r"([A-Za-zА-Яа-яЁё])(\d{1,3}(?:[ \t.,'’]\d{3})+(?:\s*(?:[-–—]|to)\s*\d{1,3}(?:[ \t.,'’]\d{3})+)?)"
+# Posts of several vacancies, and footers, in order.
+SEVERAL, VACANCY, BULLET = r"(?:^|\s)(?:две|2|two|several|multiple)\s+(?:ваканси|vacanc)", r"\bvacanc(?:y|ies)\b|ваканси", r"(?:^|\n)\s*[\-–—]\s+\S"
+FOOTERS = [r"понравились\s+вакансии\?", r"-{3,}\s*разместить\s+вакансию", r"разместить\s+вакансию"]
+FOOTER_AFTER = 200
+
+
+def glue_blocked(token: Column) -> Column:
+    """Whether a token is no name that could be stuck to a word: nothing, a single letter, or one of ``GLUE_WORDS``."""
+    plain = F.lower(F.regexp_replace(token, java(r"[\s._\-+]", None), ""))
+    words = list(dict.fromkeys(re.sub(r"[\s._\-+]", "", w).lower() for w in GLUE_WORDS))
+    return (plain == "") | ((F.length(plain) <= 2) & ~F.rlike(plain, F.lit("^[a-z0-9]{2}$"))) | plain.isin(*words)
+
+
+def _split_stuck(text: Column, before: str, start: str) -> Column:
+    """``text`` with a space before each name that is stuck to ``before``, if both can stand alone.
+
+    Matches are judged one by one: what lies between them and what they become is put together again.
+    """
+    pattern = java(f"{start}({before}){STUCK_NAME}{STUCK_END}", fold=False)
+    inside = java(f"^({before}){STUCK_NAME}$", fold=False)
+
+    def judged(x: Column) -> Column:
+        pair = F.struct(F.regexp_extract(x, inside, 1).alias("before"), F.regexp_extract(x, inside, 2).alias("name"))
+
+        def apart(p: Column) -> Column:
+            keep = F.lower(p["name"]).isin(*(w.lower() for w in WHOLE_TOKENS)) | glue_blocked(p["name"]) | glue_blocked(p["before"]) | glue_blocked(F.concat(p["before"], p["name"])) | (F.length(p["before"]) < 3)
+            return F.when(keep, x).otherwise(F.concat(p["before"], F.lit(" "), p["name"]))
+
+        return let(pair, apart)
+
+    parts = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    joined = let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda gap, i: F.concat(gap, F.coalesce(judged(F.get(p["found"], i)), F.lit("")))), ""))
+    return F.when(F.rlike(text, F.lit(pattern)), joined).otherwise(text)
+
+
+def unglued(text: Column) -> Column:
+    """Names that are stuck to the word before them get a space: after any word, then between two words of one token."""
+    once = _split_stuck(text, f"[{BEFORE_ANY}]+", rf"(?:(?<![{BEFORE_ANY}])|\G)")  # a run is tried from its start alone
+    return _split_stuck(once, BEFORE_WORD, "")
 
 
 def sanitized(text: Column) -> Column:
-    """Invisible separators to line breaks, look-alike letters, words glued across scripts, headers and bullets on lines of their own, footers cut.
+    """struct<text, warnings>: invisible separators to line breaks, look-alike letters, stuck words, amounts and names apart, headers and bullets on lines of their own, footers cut.
 
-    What concerns Cyrillic runs on texts that have any.
+    Warnings: input_separator_normalized, multi_vacancy_post, input_truncated.  What concerns Cyrillic runs on texts
+    that have any.
     """
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x{200B}\\x{200D}\\x{2060}\\x{FEFF}]", "\n")
-    every_text = [
-        (r"(:)\s*([-–—])\s*(?=\S)", "$1\n$2 "),
-        (r"(@[A-Za-z0-9_]{3,})\s*([-–—])\s*(?=\S)", "$1\n$2 "),
-        (rf"(?<=[^\n])(?=(?:{GLUED_HEADERS})\s*[:-])", "\n"),
-    ]
-    cyrillic_text = [
+    given = F.coalesce(text, F.lit(""))
+    hidden = "[\\x{200B}\\x{200D}\\x{2060}\\x{FEFF}]"
+    cyrillic = [
         *((f"(?<![A-Za-zА-Яа-яЁё]){a}(?=[а-яё])", b) for a, b in zip(*LOOKALIKES)),
         (r"(?<=[а-яё])(?=[А-ЯЁ])", " "),
         (r"(?<=\p{IsCyrillic})(?=[A-Z])", " "),
         (r"(?<=[A-Za-z])(?=\p{IsCyrillic})", " "),
-        (r"(?<=\p{IsCyrillic})от(?=\s+\d)", " от"),
-        (r"(?<=[.!?)\]])(?=[А-ЯЁ])", "\n"),
-        *every_text,
-        (r"(?iu)(?<=[\s\S]{200})(?:понравились\s+вакансии\?|разместить\s+вакансию)[\s\S]*", ""),
+        (java(r"(?<=\p{IsCyrillic})от(?=\s+\d)", False), " от"),
+    ]
+    amounts = [(java(AMOUNT_MARKED, False), "$1 $2"), (java(AMOUNT_GROUPED, False), "$1 $2")]
+    after_name = [(java(r"(-\p{IsCyrillic}{3,})в(\s+[A-ZА-ЯЁ])", False), "$1 в$2")]
+    sentences = [(r"(?<=[.!?)\]])(?=[А-ЯЁ])", "\n")]
+    lists = [
+        (java(r"(:)\s*([-–—])\s*(?=\S)", False), "$1\n$2 "),
+        (java(r"(@[A-Za-z0-9_]{3,})\s*([-–—])\s*(?=\S)", False), "$1\n$2 "),
+        (java(rf"(?<=[^\n])(?=(?:{'|'.join(GLUED_HEADERS)})\s*[:-])", False), "\n"),
     ]
 
-    def chain(steps):
-        out = text
+    def chain(out: Column, steps: list[tuple[str, str]]) -> Column:
         for pattern, by in steps:
             out = F.regexp_replace(out, pattern, by)
         return out
 
-    return F.when(F.rlike(text, F.lit("[А-Яа-яЁё]")), chain(cyrillic_text)).otherwise(chain(every_text))
+    has_cyrillic = lambda x: F.rlike(x, F.lit("[А-Яа-яЁё]"))
+    plain = F.regexp_replace(given, hidden, "\n")
+    apart = let(plain, lambda x: F.when(has_cyrillic(x), chain(x, [*cyrillic, *amounts, *after_name])).otherwise(chain(x, amounts)))
+    whole = let(unglued(apart), lambda x: F.when(has_cyrillic(x), chain(x, [*sentences, *lists])).otherwise(chain(x, lists)))
+
+    def footed(x: Column) -> Column:
+        at = F.when(has_cyrillic(x), F.coalesce(*(F.nullif(F.regexp_instr(x, F.lit(java(p))), F.lit(0)) for p in FOOTERS)))
+        several = has(x, SEVERAL) | (has(x, VACANCY) & (F.regexp_count(x, F.lit(java(BULLET))) >= 2))
+
+        def cut(f: Column) -> Column:
+            short = F.coalesce(f["at"] > FOOTER_AFTER + 1, F.lit(False))
+            warned = F.array_compact(F.array(F.when(F.rlike(given, F.lit(hidden)), "input_separator_normalized"), F.when(f["several"], "multi_vacancy_post"), F.when(short, "input_truncated")))
+            return F.struct(F.when(short, trim(F.substring(x, F.lit(1), f["at"] - 1))).otherwise(x).alias("text"), warned.alias("warnings"))
+
+        return let(F.struct(at.alias("at"), several.alias("several")), cut)
+
+    return let(whole, footed)
 
 
 def trim(text: Column) -> Column:

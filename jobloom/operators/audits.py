@@ -9,7 +9,7 @@ from ..functions.patterns import has, replace
 from ..functions.titles import FORMAT_WORDS
 from .postings import top_n
 
-SEVERITY = {"low": 1, "medium": 2, "high": 3}
+SEVERITY = {"info": 0, "low": 1, "medium": 2, "high": 3}
 
 
 def share(condition: Column) -> Column:

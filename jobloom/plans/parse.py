@@ -12,7 +12,8 @@ from jobloom.functions.salary import salary
 def sectioned(df: DataFrame, column: str) -> DataFrame:
     """``df`` with the normalised text, its lines and sections; each is computed in a projection of its own, once."""
     return (
-        df.withColumn("normalized", text.preprocessed(text.sanitized(F.col(column))))
+        df.withColumn("sanitized", text.sanitized(F.col(column)))
+        .withColumn("normalized", text.preprocessed(F.col("sanitized.text")))
         .withColumn("lines", text.lines(F.col("normalized")))
         .withColumn("sections", text.sections(F.col("lines")))
     )
@@ -48,4 +49,4 @@ def parsed(df: DataFrame, column: str, country: Column | None = None, currency:
     warned = [F.when(F.col("normalized") == "", "empty_text"), F.when(lang == "unknown", "lang_unknown"), *(F.when(F.col(f"{n}.confidence") == 0, f"{n}_not_found") for n in FIELDS if n != "title")]
     conflicts = [F.when(F.col("employment.conflict"), "employment_conflict_full_part"), F.when(F.col("work_format.conflict"), "work_format_conflict_remote_onsite")]
     regions = F.transform("location.regions", lambda r: F.concat(F.lit("location_region_only:"), r))
-    return out.select("*", F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS)).alias("total"), F.concat(F.array_compact(F.array(*warned, *conflicts)), F.col("title.warnings"), regions).alias("warnings"))
+    return out.select("*", F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS)).alias("total"), F.concat(F.col("sanitized.warnings"), F.array_compact(F.array(*warned, *conflicts)), F.col("title.warnings"), regions).alias("warnings"))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .functions import extract, gate, places, text, titles, urls
 from .functions.patterns import sql_has
 from .functions.salary import salary
-from .operators import audits, funnel, ingest, postings
+from .operators import audits, feed_audit, funnel, ingest, postings
 from .plans import parse, views
-from .plans.views import APPLICATION_SQL, EVENT_SQL, JOB_SQL, POSTING_SQL
+from .plans.views import APPLICATION_SQL, EVENT_SQL, JOB_SQL, POSTING_SQL, RECORDED_SQL
 from .streaming import ingest as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -571,20 +571,47 @@ def location_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(spark, sf_dir).select("doc_id", found.alias("l")).select("doc_id", "l.city", "l.country", "l.relocation", "l.visa_support", F.round("l.confidence", 4).alias("confidence"))
 
 
-#: Countries by name alone, cities left out: the part of EXT-6 that SQL states.
-_COUNTRIES_SQL = "list_filter([" + ", ".join("CASE WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])({})([^\\p{{L}}\\p{{N}}]|$)') THEN '{}' END".format("|".join(x for x in names if x.isalpha() and (len(x) > 2 or x in ("рф", "us", "uk"))), c) for c, names in places.COUNTRIES) + "], lambda x: x IS NOT NULL)"
+#: Countries by a name of one word alone: the part of EXT-6 that a word list states.
+_ONE_WORD = [(k, n) for k, n in ((k, n.strip("~=")) for k, n in places.names(places.COUNTRIES)) if n.isalpha() and (len(n) > 2 or n in ("рф", "us", "uk"))]
+_LANDS = [r[0] for r in places.rows(places.COUNTRIES)]
+_COUNTRIES_SQL = "list_filter([" + ", ".join("CASE WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])({})([^\\p{{L}}\\p{{N}}]|$)') THEN '{}' END".format("|".join(n for j, n in _ONE_WORD if j == k), land) for k, land in enumerate(_LANDS) if any(j == k for j, _ in _ONE_WORD)) + "], lambda x: x IS NOT NULL)"
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort({_COUNTRIES_SQL}), ',') AS countries FROM documents")
 def countries_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-11: the countries that a text names in one word."""
-    words = {x: c for c, names in places.COUNTRIES for x in names if x.isalpha() and (len(x) > 2 or x in ("рф", "us", "uk"))}
+    words = {n: _LANDS[k] for k, n in _ONE_WORD}
     of = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
     own = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, words)))
     d = views.table(spark, sf_dir, "documents").select("doc_id", "text", own.alias("own"))
     return d.select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(F.array_sort(F.array_distinct(F.transform("own", lambda x: F.try_element_at(of, x)))), ",")).alias("countries"))
 
 
+def _alias_sql(kind: str, row: int, name: str) -> str:
+    p = places.name_pattern(name).replace("'", "''")
+    found = f"regexp_matches(text, '(?i){p}')"
+    if name in places.UNLESS:  # RE2 doesn't look ahead: more of the name than of the name before those words
+        found = f"len(regexp_extract_all(text, '(?i){p}')) > len(regexp_extract_all(text, '(?i){p}{places.UNLESS[name][3:-1]}'))"
+    return f"CASE WHEN {found} THEN {row} END"
+
+
+def _first_alias_sql(kind: str, table: str) -> str:
+    return f"SELECT doc_id AS id, '{kind}' AS kind, list_min([" + ", ".join(_alias_sql(kind, k, n) for k, n in places.names(table)) + "]) AS row FROM documents"
+
+
+@query(f"SELECT id, kind, CAST(row AS INT) AS row FROM ({_first_alias_sql('city', places.CITIES)} UNION ALL {_first_alias_sql('country', places.COUNTRIES)}) WHERE row IS NOT NULL")
+def places_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-11: the first city and the first country of all 330 names that a text names, by a join with the table of names."""
+    return places.mentions(views.table(spark, sf_dir, "documents"), "doc_id", "text", places.alias_table(spark))
+
+
+@query(f"SELECT doc_id, CAST(list_min([{', '.join(_alias_sql('city', k, n) for k, n in places.names(places.CITIES))}]) AS INT) AS city, CAST(list_min([{', '.join(_alias_sql('country', k, n) for k, n in places.names(places.COUNTRIES))}]) AS INT) AS country FROM documents")
+def first_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-11, EXT-6: the same as columns, as a record's location looks them up."""
+    low = F.lower("text")
+    return views.table(spark, sf_dir, "documents").select("doc_id", places.first_named(low, places.CITIES).alias("city"), places.first_named(low, places.COUNTRIES).alias("country"))
+
+
 @query()
 def salary_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT-2."""
@@ -665,3 +692,120 @@ def source_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     runs = _events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").cast("int").alias("found"), (F.col("event_type") == "signup").alias("blocked"))
     return streams.finished(streams.source_states(runs), _folder(spark, "states"), "update").select("source", "status", "empty_runs", "block_strikes")
+
+
+# -- audits of feeds ------------------------------------------------------------------------------------------------
+
+_RX = lambda text, p, group=1, fold=True: f"nullif(regexp_extract({text}, '{p.replace(chr(39), chr(39) * 2)}', {group}{', ' + repr('i') if fold else ''}), '')"
+_TRIM = lambda x: f"regexp_replace({x}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')"
+_ONE = lambda x: _TRIM(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+_QUOTED = lambda xs: ", ".join("'" + x + "'" for x in xs)
+_ANY = lambda low, xs: "(" + " OR ".join(f"contains({low}, '{x}')" for x in xs) + ")"
+
+
+def _company_sql() -> str:
+    names = [_ONE(_RX("full_text", p)) for p in feed_audit.COMPANY] + [_ONE(_RX("full_text", feed_audit.COMPANY_FIRST, fold=False))]
+    return "coalesce(" + ", ".join(f"CASE WHEN length({n}) >= 2 AND lower({n}) NOT IN ({_QUOTED(feed_audit.NOT_COMPANY)}) AND NOT starts_with(lower({n}), 'url') THEN {n} END" for n in names) + ")"
+
+
+_CHECKED_SQL = f"""r AS (SELECT *, coalesce(title, '') || chr(10) || coalesce(description, '') AS full_text FROM {RECORDED_SQL}),
+c AS (SELECT *, lower(full_text) AS low, lower(description) AS said, {_TRIM("lower(title)")} AS given, {_TRIM("lower(title_value)")} AS named, {_company_sql()} AS says_company, {_ONE(_RX("full_text", feed_audit.HEADQUARTERS))} AS hq,
+ coalesce({", ".join(_TRIM(_RX("full_text", p)) for p in feed_audit.SALARY)}) AS says_salary, {_TRIM(_RX("full_text", feed_audit.LOCATION))} AS says_location, concat_ws(' ', city, country) AS place,
+ lower('{{' || coalesce('"name":"' || company || '",', '') || '"confidence":0.6}}') AS company_json, lower('{{' || coalesce('"min":' || low_pay || ',', '') || coalesce('"max":' || high_pay || ',', '') || '"currency":"' || money || '","confidence":0.6}}') AS salary_json,
+ lower('{{' || coalesce('"city":"' || city || '",', '') || coalesce('"country":"' || country || '",', '') || '"confidence":0.6}}') AS location_json, {_RX("title", feed_audit.TITLE_COMPANY, fold=False)} AS in_title, split_part({_RX("description", feed_audit.URL_DOMAIN)}, '.', 1) AS domain FROM r),
+a AS (SELECT *, given <> '' AND named <> '' AND NOT contains(given, named) AND NOT contains(named, given) AS apart, CASE WHEN length(hq) >= 2 AND lower(hq) NOT IN ({_QUOTED(feed_audit.NOT_COMPANY)}) THEN hq END AS says_hq, lower(company) IN ({_QUOTED(feed_audit.GENERIC_COMPANY)}) AS generic, upper(left(domain, 1)) || substr(domain, 2) AS from_url FROM c)"""
+
+
+def _rules_sql(rules: list[tuple[str, str, str, str]]) -> str:
+    """One row for each rule of (issue, severity, condition, expected) that a row of ``a`` meets."""
+    hits = ", ".join(f"CASE WHEN {when} THEN {{'issue': '{issue}', 'severity': '{level}', 'expected': CAST({said} AS VARCHAR)}} END" for issue, level, when, said in rules)
+    return f"WITH {_CHECKED_SQL}, i AS (SELECT id, unnest(list_filter([{hits}], lambda x: x IS NOT NULL)) AS i FROM a) SELECT id, i.issue AS issue, i.severity AS severity, i.expected AS expected FROM i"
+
+
+def _against_sql(name: str, level: str, unseen: str | None) -> list[tuple[str, str, str, str]]:
+    said, text_ = f"says_{name}", f"{name}_json"
+    wrong = [(f"{name}_false_positive", level, f"{said} IS NULL AND {unseen}", "NULL")] if unseen else []
+    return [*wrong, (f"{name}_mismatch", "medium", f"{said} IS NOT NULL AND NOT contains({text_}, lower({said})) AND NOT contains(lower({said}), {text_})", said)]
+
+
+_YEARS_PAID = "low_pay BETWEEN 1900 AND 2100 AND high_pay BETWEEN 1900 AND 2100"
+_MAIL_SQL, _AT_SQL = sql_has("full_text", feed_audit.EMAIL), sql_has("full_text", feed_audit.HANDLE)
+_ACCURACY_SQL = _rules_sql([
+    ("title_truncated", "high", "given <> '' AND named <> '' AND length(named) < length(given) - 5 AND contains(given, named) AND length(named) < 15", "title"),
+    ("title_from_description", "medium", "apart AND contains(said, named)", "title"),
+    ("title_mismatch", "high", "apart AND NOT contains(said, named)", "title"),
+    ("title_missed", "high", "coalesce(title_value, '') = '' AND length(title) > 5", "title"),
+    *_against_sql("company", "high", "(company IS NULL OR NOT contains(low, lower(company)) AND len(list_filter(regexp_split_to_array(lower(company), '\\s+'), lambda p: length(p) > 2 AND contains(low, p))) = 0)"),
+    *_against_sql("salary", "high", None),
+    *_against_sql("location", "medium", "place <> '' AND NOT contains(low, lower(place))"),
+    ("employment_false_positive", "medium", "true", "NULL"),
+    ("work_format_false_positive", "medium", "true", "NULL"),
+    ("company_generic_name", "high", "generic", "says_hq"),
+    ("company_mismatch_with_headquarters", "high", "NOT generic AND says_hq IS NOT NULL AND NOT contains(lower(company), lower(says_hq)) AND NOT contains(lower(says_hq), lower(company))", "says_hq"),
+    ("company_missed_from_headquarters", "high", "company IS NULL AND says_hq IS NOT NULL", "says_hq"),
+    ("salary_year_false_positive", "high", f"{_YEARS_PAID} AND NOT {_ANY('low', feed_audit.PAY)}", "NULL"),
+    ("salary_amount_not_found", "medium", f"low_pay IS NOT NULL AND NOT {_ANY('low', feed_audit.PAY_IN_TEXT)} AND NOT contains(low, CAST(low_pay AS VARCHAR)) AND NOT contains(low, CAST(coalesce(high_pay, low_pay) AS VARCHAR))", "NULL"),
+    ("location_tech_token_false_positive", "high", _ANY("lower(city)", feed_audit.TECH), "NULL"),
+    ("contacts_email_missed", "high", f"no_email AND {_MAIL_SQL}", _RX("full_text", feed_audit.EMAIL, 0)),
+    ("contacts_telegram_missed", "medium", _AT_SQL, _RX("full_text", feed_audit.HANDLE, 2)),
+])
+_FEED_SQL = _rules_sql([
+    ("employment_wrong_type_internship", "high", f"intern AND ({_ANY('low', feed_audit.SENIOR)} OR {_ANY('low', feed_audit.FULL_TIME)})", "NULL"),
+    ("company_name_headquarters_false_positive", "high", "contains(lower(company), 'headquarter')", "NULL"),
+    ("company_name_truncated", "medium", "contains(title, company) AND in_title <> company", "in_title"),
+    ("company_name_missed_from_url", "medium", "company IS NOT NULL AND lower(company) <> lower(from_url) AND NOT contains(lower(company), lower(domain))", "from_url"),
+    ("company_name_missed", "high", "company IS NULL AND in_title IS NOT NULL", "in_title"),
+    ("company_name_missed_from_url", "high", "company IS NULL AND from_url IS NOT NULL", "from_url"),
+    ("salary_false_positive_year", "high", f"{_YEARS_PAID} AND NOT {_ANY('said', feed_audit.PAY)}", "NULL"),
+    ("salary_currency_unknown_but_mentioned", "medium", f"low_pay IS NOT NULL AND money = 'UNKNOWN' AND {_ANY('said', feed_audit.CURRENCY)}", "NULL"),
+    ("location_false_positive_iceland", "high", f"country = 'Iceland' AND NOT {_ANY('low', feed_audit.ICELAND)}", "NULL"),
+    ("location_false_positive_tech_tokens", "high", _ANY("lower(city)", feed_audit.FEED_TECH), "NULL"),
+    ("location_false_positive_common_words", "high", f"city IN ({_QUOTED(feed_audit.FEED_WORDS)})", "NULL"),
+    ("title_truncated", "high", "title_value <> '' AND length(title_value) < 10 AND length(title) > length(title_value) + 10 AND strpos(low, lower(title_value)) > 1", "title"),
+    ("title_too_long_or_glued", "medium", "coalesce(title_value, '') = '' AND length(title) > 140", "NULL"),
+    ("title_cut_by_about_the_role", "medium", f"title_value <> '' AND {_ANY('said', feed_audit.ABOUT_ROLE)} AND length(title_value) < length(title) AND strpos(said, 'about the role') BETWEEN 2 AND 100", "title"),
+    ("contacts_missed", "medium", f"no_email AND ({sql_has('description', feed_audit.EMAIL)} OR {sql_has('description', feed_audit.HANDLE)})", f"coalesce({_RX('description', feed_audit.EMAIL, 0)}, {_RX('description', feed_audit.HANDLE, 2)})"),
+    ("contacts_urls_trailing_punct", "low", "bad_url", "NULL"),
+    ("work_format_unknown_but_mentioned", "medium", f"no_format AND {_ANY('low', feed_audit.FORMATS)}", "NULL"),
+    ("experience_missed", "medium", f"no_years AND {_ANY('low', feed_audit.EXPERIENCE)}", "NULL"),
+    ("tech_stack_missed", "low", f"no_tech AND {_ANY('low', feed_audit.COMMON_TECH)}", "array_to_string(list_filter([" + _QUOTED(feed_audit.COMMON_TECH) + "], lambda t: contains(low, t))[:5], ',')"),
+    ("parser_warnings", "info", "warned", "NULL"),
+    ("low_confidence_fields", "info", "sure < 0.5", "NULL"),
+])
+
+
+@query(_ACCURACY_SQL)
+def feed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11: recorded parses against their postings, issues of low severity and above."""
+    return feed_audit.accuracy(views.recorded(spark, sf_dir)).drop("found")
+
+
+@query(f"SELECT severity, count(*) AS n FROM ({_ACCURACY_SQL}) WHERE severity = 'high' GROUP BY 1 UNION ALL SELECT unnest(['info', 'low', 'medium']), 0")
+def feed_accuracy_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11: counts by severity under the filter for high ones."""
+    return feed_audit.severities(feed_audit.accuracy(views.recorded(spark, sf_dir), "high"))
+
+
+@query(_FEED_SQL)
+def feed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12: known kinds of mistakes in recorded parses."""
+    return feed_audit.feed_issues(views.recorded(spark, sf_dir)).drop("found")
+
+
+@query(f"SELECT issue, severity, count(*) AS n FROM ({_FEED_SQL}) GROUP BY 1, 2")
+def feed_issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12: how often each issue is met."""
+    return feed_audit.report(feed_audit.feed_issues(views.recorded(spark, sf_dir)))
+
+
+@query(f"SELECT id, issue, severity, expected FROM ({_FEED_SQL}) QUALIFY row_number() OVER (PARTITION BY issue ORDER BY id) <= 10")
+def feed_issue_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12, WIN-5: the first ten examples of each issue."""
+    return feed_audit.examples(feed_audit.feed_issues(views.recorded(spark, sf_dir)).drop("found"))
+
+
+@query()
+def feed_accuracy_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11 over what this library itself parses from the documents; its parts are compared by the queries above."""
+    d = views.postings(spark, sf_dir).withColumn("full", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit(""))))
+    return feed_audit.report(feed_audit.accuracy(feed_audit.record(parse.parsed(d, "full"), "id", "title", "description"), "info"))

@@ -249,3 +249,50 @@ def test_shown_values(spark):
 @pytest.mark.parametrize("raw, want", [("Привет", "ru"), ("Straße", "de"), ("garçon", "fr"), ("niño", "es"), ("są", "pl"), ("plain", "en"), (None, "en")])
 def test_source_language(value, raw, want):
     assert value(text.source_language, raw) == want
+
+
+SANITIZED = [
+    # text, what it becomes, warnings
+    ("a​b⁠c", "a\nb\nc", ["input_separator_normalized"]),
+    ("Cоздание роликовС 2013", "Создание роликов С 2013", []),
+    ("RUBБез опыта", "RUB Без опыта", []),
+    ("дизайнерProduct", "дизайнер Product", []),
+    ("веб-дизайнер90 000 RUB", "веб-дизайнер 90 000 RUB", []),
+    ("HR-менеджер60 000 – 120 000 RURОбязанности:", "HR-менеджер 60 000 – 120 000 RUR \nОбязанности:", []),
+    ("manager1,500 x", "manager 1,500 x", []),
+    ("B2B and C4D", "B2B and C4D", []),
+    ("AI-креаторв Cacao", "AI-креатор в Cacao", []),
+    ("дизайнерот 1 500", "дизайнер от 1 500", []),
+    ("работа данныхITea", "работа данных ITea", []),  # one letter before a name is too little
+    ("TypeScript, JavaScript and DevOps", "TypeScript, JavaScript and DevOps", []),
+    ("AnalystSTARTRIBE", "AnalystSTARTR IBE", []),  # as much as can be stands before the name
+    ("dataAcme, xAcme", "data Acme, xAcme", []),
+    ("FooBarBaz", "Foo Bar Baz", []),
+    ("myAcmeLLC", "myAcme LLC", []),  # the last name is taken
+    ("SeniorDeveloper here", "SeniorDeveloper here", []),  # the name is a word that none is called
+    ("конец.Начало (да)Нет", "конец.\nНачало (да)\nНет", []),
+    ("Две вакансии:— UI", "Две вакансии:\n— UI", ["multi_vacancy_post"]),
+    ("vacancies here\n- one\n- two", "vacancies here\n- one\n- two", ["multi_vacancy_post"]),
+    ("пиши @anna_recruiter05— Front", "пиши @anna_recruiter05\n— Front", []),
+    ("рынке Что нам важно: x", "рынке \nЧто нам важно: x", []),
+    ("We work. Requirements: x", "We work. \nRequirements: x", []),
+    ("я " * 120 + "Понравились вакансии? ещё", ("я " * 120).strip(), ["input_truncated"]),
+    ("я Понравились вакансии? " + "я " * 120 + "разместить вакансию", "я Понравились вакансии? " + "я " * 120 + "разместить вакансию", []),
+    (None, "", []),
+]
+
+
+def test_sanitized(spark):
+    from jobloom.functions import text
+
+    df = spark.createDataFrame([(k, x) for k, (x, *_) in enumerate(SANITIZED)], "k int, x string").select("k", text.sanitized(F.col("x")).alias("s"))
+    got = {r.k: (r.s.text, r.s.warnings) for r in df.collect()}
+    assert [got[k] for k in range(len(SANITIZED))] == [(want, warned) for _, want, warned in SANITIZED]
+
+
+def test_glue_blocklist(spark):
+    from jobloom.functions import text
+
+    rows = [("Type Script", True), ("dev-ops", True), ("", True), (" . ", True), ("я", True), ("x", True), ("xy", False), ("Acme", False), ("K8S", True), ("яя", True)]
+    df = spark.createDataFrame(rows, "x string, want boolean").select("x", "want", text.glue_blocked(F.col("x")).alias("got"))
+    assert all(r.got == r.want for r in df.collect())
