@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .extract import confidence, text_of, weight
 from .patterns import has, java, let, replace
+from .text import WHOLE_TOKENS
 
 # Cities, their countries and names, in the order in which they are looked for.
 CITIES = """
@@ -299,9 +300,9 @@ VISA = r"(\bvisa\b|виза|work\s+permit|разрешени[ея]\s+на\s+ра
 REGIONS = [("US", r"\b(us|usa|united\s+states)\s+only\b"), ("EU", r"(\b(eu|european\s+union|eea|europe)\s+only\b|\beu-wide\b)"), ("EMEA", r"\bemea\b"), ("APAC", r"\bapac\b")]
 # Fixed values: "City, Country", "City (Country)", "City - Country", "City, ST" and a city behind its Russian mark.
 _NAME = r"([A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё\- ]{1,40})"
-WITH_COMMA, WITH_DASH = rf"(?:г\.?\s*)?{_NAME}\s*,\s*{_NAME}", rf"{_NAME}\s*[-–—]\s*{_NAME}"
+WITH_COMMA, WITH_DASH = rf"(?:[гГ]\.?\s*)?{_NAME}\s*,\s*{_NAME}", rf"{_NAME}\s*[-–—]\s*{_NAME}"
 IN_BRACKETS = rf"{_NAME}\s*\(\s*([A-Za-zА-Яа-яЁё]{{2,40}})\s*\)"
-WITH_STATE, MARKED_CITY = r"([A-Za-z][A-Za-z .'-]{1,40})\s*,\s*([A-Z]{2})\b", r"г\.?\s*([А-Яа-яЁё][А-Яа-яЁё\- ]{1,40})"
+WITH_STATE, MARKED_CITY = r"([A-Za-z][A-Za-z .'-]{1,40})\s*,\s*([A-Z]{2})\b", r"[гГ]\.?\s*([А-Яа-яЁё][А-Яа-яЁё\- ]{1,40})"
 # A name that is stuck to a place.
 _CYRILLIC = r"А-Яа-яЁё0-9\s,/-"
 STUCK_SENTENCE = rf"(?<![{_CYRILLIC}])([{_CYRILLIC}]+[а-яё])([А-ЯЁ][А-Яа-яЁё0-9]{{2,40}})(?=\s|$|,|:)"
@@ -387,32 +388,38 @@ def mentions(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, most
 
 def cut(text: Column) -> Column:
     """A place without the name that is stuck to it: what stands before the first name that looks so; else the text."""
-    pair = lambda p: F.struct(F.regexp_extract(text, java(p, False), 1).alias("a"), F.regexp_extract(text, java(p, False), 2).alias("b"))
+    cyrillic = lambda x: F.rlike(x, F.lit("[А-Яа-яЁё]"))
     trim = lambda x: replace(x, r"^\s+|\s+$", "")
-    own = lambda b: ~F.lower(b).isin("b2b", "3d", "c4d", "ios", "ipad", "iphone", "macos", "tvos", "watchos", "api", "url", "http", "https", "css", "html", "xml", "json", "pdf", "jpg", "png", "gif", "svg", "mp4", "avi", "mov")
+    token = lambda b: F.lower(b).isin(*(w.lower() for w in WHOLE_TOKENS))
+    code = lambda b: F.rlike(b, F.lit("^[A-Z]{1,3}$"))
 
-    def judged(f: Column) -> Column:
-        x = {k: (trim(f[k]["a"]), trim(f[k]["b"])) for k in ("sentence", "latin", "case", "pair")}
-        size = F.length
-        (a0, b0), (a1, b1), (a2, b2), (a3, b3) = x.values()
-        code = lambda b: F.rlike(b, F.lit("^[A-Z]{1,3}$"))
-        return F.coalesce(
-            F.when((size(a0) > 3) & (size(b0) >= 2), a0),
-            F.when((size(a1) > 2) & F.rlike(a1, F.lit("[А-Яа-яЁё]")) & F.rlike(b1, F.lit("^[A-Z]")) & (~code(b1) | (size(a1) > 10)) & own(b1), a1),
-            F.when((size(a2) > 3) & (size(b2) >= 2) & ((size(b2) >= 3) | (size(a2) > 10)) & own(b2), a2),
-            F.when((size(a3) > 5) & F.rlike(a3, F.lit("[А-Яа-яЁё]")) & F.rlike(b3, F.lit("^[A-Z]")) & own(b3), a3),
-            text,
-        )
+    def judged(pattern: str, may: Column, fits) -> Column:
+        """What the first match leaves if ``fits`` of both its parts."""
+        rule = java(pattern, fold=False)
+        pair = F.struct(trim(F.regexp_extract(text, rule, 1)).alias("a"), trim(F.regexp_extract(text, rule, 2)).alias("b"))
+        return F.when(may & F.rlike(text, F.lit(rule)), let(pair, lambda p: F.when(fits(p["a"], p["b"]), p["a"])))
 
-    return let(F.struct(pair(STUCK_SENTENCE).alias("sentence"), pair(STUCK_LATIN).alias("latin"), pair(STUCK_CASE).alias("case"), pair(STUCK_PAIR).alias("pair")), judged)
+    size, always = F.length, F.lit(True)
+    return F.coalesce(
+        judged(STUCK_SENTENCE, cyrillic(text), lambda a, b: (size(a) > 3) & (size(b) >= 2)),
+        judged(STUCK_LATIN, cyrillic(text), lambda a, b: (size(a) > 2) & cyrillic(a) & (~code(b) | (size(a) > 10)) & ~token(b)),
+        judged(STUCK_CASE, always, lambda a, b: (size(a) > 3) & (size(b) >= 2) & ((size(b) >= 3) | (size(a) > 10)) & ~token(b)),
+        judged(STUCK_PAIR, cyrillic(text), lambda a, b: (size(a) > 5) & cyrillic(a) & F.rlike(b, F.lit("^[A-Z]")) & ~token(b)),
+        text,
+    )
 
 
 def explicit(text: Column) -> Column:
     """struct<city, country> that a text spells out, or null.  The first thing that looks like a pair decides, also if it is none."""
-    trim = lambda x: F.trim(x)
-    groups = lambda t, p, fold=True: F.struct(F.regexp_extract(t, java(p, fold), 0).alias("all"), trim(F.regexp_extract(t, java(p, fold), 1)).alias("city"), trim(F.regexp_extract(t, java(p, fold), 2)).alias("country"))
     pair = lambda city, country: F.struct(city.alias("city"), country.alias("country"))
 
+    def match(t: Column, pattern: str, sign: str) -> Column:
+        """The first match, or null; looked for where its sign stands."""
+        return F.when(F.rlike(t, F.lit(java(sign, False))), F.nullif(F.regexp_extract(t, java(pattern, False), 0), F.lit("")))
+
+    def parts(m: Column, pattern: str) -> Column:
+        return pair(F.trim(F.regexp_extract(m, java(pattern, False), 1)), F.trim(F.regexp_extract(m, java(pattern, False), 2)))
+
     def fits(p: Column, comma: bool) -> Column:
         city, country = F.lower(p["city"]), F.lower(p["country"])
         known = F.rlike(p["country"], F.lit("^[A-Z]{2,3}$")) | first_named(country, COUNTRIES).isNotNull()
@@ -424,15 +431,23 @@ def explicit(text: Column) -> Column:
             bad = bad | many(p["city"]) | many(p["country"]) | camel(p["city"]) | camel(p["country"])
         return ~bad & known
 
-    def found(f: Column) -> Column:
-        comma, bracket, dash, state = f["comma"], f["bracket"], f["dash"], f["state"]
-        us = state["country"].isin(*STATES) & ~has(F.lower(state["city"]), NO_CITY)
-        rest = F.when(us, pair(state["city"], F.lit("USA"))).when(f["marked"] != "", pair(F.trim(f["marked"]), F.lit(None).cast("string")))
-        taken = lambda p, comma=False: F.when(fits(p, comma), pair(p["city"], p["country"]))
-        return F.when(comma["all"] != "", taken(comma, True)).when(bracket["all"] != "", taken(bracket)).when(dash["all"] != "", taken(dash)).otherwise(rest)
+    def taken(m: Column, pattern: str, comma: bool = False) -> Column:
+        return let(parts(m, pattern), lambda p: F.when(fits(p, comma), p))
+
+    def or_else(m: Column, pattern: str, rest: Column, comma: bool = False) -> Column:
+        return let(m, lambda x: F.when(x.isNotNull(), taken(x, pattern, comma)).otherwise(rest))
+
+    marked = match(text, MARKED_CITY, "[гГ]")
+    in_mark = let(marked, lambda m: F.when(m.isNotNull(), pair(F.trim(F.regexp_extract(m, java(MARKED_CITY, False), 1)), F.lit(None).cast("string"))))
+
+    def in_state(m: Column) -> Column:
+        us = lambda p: F.when(p["country"].isin(*STATES) & ~has(F.lower(p["city"]), NO_CITY), pair(p["city"], F.lit("USA")))
+        return F.coalesce(let(parts(m, WITH_STATE), us), in_mark)
 
-    marked = F.regexp_extract(text, java(MARKED_CITY), 1)
-    return let(F.struct(let(cut(text), lambda t: groups(t, WITH_COMMA)).alias("comma"), groups(text, IN_BRACKETS).alias("bracket"), groups(text, WITH_DASH).alias("dash"), groups(text, WITH_STATE, False).alias("state"), marked.alias("marked")), found)
+    state = let(match(text, WITH_STATE, r",\s*[A-Z]{2}\b"), lambda m: F.when(m.isNotNull(), in_state(m)).otherwise(in_mark))
+    dash = or_else(match(text, WITH_DASH, r"[-–—]\s*[A-Za-zА-Яа-яЁё]"), WITH_DASH, state)
+    bracket = or_else(match(text, IN_BRACKETS, r"\(\s*[A-Za-zА-Яа-яЁё]{2,40}\s*\)"), IN_BRACKETS, dash)
+    return or_else(let(cut(text), lambda t: match(t, WITH_COMMA, r",\s*[A-Za-zА-Яа-яЁё]")), WITH_COMMA, bracket, True)
 
 
 _PLACE = "struct<score:int,order:int,city:string,country:string>"

@@ -224,7 +224,7 @@ def feed_issues(df: DataFrame, least: str = "info") -> DataFrame:
     return audited(df, feed_rules, least)
 
 
-def record(parsed: DataFrame, *keep: str) -> DataFrame:
+def record(parsed: DataFrame, *keep: Column | str) -> DataFrame:
     """Rows of ``plans.parse.parsed`` with their fields as one struct ``record``, and the columns ``keep``."""
     return parsed.select(*keep, F.struct(*FIELDS, "warnings").alias("record"))
 

@@ -807,5 +807,36 @@ def feed_issue_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def feed_accuracy_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-11 over what this library itself parses from the documents; its parts are compared by the queries above."""
-    d = views.postings(spark, sf_dir).withColumn("full", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit(""))))
-    return feed_audit.report(feed_audit.accuracy(feed_audit.record(parse.parsed(d, "full"), "id", "title", "description"), "info"))
+    d = views.postings(spark, sf_dir).select("id", F.coalesce("title", F.lit("")).alias("heading"), "description")
+    d = d.withColumn("full", F.concat("heading", F.lit("\n"), F.coalesce("description", F.lit(""))))
+    return feed_audit.report(feed_audit.accuracy(feed_audit.record(parse.parsed(d, "full"), "id", F.col("heading").alias("title"), "description"), "info"))
+
+
+def _unglued_sql(column: str, before: str, source: str) -> str:
+    """``source`` with stuck names apart, match by match; what follows a name is matched and put back, as RE2 doesn't look ahead."""
+    p = f"({before})([A-Z][A-Za-z0-9]{{2,30}})(\\s|$|,|:)"
+    words = _QUOTED(sorted({w.lower().replace(" ", "") for w in text.GLUE_WORDS}))
+    plain = lambda x: f"lower(regexp_replace({x}, '[\\s._\\-+]', '', 'g'))"
+    blocked = lambda x: f"({plain(x)} = '' OR length({plain(x)}) <= 2 AND NOT regexp_full_match({plain(x)}, '[a-z0-9]{{2}}') OR {plain(x)} IN ({words}))"
+    b, n, e = (f"regexp_extract(x, '^{p}$', {k})" for k in (1, 2, 3))
+    keep = f"lower({n}) IN ({_QUOTED([w.lower() for w in text.WHOLE_TOKENS])}) OR {blocked(n)} OR {blocked(b)} OR {blocked(f'{b} || {n}')} OR length({b}) < 3"
+    judged = f"list_transform(regexp_extract_all({column}, '{p}'), lambda x: CASE WHEN {keep} THEN x ELSE {b} || ' ' || {n} || {e} END)"
+    return f"SELECT doc_id, array_to_string(list_transform(list_zip(gaps, found), lambda y: y[1] || coalesce(y[2], '')), '') AS {column} FROM (SELECT doc_id, regexp_split_to_array({column}, '{p}') AS gaps, {judged} AS found FROM {source})"
+
+
+@query(f"SELECT doc_id, md5(text) AS digest, length(text) AS size FROM ({_unglued_sql('text', text.BEFORE_WORD, '(' + _unglued_sql('text', f'[{text.BEFORE_ANY}]+', 'documents') + ')')})")
+def unglued_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-4, SCL-5: texts with the names that are stuck to other words apart, unless the blocklist keeps them together."""
+    found = views.table(spark, sf_dir, "documents").select("doc_id", text.unglued(F.col("text")).alias("text"))
+    return found.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("size"))
+
+
+_WARNED_INPUT_SQL = f"list_filter([CASE WHEN {sql_has('text', text.SEVERAL)} OR {sql_has('text', text.VACANCY)} AND len(regexp_extract_all(text, '{text.BULLET}')) >= 2 THEN 'multi_vacancy_post' END], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, array_to_string({_WARNED_INPUT_SQL}, ',') AS warnings FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'two vacancies ' WHEN doc_id % 3 = 1 THEN 'vacancy' || chr(10) || '- one' || chr(10) || '- two ' ELSE '' END || coalesce(text, '') AS text FROM documents)")
+def input_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-4: what the sanitiser warns of, for texts of which some announce several vacancies."""
+    before = F.when(F.col("doc_id") % 3 == 0, "two vacancies ").when(F.col("doc_id") % 3 == 1, "vacancy\n- one\n- two ").otherwise("")
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(before, F.coalesce("text", F.lit(""))).alias("text"))
+    return d.select("doc_id", F.array_join(text.sanitized(F.col("text"))["warnings"], ",").alias("warnings"))
