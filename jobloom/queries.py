@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import extract, gate, places, text, titles, urls
 from .functions.patterns import sql_has
@@ -15,6 +16,7 @@ from .functions.salary import salary
 from .operators import audits, feed_audit, funnel, ingest, postings
 from .plans import parse, views
 from .plans.views import APPLICATION_SQL, EVENT_SQL, JOB_SQL, POSTING_SQL, RECORDED_SQL
+from .sources import scans
 from .streaming import ingest as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -840,3 +842,84 @@ def input_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(F.col("doc_id") % 3 == 0, "two vacancies ").when(F.col("doc_id") % 3 == 1, "vacancy\n- one\n- two ").otherwise("")
     d = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(before, F.coalesce("text", F.lit(""))).alias("text"))
     return d.select("doc_id", F.array_join(text.sanitized(F.col("text"))["warnings"], ",").alias("warnings"))
+
+
+# -- scans of recorded feeds and channels -----------------------------------------------------------------------------
+
+_ITEMS_SQL = """i AS (SELECT source || '-' || CAST(doc_id // 1200 AS VARCHAR) AS feed, CAST(row_number() OVER (PARTITION BY source, doc_id // 1200 ORDER BY doc_id) AS INT) - 1 AS place, doc_id, doc_id // 1200 % 4 AS damage,
+ 'Job ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN ' & Co' ELSE '' END AS title, 'g' || doc_id AS item_id, doc_id * 7 % 33 AS age FROM documents)"""
+#: The last known item of a feed: one of its items in two thirds of the feeds.
+_LAST_SQL = "(SELECT feed, 'g' || CAST(max(doc_id) FILTER (WHERE place BETWEEN 20 AND 45) AS VARCHAR) AS last_item FROM i WHERE doc_id % 7 <> 0 GROUP BY feed)"
+
+
+def _recorded_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as feeds of at most 60 items: a payload per source and 1,200 documents, every fourth whole, the others cut off, with bare ampersands and junk, or with broken tags and control characters."""
+    d = views.table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", F.floor(F.col("doc_id") / 1200).alias("block"))
+    title = F.concat(F.lit("Job "), "doc_id", F.when(F.col("doc_id") % 3 == 0, F.when(F.col("block") % 4 == 1, " & Co").otherwise(" &amp; Co")).otherwise(""))
+    day = F.date_format(F.lit(AS_OF).cast("timestamp") - F.make_dt_interval((F.col("doc_id") * 7 % 33).cast("int")), "d MMM yyyy HH:mm:ss")
+    item = F.concat(F.lit("<item><title>"), title, F.when((F.col("block") % 4 == 2) & (F.col("doc_id") % 5 == 0), "\x01").otherwise(""), F.lit("</title><guid>g"), "doc_id", F.lit("</guid><link>/jobs/"), "doc_id", F.lit("</link><pubDate>"), day, F.lit(" GMT</pubDate>"), F.when((F.col("block") % 4 == 3) & (F.col("doc_id") % 5 == 0), "<p <br/>").otherwise(""), F.lit("</item>"))
+    last = F.max(F.when((F.col("place") >= 20) & (F.col("place") <= 45) & (F.col("doc_id") % 7 != 0), F.concat(F.lit("g"), F.lpad("doc_id", 20, "0"))))
+    place = F.row_number().over(Window.partitionBy("source", "block").orderBy("doc_id")) - 1
+    each = d.withColumn("item", item).withColumn("place", place).groupBy("source", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "").alias("items"), F.regexp_replace(last, "^g0*(?=.)", "g").alias("last_item"))
+    payload = F.concat(F.when(F.col("block") % 4 == 1, "﻿ junk ").otherwise(""), F.lit("<rss><channel><title>Feed</title>"), "items", F.when(F.col("block") % 4 == 0, "").otherwise("</channel></rss>"))
+    return each.select(F.concat_ws("-", "source", "block").alias("source"), F.lit("https://feeds.example.org/all.xml").alias("url"), payload.alias("payload"), "last_item", F.lit(None).cast("array<string>").alias("seen"), F.lit("text/xml").alias("content_type"))
+
+
+@query(f"""WITH {_ITEMS_SQL}, s AS (SELECT i.*, max(CASE WHEN place < 50 AND (age > 30 OR item_id = last_item) THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY place) AS stopped FROM i LEFT JOIN {_LAST_SQL} USING (feed))
+SELECT feed AS source, place, title, 'https://feeds.example.org/jobs/' || doc_id AS link, item_id, strftime(TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY * age, '%Y-%m-%d') AS published FROM s WHERE stopped = 0 AND place < 50""")
+def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2, SRC-3: the new items of recorded feeds, whatever their damage, up to a known or an old one."""
+    found = scans.scan_feeds(_recorded_feeds(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return found.select("source", "place", "title", "link", "item_id", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT repair, count(*) AS feeds, CAST(sum(n) AS BIGINT) AS items FROM (SELECT feed, count(*) AS n, CASE any_value(damage) WHEN 0 THEN 'items' WHEN 1 THEN 'none' WHEN 2 THEN CASE WHEN count(*) FILTER (WHERE doc_id % 5 = 0) > 0 THEN 'controls' ELSE 'none' END ELSE CASE WHEN count(*) FILTER (WHERE doc_id % 5 = 0) > 0 THEN 'tags' ELSE 'none' END END AS repair FROM i GROUP BY feed) GROUP BY 1")
+def feed_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3: which repair made how many feeds readable, and the items that they kept."""
+    read = scans.read_feeds(_recorded_feeds(spark, sf_dir))
+    return read.groupBy("repair").agg(F.count("*").alias("feeds"), F.sum(F.size("items")).alias("items"))
+
+
+@query("SELECT source || '-' || CAST(doc_id // 1200 AS VARCHAR) AS source, true AS ok, CAST(NULL AS VARCHAR) AS reason, CASE WHEN doc_id // 1200 % 4 = 0 THEN NULL ELSE 'Feed' END AS feed_title FROM documents GROUP BY ALL UNION ALL SELECT 'page-' || CAST(page_id AS VARCHAR), false, CASE WHEN contains(lower(html[:100]), '{') OR contains(lower(html[:100]), '<?xml') OR contains(lower(html[:100]), '<rss') OR contains(lower(html[:100]), '<feed') THEN 'unreadable' ELSE 'no_feed' END, NULL FROM pages")
+def feed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-19: which of the recorded feeds, and of the web pages, can be added as feeds, and why not."""
+    pages = views.table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("source"), F.col("html").alias("payload"), F.lit("text/html").alias("content_type"))
+    return scans.check_feeds(_recorded_feeds(spark, sf_dir).select("source", "payload", "content_type").unionByName(pages))
+
+
+def _recorded_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as channel pages: a user's events are messages, twelve to a page, the newest on the first one."""
+    e = views.table(spark, sf_dir, "events")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    one = e.withColumn("rank", rank).withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
+    one = one.select(F.col("user_id").cast("string").alias("channel"), (F.floor(F.col("rank") / 12) + 1).cast("int").alias("page"), (F.col("total") - F.col("rank")).alias("message_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "event_type", F.when(F.col("user_id") % 3 == 0, F.floor(F.col("total") / 2)).alias("last_seen"))
+    message = F.concat(F.lit('<div class="tgme_widget_message" data-post="'), "channel", F.lit("/"), "message_id", F.lit('"><div class="tgme_widget_message_text">'), "event_type", F.lit('</div><time datetime="'), "at", F.lit('+00:00"></time></div>'))
+    return one.groupBy("channel", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_id", message.alias("m")))), lambda x: x["m"]), "").alias("html"), F.first("last_seen").alias("last_seen"))
+
+
+@query(f"""WITH m AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS rank, count(*) OVER (PARTITION BY user_id) AS total FROM events)
+SELECT CAST(user_id AS VARCHAR) AS channel, CAST(rank // 12 + 1 AS INT) AS page, total - rank AS message_id, event_type AS description FROM m
+WHERE rank < 120 AND date_trunc('second', ts) >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AND (user_id % 3 <> 0 OR total - rank > total // 2)""")
+def channel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1: the new messages of recorded channels, page by page down to a seen or an old one, ten pages at most."""
+    found = scans.scan_channels(_recorded_channels(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return found.select("channel", "page", "message_id", "description")
+
+
+@query(f"""SELECT CAST(user_id AS VARCHAR) AS source, max(ts) >= TIMESTAMP '{AS_OF}' - INTERVAL 21 DAY AS ok, CASE WHEN max(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 21 DAY THEN 'silent' END AS reason, strftime(max(ts), '%Y-%m-%d') AS last_message FROM events GROUP BY 1""")
+def channel_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-19, AGG-16: which channels have a message of the last three weeks."""
+    newest = _recorded_channels(spark, sf_dir).where("page = 1").select(F.col("channel").alias("source"), "html", F.lit(200).alias("status"), F.concat(F.lit("https://t.me/s/"), "channel").alias("final_url"))
+    found = scans.check_channels(newest, F.lit(AS_OF).cast("timestamp"))
+    return found.select("source", "ok", "reason", F.date_format("last_message_at", "yyyy-MM-dd").alias("last_message"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'https://x.example.org/' || s_suppkey || '.jpg' END AS avatar,
+ CAST(CASE s_suppkey % 3 WHEN 0 THEN nullif(s_suppkey, 0) WHEN 1 THEN s_suppkey * 1000 ELSE s_suppkey * 1000000 END AS BIGINT) AS subscribers FROM supplier""")
+def channel_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-20: title, picture and readers of channel pages that are made of the suppliers."""
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    picture = F.when(F.col("id") % 2 == 0, F.concat(F.lit('<meta property="og:image" content="https://x.example.org/'), "id", F.lit('.jpg">'))).otherwise("")
+    unit = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "K").otherwise(" млн")
+    page = F.concat(F.lit('<meta property="og:title" content="Telegram: '), "s_name", F.lit('">'), picture, F.lit('<div class="tgme_page_extra">'), "id", unit, F.lit(" subscribers</div>"))
+    return s.select("id", scans.channel_profile(page).alias("p")).select("id", "p.*")
