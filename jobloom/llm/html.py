@@ -8,6 +8,7 @@ maximum likelihood from labelled pages, in which the attribute ``data-content``
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from functools import cache
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 HASHED, PAGES, STEPS, RATE, SEED = 4096, 600, 150, 0.08, 11
+#: Levels of a batch of pages from which nodes are worked on one by one.
+DEEP = 2000
 
 # Fixed values of the HTML standard: void elements, elements whose content isn't rendered text, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +34,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn e
 # An open element that the start of another ends, up to the nearest element that holds both.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 
@@ -44,17 +48,117 @@ class Node:
         self.text, self.linked, self.parts, self.place = "", 0, [], 0.0
 
 
+class Marks:
+    """A page's marks, one after the other: comments, CDATA, declarations and tags.
+
+    A tag ends at the first ``>`` outside of quotes or, if its quotes don't close, at the first of all.  Where the quotes
+    from an opening one on lead is remembered, so that no part of a page is looked through for each of its tags.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last_end = html, html.rfind(">")
+        self.last = {q: html.rfind(q) for q in "\"'"}
+        self.leads: dict[int, int] = {}  # an opening quote's place -> the end of the tag, or -1
+
+    def tag_end(self, at: int) -> int:
+        """The place of a tag's ``>``, scanned from ``at``."""
+        seen, out = [], -1
+        while m := _QUOTE_OR_END.search(self.html, at):
+            k = m.start()
+            if m[0] == ">":
+                out = k
+                break
+            if k in self.leads:
+                out = self.leads[k]
+                break
+            seen.append(k)
+            if k >= self.last[m[0]]:
+                break
+            at = self.html.index(m[0], k + 1) + 1
+        self.leads.update(dict.fromkeys(seen, out))
+        return out
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, kind, name, rest) of the first mark from ``at`` on; kinds: comment, data, other, start, end."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(html), "comment", "", ""
+            if html.startswith("<![CDATA[", at):
+                end = html.find("]]>", at + 9)
+                return (at, end + 3, "data", "", html[at + 9 : end]) if end >= 0 else (at, len(html), "data", "", html[at + 9 :])
+            if at > self.last_end:  # no mark ends any more but comments and data, which need no end
+                left = [k for k in (html.find("<!--", at), html.find("<![CDATA[", at)) if k >= 0]
+                if not left:
+                    return None
+                at = min(left)
+                continue
+            if html[at + 1 : at + 2] in ("!", "?"):
+                return at, html.index(">", at) + 1, "other", "", ""
+            if m := _TAG.match(html, at):
+                end = self.tag_end(m.end())
+                end = html.index(">", m.end()) if end < 0 else end
+                return at, end + 1, "end" if m[1] else "start", m[2].lower(), html[m.end() : end]
+            at += 1
+        return None
+
+
+class Open:
+    """The open elements, with the places of each tag, of blocks and of hidden ones, so that nothing is searched for."""
+
+    def __init__(self):
+        self.all: list[tuple[str, int]] = []  # tag and number (-1: inline, -2: hidden, -3: within a hidden one)
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.hidden: list[int] = []
+        self.links = 0
+
+    def push(self, tag: str, number: int) -> None:
+        k = len(self.all)
+        self.all.append((tag, number))
+        self.places.setdefault(tag, []).append(k)
+        if number >= 0:
+            self.blocks.append(k)
+        elif number == -2:
+            self.hidden.append(k)
+        self.links += tag == "a" and number == -1
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost one of this tag; the root's, 0, if there is none."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def cut(self, k: int) -> bool:
+        """End the elements from the k-th on; whether a block was among them."""
+        ends_block = self.blocks[-1] >= k
+        while len(self.all) > k:
+            tag, number = self.all.pop()
+            self.places[tag].pop()
+            if number >= 0:
+                self.blocks.pop()
+            elif number == -2:
+                self.hidden.pop()
+            self.links -= tag == "a" and number == -1
+        return ends_block
+
+    def block(self) -> int:
+        return self.all[self.blocks[-1]][1]
+
+
 def tree(html: str | None) -> list[Node]:
     """A page's nodes, parents before children, texts in page order; always at least the root.
 
     A head tag is passed over, as authors may leave its end out; what a head holds isn't rendered anyway.  What stands in
     a hidden element is left out up to its own end tag or its parent's, nested ones counted; a hidden or opaque element
-    that is nowhere ended hides nothing, but script and style do, as in browsers.
+    that is nowhere ended hides nothing, but script and style do, as in browsers.  The time is linear in the page, also
+    of broken and deeply nested ones.
     """
     html = html or ""
-    nodes, open_ = [Node("#root", -1, 0)], [("#root", 0)]  # open elements: tag and number (-1: inline, -2: hidden, -3: within a hidden one)
+    nodes, open_, marks = [Node("#root", -1, 0)], Open(), Marks(html)
+    open_.push("#root", 0)
     run: Node | None = None
-    links, hidden, at, skip = 0, 0, 0, ""
+    at, skip = 0, ""
     last_end: dict[str, int] = {}
 
     def ended(tag: str) -> bool:
@@ -63,99 +167,86 @@ def tree(html: str | None) -> list[Node]:
             last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", html, re.I)), default=-1)
         return last_end[tag] >= at
 
-    def block() -> int:
-        return next(k for _, k in reversed(open_) if k >= 0)
-
     def text(raw: str) -> None:
         nonlocal run
-        if not raw or hidden:
+        if not raw or open_.hidden:
             return
         if run is None:
             if not raw.strip():
                 return
-            parent = block()
+            parent = open_.block()
             run = Node("#text", parent, nodes[parent].depth + 1, (), nodes[parent].kept)
             nodes.append(run)
         run.parts.append(raw)
-        if links:
+        if open_.links:
             run.linked += len(raw)
 
     def cut(k: int) -> None:
-        """End the open elements from the k-th on."""
-        nonlocal run, links, hidden
-        if any(x >= 0 for _, x in open_[k:]):
+        nonlocal run
+        if open_.cut(k):
             run = None
-        del open_[k:]
-        links, hidden = sum(t == "a" and x == -1 for t, x in open_), sum(x == -2 for _, x in open_)
 
     def close(tags: set[str], stop: set[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k][0] in stop:
-                return
-            if open_[k][0] in tags:
-                cut(k)
-                return
+        k = max(map(open_.last, tags))
+        if k and k > max(map(open_.last, stop)):
+            cut(k)
 
     while at < len(html):
         if skip:  # what isn't rendered, up to its end tag
             end = re.compile(rf"</{re.escape(skip)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at, skip = (end.end() if end else len(html)), ""
             continue
-        m = _TOKEN.search(html, at)
+        m = marks.next(at)
         if not m:
             text(unescape(html[at:]))
             break
-        text(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            text(m[0][9:].removesuffix("]]>"))
-        tag = (m[2] or m[5] or "").lower()
+        start, end, kind, tag, attrs = m
+        text(unescape(html[at:start]))
+        at = end
+        if kind == "data":
+            text(attrs)
         if not tag or tag == "head":
             continue
-        ending, attrs = m[1] or m[4], m[3] or m[6] or ""
         if tag == "br":
             text(" ")
             continue
-        if ending:
-            if any(t == tag for t, _ in open_[1:]):
-                k = max(k for k, (t, _) in enumerate(open_) if t == tag)
-                if tag not in INLINE or not any(x >= 0 for _, x in open_[k:]):  # an inline end tag doesn't end blocks
-                    cut(k)
+        if kind == "end":
+            k = open_.last(tag)
+            if k and (tag not in INLINE or open_.blocks[-1] < k):  # an inline end tag doesn't end blocks
+                cut(k)
             continue
         if tag in OPAQUE:
             if tag in ("script", "style") or ended(tag):
                 skip = tag
             continue
-        if hidden and tag in BREAKS_OUT:
-            k = max(k for k, (_, x) in enumerate(open_) if x == -2)
-            if open_[k][0] in ("svg", "math") and not any(t == "foreignobject" for t, _ in open_[k:]):
-                while open_[k - 1][1] < -1:
+        if open_.hidden and tag in BREAKS_OUT:
+            k = open_.hidden[-1]
+            if open_.all[k][0] in ("svg", "math") and open_.last("foreignobject") < k:
+                while open_.all[k - 1][1] < -1:
                     k -= 1
                 cut(k)
         if tag in HIDDEN:
             if not attrs.endswith("/") and ended(tag):
-                open_.append((tag, -2))
-                hidden += 1
+                open_.push(tag, -2)
         elif tag in VOID:
-            if tag not in INLINE and not hidden:
+            if tag not in INLINE and not open_.hidden:
                 run = None
-        elif hidden:
+        elif open_.hidden:
             if not attrs.endswith("/"):
-                open_.append((tag, -3))
+                open_.push(tag, -3)
         elif tag in INLINE:
-            open_.append((tag, -1))
-            links += tag == "a"
+            open_.push(tag, -1)
         else:
             if tag in ENDS:
                 close(*ENDS[tag])
             else:
-                close({"p"}, {"#root", "table", "button"})
+                close({"p"}, {"table", "button"})
             found = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if attrs else {}
             names = tuple(_NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label")).lower()))
-            parent = block()
+            parent = open_.block()
             run = None
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, names, nodes[parent].kept or "data-content" in found))
-            open_.append((tag, len(nodes) - 1))
+            open_.push(tag, len(nodes) - 1)
     for k, n in enumerate(nodes):
         n.text, n.place, n.parts = " ".join("".join(n.parts).split()), k / len(nodes), []
     return nodes
@@ -237,6 +328,8 @@ class Model:
         up = np.zeros((len(f.parent), 2))
         up[:, 1] = self.unary(f)
         sent, down = np.zeros_like(up), np.zeros_like(up)
+        if len(f.levels) > DEEP and not pairs:
+            return self._deep(f, up)
         for level in reversed(f.levels):
             sent[level] = np.logaddexp.reduce(self.pair[f.kind[level]] + up[level][:, None, :], axis=2)
             np.add.at(up, f.parent[level], sent[level])
@@ -254,6 +347,30 @@ class Model:
         likely = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
         return (likely, expected) if pairs else likely
 
+    def _deep(self, f: Forest, up: np.ndarray) -> np.ndarray:
+        """The same node by node, for pages so deep that most levels hold a node or two."""
+        low, high = up[:, 0].tolist(), up[:, 1].tolist()
+        parent, kind, pair = f.parent.tolist(), f.kind.tolist(), self.pair.tolist()
+        order = [k for level in f.levels for k in level.tolist()]
+        sent: list[tuple[float, float]] = [(0.0, 0.0)] * len(low)
+        down: list[tuple[float, float]] = [(0.0, 0.0)] * len(low)
+
+        def joined(a: float, b: float) -> float:
+            return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+        for k in reversed(order):
+            (a, b), (c, d) = pair[kind[k]]
+            sent[k] = joined(a + low[k], b + high[k]), joined(c + low[k], d + high[k])
+            low[parent[k]] += sent[k][0]
+            high[parent[k]] += sent[k][1]
+        for k in order:
+            (a, b), (c, d) = pair[kind[k]]
+            u = parent[k]
+            x, y = low[u] + down[u][0] - sent[k][0], high[u] + down[u][1] - sent[k][1]
+            down[k] = joined(a + x, c + y), joined(b + x, d + y)
+        odds = np.array(high) - np.array(low) + np.array([y - x for x, y in down])
+        return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+
     def extract(self, htmls: list[str | None]) -> list[str]:
         """The main text of each page."""
         pages = [tree(h) for h in htmls]

@@ -36,12 +36,12 @@ def held_out(folds: int = 4, fold: int = 2):
 
 
 def lines_of_words(text: str | None) -> list[list[str]]:
-    """The lower-cased words of letters of each line that has some; a text without letters has none."""
+    """The lower-cased words of letters of each line that has some, split where a character is none; a text without letters has none."""
     out = []
     for line in (text or "").lower().split("\n"):
         words = _WORDS(line)
         if not "".join(words).isalpha():
-            words = [w for w in words if w.isalpha()]
+            words = [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
         if words:
             out.append(words)
     return out

@@ -5,8 +5,8 @@ and a map, a small table of versions, says which shard has which slot.  Rebalanc
 keeps slots, large ones first, up to its share; the slots beyond it are let go of and go, large ones first, to the
 shard that has least.  The law is ``bytes``: shards hold nearly equal bytes.
 
-A slot that is large beside a shard (one id that very many rows repeat, or rows without an id) is split in parts by the
-row's number, and the map then places its parts; a slot's parts are few, since all parts together can't exceed
+A slot that is large beside a shard (one id that very many rows repeat, or rows without an id) is split in parts, and
+the map then places its parts; a slot's parts are few, since all parts together can't exceed
 ``SLOTS`` and some shares of a shard.  Only the map is broadcast, which is of that bounded size.
 
 Places in a shard are numbered without gathering a shard: rows are numbered inside the input partition that they came
@@ -41,15 +41,22 @@ def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def parts(records: DataFrame, shards: int = SHARDS, split: int = SPLIT) -> DataFrame:
-    """(slot, n_parts): slots that are large beside a shard, with the parts that they are split in."""
+    """(slot, n_parts, by_row): slots that are large beside a shard, the parts that they are split in, and how.
+
+    Rows are told apart by id and text; where rows that agree in both are what makes a slot large, by their number.
+    """
     each = records.groupBy("slot").agg(F.sum("size").alias("bytes"))
     share = each.agg((F.sum("bytes") / F.lit(shards * split)).alias("share"))
-    return each.crossJoin(F.broadcast(share)).where("bytes > share").select("slot", F.ceil(F.col("bytes") / F.col("share")).cast("int").alias("n_parts"))
+    large = stored(each.crossJoin(F.broadcast(share)).where("bytes > share").select("slot", "share", F.ceil(F.col("bytes") / F.col("share")).cast("int").alias("n_parts")), "large")
+    same = records.join(F.broadcast(large.select("slot", "share")), "slot").groupBy("slot", "share", "doc_id", "text_crc32").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    repeated = same.groupBy("slot").agg(F.max((F.col("n") > 1) & (F.col("bytes") > F.col("share"))).alias("by_row"))
+    return large.join(repeated, "slot").select("slot", "n_parts", "by_row")
 
 
 def in_parts(records: DataFrame, large: DataFrame) -> DataFrame:
     """``records`` with the part of its slot that a row is in, 0 for slots that aren't split."""
-    return records.join(F.broadcast(large), "slot", "left").withColumn("part", F.when(F.col("n_parts").isNotNull(), F.pmod(F.xxhash64("key"), F.col("n_parts"))).otherwise(0).cast("int")).drop("n_parts")
+    told = F.when(F.col("by_row"), F.xxhash64("key")).otherwise(F.xxhash64("text_crc32", "doc_id", "size"))
+    return records.join(F.broadcast(large), "slot", "left").withColumn("part", F.when(F.col("n_parts").isNotNull(), F.pmod(told, F.col("n_parts"))).otherwise(0).cast("int")).drop("n_parts", "by_row")
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Writing is a Spark text write: a record's bytes end with the two line breaks that the format puts between records, which
 is the writer's line separator, so Spark's commit protocol and any shared file system apply.  Archives are read as whole
 files of bounded size and parsed by Content-Length, so payloads may hold anything, record headers included.  Pages are
-written in two classes of size, so an archive's bytes are bounded: many captures of small payloads, or one of a large one.
+written by classes of size, so an archive holds some 128 MB at most, and only what is larger has an archive of its own.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from .common import drop_stored, new_path, stored
 
 DATE = "2024-01-01T00:00:00Z"
-#: Payloads of more bytes are large ones, each in an archive of its own; of others so many captures share an archive,
-#: 128 MB at most.
-LARGE, CAPTURES_A_FILE = 1 << 18, 500
+#: Payloads of up to so many bytes share an archive with so many captures.
+CLASSES = [(1 << 18, 500), (1 << 22, 32), (1 << 25, 4), (1 << 62, 1)]
 #: Payloads of at least so many bytes are written once; later equal ones are revisits.
 LEAST_BYTES = 0
 PIECE = 1 << 20
@@ -56,16 +55,18 @@ def _own(pages: DataFrame) -> DataFrame:
 def firsts(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(key, size, first): of each payload of at least ``least_bytes`` the row with the smallest page_id, stored.  Pre-aggregated before its shuffle."""
     own = _own(pages).withColumn("size", F.octet_length("html")).where(F.col("size") >= least_bytes)
-    return stored(own.groupBy("key").agg(F.min("size").alias("size"), F.min(F.struct("page_id", "mark")).alias("first")), "firsts")
+    return stored(own.groupBy("key").agg(F.min("size").alias("size"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "mark")).alias("first")), "firsts")
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     """Write three records for each page to gzip archives in folders of ``path``: request, response or revisit, metadata."""
     first = firsts(pages, least_bytes)
-    large = F.octet_length(F.coalesce("html", F.lit(""))) > LARGE
-    _write(pages.where(~large), first, f"{path}/small", CAPTURES_A_FILE)
-    if least_bytes > LARGE or not first.where(F.col("size") > LARGE).isEmpty():
-        _write(pages.where(large), first, f"{path}/large", 1)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    of_class = lambda n: sum((F.when(n > top, 1).otherwise(0) for top, _ in CLASSES[:-1]), F.lit(0))
+    there = {r.k for r in first.select(of_class(F.col("size")).alias("k")).distinct().collect()} if least_bytes <= CLASSES[0][0] else set(range(len(CLASSES)))
+    for k, (_, captures_a_file) in enumerate(CLASSES):
+        if k == 0 or k in there:  # a payload below ``least_bytes`` is of the first class
+            _write(pages.where(of_class(size) == k), first, f"{path}/class-{k}", captures_a_file)
     drop_stored(first)
 
 
@@ -108,31 +109,37 @@ def _plain(data: bytes) -> Iterator[bytes]:
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(lower-cased named fields, block) of each record of an archive."""
-    pieces, held = _plain(data), bytearray()
-
-    def need(enough) -> bool:
-        while not enough():
-            piece = next(pieces, None)
-            if piece is None:
-                return False
-            held.extend(piece)
+    pieces, held, at = _plain(data), bytearray(), 0  # what lies before ``at`` has been read
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(piece)
         return True
 
     while True:
-        need(lambda: held.lstrip(b"\r\n"))
-        del held[: len(held) - len(held.lstrip(b"\r\n"))]
-        if not held:
-            return
-        if not need(lambda: b"\r\n\r\n" in held):
-            raise ValueError("the archive ends within a record's header")
-        head, end = bytes(held).partition(b"\r\n\r\n")[0] if len(held) < 4096 else bytes(held[: held.index(b"\r\n\r\n")]), held.index(b"\r\n\r\n") + 4
-        lines = head.decode("utf-8", "replace").split("\r\n")
+        while held[at : at + 1] in (b"\r", b"\n", b""):  # between records
+            if at < len(held):
+                at += 1
+            elif not more():
+                return
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError("the archive ends within a record's header")
+        lines = held[at:end].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        if not lines[0].startswith("WARC/") or not need(lambda: len(held) >= end + size):
+        at, size = end + 4, int(fields["content-length"])
+        while len(held) - at < size:
+            if not more():
+                raise ValueError("the archive holds no whole record where one should start")
+        if not lines[0].startswith("WARC/"):
             raise ValueError("the archive holds no whole record where one should start")
-        block = bytes(held[end : end + size])
-        del held[: end + size]
+        block = bytes(memoryview(held)[at : at + size])
+        at += size
         yield fields, block
 
 
@@ -192,6 +199,8 @@ def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, request, response, metadata): every page written to archives in the shared folder and read back, a nested row per capture.
 
     A null html is an empty payload; a very long one is an archive of its own.  Rows that share a page_id give a row each;
+    rows that agree in page_id, url and payload have one record name and are all what the first of them is; a row
+    without a page_id is a response only if no row of its payload has one.
     an empty table gives no rows; other columns are ignored.  The records are kept as a table, so archives are parsed once.
     """
     path = new_path(pages.sparkSession, "warc")

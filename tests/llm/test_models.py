@@ -92,6 +92,10 @@ def test_every_letter_of_a_word_counts():
             assert np.array_equal(langid.features([word], {})[0], part) and len(part) == 2 * len(word) + 6
 
 
+def test_words_are_split_where_a_character_is_no_letter():
+    assert langid.lines_of_words("x² H₂O CO₂\n½\nétage1er") == [["x", "h", "o", "co"], ["étage", "er"]]
+
+
 def test_a_text_in_no_learned_language_is_rejected(spark, docs):
     rng = random.Random(14)
     other = [(2000 + i, " ".join("".join(rng.choices("абвгдежзийклмн", k=6)) for _ in range(40)), None) for i in range(5)]

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -86,15 +87,45 @@ def test_archives(spark):
     assert warc.archived(spark.createDataFrame([], PAGE)).collect() == []
 
 
-def test_large_payloads_have_archives_of_their_own(spark, tmp_path):
-    rows = [(i, "u", "x" * (warc.LARGE + i // 2), "clash") for i in range(6)] + [(10 + i, "u", f"small {i}", "") for i in range(30)]
+def test_archives_are_packed_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", [(100, 10), (1000, 2), (1 << 62, 1)])
+    rows = [(i, "u", "x" * (100 + i), "clash") for i in range(5)] + [(10 + i, "u", f"small {i}", "") for i in range(25)] + [(50, "u", "y" * 5000, ""), (51, "u", "z" * 5000, "")]
     warc.write(spark.createDataFrame(rows, PAGE).coalesce(1), str(tmp_path / "w"))
-    each = warc.read(spark, str(tmp_path / "w")).select("record_type", "page_id", "payload_bytes", F.input_file_name().alias("file"))
-    assert len(list((tmp_path / "w" / "large").glob("*.gz"))) == 4
+    files = {k: len(list((tmp_path / "w" / f"class-{k}").glob("*.gz"))) for k in range(3)}
+    assert files == {0: 3, 1: 2, 2: 2}
     got = warc.captures(warc.read(spark, str(tmp_path / "w"))).collect()
     assert sorted((r.response.page_id, r.response.payload_bytes) for r in got) == sorted((i, len(t)) for i, _, t, _ in rows)
     assert all(r.response.intact and r.request.page_id == r.metadata.page_id == r.response.page_id for r in got)
-    assert each.count() == 3 * len(rows)
+
+
+def test_a_row_without_an_id_takes_no_response_from_others(spark):
+    rows = [(None, "u", "same", ""), (5, "v", "same", ""), (7, "w", "same", ""), (None, "x", "alone", "")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(rows, PAGE)).collect()), key=str)
+    assert got == sorted([(None, "revisit", 5), (5, "response", None), (7, "revisit", 5), (None, "response", None)], key=str)
+
+
+def test_broken_and_deep_pages_take_linear_time():
+    model = html.default_model()
+    for unit in ('<a "', "<div>", "</b>", "<p><span>", "<a '>", "<a \"'>x", "<li>", "<svg>", "<!x", "<template>", "<x y='", "<b></i>"):
+        page = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        model.extract([page])
+        assert time.process_time() - began < 15, unit  # a quadratic step takes minutes
+
+
+def test_tags_end_outside_of_quotes():
+    texts = lambda page: [n.text for n in html.tree(page) if n.text]
+    assert texts('<p title="a > b">x</p>') == ["x"] and texts("<p title='\"'>x</p>") == ["x"]
+    assert texts('<p title="a>x</p><p>y</p>') == ["x", "y"]  # a lone quote: the tag ends at its first mark
+    assert texts("a <!-- <p>b") == ["a"] and texts("a <![CDATA[b <c>") == ["a b <c>"] and texts("1 < 2 <b>x") == ["1 < 2 x"]
+
+
+def test_deep_pages_have_the_same_marginals(monkeypatch):
+    page = "<div>" * 40 + "<article><p>Some text, and more of it.</p><ul><li><a href=x>y</a></ul></article>" + "</div>" * 20 + "<footer>z</footer>"
+    forest, model = html.Forest([html.tree(page), html.tree("<p>w</p>")]), html.default_model()
+    want = model.marginals(forest)
+    monkeypatch.setattr(html, "DEEP", 0)
+    assert abs(model.marginals(forest) - want).max() < 1e-9
 
 
 def test_the_query_joins_request_and_metadata_by_concurrent_to(spark, tmp_path):
