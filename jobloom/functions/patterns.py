@@ -119,11 +119,23 @@ def first(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, java(pattern), group), F.lit(""))
 
 
+#: Characters beyond U+FFFF, which count as two where texts are counted in UTF-16, and the mark that stands for their second half.
+ASTRAL, HALF = "[\\x{10000}-\\x{10FFFF}]", "\uE000"
+
+
 def around(text: Column, pattern: str, before: int, after: int) -> Column:
-    """The first match with up to so many characters on its sides, or null; by its place, as a pattern for it would try each start."""
-    place = F.struct(F.regexp_instr(text, F.lit(java(pattern))).alias("at"), F.length(F.regexp_extract(text, java(pattern), 0)).alias("size"))
+    """The first match with up to so many characters, counted in UTF-16, on its sides, or null.
+
+    It is found by its place, as a pattern for it would try each start; ``regexp_instr`` counts in UTF-16, ``substring``
+    doesn't, so a mark stands for the second half of a character that counts as two.  One that the window cuts goes.
+    """
+    rule = java(pattern)
+    halves = lambda x: F.when(F.rlike(x, F.lit(ASTRAL)), F.regexp_replace(x, f"({ASTRAL})", f"$1{HALF}")).otherwise(x)
+    place = F.struct(F.regexp_instr(text, F.lit(rule)).alias("at"), F.length(halves(F.regexp_extract(text, rule, 0))).alias("size"))
     low = lambda p: F.greatest(p["at"] - before, F.lit(1))
-    return let(place, lambda p: F.when(p["at"] > 0, F.substring(text, low(p), p["at"] + p["size"] + after - low(p))))
+    cut = lambda p: F.when(p["at"] > 0, F.substring(halves(text), low(p), p["at"] + p["size"] + after - low(p)))
+    whole = lambda w: F.when(F.rlike(w, F.lit(f"{ASTRAL}|{HALF}")), F.regexp_replace(w, f"{ASTRAL}(?!{HALF})|{HALF}", "")).otherwise(w)
+    return let(let(place, cut), whole)
 
 
 def every(text: Column, pattern: str, group: int = 0) -> Column:

@@ -286,7 +286,7 @@ def head_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}'), lambda x: lower(x)))), ',') AS emails FROM documents")
 def contacts_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT-1, SRT-6."""
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.contacts(F.coalesce("text", F.lit("")))["emails"], ",").alias("emails"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.emails(F.col("text")), ",").alias("emails"))
 
 
 def _kinds_sql(rules: list[tuple[str, str]]) -> str:
@@ -407,14 +407,14 @@ def anomaly_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), i AS (SELECT doc_id, unnest(list_filter([CASE WHEN trim(title) = '' THEN 'title_null' END, CASE WHEN length(title) > 90 THEN 'title_too_long' END, CASE WHEN length(title) BETWEEN 1 AND 3 THEN 'title_too_short' END, CASE WHEN regexp_matches(title, '(?i)https?://|www\\.') THEN 'title_has_url' END, CASE WHEN regexp_matches(title, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}') THEN 'title_has_email' END, CASE WHEN regexp_matches(title, '[.!?]\\s+\\S') THEN 'title_is_sentence' END], lambda x: x IS NOT NULL)) AS issue FROM t)
 SELECT issue, CASE issue WHEN 'title_is_sentence' THEN 'low' WHEN 'title_null' THEN 'high' WHEN 'title_has_url' THEN 'high' ELSE 'medium' END AS severity, count(*) AS n FROM i GROUP BY 1, 2""")
 def title_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-10, AGG-11: title issues by severity."""
+    """Title issues by severity, by this library's own rules; AGG-10 is ``title_quality``."""
     p = views.postings(spark, sf_dir)
     return audits.histogram(audits.issues(p, audits.title_issues(F.col("title")), "id"))
 
 
 @query(f"""WITH t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents) SELECT id, 'title_is_sentence' AS issue, 'low' AS severity FROM t WHERE regexp_matches(title, '[.!?]\\s+\\S') ORDER BY id LIMIT 15""")
 def title_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-5: the first 15 examples of an issue."""
+    """WIN-5: the first 15 examples of an issue (of this library's own title rules)."""
     rules = {k: v for k, v in audits.title_issues(F.col("title")).items() if k == "title_is_sentence"}
     return audits.examples(audits.issues(views.postings(spark, sf_dir), rules, "id"), "id")
 
@@ -674,14 +674,14 @@ def _folder(spark: SparkSession, what: str) -> str:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-3: the events as a stream, the first of each user and type."""
+    """STR-4: the events as a stream, the first of each user and type."""
     first = streams.distinct_within(_events_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "400 days")
     return streams.finished(first, _folder(spark, "dedup")).select("user_id", "event_type")
 
 
 @query(f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY")
 def stream_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-4: the events of the last 14 days, as a stream."""
+    """STR-3: the events of the last 14 days, as a stream."""
     new = streams.fresh(_events_stream(spark, sf_dir), "ts", F.lit(AS_OF).cast("timestamp"))
     return streams.finished(new.select("event_id", "user_id"), _folder(spark, "cutoff"))
 
@@ -693,7 +693,7 @@ def source_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-6: users as sources: a purchase is a run with items, a signup a blocked one, others are empty runs."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     runs = _events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").cast("int").alias("found"), (F.col("event_type") == "signup").alias("blocked"))
-    return streams.finished(streams.source_states(runs), _folder(spark, "states"), "update").select("source", "status", "empty_runs", "block_strikes")
+    return streams.finished(streams.source_states(runs), _folder(spark, "states"), "update", ["source"]).select("source", "status", "empty_runs", "block_strikes")
 
 
 # -- audits of feeds ------------------------------------------------------------------------------------------------
@@ -923,3 +923,21 @@ def channel_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "K").otherwise(" млн")
     page = F.concat(F.lit('<meta property="og:title" content="Telegram: '), "s_name", F.lit('">'), picture, F.lit('<div class="tgme_page_extra">'), "id", unit, F.lit(" subscribers</div>"))
     return s.select("id", scans.channel_profile(page).alias("p")).select("id", "p.*")
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-4, STR-9: the events as a stream against a ring of each user's last 200 kinds, which goes after a year without events."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    items = _events_stream(spark, sf_dir).select("user_id", "event_type", "ts", "event_id")
+    return streams.finished(streams.ring_distinct(items, "user_id", "event_type", at="ts", keep="400 days"), _folder(spark, "ring")).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT DISTINCT ON (user_id, event_type, ts::DATE) user_id, event_type, ts FROM events) GROUP BY ALL")
+def stream_dated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1, SNK-2, SNK-12: the events as a stream into a table by day, the first of each user, type and day once."""
+    keyed = _events_stream(spark, sf_dir).select("user_id", "event_type", "ts", F.to_date("ts").alias("on_day"))
+    folder = _folder(spark, "dated")
+    target = streams.DatedTable(spark, folder, ["user_id", "event_type", "on_day"], "ts")
+    keyed.writeStream.option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).foreachBatch(target.append).start().awaitTermination()
+    return target.rows(keyed.schema).groupBy("user_id", "event_type", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 RING = 200
 
@@ -25,17 +25,25 @@ def distinct_within(items: DataFrame, at: str, key: list[str], late: str = "14 d
 
 
 class Ring(StatefulProcessor):
-    """Per source: passes items whose hash isn't among the last ``size`` that were passed."""
+    """Per source: passes items whose hash isn't among the last ``size`` that were passed.
 
-    def __init__(self, source: str, hash_: str, size: int = RING):
-        self.source, self.hash, self.size = source, hash_, size
+    With ``at`` items of a batch are taken in order of that time, and a source's state goes when the watermark is
+    ``keep_ms`` past its last item.
+    """
+
+    def __init__(self, source: str, hash_: str, size: int = RING, at: str | None = None, keep_ms: int = 0):
+        self.source, self.hash, self.size, self.at, self.keep_ms = source, hash_, size, at, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getListState("seen", "hash string")
+        if self.at:
+            self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = [r[0] for r in self.seen.get()]
-        for part in rows:
+        seen, newest = [r[0] for r in self.seen.get()], 0
+        parts = [pd.concat(list(rows)).sort_values([self.at, self.hash], kind="stable")] if self.at else rows
+        for part in parts:
             known, keep = set(seen), []
             for h in part[self.hash]:
                 keep.append(h not in known)
@@ -44,17 +52,41 @@ class Ring(StatefulProcessor):
                     seen.append(h)
                     if len(seen) > self.size:
                         known.discard(seen.pop(0))
+            if self.at:
+                newest = max(newest, int(part[self.at].max().timestamp() * 1000))
             if any(keep):
                 yield part[keep]
         self.seen.put([(h,) for h in seen])
+        if self.at:
+            self._keep_until(newest)
+
+    def _keep_until(self, newest: int) -> None:
+        """One timer a source, behind its newest item."""
+        last = self.last.get()[0] if self.last.exists() else None
+        if last is None or newest > last:
+            if last is not None:
+                self.handle.deleteTimer(last + self.keep_ms)
+            self.handle.registerTimer(newest + self.keep_ms)
+            self.last.update((newest,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def ring_distinct(items: DataFrame, source: str, hash_: str, size: int = RING) -> DataFrame:
-    """Deduplication against the exact ring of each source's last hashes (state of ``size`` hashes a source)."""
-    return items.groupBy(source).transformWithStateInPandas(statefulProcessor=Ring(source, hash_, size), outputStructType=items.schema, outputMode="Append", timeMode="None")
+def ring_distinct(items: DataFrame, source: str, hash_: str, size: int = RING, at: str | None = None, keep: str | None = None) -> DataFrame:
+    """Deduplication against the exact ring of each source's last hashes (state of ``size`` hashes a source).
+
+    ``at`` and ``keep`` (``"14 days"``): items are late by ``keep`` at most, and the ring of a source without items for so long goes.
+    """
+    if not at:
+        return items.groupBy(source).transformWithStateInPandas(statefulProcessor=Ring(source, hash_, size), outputStructType=items.schema, outputMode="Append", timeMode="None")
+    ring = Ring(source, hash_, size, at, int(pd.Timedelta(keep).total_seconds() * 1000))
+    return items.withWatermark(at, keep).groupBy(source).transformWithStateInPandas(statefulProcessor=ring, outputStructType=items.schema, outputMode="Append", timeMode="EventTime")
 
 
 STATE = "source string, status string, empty_runs int, block_strikes int, last_at timestamp"
@@ -95,15 +127,23 @@ def source_states(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").transformWithStateInPandas(statefulProcessor=SourceState(), outputStructType=StructType.fromDDL(STATE), outputMode="Update", timeMode="None")
 
 
-def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """What a stream gives from all that is there now, as a table in ``folder``; one that runs again goes on where it ended."""
+def finished(stream: DataFrame, folder: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """What a stream gives from all that is there now, as a table in ``folder``; one that runs again goes on where it ended.
+
+    In mode ``update`` a row of ``key`` replaces those of the batches before; a batch that runs again replaces itself.
+    """
+    spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{folder}/rows")
     else:
         query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    every = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    last = every.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return last.select("row.*")
 
 
 def append_new(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
@@ -111,10 +151,60 @@ def append_new(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, _: int) -> None:
         batch = batch.dropDuplicates(key)
-        spark = batch.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            batch = batch.join(spark.read.schema(batch.schema).parquet(path).select(*key), key, "left_anti")
+        if _exists(batch.sparkSession, path):
+            batch = batch.join(batch.sparkSession.read.schema(batch.schema).parquet(path).select(*key), key, "left_anti")
         batch.write.mode("append").parquet(path)
 
     return write
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+class DatedTable:
+    """A table of rows by day that batches append to once: rows and cursor of a batch become visible together.
+
+    Rows lie in folders of batch and day.  A batch's rows are only compared with those of its own days, so it reads just
+    their folders, and of these just the key; the key must decide the day (a posting's link and date of publication).
+    A batch is there once its cursor is: a batch that failed halfway is written anew over what it left, one that is
+    there already adds nothing, and readers see whole batches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], at: str):
+        self.spark, self.path, self.key, self.at = spark, path, key, at
+
+    def last(self) -> int:
+        """The last batch that is there; -1 before the first."""
+        if not _exists(self.spark, f"{self.path}/cursors"):
+            return -1
+        return self.spark.read.schema("batch bigint").parquet(f"{self.path}/cursors").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+    def cursor(self) -> DataFrame | None:
+        """What the last batch said of how far it got."""
+        n = self.last()
+        return None if n < 0 else self.spark.read.parquet(f"{self.path}/cursors/batch={n}")
+
+    def rows(self, schema: StructType) -> DataFrame:
+        """The rows of all batches that are there, with their day."""
+        whole = StructType([*schema.fields, StructField("batch", LongType()), StructField("day", DateType())])
+        if self.last() < 0:
+            return self.spark.createDataFrame([], whole).drop("batch")
+        return self.spark.read.schema(whole).parquet(f"{self.path}/rows").where(F.col("batch") <= self.last()).drop("batch")
+
+    def new_rows(self, batch: DataFrame) -> DataFrame:
+        """Rows of ``batch``, the first of each key, that the table lacks."""
+        dated = batch.withColumn("day", F.coalesce(F.to_date(self.at), F.lit("1970-01-01").cast("date"))).dropDuplicates(self.key)
+        days = [r.day for r in dated.select("day").distinct().collect()]  # as many as days that a batch spans
+        have = self.rows(batch.schema).where(F.col("day").isin(days)) if days else self.rows(batch.schema).limit(0)
+        return dated.join(have.select("day", *self.key), ["day", *self.key], "left_anti")
+
+    def append(self, batch: DataFrame, n: int, cursor: DataFrame | None = None) -> None:
+        """Batch ``n`` with its cursor (one row of any columns); for foreachBatch."""
+        if n <= self.last():
+            return
+        new = self.new_rows(batch)
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/rows/batch={n}")
+        mark = self.spark.range(1).select(F.lit(n).alias("at_batch")) if cursor is None else cursor
+        mark.write.mode("overwrite").parquet(f"{self.path}/cursors/batch={n}")
