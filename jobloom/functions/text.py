@@ -315,3 +315,14 @@ def source_language(text: Column, size: int = 500) -> Column:
     for name, letters in reversed(LETTERS):
         out = F.when(F.rlike(sample, F.lit(letters)), name).otherwise(out)
     return out
+
+
+def by_locale(value: Column) -> Column:
+    """A key to sort by as readers do: base letters count, accents and case don't, null is an empty text."""
+    return F.collate(F.coalesce(value, F.lit("")), "UNICODE_CI_AI")
+
+
+def locale_sorted(values: Column) -> Column:
+    """The distinct values in the order of letters, then accents, then case, whatever their script."""
+    ordered = F.array_sort(F.transform(F.array_distinct(values), lambda x: F.collate(x, "UNICODE")))
+    return F.transform(ordered, lambda x: F.collate(x, "UTF8_BINARY"))

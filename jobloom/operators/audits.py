@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.patterns import has, replace
 from ..functions.titles import FORMAT_WORDS
@@ -111,3 +112,19 @@ def parse_issues(original: Column) -> dict[str, tuple[str, Column]]:
         "contacts_missed_obvious": ("high", (F.size("contacts.emails") == 0) & (F.size("contacts.telegram") == 0) & handles),
         "original_text_looks_like_multi_vacancy_dump": ("low", (F.length(original) > 900) & has(original, r"(понравились\s+вакансии|разместить\s+вакансию)") & ~F.array_contains("warnings", "input_truncated")),
     }
+
+
+def report_lines(found: DataFrame, rows: int, row_id: str, n: int = 10) -> DataFrame:
+    """(place, line) of a report: totals, the issues with their counts, most frequent first, and the first ``n`` rows of each."""
+    told = found.groupBy("issue", "severity").agg(F.count("*").alias("n"))
+    some = examples(found, row_id, n).groupBy("issue").agg(F.array_sort(F.collect_list(F.col(row_id))).alias("ids"))  # at most n of each issue
+    head = found.agg(F.count("*").alias("issues"), F.count_distinct(row_id).alias("rows")).select(F.concat(F.lit(f"rows: {rows}, with issues: "), "rows", F.lit(", issues: "), "issues").alias("line"), F.lit(-1).cast("bigint").alias("n"), F.lit("").alias("issue"))
+    body = told.join(some, "issue", "left").select(F.concat("issue", F.lit(" ("), "n", F.lit(") ["), "severity", F.lit("]: "), F.array_join(F.col("ids").cast("array<string>"), ", ")).alias("line"), "n", "issue")
+    order = Window.orderBy(F.when(F.col("n") < 0, 0).otherwise(1), F.desc("n"), "issue")  # a line for each rule: a few dozen rows
+    return head.unionByName(body).select((F.row_number().over(order) - 1).alias("place"), "line")
+
+
+def write_report(found: DataFrame, rows: int, row_id: str, path: str, n: int = 10) -> None:
+    """Write ``found`` as JSON lines to ``path``/json and its report as text to ``path``/text; a failed write leaves the last ones."""
+    found.write.mode("overwrite").json(f"{path}/json")
+    report_lines(found, rows, row_id, n).orderBy("place").select("line").coalesce(1).write.mode("overwrite").text(f"{path}/text")

@@ -65,7 +65,7 @@ _RECORD = {
     "work_format": "named_struct('value', CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'remote' END, 'confidence', CAST(0.6 AS DOUBLE))",
     "experience": "named_struct('min_years', CASE WHEN doc_id % 2 = 1 THEN 3 END, 'max_years', CAST(NULL AS INT), 'confidence', CAST(0.6 AS DOUBLE))",
     "tech": "named_struct('all', CASE WHEN doc_id % 3 = 0 THEN array() ELSE array('Python') END, 'confidence', CAST(0.6 AS DOUBLE))",
-    "contacts": "named_struct('emails', CASE WHEN doc_id % 4 = 1 THEN array('a@b.io') ELSE array() END, 'telegram', CAST(array() AS array<string>), 'urls', CASE WHEN doc_id % 6 = 0 THEN array('https://x.io/a,', 'https://x.io/b') ELSE array() END, 'confidence', CAST(0.6 AS DOUBLE))",
+    "contacts": "named_struct('emails', CASE WHEN doc_id % 4 = 1 THEN array('a@b.io') ELSE array() END, 'telegram', CAST(array() AS array<string>), 'phones', CAST(array() AS array<string>), 'urls', CASE WHEN doc_id % 6 = 0 THEN array('https://x.io/a,', 'https://x.io/b') ELSE array() END, 'confidence', CAST(0.6 AS DOUBLE))",
     "warnings": "CASE WHEN doc_id % 5 = 0 THEN array('lang_unknown') ELSE array() END",
 }
 

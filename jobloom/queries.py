@@ -844,6 +844,49 @@ def input_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(text.sanitized(F.col("text"))["warnings"], ",").alias("warnings"))
 
 
+_PAY_SQL, _MONEY_SQL = sql_has("description", audits.PAY_WORDS), sql_has("description", audits.MONEY)
+_ISSUES_SQL = [
+    ("salary_false_positive_year", "medium", f"low_pay BETWEEN 1900 AND 2100 AND coalesce(high_pay, low_pay) BETWEEN 1900 AND 2100 AND NOT {_PAY_SQL}"),
+    ("salary_currency_unknown_but_mentioned", "medium", f"low_pay IS NOT NULL AND money = 'UNKNOWN' AND {_MONEY_SQL}"),
+    ("title_glued_or_too_long_raw", "medium", "title_value IS NULL AND length(title) >= 140"),
+    ("title_starts_with_hashtags", "low", "regexp_matches(title, '^\\s*(?:#\\S+\\s*){2,}')"),
+    ("location_false_positive_tech_tokens", "high", _ANY("lower(coalesce(city, ''))", audits.TECH_PLACES)),
+    ("location_false_positive_common_words", "high", f"lower(city) IN ({_QUOTED(audits.WORD_PLACES)})"),
+    ("contacts_urls_trailing_punct", "low", "bad_url"),
+    ("contacts_missed_obvious", "high", f"no_email AND ({sql_has('description', feed_audit.EMAIL)} OR {sql_has('description', feed_audit.HANDLE)})"),
+]
+_PARSE_ISSUES_SQL = "SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {{'issue': '{n}', 'severity': '{v}'}} END" for n, v, c in _ISSUES_SQL) + f"], lambda x: x IS NOT NULL)) AS i, id FROM {RECORDED_SQL}"
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.recorded(spark, sf_dir).select("id", "description", "record.*")
+    return audits.issues(r, audits.parse_issues(F.col("description")), "id")
+
+
+@query(f"SELECT i.issue AS issue, i.severity AS severity, count(*) AS n FROM ({_PARSE_ISSUES_SQL}) GROUP BY 1, 2")
+def parse_issue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-8: the ten rules over recorded parses (no warning of a missing salary and no dump of several vacancies is among them)."""
+    return audits.histogram(_audited(spark, sf_dir))
+
+
+@query(f"SELECT count(DISTINCT id) AS rows_with_issues, count(*) AS issues, (SELECT count(*) FROM documents) AS rows FROM ({_PARSE_ISSUES_SQL})")
+def parse_issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-8: rows, rows with issues, issues."""
+    return audits.totals(_audited(spark, sf_dir), views.table(spark, sf_dir, "documents"), "id")
+
+
+@query(f"SELECT count(*) AS total, floor(count(*) FILTER (WHERE sure < 0.6) * 1000 / count(*) + 0.5) / 10 AS title_low, floor(count(*) FILTER (WHERE low_pay IS NOT NULL OR high_pay IS NOT NULL) * 1000 / count(*) + 0.5) / 10 AS salary_found, floor(count(*) FILTER (WHERE no_email AND NOT bad_url) * 1000 / count(*) + 0.5) / 10 AS no_contacts FROM {RECORDED_SQL}")
+def parse_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-7: shares of recorded parses with a doubtful title, with a salary, without contacts."""
+    return audits.metrics(views.recorded(spark, sf_dir).select("record.*"))
+
+
+@query(f"WITH f AS ({_PARSE_ISSUES_SQL}), c AS (SELECT i.issue AS issue, i.severity AS severity, count(*) AS n, list_sort(list(id))[:10] AS ids FROM f GROUP BY 1, 2), l AS (SELECT -1 AS n, '' AS issue, 'rows: ' || (SELECT count(*) FROM documents) || ', with issues: ' || count(DISTINCT id) || ', issues: ' || count(*) AS line FROM f UNION ALL SELECT n, issue, issue || ' (' || n || ') [' || severity || ']: ' || array_to_string(ids, ', ') FROM c) SELECT CAST(row_number() OVER (ORDER BY n >= 0, n DESC, issue) - 1 AS INT) AS place, line FROM l")
+def parse_issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-11: the lines of the text report of those issues."""
+    return audits.report_lines(_audited(spark, sf_dir), views.table(spark, sf_dir, "documents").count(), "id")
+
+
 # -- scans of recorded feeds and channels -----------------------------------------------------------------------------
 
 _ITEMS_SQL = """i AS (SELECT source || '-' || CAST(doc_id // 1200 AS VARCHAR) AS feed, CAST(row_number() OVER (PARTITION BY source, doc_id // 1200 ORDER BY doc_id) AS INT) - 1 AS place, doc_id, doc_id // 1200 % 4 AS damage,

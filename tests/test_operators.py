@@ -176,3 +176,23 @@ def test_lookups_and_feed_filters(spark):
     ids = lambda **k: sorted(r.external_id for r in ingest.filtered(df, **k).collect())
     assert ids() == ["1", "2", "3"] and ids(tags=["PYTH", "go"]) == ["1", "3"] and ids(location="berl") == ["1"]
     assert ids(company="c") == ["1"] and ids(search="KUBE") == ["2"] and ids(remote_only=True) == ["1", "2"] and ids(limit=1) == ["2"]
+
+
+def test_locale_order(spark):
+    from jobloom.functions import text
+
+    names = ["Zürich", "apple", "Äpfel", "Apple", "école", "ecole", "Éclair", "яблоко", "Арбуз", "арбуз", "éclair", None, "zebra", "ёлка", "еда"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(text.by_locale(F.col("n")), F.col("n").asc_nulls_first()).collect()]
+    assert got == [None, "Äpfel", "Apple", "apple", "Éclair", "éclair", "ecole", "école", "zebra", "Zürich", "Арбуз", "арбуз", "еда", "ёлка", "яблоко"]
+    row = spark.createDataFrame([(["b", "a", "B", "á", "A", "a", "ä", "b"],), ([],), (None,)], "xs array<string>").select(text.locale_sorted(F.col("xs")).alias("s")).collect()
+    assert [r.s for r in row] == [["a", "A", "á", "ä", "b", "B"], [], None] and spark.range(1).select(text.locale_sorted(F.array(F.lit("a")))).schema[0].dataType.simpleString() == "array<string>"
+
+
+def test_reports_are_written(spark, tmp_path):
+    found = spark.createDataFrame([(k, "a", "high") for k in range(12)] + [(1, "b", "low"), (2, "b", "low")], "id int, issue string, severity string")
+    audits.write_report(found, 20, "id", str(tmp_path / "r"), n=3)
+    assert [r.value for r in spark.read.text(str(tmp_path / "r/text")).collect()] == ["rows: 20, with issues: 12, issues: 14", "a (12) [high]: 0, 1, 2", "b (2) [low]: 1, 2"]
+    assert spark.read.json(str(tmp_path / "r/json")).count() == 14
+    audits.write_report(found.limit(0), 0, "id", str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r/text")).collect()] == ["rows: 0, with issues: 0, issues: 0"]
