@@ -98,7 +98,7 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn, arrow = make(), to_arrow_schema(out)
         for part in _slices(batches):
-            cols = fn(*map(_values, part.columns))
+            cols = fn(*map(values, part.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)
@@ -115,7 +115,7 @@ def fold_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, arrow = make(), to_arrow_schema(out)
         for part in itertools.chain(_slices(batches), (None,)):
-            for cols in fold(part if part is None else [_values(c) for c in part.columns]):
+            for cols in fold(part if part is None else [values(c) for c in part.columns]):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)
@@ -137,7 +137,7 @@ def rows_in_slices(rows: list[tuple], size: int = 20_000) -> Iterator[list[list]
         yield list(map(list, zip(*rows[at : at + size])))
 
 
-def _values(column: pa.Array) -> list:
+def values(column: pa.Array) -> list:
     """A column as Python values; lists of numbers as numpy arrays."""
     if not pa.types.is_list(column.type) or not pa.types.is_primitive(column.type.value_type) or column.null_count:
         return column.to_pylist()
