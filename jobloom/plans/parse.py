@@ -47,6 +47,7 @@ def parsed(df: DataFrame, column: str, country: Column | None = None, currency:
     for group in GROUPS:
         out = out.select("*", *(field(n).alias(n) for n in group))
     warned = [F.when(F.col("normalized") == "", "empty_text"), F.when(lang == "unknown", "lang_unknown"), *(F.when(F.col(f"{n}.confidence") == 0, f"{n}_not_found") for n in FIELDS if n != "title")]
-    conflicts = [F.when(F.col("employment.conflict"), "employment_conflict_full_part"), F.when(F.col("work_format.conflict"), "work_format_conflict_remote_onsite")]
+    bare = F.col("salary.min").isNull() & F.col("salary.max").isNull() & (F.col("salary.confidence") > 0)
+    conflicts = [F.when(bare, "salary_currency_only"), F.when(F.col("employment.conflict"), "employment_conflict_full_part"), F.when(F.col("work_format.conflict"), "work_format_conflict_remote_onsite")]
     regions = F.transform("location.regions", lambda r: F.concat(F.lit("location_region_only:"), r))
     return out.select("*", F.greatest(*(F.col(f"{n}.confidence") for n in FIELDS)).alias("total"), F.concat(F.col("sanitized.warnings"), F.array_compact(F.array(*warned, *conflicts)), F.col("title.warnings"), regions).alias("warnings"))

@@ -696,6 +696,22 @@ def source_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.finished(streams.source_states(runs), _folder(spark, "states"), "update", ["source"]).select("source", "status", "empty_runs", "block_strikes")
 
 
+def _first_kind_sql(column: str, rules: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {sql_has(column, p)} THEN '{n}'" for n, p in rules) + " ELSE 'unknown' END"
+
+
+#: Names of trades in the order of the documents' numbers, put before first lines so that there is something to find.
+_TRADES = ["Ember Developer", "Haskell developer", "Objective-C developer", "Xamarin developer", "QA", "3D-аниматор", "Senior Data Engineer", "Team lead", "Treasurer", "paralegal intern", "Media buyer", "", "Help desk", "стажёр, тимлид"]
+
+
+@query(f"SELECT doc_id, {_first_kind_sql('title', titles.ROLES)} AS role, {_first_kind_sql('title', titles.LEVELS)} AS level FROM (SELECT doc_id, ([{', '.join(repr(t) for t in _TRADES)}])[doc_id % {len(_TRADES)} + 1] || ' ' || coalesce(split_part(text, chr(10), 1), '') AS title FROM documents)")
+def title_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-7: role and level of titles, by all rules in their order."""
+    trade = F.element_at(F.array(*map(F.lit, _TRADES)), (F.col("doc_id") % len(_TRADES) + 1).cast("int"))
+    named = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(trade, F.lit(" "), F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))).alias("title"))
+    return named.select("doc_id", titles.kind(F.col("title"), titles.ROLES).alias("role"), titles.kind(F.col("title"), titles.LEVELS).alias("level"))
+
+
 # -- audits of feeds ------------------------------------------------------------------------------------------------
 
 _RX = lambda text, p, group=1, fold=True: f"nullif(regexp_extract({text}, '{p.replace(chr(39), chr(39) * 2)}', {group}{', ' + repr('i') if fold else ''}), '')"
