@@ -3,9 +3,9 @@
 A fingerprint has 8 positional bytes.  Two fingerprints that differ in at most 4 bits differ in at most 4
 bytes, so they share at least 4 positional bytes: that is the guaranteed minimum of matches.  The index posts
 every distinct fingerprint under each choice of 4 positions.  In a list the positional bytes that a pair shares are
-tallied from the first position on; only where the tally reaches the minimum just at the list's last position is the
-pair retained and its differing bits counted, so a pair is verified in one list of all those in which it meets.  Only a
-spanning forest of the list's links leaves the task.
+tallied from the first position on; a pair is retained where the tally reaches the minimum just at the list's last
+position, which is one list of all those in which it meets.  Retained pairs are verified by their differing bits.  Only
+a spanning forest of the list's links leaves the task.
 
 Lists longer than ``LIST`` are not paired: their members go to the next level, which indexes the 32 bits that
 are still free by nibbles (of 8 nibbles at least 4 are equal), then by bit pairs, with the same tally.  One list is
@@ -111,8 +111,25 @@ def _pieces(fixed: int) -> np.ndarray:
     return np.array([sum(1 << b for b in free[p * width : (p + 1) * width]) for p in range(8)], np.uint64)
 
 
+_HIGH, _LOW = np.uint64(0x8080808080808080), np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def _shared_bytes(differ: np.ndarray) -> np.ndarray:
+    """The tally of a pair's shared bytes, as the high bit of each byte of ``differ`` that is zero."""
+    return ~((differ & _LOW) + _LOW | differ | _LOW)
+
+
+def _up_to_last(mask: np.ndarray) -> np.ndarray:
+    """The high bits of the bytes down to a list's last position."""
+    own = mask & _HIGH
+    last = own & (~own + np.uint64(1))
+    return _HIGH & ~(last - np.uint64(1))
+
+
 def _retained(differ: np.ndarray, mask: np.ndarray, level: int) -> np.ndarray:
     """Count filtering: which pairs have their first four shared pieces, at each level, just where the list's ``mask`` has its own."""
+    if not level:
+        return _shared_bytes(differ) & _up_to_last(mask) == mask & _HIGH
     fixed, out = np.zeros(len(differ), np.uint64), np.ones(len(differ), bool)
     for _ in range(level + 1):
         above = fixed.copy()
@@ -135,8 +152,8 @@ def _paired(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int, level:
     lag = 1
     while len(i := i[i + lag < ends[i]]):
         differ = u[i] ^ u[i + lag]
-        near = np.bitwise_count(differ) <= bits  # cheaper than the tally, and both have to hold
-        kept = i[near][_retained(differ[near], m[i[near]], level)] if near.any() else i[:0]
+        tallied = np.flatnonzero(_retained(differ, m[i], level))
+        kept = i[tallied[np.bitwise_count(differ[tallied]) <= bits]]
         found += zip(kept.tolist(), (kept + lag).tolist())
         if len(found) > 2 * n + 100_000:
             found = list(map(tuple, _forest(found).tolist()))

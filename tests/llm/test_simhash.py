@@ -122,3 +122,17 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_quick_tally_is_that_of_all_positions():
+    rng = np.random.default_rng(5)
+    masks = np.array([m for m in simhash._masks(0)], np.uint64)
+    differ = rng.integers(0, 1 << 63, 20_000, np.uint64) & np.bitwise_or.reduce(np.where(rng.random((20_000, 8)) < 0.35, simhash._pieces(0), np.uint64(0)), axis=1)
+    mask = rng.choice(masks, len(differ))
+    own = differ & mask == 0  # pairs that meet in the list share its bytes
+    differ, mask = differ[own], mask[own]
+    want = []
+    for d, m in zip(differ.tolist(), mask.tolist()):
+        shared = [b for b in range(56, -8, -8) if not d >> b & 255][:4]
+        want.append(sum(255 << b for b in shared) == m)
+    assert simhash._retained(differ, mask, 0).tolist() == want and 0 < sum(want) < len(want)
