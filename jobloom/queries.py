@@ -974,13 +974,13 @@ def channel_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'https://x.example.org/' || s_suppkey || '.jpg' END AS avatar,
- CAST(CASE s_suppkey % 3 WHEN 0 THEN nullif(s_suppkey, 0) WHEN 1 THEN s_suppkey * 1000 ELSE s_suppkey * 1000000 END AS BIGINT) AS subscribers FROM supplier""")
+ CAST(CASE s_suppkey % 3 WHEN 0 THEN s_suppkey + 1 WHEN 1 THEN (s_suppkey + 1) * 1000 ELSE (s_suppkey + 1) * 1000000 END AS BIGINT) AS subscribers FROM supplier""")
 def channel_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-20: title, picture and readers of channel pages that are made of the suppliers."""
     s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
     picture = F.when(F.col("id") % 2 == 0, F.concat(F.lit('<meta property="og:image" content="https://x.example.org/'), "id", F.lit('.jpg">'))).otherwise("")
     unit = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "K").otherwise(" млн")
-    page = F.concat(F.lit('<meta property="og:title" content="Telegram: '), "s_name", F.lit('">'), picture, F.lit('<div class="tgme_page_extra">'), "id", unit, F.lit(" subscribers</div>"))
+    page = F.concat(F.lit('<meta property="og:title" content="Telegram: '), "s_name", F.lit('">'), picture, F.lit('<div class="tgme_page_extra">'), (F.col("id") + 1).cast("string"), unit, F.lit(" subscribers</div>"))
     return s.select("id", scans.channel_profile(page).alias("p")).select("id", "p.*")
 
 
