@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import itertools
 import shutil
 import tempfile
@@ -145,7 +148,16 @@ def values(column: pa.Array) -> list:
     return [values[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)] if len(ends) else []
 
 
+def _tidy() -> None:
+    """Give back to the system what earlier tasks of this worker have left; the C library keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _tidy()
     for batch in batches:
         step = max(1, min(batch.num_rows, int(batch.num_rows * 2e6 / max(batch.nbytes, 1)) or 1))
         for at in range(0, batch.num_rows, step):
