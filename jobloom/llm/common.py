@@ -90,6 +90,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: Rows of an Arrow batch: whole texts in it are held by the executor and by its Python worker at once.
+ROWS = 1_000
+
+
+def _in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded to ``ROWS`` rows; a smaller bound stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS:
+        conf.set(key, str(ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
     """Apply ``make()(*column lists)``, which gives one list per output column, to slices of each Arrow batch.
 
@@ -104,7 +116,7 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
             cols = fn(*map(values, part.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, out)
+    return _in_small_batches(df).select(*columns).mapInArrow(run, out)
 
 
 def fold_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -121,7 +133,7 @@ def fold_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable]
             for cols in fold(part if part is None else [values(c) for c in part.columns]):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, out)
+    return _in_small_batches(df).select(*columns).mapInArrow(run, out)
 
 
 def pieces(blob: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -180,7 +192,7 @@ def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
         for part in _slices(batches):
             yield part.filter(pa.array(fn(*(part.column(k).to_pylist() for k in places)), pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return _in_small_batches(plain).mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 #: Keys (16 bytes each) up to which ``without`` broadcasts them.
