@@ -26,7 +26,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays.
 
-    SimHash fingerprints of 64 bits can't reach that similarity (README), so the candidates come from shingles.
+    SimHash fingerprints meet in op1's byte-position index and are checked by whole sets; an exact index over shingles
+    finds the pairs that 64 bits can't reach (README).
     """
     return jaccard.keep_one(docs)
 

@@ -1,4 +1,9 @@
-"""Near-duplicates by shingle sets: every two texts whose sets of five-word shingles reach a Jaccard similarity of 0.8.
+"""Near-duplicates by SimHash with an exact check: every two texts whose sets of five-word shingles reach a Jaccard similarity of 0.8.
+
+The sets' SimHash fingerprints meet first, in op1's byte-position index with its count filter (``simhash.links``), and
+what links there is checked by whole sets.  A fingerprint can't promise that similarity: at 0.8 some 10 of 64 bits
+differ, so most pairs near it share no four bytes.  The exact way for the rest is an index over shingles, in which only
+pairs that aren't joined yet are compared.
 
 The shingles of all texts have one order, and a text is posted under the first ``n - ceil(0.8 n) + 1`` of its n.
 Two sets that reach 0.8 share one of these (prefix filter), so an inverted index over them meets every such pair.
@@ -28,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import drop_stored, map_batches, small, stored, values, without
 from .components import components, grouped
 
@@ -131,6 +137,15 @@ def shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, postings.schema)
 
 
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``sets`` (sid, fp; a row each) whose fingerprints link in op1's index, and each set with the first of its own fingerprint."""
+    hubs = stored(sets.groupBy("fp").agg(F.min("sid").alias("sid")), "prints")
+    few = small(hubs, IDS)
+    across = simhash.links(hubs.select("fp")).join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b").select(F.struct(F.col("x").alias("sid")).alias("p"), F.struct(F.col("y").alias("sid")).alias("q"))
+    within = sets.select("fp", F.struct("sid").alias("p")).join(few.select("fp", F.struct("sid").alias("q")), "fp").where("p.sid <> q.sid").select("p", "q")
+    return _ordered(across.unionByName(within), "p", "q")
+
+
 def _met(docs: DataFrame, distinct: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int, shown: Callable, holds: Callable) -> DataFrame:
     """Those of ``pairs`` (a, b) for which ``holds`` of what is ``shown`` of both sets, stored.
 
@@ -206,12 +221,15 @@ def links(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words: int =
     bits = stored(first.join(small(nodes, IDS), "sid", "left_semi").select("sid", F.struct("n", "bits").alias("v")).dropDuplicates(["sid"]), "bits")
     drop_stored(nodes)
     few = small(bits, NODES)
-    found = tried = None
+
+    def alike(pairs):  # a set that shares no posted shingle has no bits here, and no partner
+        return pairs.join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b").where(_alike(similarity, "x", "y")).select("a", "b")
+
+    tried = stored(alike(by_fingerprint(stored(first.select("sid", "fp").dropDuplicates(["sid"]), "fingerprints"))), "pairs")
+    found = _similar(docs, distinct, bits.select("sid", "v.n"), tried, words, similarity)
     for turn in range(3):
-        here, roots = lists.withColumn("root", F.col("sid")), None
-        if found is not None:
-            roots = stored(components(found).withColumnRenamed("node", "sid"), "roots")
-            here = lists.join(small(roots, IDS), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots = stored(components(found).withColumnRenamed("node", "sid"), "roots")
+        here = lists.join(small(roots, IDS), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         member = here.select("shingle", F.struct("sid", "at", "root").alias("p"))
         if turn < 2:
             hub = member.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("p.sid", F.lit(turn)).alias("rank"), "p")).alias("h"), F.min("p.root").alias("low"), F.max("p.root").alias("high"))
@@ -224,13 +242,11 @@ def links(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words: int =
             left = stored(left.select("shingle", "main", F.struct("p.sid", "p.at", "v.n", "p.root", "v.bits").alias("p")), "left")
             met = left.where("p.root <> main").select("shingle", "p").join(left.select("shingle", F.col("p").alias("q")), "shingle").where(_alike(similarity, "p", "q"))
         pairs = _ordered(met.where((F.col("p.root") != F.col("q.root")) & _possible(similarity, "p", "q")), "p", "q")
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        if turn < 2:
-            pairs = pairs.join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b").where(_alike(similarity, "x", "y")).select("a", "b")
-        pairs = stored(pairs, "pairs")
-        drop_stored(open_, *([roots] if roots is not None else []), *([left] if turn == 2 else []))
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(alike(pairs) if turn < 2 else pairs, "pairs")
+        drop_stored(open_, roots, *([left] if turn == 2 else []))
         now = _similar(docs, distinct, bits.select("sid", "v.n"), pairs, words, similarity)
-        found, tried = (now, pairs) if found is None else (found.unionByName(now), tried.unionByName(pairs))
+        found, tried = found.unionByName(now), tried.unionByName(pairs)
     drop_stored(lists, bits)
     return found
 
@@ -248,11 +264,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     def make():
         def run(ids, texts):
             sets = [shingles(t, words) for t in texts]
-            return ids, [set_id(s) for s in sets], [len(s) for s in sets], [head(s, often.value, similarity) if len(s) else s for s in sets], list(map(parity, sets))
+            prints = np.array(list(map(simhash.of_digests, sets)), np.uint64).view(np.int64)
+            return ids, [set_id(s) for s in sets], [len(s) for s in sets], [head(s, often.value, similarity) if len(s) else s for s in sets], list(map(parity, sets)), prints
 
         return run
 
-    prints = stored(map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, sid bigint, n int, head array<bigint>, bits array<bigint>"), "heads")
+    prints = stored(map_batches(docs, ["doc_id", "text"], make, "doc_id bigint, sid bigint, n int, head array<bigint>, bits array<bigint>, fp bigint"), "heads")
     ids = stored(prints.select("doc_id", "sid"), "ids")
     distinct = stored(ids.groupBy("sid").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = links(docs, prints, distinct, words, similarity)

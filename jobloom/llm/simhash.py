@@ -57,7 +57,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(first), CHUNK):
         counts += _bit_counts(np.array([digest(joined[x:y], SEED) for x, y in zip(first[at : at + CHUNK], last[at : at + CHUNK])], np.uint64))
-    return int.from_bytes(np.packbits(2 * counts > len(first)).tobytes(), "big")
+    return _majority(counts, len(first))
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def of_digests(digests: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of shingles whose digests (64 bits each) are at hand already; 0 if there are none."""
+    return _majority(sum((_bit_counts(digests[at : at + CHUNK].view(np.uint64)) for at in range(0, len(digests), CHUNK)), np.zeros(64, np.int64)), len(digests))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:

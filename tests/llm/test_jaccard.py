@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from jobloom.llm import jaccard
+from jobloom.llm import jaccard, simhash
 
 SCHEMA = "doc_id bigint, text string, sid string"
 
@@ -63,3 +63,25 @@ def test_one_similar_text_joins_texts_that_are_apart(spark):
 
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_fingerprints_of_all_sets_meet_in_the_index_of_op1(spark, monkeypatch):
+    found = {jaccard.set_id(s): s for _, t in texts() if len(s := jaccard.shingles(t))}
+    prints = {i: simhash.of_digests(s) for i, s in found.items()}
+    pairs = [tuple(r) for r in jaccard.by_fingerprint(spark.createDataFrame([(i, fp - (fp >> 63 << 64)) for i, fp in prints.items()], "sid bigint, fp bigint")).collect()]
+    assert pairs and all(a < b and (prints[a] ^ prints[b]).bit_count() <= 4 for a, b in pairs)
+
+    def grouped(pairs):
+        group = {i: i for i in prints}
+        for _ in prints:
+            for a, b in pairs:
+                group[a] = group[b] = min(group[a], group[b])
+        return group
+
+    assert grouped(pairs) == grouped([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
+    assert simhash.of_digests(jaccard.shingles("a b c d e f g")) == simhash.fingerprint("a b c d e f g", 5)
+
+    met, index = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *a: met.append({r.fp % (1 << 64) for r in distinct.collect()}) or index(distinct, *a))
+    corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([(i, t, "") for i, t in texts()], SCHEMA), "")
+    assert len(met) == 1 and set(prints.values()) <= met[0]
