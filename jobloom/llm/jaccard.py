@@ -14,7 +14,8 @@ A candidate must also pass two exact bounds: the overlap that is left behind its
 parity bits, 512 of a set, each the parity of the shingles that fall there (where two sets' bits differ, so do the
 sets, so the number of different bits is at most the number of different shingles).  What passes is compared by whole
 sets.  Only groups are wanted, so a list's members are first compared with one of them, then with another, and after
-that only pairs that aren't joined yet are compared, all of them.  Shingles and sets stand as 64-bit digests.
+that only pairs that aren't joined yet are compared, all of them; a pair that shares many posted shingles is then taken
+where it shares none of the few open ones before.  Shingles and sets stand as 64-bit digests.
 
 Postings are shuffled once: they are sorted by shingle, and what no other set has is dropped as they pass.  What passes
 is compared twice, first by as many parity bits as the set has shingles, which leaves little but true pairs, then by
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import simhash
 from .common import drop_stored, map_batches, small, stored, values, without
@@ -42,6 +44,8 @@ WORDS, SIMILARITY, SEED, BITS = 5, 0.8, 42, 512
 SAMPLE, FREQUENT = 10_000, 200_000
 #: Rows of ids (16 bytes each), and of sets' sizes and bits (some 100 bytes each), up to which joins broadcast them; more are shuffled.
 IDS, NODES = 4_000_000, 1_000_000
+#: Postings before a set's place in a list, by which pairs are known that have met in an earlier list.
+BEFORE = 4
 #: Sets that are compared with one copy of a centre.
 FAN = 256
 
@@ -238,9 +242,11 @@ def links(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words: int =
         else:  # whoever isn't of a list's greatest group, with all the others
             sizes = member.groupBy("shingle", "p.root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).root.alias("main"), F.count("*").alias("groups")).where("groups > 1")
             open_ = stored(sizes.select("shingle", "main"), "hubs")
-            left = member.join(open_, "shingle").withColumn("sid", F.col("p.sid")).join(few, "sid")
-            left = stored(left.select("shingle", "main", F.struct("p.sid", "p.at", "v.n", "p.root", "v.bits").alias("p")), "left")
-            met = left.where("p.root <> main").select("shingle", "p").join(left.select("shingle", F.col("p").alias("q")), "shingle").where(_alike(similarity, "p", "q"))
+            before = F.collect_list("shingle").over(Window.partitionBy("sid").orderBy("at").rowsBetween(-BEFORE, -1))
+            left = member.join(open_, "shingle").select("shingle", "main", "p.*").withColumn("before", before).join(few, "sid")
+            left = stored(left.select("shingle", "main", F.struct("sid", "at", "v.n", "root", "v.bits", "before").alias("p")), "left")
+            met = left.where("p.root <> main").select("shingle", "p").join(left.select("shingle", F.col("p").alias("q")), "shingle")
+            met = met.where(_alike(similarity, "p", "q") & ~F.arrays_overlap("p.before", "q.before"))  # else they have met, at lower places
         pairs = _ordered(met.where((F.col("p.root") != F.col("q.root")) & _possible(similarity, "p", "q")), "p", "q")
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(alike(pairs) if turn < 2 else pairs, "pairs")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from jobloom.llm import jaccard, simhash
 
@@ -85,3 +87,21 @@ def test_fingerprints_of_all_sets_meet_in_the_index_of_op1(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda distinct, *a: met.append({r.fp % (1 << 64) for r in distinct.collect()}) or index(distinct, *a))
     corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([(i, t, "") for i, t in texts()], SCHEMA), "")
     assert len(met) == 1 and set(prints.values()) <= met[0]
+
+
+def test_pairs_of_long_texts_that_share_many_shingles_meet_once(spark, monkeypatch):
+    rows, last = [], []
+    base = [f"b{k}" for k in range(3000)]
+    for i in range(12):  # too long for the parity bits; under 0.8 of each other
+        rows.append((i, " ".join(w if (k // 60 * 7 + i * i) % 5 else f"c{i}_{k}" for k, w in enumerate(base))))
+    ordered = jaccard._ordered
+
+    def told(pairs, a, b):
+        if "bits" in pairs.select("p.*").columns:
+            last.extend(pairs.select(F.least("p.sid", "q.sid"), F.greatest("p.sid", "q.sid")).collect())
+        return ordered(pairs, a, b)
+
+    monkeypatch.setattr(jaccard, "_ordered", told)
+    kept = jaccard.keep_one(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)).collect()
+    assert {r.doc_id for r in kept} == slow_kept(rows)
+    assert 0 < len(last) <= 4 * len(set(last))
