@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +52,8 @@ API_SOURCES = [
     "graphqljobs",
 ]
 CHALLENGE = ("just a moment", "checking your browser", "enable javascript and cookies", "attention required", "cf-challenge", "captcha")
+#: The same of a payload that begins as an HTML page.
+HTML_CHALLENGE = ("request unsuccessful", "incapsula", "access denied", "verification required", "enable javascript", "cloudflare")
 
 
 def vacancy_reason(title: Column, description: Column, tags: Column | None = None, link: Column | None = None) -> Column:
@@ -114,10 +119,8 @@ def record_needs_text(raw: Column, description: Column, least: int = 400) -> Col
 
 def challenge_page(html: Column) -> Column:
     low = F.lower(F.coalesce(html, F.lit("")))
-    out = F.lit(False)
-    for phrase in CHALLENGE:
-        out = out | low.contains(phrase)
-    return out
+    said = lambda phrases: reduce(or_, (low.contains(p) for p in phrases))
+    return said(CHALLENGE) | (F.rlike(low, F.lit(r"^[\s\uFEFF]*<(?:!doctype html|html)")) & said(HTML_CHALLENGE))
 
 
 def unavailable(*texts: Column) -> Column:
