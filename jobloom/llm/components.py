@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from .common import drop_stored, stored
 
 
-def _star(edges: DataFrame, symmetric: bool) -> DataFrame:
-    """Link each node's neighbours to the least node of its neighbourhood, as a table in the shared folder.
+def _neighbours(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges in both directions, and of each node ``a`` the least of it and its neighbours and whether it is part of a star.
 
-    Large star (``symmetric``): neighbours above the node move.  Small star: neighbours below it move.  The minimum is
-    pre-aggregated before its shuffle and written, so the join that hands it back reads two plain shuffles, which AQE
-    splits where a node has very many neighbours.
+    A centre has greater neighbours only, a leaf has one neighbour and that is less; if all nodes are so, the edges are
+    stars.  The least is pre-aggregated before its shuffle and written, so the join that hands it back reads two plain
+    shuffles, which AQE splits where a node has very many neighbours.
     """
-    pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if symmetric else edges
-    least = stored(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    met = pairs.join(least, "a")
-    moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if symmetric else met.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-    out = stored(moved.where(F.col("a") > F.col("b")).distinct(), "edges")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    return both, stored(near.select("a", F.least("a", "low").alias("m"), ((F.col("low") > F.col("a")) | (F.col("low") == F.col("high"))).alias("star")), "least")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its lesser neighbours linked to the least of them, as a table in the shared folder."""
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+    out = stored(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     drop_stored(least)
     return out
 
@@ -27,19 +32,20 @@ def _star(edges: DataFrame, symmetric: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: one orderable type, structs too) -> (node, root): every node that has an edge, with the least node it can reach.
 
-    Self-loops, repeated and reversed edges are harmless; no edges give no rows.  Rounds end when the edges
-    form stars and no longer change; each round is a table in the shared folder.
+    Self-loops, repeated and reversed edges are harmless; no edges give no rows.  In a round the large star links each
+    node's greater neighbours to the least of its neighbourhood, then the small star its lesser ones; rounds end when
+    the edges form stars, so edges that are stars already take none.  Each half is a table in the shared folder.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     while True:
-        seen = now.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0)")).first()
-        if seen == mark or not seen[0]:
+        both, least = _neighbours(now)
+        if least.agg(F.min("star")).first()[0] is not False:
+            drop_stored(least)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark, last = seen, now
-        large = _star(now, True)
-        now = _star(large, False)
-        drop_stored(last, large)
+        large = stored(both.where("b > a").join(least.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "edges")
+        drop_stored(now, least)
+        now = _small_star(large)
+        drop_stored(large)
 
 
 def grouped(members: DataFrame, node: str, links: DataFrame, doc_id: str = "first_id") -> DataFrame:

@@ -13,8 +13,8 @@ share makes no long lists.
 A candidate must also pass two exact bounds: the overlap that is left behind its place in both prefixes, and the
 parity bits, 512 of a set, each the parity of the shingles that fall there (where two sets' bits differ, so do the
 sets, so the number of different bits is at most the number of different shingles).  What passes is compared by whole
-sets.  Only groups are wanted, so a list's members are first compared with one of them, then with another, and after
-that only pairs that aren't joined yet are compared, all of them; a pair that shares many posted shingles is then taken
+sets.  Only groups are wanted, so a list's members are first compared with two of them, and after that only pairs that
+aren't joined yet are compared, all of them; a pair that shares many posted shingles is then taken
 where it shares none of the few open ones before.  Shingles and sets stand as 64-bit digests.
 
 Postings are shuffled once: they are sorted by shingle, and what no other set has is dropped as they pass.  What passes
@@ -42,8 +42,9 @@ from .components import components, grouped
 WORDS, SIMILARITY, SEED, BITS = 5, 0.8, 42, 512
 #: Documents whose shingles are counted for the order, and the most shingles that are put last.
 SAMPLE, FREQUENT = 10_000, 200_000
-#: Rows of ids (16 bytes each), and of sets' sizes and bits (some 100 bytes each), up to which joins broadcast them; more are shuffled.
-IDS, NODES = 4_000_000, 1_000_000
+#: Rows of ids (16 bytes each), and of sets' sizes and bits (some 100 bytes each), up to which joins broadcast them; more are
+#: shuffled.  A broadcast takes more than that, and the driver builds it in its heap.
+IDS, NODES = 1_000_000, 100_000
 #: Postings before a set's place in a list, by which pairs are known that have met in an earlier list.
 BEFORE = 4
 #: Sets that are compared with one copy of a centre.
@@ -231,13 +232,16 @@ def links(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words: int =
 
     tried = stored(alike(by_fingerprint(stored(first.select("sid", "fp").dropDuplicates(["sid"]), "fingerprints"))), "pairs")
     found = _similar(docs, distinct, bits.select("sid", "v.n"), tried, words, similarity)
-    for turn in range(3):
+    parts = [found]
+    for last in (False, True):
         roots = stored(components(found).withColumnRenamed("node", "sid"), "roots")
+        drop_stored(*parts)
         here = lists.join(small(roots, IDS), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         member = here.select("shingle", F.struct("sid", "at", "root").alias("p"))
-        if turn < 2:
-            hub = member.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("p.sid", F.lit(turn)).alias("rank"), "p")).alias("h"), F.min("p.root").alias("low"), F.max("p.root").alias("high"))
-            open_ = stored(hub.where("low <> high").select("shingle", F.col("h.p").alias("q")), "hubs")
+        if not last:
+            first_by = lambda seed: F.min(F.struct(F.xxhash64("p.sid", F.lit(seed)).alias("rank"), "p")).p
+            hubs = member.groupBy("shingle").agg(*(first_by(seed).alias(f"h{seed}") for seed in range(2)), F.min("p.root").alias("low"), F.max("p.root").alias("high"))
+            open_ = stored(hubs.where("low <> high").select("shingle", F.explode(F.array_distinct(F.array("h0", "h1"))).alias("q")), "hubs")
             met = member.join(open_, "shingle")
         else:  # whoever isn't of a list's greatest group, with all the others
             sizes = member.groupBy("shingle", "p.root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).root.alias("main"), F.count("*").alias("groups")).where("groups > 1")
@@ -249,10 +253,11 @@ def links(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words: int =
             met = met.where(_alike(similarity, "p", "q") & ~F.arrays_overlap("p.before", "q.before"))  # else they have met, at lower places
         pairs = _ordered(met.where((F.col("p.root") != F.col("q.root")) & _possible(similarity, "p", "q")), "p", "q")
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(alike(pairs) if turn < 2 else pairs, "pairs")
-        drop_stored(open_, roots, *([left] if turn == 2 else []))
+        pairs = stored(pairs if last else alike(pairs), "pairs")
+        drop_stored(open_, *([left] if last else []))
         now = _similar(docs, distinct, bits.select("sid", "v.n"), pairs, words, similarity)
-        found, tried = found.unionByName(now), tried.unionByName(pairs)
+        stars = roots.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))  # they connect what all links so far do
+        found, tried, parts = stars.unionByName(now), tried.unionByName(pairs), [roots, now]
     drop_stored(lists, bits)
     return found
 

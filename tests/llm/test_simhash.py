@@ -5,6 +5,7 @@ import random
 import numpy as np
 import xxhash
 
+from jobloom.llm import components as components_module
 from jobloom.llm import simhash
 from jobloom.llm.components import components
 
@@ -136,3 +137,26 @@ def test_quick_tally_is_that_of_all_positions():
         shared = [b for b in range(56, -8, -8) if not d >> b & 255][:4]
         want.append(sum(255 << b for b in shared) == m)
     assert simhash._retained(differ, mask, 0).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_components_write_no_table_for_edges_that_are_stars(spark, monkeypatch):
+    made, store = [], components_module.stored
+    monkeypatch.setattr(components_module, "stored", lambda df, what: made.append(what) or store(df, what))
+
+    def got(edges):
+        made.clear()
+        return {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+
+    assert got([(9, 1), (1, 5), (7, 1), (20, 21)]) == {1: 1, 5: 1, 7: 1, 9: 1, 20: 20, 21: 20}
+    assert made == ["edges", "least"]
+    assert got([(1, 2), (1, 3), (3, 4), (2, 4)]) == {1: 1, 2: 1, 3: 1, 4: 1}  # none of them is a star
+    assert len(made) <= 10
+    rng = random.Random(8)
+    for _ in range(3):
+        edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
+        group = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in group:
+            for a, b in edges:
+                if a != b:
+                    group[a] = group[b] = min(group[a], group[b])
+        assert got(edges) == group
