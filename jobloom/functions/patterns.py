@@ -6,29 +6,38 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # Java's \w is ASCII and, unlike ranges, costs no folding
+#: White space as JavaScript knows it: Java's two ready-made kinds, tested without folding, but for two characters.
+SPACE, SPACES = r"[\x{FEFF}\h\v&&[^\x{85}\x{180E}]]", "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_LISTED = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
 def java(pattern: str, fold: bool | None = True) -> str:
     """The pattern for Spark's functions; ``fold`` None: a part of one."""
-    out, k, inside = [], 0, False
+    out, k, inside, spaced = [], 0, False, False
     while k < len(pattern):
         two = pattern[k : k + 2]
         if two == r"\b" and not inside:
             out.append(_BOUNDARY)
+        elif two == r"\s" and inside == "[":
+            out.append(SPACE[1 : SPACE.index("&")])
+            spaced = True
         elif two == r"\s":
-            out.append(SPACE[1:-1] if inside else SPACE)
+            out.append(_LISTED if inside else SPACE)
         elif two[0] == "\\":
             out.append(two)
         else:
-            inside = (inside or two[0] == "[") and two[0] != "]"
-            out.append(two[0])
+            if spaced and two[0] == "]":  # the class without the two characters; a dash at its end would join them
+                out[-1:] = [r"\-" if out[-1] == "-" else out[-1], SPACE[SPACE.index("&") : -1]]
+            inside = inside or (two if two == "[^" else "[" if two[0] == "[" else False)
+            if two[0] == "]":
+                inside = spaced = False
+            out.append(r"\&" if inside and two[0] == "&" else two[0])
             k -= 1
         k += 2
     return ("(?iu)" if fold else "") + "".join(out)
@@ -54,7 +63,7 @@ def _alternatives(pattern: str) -> list[str]:
 
 def _quick(pattern: str) -> str:
     """The pattern for a test alone: of ``\\b(x|y)\\b`` each boundary becomes what its neighbour makes of it, behind a look at the first character."""
-    word, bounded = "[A-Za-z0-9_]", re.fullmatch(r"\\b\((.*)\)\\b", pattern, re.S)
+    word, bounded = r"\w", re.fullmatch(r"\\b\((.*)\)\\b", pattern, re.S)
     grouped = re.fullmatch(r"\((?!\?)(.*)\)", pattern, re.S)
     if grouped and not bounded and len(parts := _alternatives(grouped[1])) > 1:
         return "(?:" + "|".join(map(_quick, parts)) + ")"
@@ -114,6 +123,81 @@ def likely(text: Column, pattern: str, of: list[str] | None = None) -> Column:
     return F.when(seen, match).otherwise(F.when(text.isNotNull(), False))
 
 
+def _parts(pattern: str) -> list[str]:
+    """The alternatives that a pattern's test is made of, each with the pattern's boundaries."""
+    bounded = re.fullmatch(r"\\b\((?!\?)(.*)\)\\b", pattern, re.S)
+    if bounded and (parts := _alternatives(bounded[1])):
+        return [rf"\b(?:{x})\b" for x in parts]
+    grouped = re.fullmatch(r"\((?!\?)(.*)\)", pattern, re.S)
+    return (_alternatives(grouped[1]) if grouped else []) or _alternatives(pattern)
+
+
+def plain_part(alt: str) -> tuple[str, bool]:
+    """The longest text, in lower case, that every match of an alternative holds, and whether the alternative is nothing else.
+
+    What is optional, repeated, a class or inside of a group tells nothing.
+    """
+    runs, whole, k, depth, inside = [""], True, 0, 0, False
+    if bounded := re.fullmatch(r"\\b\(\?:([^()|]*)\)\\b", alt):
+        return plain_part(bounded[1])[0], False
+    while k < len(alt):
+        c = alt[k : k + 2] if alt[k] == "\\" else alt[k]
+        k += len(c)
+        if inside or depth:
+            inside = (inside or c == "[") and c != "]"
+            depth += 0 if inside else (c == "(") - (c == ")")
+            continue
+        plain = c[1] if len(c) == 2 and not c[1].isalnum() else c if len(c) == 1 and c not in "[(.^$?*+{}" else None
+        if plain is not None:
+            runs[-1] += plain
+            continue
+        whole, inside, depth = False, c == "[", int(c == "(")
+        if c in "?*{":
+            runs[-1] = runs[-1][:-1]
+        if c == "{":
+            k = alt.index("}", k) + 1
+        runs.append("")
+    return max(runs, key=len).lower(), whole
+
+
+def lowered(text: Column) -> Column:
+    """The text in lower case for ``met``: letters that only folding makes equal to others become those."""
+    odd = "\u017f\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86"
+    return let(F.lower(text), lambda low: F.when(any_part(low, odd), F.translate(low, odd, "s\u0432\u0434\u043e\u0441\u0442\u0442\u044a")).otherwise(low))
+
+
+def met(low: Column, pattern: str) -> Column:
+    """``has`` for a text of ``lowered``, alternative by alternative: plain text is looked for as such, an expression only where its longest plain part stands."""
+    out, behind = F.lit(False), {}
+    for alt in _parts(pattern):
+        part, whole = plain_part(alt)
+        if whole and part:
+            out = out | F.contains(low, F.lit(part))
+        else:
+            behind.setdefault((part,) if len(part) > 1 else _group_parts(alt), []).append(alt)
+    for parts, alts in behind.items():
+        rule = F.rlike(low, F.lit(java("|".join(alts), fold=bool(re.search("[A-Z]", "".join(alts))))))
+        out = out | (any_part(low, parts) & rule if parts else rule)
+    return out
+
+
+def _group_parts(alt: str) -> tuple[str, ...]:
+    """The plain parts of which a match holds one at least, by the first group that has one in each of its alternatives."""
+    for group in re.findall(r"\((?:\?:)?([^()]*)\)(?![?*{])", alt):
+        parts = [plain_part(x)[0] for x in _alternatives(group)]
+        if parts and min(map(len, parts)) > 1:
+            return tuple(x for x in dict.fromkeys(parts) if not any(y != x and y in x for y in parts))
+    return ()
+
+
+def any_part(low: Column, parts: Iterable[str]) -> Column:
+    """Whether a text holds one of these strings."""
+    out = F.lit(False)
+    for x in parts:
+        out = out | F.contains(low, F.lit(x))
+    return out
+
+
 def first(text: Column, pattern: str, group: int = 0) -> Column:
     """The group of the first match, or null."""
     return F.nullif(F.regexp_extract(text, java(pattern), group), F.lit(""))

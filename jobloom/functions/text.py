@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import SPACE, has, java, let, replace
+from .patterns import SPACES, has, java, let, replace
 
 HEAD_LINES = 10
 
@@ -132,7 +132,7 @@ def sanitized(text: Column) -> Column:
 
 def trim(text: Column) -> Column:
     """Without white space at the ends, no-break spaces included."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalized(text: Column) -> Column:
