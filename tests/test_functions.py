@@ -305,3 +305,13 @@ def test_glue_blocklist(spark):
     rows = [("Type Script", True), ("dev-ops", True), ("", True), (" . ", True), ("я", True), ("x", True), ("xy", False), ("Acme", False), ("K8S", True), ("яя", True)]
     df = spark.createDataFrame(rows, "x string, want boolean").select("x", "want", text.glue_blocked(F.col("x")).alias("got"))
     assert all(r.got == r.want for r in df.collect())
+
+
+def test_steps_by_their_signs(spark):
+    """Steps that are looked for by their signs still act; before, a location put its sections' texts together for each of its rules."""
+    df = spark.createDataFrame([("mail x&amp;y",), ("a\u2060b",), ("Some text Requirements: x",)], "t string")
+    got = [r.x for r in df.select(text.preprocessed(text.sanitized(F.col("t"))["text"]).alias("x")).collect()]
+    assert got == ["mail x&y", "a\nb", "Some text \nRequirements: x"]
+    body = F.array(F.struct(F.lit("body").alias("name"), F.array("t").alias("lines")))
+    plan = df.select(places.location(body).alias("l"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_join(") <= 3
