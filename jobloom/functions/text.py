@@ -45,6 +45,7 @@ GLUE_WORDS = [
 WHOLE_TOKENS = ["B2B", "3D", "C4D", "iOS", "iPad", "iPhone", "macOS", "tvOS", "watchOS", "API", "URL", "HTTP", "HTTPS", "CSS", "HTML", "XML", "JSON", "PDF", "JPG", "PNG", "GIF", "SVG", "MP4", "AVI", "MOV"]
 # A name that is stuck to what stands before it, what may stand before it, and what follows it.
 STUCK_NAME, STUCK_END = r"([A-Z][A-Za-z0-9]{2,30})", r"(?=\s|$|,|:|LTD|LLC|INC|Corp|GmbH)"
+STUCK_PLAIN = STUCK_END[: STUCK_END.index("|LTD")] + ")"
 BEFORE_ANY, BEFORE_WORD = "A-Za-zА-Яа-яЁё0-9/&-", "[A-Z][a-z]+"
 # Amounts that are stuck to a word.
 AMOUNT_MARKED = r"([A-Za-zА-Яа-яЁё])(\d{2,3}(?:[ \t.,'’]\d{3})+\s*(?:₽|RUB|USD|EUR|GBP|CHF|\$|€|£))"
@@ -62,12 +63,12 @@ def glue_blocked(token: Column) -> Column:
     return (plain == "") | ((F.length(plain) <= 2) & ~F.rlike(plain, F.lit("^[a-z0-9]{2}$"))) | plain.isin(*words)
 
 
-def _split_stuck(text: Column, before: str, start: str) -> Column:
+def _split_stuck(text: Column, before: str, start: str, end: str) -> Column:
     """``text`` with a space before each name that is stuck to ``before``, if both can stand alone.
 
     Matches are judged one by one: what lies between them and what they become is put together again.
     """
-    pattern = java(f"{start}({before}){STUCK_NAME}{STUCK_END}", fold=False)
+    pattern = java(f"{start}({before}){STUCK_NAME}{end}", fold=False)
     inside = java(f"^({before}){STUCK_NAME}$", fold=False)
 
     def judged(x: Column) -> Column:
@@ -84,11 +85,14 @@ def _split_stuck(text: Column, before: str, start: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), joined).otherwise(text)
 
 
-def unglued(text: Column) -> Column:
-    """Names that are stuck to the word before them get a space: after any word, then between two words of one token."""
-    once = _split_stuck(text, f"[{BEFORE_ANY}]+", rf"(?:(?<![{BEFORE_ANY}])|\G)")  # a run is tried from its start alone
+def unglued(text: Column, end: str = STUCK_END) -> Column:
+    """Names that are stuck to the word before them get a space: after any word, then between two words of one token.
+
+    A name ends at ``end``; ``STUCK_PLAIN`` leaves out legal forms, which are also found inside of words (REINZUEINCH).
+    """
+    once = _split_stuck(text, f"[{BEFORE_ANY}]+", rf"(?:(?<![{BEFORE_ANY}])|\G)", end)  # a run is tried from its start alone
     may = F.rlike(text, F.lit(f"[A-Z](?<=[{BEFORE_ANY}][A-Z])[A-Za-z0-9]{{2}}"))  # a capital behind a letter: what both need
-    return F.when(may, _split_stuck(once, BEFORE_WORD, "")).otherwise(text)
+    return F.when(may, let(once, lambda x: _split_stuck(x, BEFORE_WORD, "", end))).otherwise(text)
 
 
 def sanitized(text: Column) -> Column:
