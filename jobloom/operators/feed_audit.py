@@ -202,26 +202,27 @@ def feed_rules(confidences: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def audited(df: DataFrame, rules, least: str = "info") -> DataFrame:
+def audited(df: DataFrame, rules, least: str = "info", blank: bool = False) -> DataFrame:
     """(id, issue, severity, expected, found): a row for each issue of each row, of at least that severity.
 
     ``df``: id, title, description and ``record``, the structs of ``FIELDS`` with ``warnings``.  Rows without any text
-    have no issues.  ``rules``: ``accuracy_rules`` or ``feed_rules``.
+    have no issues unless ``blank``.  ``rules``: ``accuracy_rules`` or ``feed_rules``.
     """
     plain = checked(df.withColumnRenamed("id", "posting_id").withColumn("posting_title", F.col("title")))
     confidences = {n: F.col(f"record.{n}.confidence") for n in FIELDS if "confidence" in df.select(f"record.{n}.*").columns}
     text = lambda c: (F.lit(None) if c is None else c).cast("string")
     hit = lambda r: F.when(F.coalesce(r.when, F.lit(False)), F.struct(F.lit(r.issue).alias("issue"), F.lit(r.severity).alias("severity"), text(r.expected).alias("expected"), text(r.found).alias("found")))
     hits = F.array_compact(F.array(*(hit(r) for r in rules(confidences) if SEVERITY[r.severity] >= SEVERITY[least])))
-    return plain.where(F.btrim("full", F.lit(_WHITE)) != "").select(F.col("posting_id").alias("id"), F.explode(hits).alias("i")).select("id", "i.*")
+    judged = plain if blank else plain.where(F.btrim("full", F.lit(_WHITE)) != "")
+    return judged.select(F.col("posting_id").alias("id"), F.explode(hits).alias("i")).select("id", "i.*")
 
 
-def accuracy(df: DataFrame, least: str = "low") -> DataFrame:
-    return audited(df, accuracy_rules, least)
+def accuracy(df: DataFrame, least: str = "low", blank: bool = False) -> DataFrame:
+    return audited(df, accuracy_rules, least, blank)
 
 
-def feed_issues(df: DataFrame, least: str = "info") -> DataFrame:
-    return audited(df, feed_rules, least)
+def feed_issues(df: DataFrame, least: str = "info", blank: bool = False) -> DataFrame:
+    return audited(df, feed_rules, least, blank)
 
 
 def record(parsed: DataFrame, *keep: Column | str) -> DataFrame:
